@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scan, quality_rules, secret_scan, token_counts
+from . import decontamination, license_scan, ngram_join, packing, quality_rules, secret_scan, token_counts
 
-MODULES = (quality_rules, license_scan, token_counts, decontamination, secret_scan)
+MODULES = (quality_rules, license_scan, token_counts, ngram_join, decontamination, secret_scan, packing)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
