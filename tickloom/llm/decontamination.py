@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern as K
-from .common import quoted, table
+from .common import add_columns, fresh, quoted, table
 
 WINDOW = 10
 #: Bytes of benchmark text looked up in one pass over the documents.
@@ -193,6 +193,27 @@ def _merge(found: DataFrame, key: str) -> DataFrame:
     return g.withColumn("spans", joined).select(F.col(k), "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), "spans", "items", F.array_except("near_items", "items").alias("near_items"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that hold a window of any item; all columns stay.  Blocks of the benchmark filter one after another."""
+    for _, rows in _blocks(benchmark, item, item_text, block_bytes):
+        shipped = spark_broadcast(docs, Windows([r[0] for r in rows], [r[1] for r in rows], window))
+        name = fresh(docs, "contaminated")
+
+        def make(shipped=shipped):
+            def run(texts: pa.Array) -> list[pa.Array]:
+                hit = np.zeros(len(texts), bool)
+                for c in K.chunks(texts):
+                    shard = Shard(c.words(K.ALNUM, lower=True), shipped.value.terms)
+                    for windows, _ in shipped.value.by_length.values():
+                        hit[c.row + shard.doc[shard.phrases(windows)[1]]] = True
+                return [pa.array(hit)]
+
+            return run
+
+        docs = add_columns(docs, text, [T.StructField(name, T.BooleanType())], make).where(~F.col(name)).drop(name)
+    return docs
+
+
 def spark_broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 

@@ -347,6 +347,21 @@ def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     return p.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b")
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one document of each component, that of the smallest key; all columns stay.
+
+    Rows to drop are listed, not rows to keep: they are fewer, and no text moves while their list can be broadcast.
+    Of rows that repeat a kept key one stays.
+    """
+    found = written(near_duplicates(docs, key, text, k, num, den).select(F.col(quoted(key)).alias("k"), F.col("component_id").alias("c")))
+    drop = found.where(~F.col("k").eqNullSafe(F.col("c"))).select(F.col("k").alias("dropped_key")).distinct()
+    few = drop.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(drop) if few else drop, F.col(quoted(key)) == F.col("dropped_key"), "left_anti")
+    if found.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([key])
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90)
     return found.select("doc_id", "n_shingles", "component_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, license_scan, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts
+from . import decontamination, html_extraction, license_scan, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, toxicity
 
-MODULES = (quality_rules, license_scan, token_counts, sharding, ngram_join, html_extraction, decontamination, secret_scan, packing)
+MODULES = (toxicity, quality_rules, license_scan, token_counts, sharding, ngram_join, html_extraction, decontamination, secret_scan, packing)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

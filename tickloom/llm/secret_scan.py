@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern as K
-from .common import add_columns, fresh, map_texts, table
+from .common import add_columns, fresh, map_texts, quoted, table
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE_KINDS = KINDS[:3]
@@ -149,9 +149,9 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return map_texts(docs, key, text, [T.StructField("spans", _SPAN)], make)
 
 
-def drop_secrets(docs: DataFrame, text: str = "text", name: str = "secret_redacted") -> DataFrame:
-    """docs with every secret in ``text`` replaced by ``[SECRET]``; all columns and rows stay."""
-    flag = fresh(docs, name)
+def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with every secret in ``text`` replaced by ``[SECRET]``; all rows and columns stay, in their order."""
+    flag = fresh(docs, "redacted")
 
     def make():
         novelty = Novelty()
@@ -173,7 +173,7 @@ def drop_secrets(docs: DataFrame, text: str = "text", name: str = "secret_redact
         return run
 
     out = add_columns(docs, text, [T.StructField(flag, T.StringType())], make)
-    return out.select(*(F.coalesce(F.col(f"`{flag}`"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+    return out.withColumn(text, F.coalesce(F.col(flag), F.col(quoted(text)))).drop(flag)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
