@@ -49,7 +49,8 @@ from . import textkern as K
 from .common import discard, map_texts, quoted, table, written
 from .components import components
 
-BINS = 64
+#: Cells of a set's histogram; counts stop at 255, which keeps their differences lower bounds.
+BINS = 256
 #: Signatures in a bucket; their number follows the input.
 BUCKET_SIGNATURES = 400_000
 #: Most candidate rows that are broadcast (16 bytes each); more are joined by shuffle.
@@ -155,7 +156,7 @@ def _members(docs: DataFrame, key: str, text: str, k: int, scheme: tuple[int, in
                     node.append(set_id(s))
                     n.append(len(s))
                     sigs.append(own.count(len(s)))
-                    bins.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16).tobytes())
+                    bins.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             return [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.int64()), pa.array(bins, pa.binary())]
 
         return run
@@ -291,13 +292,13 @@ def _open_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, num: int
 
     def cell(t: pa.Table) -> pa.Table:
         node, label, n = (t.column(x).to_numpy() for x in ("node", "label", "n"))
-        bins = np.stack([np.frombuffer(x, np.uint16) for x in t.column("bins").to_pylist()]).astype(np.int32)
+        bins = np.stack([np.frombuffer(x, np.uint8) for x in t.column("bins").to_pylist()]).astype(np.int16)
         low, high = (np.flatnonzero(t.column(x).to_numpy(zero_copy_only=False)) for x in ("low", "high"))
         a, b = [], []
         for i in low.tolist():
             j = high[(label[high] != label[i]) & (den * np.minimum(n[high], n[i]) >= num * np.maximum(n[high], n[i]))]
             if len(j):
-                apart = np.abs(bins[j] - bins[i]).sum(axis=1)
+                apart = np.abs(bins[j] - bins[i]).sum(axis=1, dtype=np.int64)
                 j = j[(den + num) * apart <= (den - num) * (n[j] + n[i])]
                 a += np.minimum(node[j], node[i]).tolist()
                 b += np.maximum(node[j], node[i]).tolist()
