@@ -54,8 +54,7 @@ def fold(df: DataFrame, by: list[str], ts: str, new: dict[str, str], f: Callable
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return f(g.sort_values(ts).reset_index(drop=True))[schema.fieldNames()]
 
-    keyed = df.groupBy(*by) if by else df.groupBy(F.lit(0))
-    return keyed.applyInPandas(run, schema)
+    return df.groupBy(*by).applyInPandas(run, schema)
 
 
 def atr(b: DataFrame, by: list[str], ts: str = "bar_ts", window: int = 14) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import market
+
+MODULES = (market,)
 FLAGSHIP = "resample_ohlcv"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {name: q for m in MODULES for name, q in m.R.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.R.oracles.items()}
