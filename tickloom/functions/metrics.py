@@ -32,7 +32,7 @@ def sharpe(r: Column, per_year: Column) -> Column:
 
 
 def years(ts: Column) -> Column:
-    return F.greatest((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / F.lit(365.25 * 86400 * 1e6), F.lit(1e-9))
+    return F.greatest((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / F.lit(365.25 * 86400 * 1e6), F.lit(1e-9))
 
 
 def drawdown(df: DataFrame, r: str, order: list[str], by: list[str]) -> DataFrame:

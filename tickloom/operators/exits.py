@@ -43,12 +43,6 @@ def peaks(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("peak", peak).withColumn("gain_r", r_of(F.col("peak")))
 
 
-def first(pairs: DataFrame, trigger: Column, fill_r: Column, *keys: str) -> DataFrame:
-    """R at the first bar that triggers."""
-    g = pairs.where(trigger).groupBy("id", *keys).agg(F.min_by(fill_r, "rn").alias("exit_r"), F.min("rn").alias("exit_rn"))
-    return g
-
-
 def trail_level(pct: Column) -> Column:
     """Once active, the peak less a share of its way from the entry, never worse than the stop; else the stop."""
     way = F.col("peak") - pct * (F.col("peak") - F.col("entry"))
@@ -56,76 +50,83 @@ def trail_level(pct: Column) -> Column:
     return F.when((F.col("gain_r") >= ACTIVATION) & pct.isNotNull(), moved).otherwise(F.col("stop").cast("double"))
 
 
-def trailing(pairs: DataFrame, pcts: tuple[float, ...] = TRAILS) -> DataFrame:
-    """(id, pct, exit_r, exit_rn) for every trail width at once."""
-    p = peaks(pairs).withColumn("pct", F.explode(F.array(*map(F.lit, pcts))))
-    p = p.withColumn("level", trail_level(F.col("pct")))
-    return first(p, touches_stop(F.col("level")), r_of(stop_fill(F.col("level"))), "pct")
+def target_level(multiple: float | None) -> Column:
+    return F.col("target").cast("double") if multiple is None else F.col("entry") + signed(F.col("risk") * multiple)
 
 
-def mfe_aware(pairs: DataFrame) -> DataFrame:
-    """The trail narrows with the gain: 10 % from 1 R, 2 % from 5 R."""
-    p = peaks(pairs).withColumn("pct", F.when(F.col("gain_r") >= 5, 0.02).when(F.col("gain_r") >= 1, 0.10))
-    p = p.withColumn("level", trail_level(F.col("pct")))
-    return first(p, touches_stop(F.col("level")), r_of(stop_fill(F.col("level"))))
+Rule = tuple[Column, Column]  # when it triggers, and the R it then gets
 
 
-def target_level(multiple: float | None) -> Column:
-    return F.col("target").cast("double") if multiple is None else F.col("entry") + signed(F.col("risk") * multiple)
+def trailing(pct: Column) -> Rule:
+    level = trail_level(pct)
+    return touches_stop(level), r_of(stop_fill(level))
+
+
+def mfe_aware() -> Rule:
+    """The trail narrows with the gain: 10 % from 1 R, 2 % from 5 R."""
+    return trailing(F.when(F.col("gain_r") >= 5, F.lit(0.02)).when(F.col("gain_r") >= 1, F.lit(0.10)))
 
 
-def fixed_target(pairs: DataFrame, multiple: float | None = None, gap_fill: bool = True) -> DataFrame:
+def fixed_target(multiple: float | None = None, gap_fill: bool = True) -> Rule:
     """Target or stop, whichever a bar touches first; the target wins a bar that touches both."""
     level, stop = target_level(multiple), F.col("stop").cast("double")
     hit = touches_target(level)
-    fill = F.when(hit, level).otherwise(stop_fill(stop) if gap_fill else stop)
-    return first(pairs, hit | touches_stop(stop), r_of(fill))
+    return hit | touches_stop(stop), r_of(F.when(hit, level).otherwise(stop_fill(stop) if gap_fill else stop))
 
 
-def timed(pairs: DataFrame, hours: int) -> DataFrame:
+def timed(hours: int) -> Rule:
     """Close of the first bar so many hours after the first bar; the stop comes first."""
-    begin = F.min("bar_ts").over(Window.partitionBy("id"))
-    p = pairs.withColumn("_due", F.col("bar_ts") >= begin + F.make_dt_interval(hours=F.lit(hours)))
     stop = F.col("stop").cast("double")
     hit = touches_stop(stop)
-    return first(p, hit | F.col("_due"), r_of(F.when(hit, stop_fill(stop)).otherwise(F.col("close").cast("double"))))
+    return hit | (F.col("bar_ts") >= F.col("first_ts") + F.make_dt_interval(hours=F.lit(hours))), r_of(F.when(hit, stop_fill(stop)).otherwise(F.col("close").cast("double")))
+
+
+def rules() -> dict[str, Rule]:
+    out = {f"trail_{p:.2f}": trailing(F.lit(p)) for p in TRAILS}
+    out |= {"target": fixed_target(), "mfe_aware": mfe_aware()}
+    out |= {f"fixed_{m}r": fixed_target(float(m)) for m in (2, 3, 4)}
+    return out | {f"time_{h}h": timed(h) for h in (1, 2, 4, 8)}
 
 
 LEGS = ((0.5, 2.0), (0.3, 4.0), (0.2, None))
 
 
-def partial(pairs: DataFrame, legs: tuple[tuple[float, float | None], ...] = LEGS) -> DataFrame:
-    """Shares of the position leave at their targets; the stop takes what is left and wins a shared bar; legs that nothing touches get the actual R."""
+def _partial(legs, scope: Column, prefix: str) -> tuple[list[Column], Column]:
+    """Aggregates and result of the partial rule over the bars in scope."""
     stop = F.col("stop").cast("double")
-    cols = [F.min(F.when(touches_stop(stop), F.col("rn"))).alias("s_rn"), F.min_by(F.when(touches_stop(stop), r_of(stop_fill(stop))), F.when(touches_stop(stop), F.col("rn"))).alias("s_r")]
-    cols += [F.min(F.when(touches_target(target_level(m)), F.col("rn"))).alias(f"l{i}") for i, (_, m) in enumerate(legs)]
-    g = pairs.groupBy("id", "side", "entry", "risk", "target", "r").agg(*cols)
+    out = touches_stop(stop) & scope
+    aggs = [F.min(F.when(out, F.struct(F.col("rn"), r_of(stop_fill(stop)).alias("r")))).alias(f"{prefix}s")]
+    aggs += [F.min(F.when(touches_target(target_level(m)) & scope, F.col("rn"))).alias(f"{prefix}{i}") for i, (_, m) in enumerate(legs)]
     parts = []
     for i, (share, m) in enumerate(legs):
-        leg = F.when(F.col(f"l{i}").isNotNull() & (F.col("s_rn").isNull() | (F.col(f"l{i}") < F.col("s_rn"))), r_of(target_level(m))).otherwise(F.coalesce("s_r", "r"))
+        rn, s = F.col(f"{prefix}{i}"), F.col(f"{prefix}s")
+        leg = F.when(rn.isNotNull() & (s.isNull() | (rn < s["rn"])), r_of(target_level(m))).otherwise(F.coalesce(s["r"], "r"))
         parts.append(F.lit(share) * leg)
-    return g.select("id", reduce(lambda a, b: a + b, parts).alias("exit_r"))
+    touched = reduce(lambda a, b: a | b, [F.col(f"{prefix}{x}").isNotNull() for x in ("s", *range(len(legs)))])
+    return aggs, F.when(touched, reduce(lambda a, b: a + b, parts))
 
 
-def all_strategies(trades: DataFrame, bars: DataFrame, extension_hours: int = 72) -> DataFrame:
-    """(id, strategy, scenario, exit_r, triggered): every rule, within the position's own window and with it extended.
+def simulate(trades: DataFrame, bars: DataFrame, chosen: dict[str, Rule] | None = None, partial: bool = True, extension_hours: int = 72) -> DataFrame:
+    """(id, t0, amount, risk, orig_r, strategy, scenario, exit_r, triggered): every rule within the position's own window
+    (conservative) and with it extended (aggressive).  A rule that never triggers leaves the actual R.
 
-    A rule that never triggers leaves the actual R.
+    All rules and both scenarios are conditional minima of one grouped aggregate over one range join: the bars of a
+    position are brought together once, whatever the number of rules.
     """
-    own = numbered(interval_join(trades, bars, F.col("t0"), F.col("t1")))
-    far = numbered(interval_join(trades, bars, F.col("t0"), F.col("t1") + F.make_dt_interval(hours=F.lit(extension_hours))))
-    out = []
-    for scenario, p in (("conservative", own), ("aggressive", far)):
-        t = trailing(p)
-        out.append(t.select("id", F.concat(F.lit("trail_"), F.format_number("pct", 2)).alias("strategy"), F.lit(scenario).alias("scenario"), "exit_r"))
-        rules = [("target", fixed_target(p)), ("mfe_aware", mfe_aware(p)), ("partial", partial(p))]
-        rules += [(f"fixed_{m}r", fixed_target(p, float(m))) for m in (2, 3, 4)] + [(f"time_{h}h", timed(p, h)) for h in (1, 2, 4, 8)]
-        out += [x.select("id", F.lit(n).alias("strategy"), F.lit(scenario).alias("scenario"), "exit_r") for n, x in rules]
-    hits = reduce(DataFrame.unionByName, out)
-    names = [f"trail_{p:.2f}" for p in TRAILS] + ["target", "mfe_aware", "partial", "fixed_2r", "fixed_3r", "fixed_4r", "time_1h", "time_2h", "time_4h", "time_8h"]
-    grid = trades.select("id", "t0", "r", "risk", "amount").withColumn("strategy", F.explode(F.array(*map(F.lit, names)))).withColumn("scenario", F.explode(F.array(F.lit("conservative"), F.lit("aggressive"))))
-    x = grid.join(hits, ["id", "strategy", "scenario"], "left")
-    return x.select("id", "t0", "amount", "risk", F.col("r").alias("orig_r"), "strategy", "scenario", F.coalesce("exit_r", "r").alias("exit_r"), F.col("exit_r").isNotNull().alias("triggered"))
+    chosen = rules() if chosen is None else chosen
+    pairs = numbered(interval_join(trades, bars, F.col("t0"), F.col("t1") + F.make_dt_interval(hours=F.lit(extension_hours))))
+    pairs = peaks(pairs).withColumn("first_ts", F.min("bar_ts").over(Window.partitionBy("id"))).withColumn("own", F.col("bar_ts") <= F.col("t1"))
+    aggs = [F.min(F.when(trigger, F.struct("rn", "own", r.alias("r")))).alias(f"_h_{name}") for name, (trigger, r) in chosen.items()]
+    results = [F.struct(F.lit(n).alias("strategy"), F.lit(sc).alias("scenario"), F.when(F.col(f"`_h_{n}`.own") if sc == "conservative" else F.lit(True), F.col(f"`_h_{n}`.r")).alias("hit_r")) for n in chosen for sc in ("conservative", "aggressive")]
+    if partial:
+        for sc, scope in (("conservative", F.col("own")), ("aggressive", F.lit(True))):
+            more, value = _partial(LEGS, scope, f"_{sc[0]}")
+            aggs += more
+            results.append(F.struct(F.lit("partial").alias("strategy"), F.lit(sc).alias("scenario"), value.alias("hit_r")))
+    g = pairs.groupBy("id").agg(*aggs)
+    x = trades.select("id", "t0", "amount", "side", "entry", "target", "risk", "r").join(g, "id", "left").withColumn("_x", F.explode(F.array(*results)))
+    hit = F.col("_x.hit_r")
+    return x.select("id", "t0", "amount", "risk", F.col("r").alias("orig_r"), "_x.strategy", "_x.scenario", F.coalesce(hit, F.col("r")).alias("exit_r"), hit.isNotNull().alias("triggered"))
 
 
 def no_stop(trades: DataFrame, bars: DataFrame, days: int = 30) -> DataFrame:
