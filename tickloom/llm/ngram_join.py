@@ -41,6 +41,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,12 +54,13 @@ from .components import components
 BINS = 256
 #: Signatures in a bucket; their number follows the input.
 BUCKET_SIGNATURES = 400_000
+MOST_BUCKETS = 1 << 24
 #: Most candidate rows that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Members of a block in which groups are taken up again.
 BLOCK = 512
 #: Features that a signature should cover on average, where the band allows it.
-COVER = 8
+COVER = 6
 
 
 class Scheme:
@@ -182,15 +184,30 @@ _BLOCKS = "bucket int, local boolean, sigs binary, nodes binary, at binary"
 _GROUPS = "sig bigint, node bigint, leader bigint"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: planes of zeros cost nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _unplaned(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _packed(sig: np.ndarray, node: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """Signatures, the distinct nodes, and for each signature its node's place."""
+    """Sorted signatures as differences, the distinct nodes, and for each signature its node's place."""
     names, at = np.unique(node, return_inverse=True)
-    return sig.tobytes(), names.tobytes(), at.astype(np.uint16 if len(names) <= 65536 else np.uint32).tobytes()
+    return _planes(np.diff(sig, prepend=np.uint64(0))), names.tobytes(), _planes(at.astype(np.uint32))
 
 
 def _unpacked(sigs: bytes, nodes: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
-    sig, names = np.frombuffer(sigs, np.uint64), np.frombuffer(nodes, np.int64)
-    return sig, names[np.frombuffer(at, np.uint16 if len(names) <= 65536 else np.uint32)]
+    with np.errstate(over="ignore"):
+        return np.cumsum(_unplaned(sigs, np.uint64), dtype=np.uint64), np.frombuffer(nodes, np.int64)[_unplaned(at, np.uint32)]
+
+
+def _short(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """Signatures cut to 40 bits and their bucket: the more signatures, the more buckets, so chance matches stay rare; they cost a comparison."""
+    return (sig >> np.uint64(24) << np.uint64(24)) | (sig % np.uint64(buckets))
 
 
 def _groups(docs: DataFrame, text: str, k: int, scheme: tuple[int, int], buckets: int) -> DataFrame:
@@ -202,7 +219,7 @@ def _groups(docs: DataFrame, text: str, k: int, scheme: tuple[int, int], buckets
             sigs, nodes, counts = [], [], []
             for c in K.chunks(b.column(0)):
                 for s in c.words(K.SPACE, lower=True).sets(k):
-                    x = own.signatures(s)
+                    x = _short(own.signatures(s), buckets)
                     if len(x):
                         sigs.append(x)
                         nodes.append(set_id(s))
@@ -218,7 +235,7 @@ def _groups(docs: DataFrame, text: str, k: int, scheme: tuple[int, int], buckets
             for local, pick in ((False, lead), (True, shared)):
                 s, n = sig[pick], node[pick]
                 # What is shared inside the block is settled here and dealt out by block, whole runs together.
-                place = (s % np.uint64(buckets)).astype(np.int64) if not local else (K.mix(s ^ sig[:1]) % np.uint64(buckets)).astype(np.int64)
+                place = (s & np.uint64((1 << 24) - 1)).astype(np.int64) if not local else (K.mix(s ^ sig[:1]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(place, kind="stable")
                 s, n, place = s[order], n[order], place[order]
                 cut = np.searchsorted(place, np.arange(buckets + 1))
@@ -318,7 +335,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     members = written(_members(docs, key, text, k, scheme))
     nodes = members.where("node is not null").groupBy("node").agg(F.min(quoted(key)).alias("k"), F.min("n").alias("n"), F.min("n_sigs").alias("n_sigs"), F.min("bins").alias("bins"))
     total = nodes.agg(F.sum("n_sigs")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_SIGNATURES))
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_SIGNATURES)))
     groups = written(_groups(docs, text, k, scheme, buckets))
     stars = groups.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     stars = written(_not_ruled_out(stars, nodes, num, den))
@@ -342,10 +359,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    size = nodes.select("node", "n")
-    p = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return p.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b")
+    """Pairs whose sizes and histograms allow a link."""
+    side = nodes.select("node", "n", "bins")
+    p = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
+    p = p.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ba", "bb")
+
+    def run(batches):
+        for x in batches:
+            ba, bb = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (3, 4))
+            apart = np.abs(ba - bb).sum(axis=1, dtype=np.int64)
+            keep = pa.array((den + num) * apart <= (den - num) * x.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
+
+    return p.mapInArrow(run, "a bigint, b bigint")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
