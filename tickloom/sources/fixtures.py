@@ -55,6 +55,18 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def orders_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers with earlier ones; r: price against the mean of those, scaled."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    o = o.withColumn("pm", F.sum("cents").over(before) / F.nullif(F.count("cents").over(before), F.lit(0))).where("pm is not null")
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal")
+    return o.join(c, "o_custkey").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("t0"), F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"),
+        (F.weekday("o_orderdate") + 1).cast("long").alias("weekday"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"), "cents", ((F.col("cents") - F.col("pm")) / F.lit(1e7)).alias("r"),
+    )
+
+
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, a, n, r): daily means of line prices by return flag, every 7th date of one and 8th of another missing."""
     li = load(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), "l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("c"))
@@ -83,6 +95,9 @@ ticks AS (SELECT event_id, ts, user_id, instrument, CAST(10000000 + sum(cents -
     "trades_r": """x0 AS (SELECT id, arg_max(close, bar_ts) AS last_close, max(high) AS hi, min(low) AS lo, count(*) AS n_bars FROM tb GROUP BY id),
 trades_r AS (SELECT t.*, coalesce(last_close, entry) AS exit_px, (CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * (coalesce(last_close, entry) - entry)::DOUBLE / risk AS r,
  CASE WHEN side = 'buy' THEN hi - entry ELSE entry - lo END::DOUBLE / risk AS mfe_r, CASE WHEN side = 'buy' THEN entry - lo ELSE hi - entry END::DOUBLE / risk AS mae_r, coalesce(n_bars, 0) AS n_bars FROM trades t LEFT JOIN x0 USING (id))""",
+    "orders_r": """orders_r AS (SELECT o_orderkey AS id, o_orderdate AS t0, o_orderpriority AS prio, o_orderstatus AS status, isodow(o_orderdate) AS weekday, c_mktsegment AS segment, c_acctbal AS acctbal, cents, (cents - pm) / 1e7::DOUBLE AS r
+ FROM (SELECT *, sum(cents) OVER w / nullif(count(cents) OVER w, 0) AS pm FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) o
+ JOIN customer ON c_custkey = o_custkey WHERE pm IS NOT NULL)""",
     "macro": """macro AS (SELECT date, CASE WHEN dd % 7 <> 0 THEN a0 END AS a, CASE WHEN dd % 8 <> 0 THEN n0 END AS n, r0 AS r FROM (SELECT CAST(l_shipdate AS DATE) AS date, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS dd,
  sum(c) FILTER (l_returnflag = 'A') / nullif(count(*) FILTER (l_returnflag = 'A'), 0) AS a0, sum(c) FILTER (l_returnflag = 'N') / nullif(count(*) FILTER (l_returnflag = 'N'), 0) AS n0, sum(c) FILTER (l_returnflag = 'R') / nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS r0
  FROM (SELECT l_shipdate, l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM lineitem) GROUP BY 1, 2))""",
