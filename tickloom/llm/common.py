@@ -67,6 +67,19 @@ def discard(df: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of an Arrow batch handed to Python at a time (or one row), whatever the length of the texts.
+ARROW_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are bounded by bytes; a smaller setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df
+
+
 Batch = Callable[[pa.Array], list[pa.Array]]
 
 
@@ -85,7 +98,7 @@ def map_texts(df: DataFrame, key: str, text: str, fields: list[T.StructField], m
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), *f(b.column(1))], names)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)
 
 
 def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Batch]) -> DataFrame:
@@ -99,4 +112,4 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Cal
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *f(b.column(index))], names)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern as K
-from .common import add_columns, fresh, quoted, table
+from .common import add_columns, bounded, fresh, quoted, table
 
 WINDOW = 10
 #: Bytes of benchmark text looked up in one pass over the documents.
@@ -176,7 +176,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
                 none = [np.empty(0, np.int64)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(none + words), pa.int64()), pa.array(np.concatenate(none + hits), pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))], schema.names)
 
-        passes.append(source.mapInArrow(run, schema))
+        passes.append(bounded(source).mapInArrow(run, schema))
         if n_blocks == 1:
             return passes[0]
     merged = passes[0]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bounded, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose edges end a line.
@@ -175,7 +175,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
             texts = [extract(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern as K
-from .common import discard, map_texts, quoted, table, written
+from .common import bounded, discard, map_texts, quoted, table, written
 from .components import components
 
 #: Cells of a set's histogram; counts stop at 255, which keeps their differences lower bounds.
@@ -254,7 +254,7 @@ def _groups(docs: DataFrame, text: str, k: int, scheme: tuple[int, int], buckets
         cols = [np.concatenate([np.empty(0, np.int64), *(x[i] for x in out)]) for i in range(3)]
         return pa.table([pa.array(x, pa.int64()) for x in cols], ["sig", "node", "leader"])
 
-    blocks = docs.select(F.col(quoted(text)).cast("string").alias("t")).mapInArrow(block, _BLOCKS)
+    blocks = bounded(docs).select(F.col(quoted(text)).cast("string").alias("t")).mapInArrow(block, _BLOCKS)
     return blocks.groupBy("bucket").applyInArrow(bucket, _GROUPS)
 
 
@@ -283,7 +283,7 @@ def _feature_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFram
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "s"])
 
-    return found.mapInArrow(run, "node bigint, s array<bigint>")
+    return bounded(found).mapInArrow(run, "node bigint, s array<bigint>")
 
 
 def _verified(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
             keep = pa.array((den + num) * apart <= (den - num) * x.column(2).to_numpy())
             yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
 
-    return p.mapInArrow(run, "a bigint, b bigint")
+    return bounded(p).mapInArrow(run, "a bigint, b bigint")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import textkern as K
-from .common import quoted, table, written
+from .common import bounded, quoted, table, written
 from .token_counts import BATCH_BYTES, VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -68,7 +68,7 @@ def _token_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, capacit
                         crc.append(zlib.crc32(doc[a:z].tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return bounded(source).mapInArrow(run, schema)
 
 
 class Plan:

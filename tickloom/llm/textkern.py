@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -152,27 +152,25 @@ def code_points(buf: np.ndarray) -> np.ndarray:
     return (buf & 0xC0) != 0x80
 
 
-def binary(column: pa.Array | pa.ChunkedArray) -> pa.LargeBinaryArray:
-    """The column's bytes; null becomes empty."""
+def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The column as one array of strings or bytes without nulls; null becomes empty.  Copies only where there are nulls."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    if pa.types.is_null(column.type):
-        return pa.array([b""] * len(column), pa.large_binary())
-    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    kind = column.type
+    if not (pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_binary(kind)):
         column = column.cast(pa.large_string())
-    return pc.fill_null(column.cast(pa.large_binary()), b"")
+    return pc.fill_null(column, b"" if "binary" in str(column.type) else "") if column.null_count else column
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The column in runs of rows of at most ``limit`` bytes, or one row."""
+    """The column in runs of rows of at most ``limit`` bytes, or one row; views of its buffers, no copies."""
     column = binary(column)
     n = len(column)
     if not n:
         return
     _, off, data = column.buffers()
-    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + n + 1]
+    wide = str(column.type).startswith("large")
+    offsets = np.frombuffer(off, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     row = 0
     while row < n:

@@ -29,11 +29,11 @@ from .common import map_texts, table
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Distinct pieces a Python worker remembers, at some 40 bytes each; beyond it the table starts anew (results do not change).
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 #: Bytes encoded at a time, or one text.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 _kinds: list[np.ndarray] = []
 _encoders: dict[tuple[str, bool], Encoder] = {}
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern as K
-from .common import add_columns, fresh, map_texts, quoted, table
+from .common import add_columns, bounded, fresh, map_texts, quoted, table
 
 THRESHOLD = 0.7
 #: Letters a-z, classes of other letters, and one class for all else.
@@ -108,7 +108,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["code", "n"])
 
-    rows = docs.select(F.col(quoted(text)).cast("string").alias("t")).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most ALPHABET ** 3 rows
+    rows = bounded(docs).select(F.col(quoted(text)).cast("string").alias("t")).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most ALPHABET ** 3 rows
     out = np.zeros(ALPHABET**3, np.int64)
     for r in rows:
         out[r["code"]] = r["n"]
