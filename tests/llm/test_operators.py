@@ -126,6 +126,22 @@ def test_secret_novelty():
     assert [text[s:e] for s, _, e, _ in spans] == ["zQ8vN2xK7pL4mT9wR3yB6cF1"]
 
 
+def test_secrets_at_row_edges(spark):
+    h = "0123456789abcdef" * 2
+    texts = [*[h] * 6, "x " + h[:23] + "fade", "", h + " x", None, h, "aki", "", "AKIA" + "Q" * 16, h[:20], h[:20], ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.find_secrets(rows).collect()}
+    assert got == {i: [(k, s, e) for s, k, e, _ in secret_scan.base_spans(t or "")] for i, t in enumerate(texts)}
+    assert not any(h in (r["text"] or "") for r in secret_scan.redact_secrets(rows).collect())
+
+
+def test_secret_novelty_of_any_class():
+    n = secret_scan.Novelty()
+    for secret in ("zQvNxKpLmTwRyBcFjHdG", "xK7pL4mT9wR3", "qzvxkwjpfhgmbtdcnyrl"):
+        text = f"the bearer is {secret} and the configuration of the session stays private for this account"
+        assert [text[s:e] for s, _, e, _ in n.spans(text, [])] == [secret]
+
+
 def test_redaction_keeps_columns(docs):
     out = secret_scan.redact_secrets(docs)
     assert out.columns == docs.columns

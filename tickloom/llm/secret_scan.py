@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", "novel")
 BASE_KINDS = KINDS[:3]
 #: Bytes around a sensitive word in which candidates are looked for, and around a candidate that prime the compressor.
 NEAR, AROUND = 64, 256
-#: Least length of a candidate, and least marginal bytes for each of its characters.
+#: Least marginal bytes for each character of a candidate, and the length that shorter ones are measured as: they must cost as many bytes.
 MIN_LENGTH, MIN_NOVELTY = 16, 0.6
 SENSITIVE = ("passw", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "authorization", "private key", "access key", "access_key", "akia")
 #: Strings that are common in code and configuration; they prime the compressor.
@@ -81,13 +81,14 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=19, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def marginal(self, before: str, candidate: str, after: str) -> int:
-        """Bytes that the candidate adds to the compressed surroundings."""
-        rest = (before + after).encode()
-        return len(self.compressor.compress(rest + candidate.encode())) - len(self.compressor.compress(rest))
+        """Bytes that the candidate adds to the compressed surroundings, behind them or in its place: the fewer."""
+        b, c, a = before.encode(), candidate.encode(), after.encode()
+        return min(len(self.compressor.compress(x)) for x in (b + a + c, b + c + a)) - len(self.compressor.compress(b + a))
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Incompressible strings in sensitive context that no base span touches."""
-        out: dict[int, Span] = {}
+        out: list[Span] = []
+        seen: set[int] = set()
         for m in CONTEXT.finditer(text):
             # Candidates are whole runs even where the window's edge cuts them.
             a, z = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
@@ -97,15 +98,14 @@ class Novelty:
                 if c.start() >= z:
                     break
                 s, e = c.span()
-                if e - s < MIN_LENGTH or s in out or any(b < e and s < t for b, _, t, _ in taken):
+                # A literal costs one byte at most, so what is shorter than the least bytes can't reach them.
+                if s in seen or e - s < MIN_LENGTH * MIN_NOVELTY or any(b < e and s < t for b, _, t, _ in taken):
                     continue
-                classes = sum(bool(re.search(p, c[0])) for p in ("[A-Z]", "[a-z]", "[0-9]"))
-                if classes < 2 or not re.search("[0-9]", c[0]):
-                    continue
-                cost = self.marginal(text[max(0, s - AROUND) : s], c[0], text[e : e + AROUND]) / (e - s)
-                if cost >= MIN_NOVELTY:
-                    out[s] = (s, "novel", e, round(cost, 4))
-        return list(out.values())
+                seen.add(s)
+                cost = self.marginal(text[max(0, s - AROUND) : s], c[0], text[e : e + AROUND])
+                if cost >= MIN_NOVELTY * max(MIN_LENGTH, e - s):
+                    out.append((s, "novel", e, round(cost / (e - s), 4)))
+        return out
 
 
 def _suspects(c: K.Chunk) -> list[int]:
@@ -116,13 +116,16 @@ def _suspects(c: K.Chunk) -> list[int]:
         i = low.find(w)
         while i >= 0:
             at.append(i)
-            i = low.find(w, i + len(w))
-    flags = np.concatenate([[False], _HEX[c.buf], [False]])
-    edge = np.flatnonzero(flags[1:] != flags[:-1])
-    runs = edge[::2][edge[1::2] - edge[::2] >= 24]  # those across the edge of two rows only cost a look
-    at = np.concatenate([np.array(at, np.int64), runs])
-    rows = np.searchsorted(c.offsets, at, "right") - 1
-    return np.unique(np.concatenate([rows, np.minimum(rows + 1, c.n - 1)])).tolist() if len(at) else []
+            i = low.find(w, i + 1)  # one across the edge of two rows must not hide the next
+    hexa = _HEX[c.buf]
+    first, last = np.zeros(len(hexa), bool), np.zeros(len(hexa), bool)
+    first[c.offsets[:-1][c.offsets[:-1] < len(hexa)]] = True
+    last[c.offsets[1:][c.offsets[1:] > 0] - 1] = True
+    # Runs end at the edges of rows.
+    start = np.flatnonzero(hexa & (first | ~np.concatenate([[False], hexa[:-1]])))
+    end = np.flatnonzero(hexa & (last | ~np.concatenate([hexa[1:], [False]])))
+    at = np.concatenate([np.array(at, np.int64), start[end + 1 - start >= 24]])
+    return np.unique(np.searchsorted(c.offsets, at, "right") - 1).tolist()
 
 
 def _scan(texts: pa.Array, novelty: Novelty) -> list[list[Span]]:
