@@ -223,6 +223,19 @@ def test_html():
     assert html_extraction.extract(None) == "" and html_extraction.extract("") == "" and html_extraction.extract("<p>") == ""
 
 
+def test_html_regions_decide():
+    words = "The text of this page stands in a section and goes on for a good while, as main texts do. " * 4
+    cards = "".join(f'<article><a href="/{i}">A teaser of another page {i}</a><a href="/{i}"><b>more</b></a></article>' for i in range(6))
+    for text in (f"<section><p>{words}<p>Short.<p>{words}</section>", f"<div><p>{words}<p>Short.<p>{words}</div>"):
+        for page in (f"<body>{text}{cards}</body>", f"<body><main>{cards}{text}</main></body>"):
+            got = html_extraction.blocks(page)
+            assert [b for b in got if "teaser" not in b] == [words.strip(), "Short.", words.strip()]
+            assert len(got) <= 4  # smoothing may lift the teaser next to the text
+    # An article stays whole, whatever divides it; two chosen regions both stay.
+    assert html_extraction.blocks(f"<article><div><p>{words}</div><div><p>Short.</div></article><nav>x</nav>") == [words.strip(), "Short."]
+    assert html_extraction.blocks(f"<article><p>{words}</article><section><p>{words}</section><div><a>a</a></div><div><a>b</a></div><div><a>c</a></div>") == [words.strip()] * 2
+
+
 def test_toxicity_decoding(spark):
     words = ["the", "idiot", "went", "home", "stupid", "moron", "and", "on", "to", "it", "loser", "is", "dot", "trip"]
     docs = spark.createDataFrame([(i, " ".join(words[(i * 7 + j * j) % len(words)] for j in range(60))) for i in range(40)], "doc_id bigint, text string")

@@ -5,13 +5,14 @@ block elements they form lines.  Each line has a number of characters and of
 tags, and its text-to-tag ratio is smoothed along the page with a Gaussian
 kernel.  Two-means clustering of the smoothed ratios gives the threshold: the
 lines above it are content and mark the regions they stand in.  A region is
-the sectioning element around a line.  All its lines belong to the result, so
-short paragraphs between long ones stay, and nothing else does.
+the article around a line, or else the nearest sectioning element.  All its
+lines belong to the result, so short paragraphs between long ones stay, and
+nothing else does.  An article without content lines is no part of it.
 
 Elements that can't be content are left out before: menus, headers outside an
 article, footers, sidebars, forms, scripts and styles by name; notices,
 adverts, comment threads and the like by the words in their class, id and
-role.  Where a page has article or main elements with content, only they count.
+role.
 
 Each page is handled alone; there is no shuffle.  Null, empty and text-free
 pages give the empty string.
@@ -49,15 +50,16 @@ _WHITE = re.compile(r"\s+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags, the region around it, and whether an article or main is around it."""
+    """Lines of a page: text, tags, and the region around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, region, inside an article
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, region, inside an article or main
+        self.lines: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.regions = 0
+        self.articles: set[int] = set()
 
     @property
     def top(self) -> tuple[str, bool, int, bool]:
@@ -67,7 +69,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = _WHITE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.tags, self.top[2], self.top[3]))
+                self.lines.append((text, self.tags, self.top[2]))
                 self.tags = 0
             self.parts.clear()
 
@@ -92,9 +94,11 @@ class Lines(HTMLParser):
                 out = tag not in ("html", "body")
         if tag in ("p", "span") and (self.top[1] or not out):  # they matter only where they begin what is left out
             return
-        if tag in REGION:
+        if tag == "article" or tag in REGION and region not in self.articles:
             self.regions += 1
             region = self.regions
+            if tag == "article":
+                self.articles.add(region)
         self.stack.append((tag, out, region, inside or tag in ("article", "main")))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -152,13 +156,10 @@ def blocks(html: str) -> list[str]:
     p.close()
     if not p.lines:
         return []
-    ratio = smoothed([len(text) / max(1, tags) for text, tags, _, _ in p.lines])
+    ratio = smoothed([len(text) / max(1, tags) for text, tags, _ in p.lines])
     cut = threshold(ratio)
-    content = [i for i, r in enumerate(ratio) if r >= cut]
-    if any(p.lines[i][3] for i in content) or any(x[3] and len(x[0]) >= 25 for x in p.lines):
-        return [text for text, _, _, inside in p.lines if inside]
-    regions = {p.lines[i][2] for i in content}
-    return [text for text, _, region, _ in p.lines if region in regions]
+    regions = {region for (_, _, region), r in zip(p.lines, ratio, strict=True) if r >= cut}
+    return [text for text, _, region in p.lines if region in regions]
 
 
 def extract(html: str | None) -> str:
