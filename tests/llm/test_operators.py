@@ -244,6 +244,25 @@ def test_toxicity_decoding(spark):
         assert plain in c.restore(f"the {hidden} on"), hidden
 
 
+def test_toxicity_long_tokens(spark):
+    words = ["the", "idiot", "went", "home", "stupid", "moron", "and", "on", "to", "it", "loser", "is", "dot", "trip"]
+    docs = spark.createDataFrame([(i, " ".join(words[(i * 7 + j * j) % len(words)] for j in range(60))) for i in range(40)], "doc_id bigint, text string")
+    c = toxicity.Channel.from_counts(toxicity.count_trigrams(docs))
+    for hidden, plain in (("st" + "u" * 50 + "pid", "stupid"), ("home/" * 12 + "1d10t/" + "home_" * 12, "idiot"), ("x" + "-=" * 40 + "m0r0n", "moron"), ("1d10t;" + "=" * 60, "idiot")):
+        assert plain in c.restore(f"the {hidden} on"), hidden
+    assert len(c.restore("a" + "1357" * 20_000)) == 80_001
+
+
+def test_toxicity_short_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    c = toxicity.Channel.from_counts(np.zeros(toxicity.ALPHABET**3, np.int64))
+    for n in range(1, 13):
+        (out,) = toxicity.restored(pa.array(["1d10t is ver"[:n]]), c)
+        assert out.n == 1
+
+
 def test_toxicity_learns(spark):
     import random
 

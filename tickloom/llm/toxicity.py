@@ -52,11 +52,9 @@ CHANCE = 1e-6
 #: a beginning must go on in so many ways.
 CONTEXTS, ENDINGS = 0.5, 3
 BEGINNINGS = (4, 5, 6)
-#: Most features of a model, by strength.
-FEATURES = 20_000
 #: Most label rows that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Longest segment that is taken for a hidden word.
+#: Longest token that is decoded as one segment; of longer ones the parts between punctuation are.
 LONGEST = 48
 
 #: What a look-alike may stand for.
@@ -70,7 +68,8 @@ _LOOK = "".join(map(re.escape, LOOKALIKES))
 _SPACED = re.compile(rf"(?<![\w@$])(?:[{_LETTER}{_LOOK}][ .\-_*~]{{1,2}}){{3,}}[{_LETTER}{_LOOK}](?![\w@$])")
 _TOKEN = re.compile(r"\S+")
 _HIDDEN = re.compile(rf"[{_LETTER}][{_LOOK}]+[{_LETTER}]|[{_LOOK}][{_LETTER}]|[{_LETTER}][013457]|([{_LETTER}])\1\1")
-_CORE = re.compile(rf"^[^\w@$!|+€£]*(.*?)[\W_]*$", re.S)
+_LEAD = re.compile(r"[^\w@$!|+€£]*")
+_PART = re.compile(r"(?:[^\W_]|[@$!|+€£])+")
 _table: list[np.ndarray] = []
 
 
@@ -160,9 +159,10 @@ class Channel:
         if key in self.seen:
             return self.seen[key]
         kind, cost = classes(), self.cost
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A path is its last string and the path before it, so a step costs the same however long the segment is.
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for alts in self.lattice(segment, spaced):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (c0, out) in paths.items():
                 for s, c1 in alts:
                     x, y, c = a, b, c0 + c1
@@ -171,9 +171,21 @@ class Channel:
                         c += cost[x, y, z]
                         x, y = y, z
                     if (x, y) not in new or c < new[x, y][0]:
-                        new[x, y] = (c, out + s)
+                        new[x, y] = (c, (s, out))
             paths = new
-        best = min((c + cost[a, b, 0], out) for (a, b), (c, out) in paths.items())[1]
+
+        def joined(path: tuple | None) -> str:
+            parts = []
+            while path:
+                parts.append(path[0])
+                path = path[1]
+            return "".join(reversed(parts))
+
+        ends = [(c + cost[a, b, 0], out) for (a, b), (c, out) in paths.items()]
+        least = min(c for c, _ in ends)
+        best = min(joined(out) for c, out in ends if c == least)
+        if len(segment) > LONGEST:
+            return best
         if len(self.seen) > 200_000:
             self.seen.clear()
         self.seen[key] = best
@@ -185,13 +197,19 @@ class Channel:
         if any(x in low for x in SEPARATORS):
             low = _SPACED.sub(lambda m: " " + self.decode(m[0], True) + " " if any(c.isalpha() for c in m[0]) else m[0], low)
 
-        def token(m: re.Match) -> str:
-            if len(m[0]) > LONGEST or not _HIDDEN.search(m[0]):
+        def part(m: re.Match) -> str:
+            if not _HIDDEN.search(m[0]):
                 return m[0]
-            core = _CORE.match(m[0])
-            if not core[1] or not any(c.isalpha() for c in core[1]):
+            a, z = _LEAD.match(m[0]).end(), len(m[0])
+            while z > a and not m[0][z - 1].isalnum():
+                z -= 1
+            core = m[0][a:z]
+            if not any(c.isalpha() for c in core):
                 return m[0]
-            return m[0][: core.start(1)] + self.decode(core[1]) + m[0][core.end(1) :]
+            return m[0][:a] + self.decode(core) + m[0][z:]
+
+        def token(m: re.Match) -> str:
+            return part(m) if len(m[0]) <= LONGEST else _PART.sub(part, m[0])
 
         return _TOKEN.sub(token, low)
 
@@ -215,7 +233,7 @@ def _suspicious(c: K.Chunk) -> np.ndarray:
     single[1:] &= ~letter[:-1]
     single[:-1] &= ~letter[1:]
     apart = single[:-2] & sep[1:-1] & (single[2:] | sep[2:])
-    flag[:-2] |= apart & (np.convolve(apart, np.ones(9, np.int8), "same") >= 3)
+    flag[:-2] |= apart & (np.convolve(apart, np.ones(9, np.int8))[4 : 4 + n - 2] >= 3)
     return np.unique(np.searchsorted(c.offsets, np.flatnonzero(flag), "right") - 1)
 
 
@@ -360,7 +378,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         # A word has one ending of its own; a beginning must have several, or it says no more than its word.
         if p >= PRECISION and _tail(r["t"], r["t"] + r["n"], base) <= CHANCE and (endings[r["f"]] == 1 or endings[r["f"]] >= ENDINGS):
             strong.append((p, r["f"], r["t"]))
-    strong = sorted(strong, reverse=True)[:FEATURES]
     f = np.array([x[1] for x in strong], np.int64).view(np.uint64)
     order = np.argsort(f)
     return Model(channel, f[order], -np.log1p(-np.minimum(np.array([x[0] for x in strong]), 0.9995))[order])
