@@ -190,6 +190,26 @@ def test_near_duplicates_brute_force(spark):
         assert {x["doc_id"]: x["component_id"] for x in got} == comp
 
 
+def test_drop_near_duplicates_null_and_repeated_keys(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [
+        (1, a, "x"), (1, b, "x"), (1, a, "y"), (None, c, "x"), (None, d, "x"), (None, c + " more", "x"), (None, a + " more", "x"),
+        (2, b + " more", "x"), (3, None, "x"), (3, "", "x"), (None, None, "x"), (4, d + " more", "x"),
+    ]
+    schema = "doc_id bigint, text string, row string"
+    out = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, schema).repartition(3))
+    assert out.columns == ["doc_id", "text", "row"]
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    c_kept = [t for k, t in got if k is None and t and t.startswith("c0")]
+    assert len(c_kept) == 1 and c_kept[0] in (c, c + " more")
+    assert got == sorted([(1, a), (1, b), (None, c_kept[0]), (4, d + " more"), (3, None), (3, ""), (None, None)], key=str)
+    # Near copies with a null key go where no key repeats, too.
+    rows = [(None, a, "x"), (5, a + " more", "x"), (6, b, "x")]
+    assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(spark.createDataFrame(rows, schema)).collect()} == {5, 6}
+    rows = [(7, a, "x"), (5, a + " more", "x"), (6, b, "x")]
+    assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(spark.createDataFrame(rows, schema)).collect()} == {5, 6}
+
+
 def test_lookup_table_is_even():
     owner = sharding.lookup_table()
     sizes = [owner.count(i) for i in range(len(sharding.SHARDS))]

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern as K
-from .common import bounded, discard, map_texts, quoted, table, written
+from .common import bounded, discard, fresh, map_texts, quoted, table, written
 from .components import components
 
 #: Cells of a set's histogram; counts stop at 255, which keeps their differences lower bounds.
@@ -375,18 +375,30 @@ def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, that of the smallest key; all columns stay.
+    """docs with one row of each component, that of the smallest key; all columns stay.
 
     Rows to drop are listed, not rows to keep: they are fewer, and no text moves while their list can be broadcast.
-    Of rows that repeat a kept key one stays.
+    Each row is judged by its own text: rows that share a key but have unlinked texts all stay.  A null key is larger
+    than any other and equal to none.  Rows whose text has no words are in no component with others and stay.
+    Where keys are null or repeat, rows get numbers of their own, and docs is written once to keep them.
     """
-    found = written(near_duplicates(docs, key, text, k, num, den).select(F.col(quoted(key)).alias("k"), F.col("component_id").alias("c")))
-    drop = found.where(~F.col("k").eqNullSafe(F.col("c"))).select(F.col("k").alias("dropped_key")).distinct()
+    own = F.col(quoted(key))
+    if docs.groupBy(own.alias("k")).agg(F.count("*").alias("n")).where("k is null or n > 1").isEmpty():
+        found = written(near_duplicates(docs, key, text, k, num, den).select(own.alias("k"), F.col("component_id").alias("c")))
+        return _without(docs, key, found.where("k != c").select("k"))
+    row = fresh(docs, "row")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(docs, row, text, k, num, den).select(F.col(row).alias("k"), F.col("component_id").alias("c"))
+    found = written(found.join(docs.select(F.col(row).alias("k"), own.alias("own")), "k"))
+    stays = found.groupBy("c").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "k")).alias("m")).select("c", F.col("m.k").alias("m"))
+    return _without(docs, row, found.join(stays, "c").where("k != m").select("k")).drop(row)
+
+
+def _without(docs: DataFrame, key: str, drop: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in the one column of drop."""
+    drop = drop.toDF("dropped_key")
     few = drop.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col(quoted(key)) == F.col("dropped_key"), "left_anti")
-    if found.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([key])
+    return docs.join(F.broadcast(drop) if few else drop, F.col(quoted(key)) == F.col("dropped_key"), "left_anti")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
