@@ -7,6 +7,10 @@ draws and joins it.  Work is iterations times rows, spread over both.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +49,46 @@ def permuted_drawdown(df: DataFrame, value: str, key: str, iterations: int, seed
     w = Window.partitionBy(*by, "iter").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     x = permuted(df, [value], key, iterations, seed, by).withColumn("eq", F.sum(value).over(w))
     return x.withColumn("dd", F.max("eq").over(w) - F.col("eq")).groupBy(*by, "iter").agg(F.max("dd").alias("max_dd"))
+
+
+#: Cumulated chances of 0, 1, 2, ... draws of a row, as parts of 2 ** 32.
+_DRAWN = (np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)]) * 2**32).astype(np.uint64)
+#: Random numbers held at a time.
+_CELLS = 1 << 20
+
+
+def _weights(keys: np.ndarray, iters: np.ndarray, seed: int) -> np.ndarray:
+    """[iteration, key]: how often an iteration draws the key's row; Poisson, from a hash of the seed and both."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.int64).view(np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + (iters.astype(np.uint64)[:, None] + np.uint64(seed << 32)) * np.uint64(0xD1B54A32D192ED03)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+    return np.searchsorted(_DRAWN, h >> np.uint64(32), "right").astype(np.float64)
+
+
+def sign_flips(long: DataFrame, key: str, iterations: int, seed: int = 42) -> DataFrame:
+    """(cond, sign_flip) of rows (key, target, cond): the share of bootstrap means without the sign of the mean.
+
+    The number of times a row is drawn is Poisson (a bootstrap that needs no row numbers and no join), and only sums for each
+    condition and iteration leave a task.  A mean of 0 counts as negative.
+    """
+    rows = long.where("target is not null").select(F.col(key).cast("long").alias("k"), F.col("target").cast("double").alias("r"), "cond")
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            keys, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            r, names = b.column(1).to_numpy(), b.column(2).dictionary_encode()
+            values = np.zeros((len(keys), len(names.dictionary)))
+            np.add.at(values, (at, names.indices.to_numpy()), r)
+            step = max(1, _CELLS // max(1, len(keys)))
+            s = np.concatenate([_weights(keys, np.arange(i, min(i + step, iterations)), seed) @ values for i in range(0, iterations, step)])
+            for j, name in enumerate(names.dictionary.to_pylist()):
+                sums[name] = sums.get(name, 0) + s[:, j]
+        for name, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * iterations), pa.array(np.arange(iterations, dtype=np.int32)), pa.array(s)], ["cond", "iter", "s"])
+
+    s = rows.mapInArrow(run, "cond string, iter int, s double").groupBy("cond", "iter").agg(F.sum("s").alias("s"))
+    seen = rows.groupBy("cond").agg(F.avg("r").alias("obs"))
+    return s.join(F.broadcast(seen), "cond").groupBy("cond").agg(F.avg(((F.col("s") > 0) != (F.col("obs") > 0)).cast("int")).alias("sign_flip"))

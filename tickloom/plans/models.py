@@ -162,7 +162,7 @@ MODEL_COLUMNS = ["acctbal", "cents", "weekday"]
 def importance(spark, sf):
     """(fold, feature, importance): the gain of each feature in trees fitted on the years before the fold."""
     o = X.orders_r(spark, sf).withColumn("yr", F.year("t0"))
-    years = [r["yr"] for r in o.select("yr").distinct().orderBy("yr").collect()][2:5]
+    years = [r["yr"] for r in o.select("yr").distinct().orderBy("yr").collect()][2:]  # every year with two before it
     rows = []
     for y in years:
         train = o.where(F.col("yr") < y)

@@ -457,11 +457,23 @@ def score_total(spark, sf):
     return scored(spark, sf).select("cond", reduce(lambda a, b: a + b, [F.col(c) * w for c, w in WEIGHTS.items()]).alias("score"))
 
 
+#: Bootstrap iterations behind the verdict that a tier needs.
+VERDICT_ITER = 5000
+
+
+def tier():
+    """Only what survives resampling (at most a tenth of the means change sign) is confirmed or exploratory."""
+    survives = F.coalesce(F.col("sign_flip") <= 0.10, F.lit(False))
+    return F.when(F.col("reject_fdr") & survives & (F.col("n") >= 25), "confirmed").when((F.col("p_exp") < 0.05) & survives, "exploratory").otherwise("rejected_or_low_confidence")
+
+
 @R.add("score_tier_rank")
 def score_tier_rank(spark, sf):
     x = scored(spark, sf).withColumn("score", reduce(lambda a, b: a + b, [F.col(c) * w for c, w in WEIGHTS.items()]))
-    tier = F.when(F.col("reject_fdr") & (F.col("n") >= 25), "confirmed").when(F.col("p_exp") < 0.05, "exploratory").otherwise("rejected_or_low_confidence")
-    return x.select("cond", "n", "expectancy", "score", tier.alias("tier"), F.when(F.col("expectancy") > 0, "positive").otherwise("negative").alias("direction")).orderBy("tier", F.desc("score"))
+    long = P.patterns(binned(spark, sf), "id", "r", COLUMNS, 2)
+    flips = B.sign_flips(long.join(F.broadcast(x.select("cond")), "cond", "left_semi"), "id", VERDICT_ITER)
+    x = x.join(F.broadcast(flips), "cond", "left")
+    return x.select("cond", "n", "expectancy", "score", tier().alias("tier"), F.when(F.col("expectancy") > 0, "positive").otherwise("negative").alias("direction")).orderBy("tier", F.desc("score"))
 
 
 @R.add("pipeline_pattern")
