@@ -1,48 +1,51 @@
 """Exact n-gram Jaccard join with PartEnum signatures.
 
-A document is the set of its distinct k-word shingles, as 64-bit hashes.  Two
-sets link when ``den * |A & B| >= num * |A | B|``.  Sets are banded by size so
-that linking sets meet in a band; linking sets of a band differ in at most K
-features, K known for the band.  The feature domain is cut into n1 * n2 equal
-ranges.  By pigeonhole, in at least one of the n1 first-level ranges linking
-sets differ in at most k2 = K // n1 features, so at least one choice of
-n2 - k2 of its n2 subranges holds the same features in both.  One signature is
-made for each such subset: sets that link share one.  No link is lost.
-
-Steps, all linear in the input and the number of links between different texts:
-
-1. members: each document's set id (hash of the set), size and a histogram of
-   its features.  Equal sets are one node from here on, whatever their number.
-2. signatures go to buckets as packed blocks.  Sets of a block that share a
-   signature are sent on as one, so a signature that a third of all rows
-   have costs a row for each block and not for each document.
-3. each bucket gives, for each shared signature, a star of candidate pairs
-   (node, smallest node), not all pairs; ``den * inter >= num * union`` is then
-   computed on the sets.  Components of the links follow.
-4. a pair of nodes that share a signature and whose stars left them in
-   different components still has to be ruled out.  Only such groups are taken
-   up again, in blocks of bounded size: the histograms bound the number of
-   different features from below, and pairs they can't rule out are computed as
-   in 3.  Blocks give out such pairs only.
-
-Sets are sent along for candidates only.  The list of candidates is broadcast
-when its counted size is small, and joined by shuffle otherwise.
-
-Empty texts and nulls have the empty set and link with nothing.  A text of
-fewer than k words has its whole sequence as its one shingle.  Repeated rows
-and equal texts are in one component.
+A document is the set of its distinct k-word shingles, as 64-bit hashes.  Two sets link when
+``den * |A & B| >= num * |A | B|``.  Sets are banded by size so that linking sets meet in a band; linking sets of a
+band differ in at most K features, K known for the band.  The feature domain is cut into n1 * n2 equal ranges.  At
+most K // (k2 + 1) of the n1 first-level ranges hold more than k2 differences; in every other one at least one choice
+of n2 - k2 of its n2 subranges holds the same features in both sets.  One signature is made for each such subset.
+
+n1 is K // (k2 + 1) + 1 + slack, so linking sets share at least slack + 1 signatures, and each set may leave out up to
+slack of its own, as long as all sets leave them out in one and the same order: first those of no or one feature,
+which most unlike sets would share, then those that most sets have (the longest groups, once counted).  No link is
+lost; a set with more signatures of no feature than slack keeps them all.
+
+Steps, all linear in the input and the number of links between different texts but for the last:
+
+1. members: each document's set id (hash of the set), size, and a sketch of its features: for each of 256 ranges their
+   number and a byte of hash, which bounds the number of differences from below.  Equal sets are one node from here
+   on, whatever their number.
+2. signatures are dealt out in packed blocks, sorted by Spark, and read as a stream of runs: nothing is gathered, and
+   a run may be of any length.  Sets of a block that share a signature are sent on as one, so a signature that a third
+   of all rows have costs a row for each block and not for each document.
+3. each shared signature gives a star of candidate pairs (node, smallest node), not all pairs.  The sketches rule out
+   most, ``den * inter >= num * union`` is computed on the sets of the others.  Components of the links follow.
+4. nodes of a group (those with one signature) that the stars left in different components still have to be ruled out.
+   Groups of equal members are looked at once.  Long groups get further stars around other nodes first; what is then
+   left is compared by sketch in blocks of bounded size, and pairs that the sketches can't rule out are computed as in
+   3.  Blocks give out such pairs only.  A long group of sets that are all nearly, but not quite, similar enough
+   therefore costs the square of its length in comparisons of sketches, though not in rows.
+
+Sets are sent along for candidates only.  The list of candidates is broadcast when its counted size is small, and
+joined by shuffle otherwise; the set of a node with many candidates is dealt out with them in portions.
+
+Empty texts and nulls have the empty set and link with nothing.  A text of fewer than k words has its whole sequence
+as its one shingle.  Repeated rows and equal texts are in one component.  Other columns are not read, whatever their
+names; an empty table gives an empty result.  Of equal candidates for a component's id there is only one: the smallest
+key, where nulls count as larger than any.
 """
 
 from __future__ import annotations
 
 from functools import cache
 from itertools import combinations
-from math import comb
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,17 +53,25 @@ from . import textkern as K
 from .common import bounded, discard, fresh, map_texts, quoted, table, written
 from .components import components
 
-#: Cells of a set's histogram; counts stop at 255, which keeps their differences lower bounds.
+#: Ranges of a sketch; counts stop at 255, which keeps differences lower bounds.
 BINS = 256
-#: Signatures in a bucket; their number follows the input.
-BUCKET_SIGNATURES = 400_000
-MOST_BUCKETS = 1 << 24
+#: Signatures in a partition; their number follows the input, up to MOST_PARTITIONS.
+PARTITION_SIGNATURES = 2_000_000
+MOST_PARTITIONS = 100_000
 #: Most candidate rows that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Members of a block in which groups are taken up again.
+#: Members of a block in which groups are compared.
 BLOCK = 512
-#: Features that a signature should cover on average, where the band allows it.
-COVER = 6
+#: Further stars for groups longer than a block.
+ROUNDS = 3
+#: Members from which a group counts as common, so that its nodes may leave its signature out.
+COMMON = 32
+#: Candidates that travel with one copy of a node's set.
+PORTION = 256
+#: Features that a signature should cover on average.
+COVER = 2.5
+#: Rows of a record batch that is given to Spark.
+ROWS = 1 << 16
 
 
 class Scheme:
@@ -92,98 +103,139 @@ class Scheme:
         return [b for b in found if self.differences(b)]
 
     @cache  # noqa: B019  one object for each task
-    def parameters(self, band: int) -> tuple[int, int, int]:
-        """(n1, n2, k2) with the fewest signatures among those that cover COVER features, or with the most cover."""
-        k, size = self.differences(band), self.tops[band]
+    def parameters(self, band: int) -> tuple[int, int, int, int]:
+        """(n1, n2, k2, slack) with few signatures that cover COVER features each, or not much less.
+
+        slack is what sets of the band's least size have of signatures without features, on average and beyond; where
+        no slack is enough for that, such signatures, which most unlike sets share, count as twenty.
+        """
+        k, size = self.differences(band), (self.tops[band - 1] + 1 if band else 1)
+        least = max(1, size * self.num // self.den)
         best = None
-        for k2 in range(3):
-            n1 = k // (k2 + 1) + 1  # then k // n1 <= k2
-            for n2 in range(k2 + 1, k2 + 4):
-                cover = size / n1 * (n2 - k2) / n2
-                cost = (max(0.0, min(COVER, size / 2) - cover), n1 * comb(n2, k2))
-                if best is None or cost < best[0]:
-                    best = (cost, (n1, n2, k2))
+        for k2 in range(min(7, k + 1)):
+            for n2 in range(k2 + 1, k2 + 6):
+                for slack in range(k + 5):
+                    n1 = k // (k2 + 1) + 1 + slack
+                    share, all_ = (n2 - k2) / (n1 * n2), n1 * comb(n2, k2)
+                    if all_ > max(300, 4 * k):
+                        break
+                    bare = all_ * (1 - share) ** least
+                    enough = bare < 0.02 or bare + 2 * sqrt(bare) + 1 <= slack
+                    if enough or not slack:
+                        cost = all_ * (1 if enough else 1 + 20 * bare) * (1 + 4 * max(0.0, min(COVER, least / 2) - least * share))
+                        if best is None or cost < best[0]:
+                            best = (cost, (n1, n2, k2, slack))
+                    if enough:
+                        break
         return best[1]
 
     @cache  # noqa: B019
-    def layout(self, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inner edges of the ranges, the subsets as a 0/1 matrix, and a salt for each signature."""
-        n1, n2, k2 = self.parameters(band)
-        parts = n1 * n2
-        edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    def layout(self, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """The subsets as a 0/1 matrix, and a salt for each signature."""
+        n1, n2, k2, _ = self.parameters(band)
         subsets = np.array([[j in s for j in range(n2)] for s in combinations(range(n2), n2 - k2)], np.uint64)
-        salt = K.mix(np.arange(n1 * len(subsets), dtype=np.uint64) + np.uint64((band + 1) << 40))
-        return edges, subsets, salt
-
-    def signatures(self, features: np.ndarray) -> np.ndarray:
-        """Signatures of one sorted set in all its bands."""
-        out = []
-        sums = np.zeros(len(features) + 1, np.uint64)
+        return subsets, K.mix(np.arange(n1 * len(subsets), dtype=np.uint64) + np.uint64((band + 1) << 40))
+
+    def signatures(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sets (sorted, one after another in flat, of sizes n): their signatures, the set of each, and what each set has left of slack.
+
+        The lowest bit of a signature is that of its band; what is left is given for even and for odd bands.
+        """
+        sigs, owner, left = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], np.zeros((len(n), 2), np.int32)
+        mixed, begin = K.mix(flat), np.concatenate([[0], np.cumsum(n)])
+        by_band: dict[int, list[int]] = {}
+        for i, size in enumerate(n.tolist()):
+            for band in self.bands_of(size) if size else ():
+                by_band.setdefault(band, []).append(i)
+        for band, sets in by_band.items():
+            n1, n2, _, slack = self.parameters(band)
+            subsets, salt = self.layout(band)
+            parts, step = n1 * n2, max(1, (1 << 19) // len(salt))
+            for at in range(0, len(sets), step):
+                own = np.array(sets[at : at + step])
+                size = n[own]
+                take = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                cell = np.repeat(np.arange(len(own)) * parts, size) + _scaled(flat[take], parts)
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                total, count = np.zeros(len(own) * parts, np.uint64), np.zeros(len(own) * parts, np.uint64)
+                with np.errstate(over="ignore"):
+                    total[cell[first]] = np.add.reduceat(mixed[take], first)
+                    count[cell[first]] = np.diff(np.append(first, len(cell)))
+                    sig = K.mix((total.reshape(-1, n2) @ subsets.T).reshape(len(own), -1) ^ salt)
+                held = (count.reshape(-1, n2) @ subsets.T).reshape(len(own), -1)
+                none, few = (held == 0).sum(axis=1), (held <= 1).sum(axis=1)
+                lowest = np.where(few <= slack, 2, np.where(none <= slack, 1, 0)).astype(np.uint64)
+                left[own, band & 1] = np.where(few <= slack, slack - few, 0)
+                row, col = np.nonzero(held >= lowest[:, None])
+                sigs.append(sig[row, col] & ~np.uint64(1) | np.uint64(band & 1))
+                owner.append(own[row])
+        return np.concatenate(sigs), np.concatenate(owner), left
+
+
+def _scaled(x: np.ndarray, parts: int) -> np.ndarray:
+    """floor(x * parts / 2^64): which of as many equal ranges x is in."""
+    m, half = np.uint64(parts), np.uint64(32)
+    return (((x >> half) * m + (((x & np.uint64(0xFFFFFFFF)) * m) >> half)) >> half).astype(np.int64)
+
+
+def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all rows' sets one after another, and the sets' sizes."""
+    sets = [s for c in K.chunks(texts) for s in c.words(K.SPACE, lower=True).sets(k)]
+    return np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
+
+
+def _set_ids(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit ids of the sets; that of the empty set has no meaning."""
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        at = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
         with np.errstate(over="ignore"):
-            np.cumsum(K.mix(features), out=sums[1:])
-            for band in self.bands_of(len(features)) if len(features) else ():
-                edges, subsets, salt = self.layout(band)
-                cut = np.concatenate([[0], np.searchsorted(features, edges), [len(features)]])
-                part = (sums[cut[1:]] - sums[cut[:-1]]).reshape(-1, subsets.shape[1])
-                out.append(K.mix((part @ subsets.T).ravel() ^ salt))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-    def count(self, n: int) -> int:
-        total = 0
-        for band in self.bands_of(n) if n else ():
-            n1, n2, k2 = self.parameters(band)
-            total += n1 * comb(n2, k2)
-        return total
-
-
-def set_id(features: np.ndarray) -> int | None:
-    """A 64-bit id of a set; null for the empty set."""
-    if not len(features):
-        return None
-    with np.errstate(over="ignore"):
-        h = K.mix(np.array([K.mix(features).sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(K.mix(features + np.uint64(0x9E3779B97F4A7C15)))], np.uint64) + np.uint64(len(features)))
-    return int(h.view(np.int64)[0])
+            a, b = np.add.reduceat(K.mix(flat), at), np.bitwise_xor.reduceat(K.mix(flat + np.uint64(0x9E3779B97F4A7C15)), at)
+            out[full] = K.mix((a ^ b) + n[full].astype(np.uint64))
+    return out.view(np.int64)
+
+
+def _sketches(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of 2 * BINS bytes for each set: how many features each range has, up to 255, and a byte of hash of them."""
+    cell = np.repeat(np.arange(len(n)) * BINS, n) + _scaled(flat, BINS)
+    count = np.bincount(cell, minlength=len(n) * BINS).reshape(-1, BINS)
+    hashed = np.bincount(cell, (K.mix(flat ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(255)).astype(np.float64), len(n) * BINS).reshape(-1, BINS)
+    return np.concatenate([np.minimum(count, 255), hashed.astype(np.int64) & 255], axis=1).astype(np.uint8)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of features in which the sets of sketches x and y (rows by pair) differ."""
+    a, b = x[:, :BINS], y[:, :BINS]
+    same = a == b
+    counts = np.where(same, 0, np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+    other = same & (x[:, BINS:] != y[:, BINS:])
+    # Equal counts and other features: one at least on either side, but for counts that were cut.
+    return counts + 2 * other.sum(axis=1) - (other & (a == 255)).sum(axis=1)
 
 
 def _members(docs: DataFrame, key: str, text: str, k: int, scheme: tuple[int, int]) -> DataFrame:
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("n_sigs", T.LongType()), T.StructField("bins", T.BinaryType())]
+    fields = [T.StructField(x, kind) for x, kind in (("node", T.LongType()), ("n", T.LongType()), ("n_sigs", T.LongType()), ("even", T.IntegerType()), ("odd", T.IntegerType()), ("sketch", T.BinaryType()))]
 
     def make():
         own = Scheme(*scheme)
 
         def run(texts: pa.Array) -> list[pa.Array]:
-            node, n, sigs, bins = [], [], [], []
+            out = []
             for c in K.chunks(texts):
-                for s in c.words(K.SPACE, lower=True).sets(k):
-                    node.append(set_id(s))
-                    n.append(len(s))
-                    sigs.append(own.count(len(s)))
-                    bins.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            return [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.int64()), pa.array(bins, pa.binary())]
+                sets = c.words(K.SPACE, lower=True).sets(k)
+                flat, n = np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
+                _, owner, left = own.signatures(flat, n)
+                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BINS), len(n), [None, pa.py_buffer(_sketches(flat, n))])
+                ids = pa.array(_set_ids(flat, n), mask=n == 0)
+                out.append([ids, pa.array(n), pa.array(np.bincount(owner, minlength=len(n))), pa.array(left[:, 0]), pa.array(left[:, 1]), sketch.cast(pa.binary())])
+            return [pa.concat_arrays(x) for x in zip(*out, strict=True)] or [pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
 
         return run
 
     return map_texts(docs, key, text, fields, make)
 
 
-def _runs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (sig, node) sorted; and for each the start of its signature's run and the run's size."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[new], node[new]
-    head = np.ones(len(sig), bool)
-    head[1:] = sig[1:] != sig[:-1]
-    starts = np.flatnonzero(head)
-    size = np.diff(np.append(starts, len(sig)))
-    return sig, node, np.repeat(starts, size)
-
-
-_BLOCKS = "bucket int, local boolean, sigs binary, nodes binary, at binary"
-_GROUPS = "sig bigint, node bigint, leader bigint"
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Numbers as compressed byte planes: planes of zeros cost nothing."""
     return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
@@ -205,64 +257,101 @@ def _unpacked(sigs: bytes, nodes: bytes, at: bytes) -> tuple[np.ndarray, np.ndar
         return np.cumsum(_unplaned(sigs, np.uint64), dtype=np.uint64), np.frombuffer(nodes, np.int64)[_unplaned(at, np.uint32)]
 
 
-def _short(sig: np.ndarray, buckets: int) -> np.ndarray:
-    """Signatures cut to 40 bits and their bucket: the more signatures, the more buckets, so chance matches stay rare; they cost a comparison."""
-    return (sig >> np.uint64(24) << np.uint64(24)) | (sig % np.uint64(buckets))
+def _sorted(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (sig, node) sorted, and for each the place where its signature's run starts."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[new], node[new]
+    head = np.ones(len(sig), bool)
+    head[1:] = sig[1:] != sig[:-1]
+    starts = np.flatnonzero(head)
+    return sig, node, np.repeat(starts, np.diff(np.append(starts, len(sig))))
 
 
-def _groups(docs: DataFrame, text: str, k: int, scheme: tuple[int, int], buckets: int) -> DataFrame:
-    """(sig, node, leader) of all signatures that two or more nodes share."""
+def _batches(columns: list[np.ndarray], names: list[str], nulls: np.ndarray | None = None):
+    """Record batches of bounded length of equal columns; nulls marks those of the last one."""
+    for i in range(0, len(columns[0]), ROWS):
+        part = [pa.array(x[i : i + ROWS]) for x in columns]
+        if nulls is not None:
+            part[-1] = pa.array(columns[-1][i : i + ROWS], mask=nulls[i : i + ROWS])
+        yield pa.RecordBatch.from_arrays(part, names)
+
+
+_BLOCKS = "part int, local boolean, sigs binary, nodes binary, at binary"
+_GROUPS = "sig bigint, node bigint, leader bigint"
+
+
+def _shared(docs: DataFrame, text: str, k: int, scheme: tuple[int, int], parts: int) -> DataFrame:
+    """(sig, node, leader) of signatures that two or more nodes share; leader is the smallest node, in all or in a block."""
 
     def block(batches):
         own = Scheme(*scheme)
         for b in batches:
-            sigs, nodes, counts = [], [], []
+            sigs, nodes = [], []
             for c in K.chunks(b.column(0)):
-                for s in c.words(K.SPACE, lower=True).sets(k):
-                    x = _short(own.signatures(s), buckets)
-                    if len(x):
-                        sigs.append(x)
-                        nodes.append(set_id(s))
-                        counts.append(len(x))
-            if not sigs:
+                sets = c.words(K.SPACE, lower=True).sets(k)
+                flat, n = np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
+                sig, owner, _ = own.signatures(flat, n)
+                sigs.append(sig)
+                nodes.append(_set_ids(flat, n)[owner])
+            sig, node, start = _sorted(np.concatenate([np.empty(0, np.uint64), *sigs]), np.concatenate([np.empty(0, np.int64), *nodes]))
+            del sigs, nodes
+            if not len(sig):
                 continue
-            sig, node, start = _runs(np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), counts))
             lead = start == np.arange(len(sig))
-            shared = np.zeros(len(sig), bool)
+            shared = ~lead
             shared[start[~lead]] = True
-            shared |= ~lead
-            rows = []
+            # What is shared inside the block is settled here and dealt out by block, whole runs together.
             for local, pick in ((False, lead), (True, shared)):
-                s, n = sig[pick], node[pick]
-                # What is shared inside the block is settled here and dealt out by block, whole runs together.
-                place = (s & np.uint64((1 << 24) - 1)).astype(np.int64) if not local else (K.mix(s ^ sig[:1]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                s, n, place = s[order], n[order], place[order]
-                cut = np.searchsorted(place, np.arange(buckets + 1))
-                rows += [(i, local, *_packed(s[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]])) for i in range(buckets) if cut[i] < cut[i + 1]]
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(x, pa.binary()) for x in cols[2:])], ["bucket", "local", "sigs", "nodes", "at"])
-
-    def bucket(t: pa.Table) -> pa.Table:
-        found: dict[bool, list] = {False: [], True: []}
-        for local, s, n, a in zip(*(t.column(x).to_pylist() for x in ("local", "sigs", "nodes", "at")), strict=True):
-            found[local].append(_unpacked(s, n, a))
-        out = []
-        if found[False]:
-            out.append(_shared(np.concatenate([x[0] for x in found[False]]), np.concatenate([x[1] for x in found[False]])))
-        out += [_shared(*x) for x in found[True]]
-        cols = [np.concatenate([np.empty(0, np.int64), *(x[i] for x in out)]) for i in range(3)]
-        return pa.table([pa.array(x, pa.int64()) for x in cols], ["sig", "node", "leader"])
+                s, x = sig[pick], node[pick]
+                to = _scaled(K.mix(s ^ sig[:1]) if local else s, parts)
+                order = np.argsort(to, kind="stable")
+                s, x, to = s[order], x[order], to[order]
+                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else to
+                ends = np.append(cut[1:], len(to))
+                for at in range(0, len(cut), 256):
+                    spans = list(zip(cut[at : at + 256].tolist(), ends[at : at + 256].tolist(), strict=True))
+                    cols = list(zip(*(_packed(s[i:j], x[i:j]) for i, j in spans), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[[i for i, _ in spans]].astype(np.int32)), pa.array([local] * len(spans)), *(pa.array(c, pa.binary()) for c in cols)], ["part", "local", "sigs", "nodes", "at"])
+
+    def rows(batches):
+        for b in batches:
+            for local, *packed in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                sig, node = _unpacked(*packed)
+                if local:
+                    sig, node, start = _sorted(sig, node)
+                leader = node[start] if local else node
+                yield from _batches([sig.view(np.int64), node, leader], ["sig", "node", "leader"], np.full(len(sig), not local))
+
+    def runs(batches):
+        """Of sorted rows: those of a leader as they are, and of the others those whose signature has several nodes."""
+        last = None  # signature, node and leader of the last row, and whether it went out
+        for b in batches:
+            sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            alone = b.column(2).is_null().to_numpy(zero_copy_only=False)
+            yield from _batches([sig[~alone], node[~alone], b.column(2).fill_null(0).to_numpy()[~alone]], ["sig", "node", "leader"])
+            sig, node = sig[alone], node[alone]
+            if not len(sig):
+                continue
+            if last:
+                sig, node = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], node])
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+            sig, node = sig[new], node[new]
+            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.append(starts, len(sig)))
+            leader, out = np.repeat(node[starts], size), np.repeat(size > 1, size)
+            if last:
+                leader[: size[0]] = last[2]
+                out[0] &= not last[3]
+            sent = bool(size[-1] > 1) or bool(last and last[3] and len(starts) == 1)
+            last = (sig[-1], node[-1], leader[-1], sent)
+            yield from _batches([sig[out], node[out], leader[out]], ["sig", "node", "leader"])
 
     blocks = bounded(docs).select(F.col(quoted(text)).cast("string").alias("t")).mapInArrow(block, _BLOCKS)
-    return blocks.groupBy("bucket").applyInArrow(bucket, _GROUPS)
-
-
-def _shared(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sig, node, start = _runs(sig, node)
-    size = np.bincount(start, minlength=len(sig))[start]
-    keep = size > 1
-    return sig[keep].view(np.int64), node[keep], node[start][keep]
+    dealt = blocks.repartitionById(parts, F.col("part")).select("part", "local", "sigs", "nodes", "at")
+    return dealt.mapInArrow(rows, _GROUPS).sortWithinPartitions("sig", "node").mapInArrow(runs, _GROUPS)
 
 
 def _feature_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -274,104 +363,159 @@ def _feature_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFram
 
     def run(batches):
         for b in batches:
-            sets = [s for c in K.chunks(b.column(1)) for s in c.words(K.SPACE, lower=True).sets(k)]
+            flat, n = _sets(b.column(1), k)
             # A key that several rows share may have other texts too.
-            own = [i for i, (s, node) in enumerate(zip(sets, b.column(0).to_pylist(), strict=True)) if set_id(s) == node]
-            sets, node = [sets[i] for i in own], b.column(0).take(pa.array(own, pa.int64()))
-            sizes = np.array([len(s) for s in sets], np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "s"])
+            own = (_set_ids(flat, n) == b.column(0).to_numpy()) & (n > 0)
+            flat, n = flat[np.repeat(own, n)], n[own]
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(own)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["node", "s"])
 
     return bounded(found).mapInArrow(run, "node bigint, s array<bigint>")
 
 
 def _verified(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, with |A & B| and |A | B|."""
+    """Those of the pairs (a, b) that link, with |A & B| and |A | B|.
+
+    Pairs of one b go in portions of PORTION on average, each with one copy of b's set.
+    """
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(reps.join(ends, "node", "left_semi").select("node", "k"))
-    sets = _feature_sets(docs, key, text, k, wanted)
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    sets = written(_feature_sets(docs, key, text, k, wanted).dropDuplicates(["node"]))
+    portions = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PORTION)).cast("int").alias("portions"))
+    p = pairs.join(portions, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("portions")).cast("int").alias("portion"))
+    right = sets.join(portions.withColumnRenamed("b", "node"), "node").select(F.col("node").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
+    both = p.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(right, ["b", "portion"])
     inter = F.size(F.array_intersect("sa", "sb")).cast("long")
     both = both.select("a", "b", inter.alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    return both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("union")).where(F.lit(den) * F.col("inter") >= F.lit(num) * F.col("union")).distinct()
-
-
-def _open_pairs(groups: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that share a signature, are in different components and can't be ruled out by size or histogram."""
-    g = groups.select("sig", "node").distinct().join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    mixed = g.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("sig", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("parts"))
-    g = g.join(mixed, "sig").join(nodes.select("node", "n", "bins"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    g = g.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    g = g.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"), "node", "label", "n", "bins")
-
-    def cell(t: pa.Table) -> pa.Table:
-        node, label, n = (t.column(x).to_numpy() for x in ("node", "label", "n"))
-        bins = np.stack([np.frombuffer(x, np.uint8) for x in t.column("bins").to_pylist()]).astype(np.int16)
-        low, high = (np.flatnonzero(t.column(x).to_numpy(zero_copy_only=False)) for x in ("low", "high"))
-        a, b = [], []
-        for i in low.tolist():
-            j = high[(label[high] != label[i]) & (den * np.minimum(n[high], n[i]) >= num * np.maximum(n[high], n[i]))]
-            if len(j):
-                apart = np.abs(bins[j] - bins[i]).sum(axis=1, dtype=np.int64)
-                j = j[(den + num) * apart <= (den - num) * (n[j] + n[i])]
-                a += np.minimum(node[j], node[i]).tolist()
-                b += np.maximum(node[j], node[i]).tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return g.groupBy("cell").applyInArrow(cell, "a bigint, b bigint").distinct()
+    both = both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("union")).where(F.lit(den) * F.col("inter") >= F.lit(num) * F.col("union"))
+    links = written(both.distinct())
+    discard(sets)
+    return links
+
+
+def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sizes and sketches allow a link."""
+    side = nodes.select("node", "n", "sketch")
+    p = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb")), "b")
+    p = p.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "xa", "xb")
+
+    def run(batches):
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, 2 * BINS) for i in (3, 4))
+            keep = pa.array((den + num) * _apart(a, b) <= (den - num) * x.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
+
+    return bounded(p).mapInArrow(run, "a bigint, b bigint")
+
+
+def _left_out(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, node): the signatures in common groups that a node may leave out, the most common first."""
+    common = groups.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") >= COMMON)
+    odd = F.col("sig").bitwiseAND(F.lit(1))
+    g = groups.join(common, "sig").join(nodes.select("node", "even", "odd"), "node")
+    g = g.select("sig", "node", "m", odd.alias("which"), F.when(odd == 1, F.col("odd")).otherwise(F.col("even")).alias("left")).where("left > 0")
+    # Of equally common ones all or none.
+    upto = Window.partitionBy("node", "which").orderBy(F.desc("m")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return g.withColumn("rank", F.count("*").over(upto)).where("rank <= left").select("sig", "node")
+
+
+def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, label, m) of groups of three or more with several components; groups of equal members once."""
+    g = groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    mixed = g.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("i")).where("x != y and m > 2")
+    return g.join(mixed.groupBy("m", "h", "i").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig")
+
+
+def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """Pairs of a group, of different components, that size and sketch can't rule out; groups come in blocks."""
+    g = groups.join(nodes.select("node", "n", "sketch"), "node").withColumn("parts", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    g = g.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    g = g.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"), "node", "label", "n", "sketch")
+
+    def compare(cell, low, high, node, label, n, sketch):
+        i = np.arange(len(cell))
+        for d in range(1, len(cell)):
+            i = i[: np.searchsorted(i, len(cell) - d)]
+            i = i[cell[i] == cell[i + d]]
+            if not len(i):
+                return
+            j = i + d
+            ok = (label[i] != label[j]) & ((low[i] & high[j]) | (low[j] & high[i])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            a, b = i[ok], j[ok]
+            for at in range(0, len(a), 4096):
+                x, y = a[at : at + 4096], b[at : at + 4096]
+                keep = (den + num) * _apart(sketch[x], sketch[y]) <= (den - num) * (n[x] + n[y])
+                x, y = node[x[keep]], node[y[keep]]
+                yield from _batches([np.minimum(x, y), np.maximum(x, y)], ["a", "b"])
+
+    def run(batches):
+        held = None  # the last cell's rows, which the next batch may go on with; two blocks at most
+        for b in batches:
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)] + [np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, 2 * BINS)]
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)] if held else cols
+            cut = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
+            yield from compare(*(x[:cut] for x in cols))
+            held = [x[cut:].copy() for x in cols]
+        if held:
+            yield from compare(*held)
+
+    return bounded(g).repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: key, n_shingles, component_id (smallest key of its component) and n_links.
 
     ``n_links`` is the number of links that were computed for the document's set to other sets, at least one
-    for each set of a component with several; it is not the number of all linking pairs.
+    for each set of a component with several; it is not the number of all linking pairs.  ``key`` must not be
+    named n_shingles, component_id or n_links.
     """
+    if key.lower() in ("n_shingles", "component_id", "n_links"):
+        raise ValueError(f"the key column can't be named {key}")
     spark = docs.sparkSession
     scheme = (num, den)
-    members = written(_members(docs, key, text, k, scheme))
-    nodes = members.where("node is not null").groupBy("node").agg(F.min(quoted(key)).alias("k"), F.min("n").alias("n"), F.min("n_sigs").alias("n_sigs"), F.min("bins").alias("bins"))
+    docs = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).cast("string").alias("t"))
+    members = written(_members(docs, "k", "t", k, scheme))
+    nodes = members.where("node is not null").groupBy("node").agg(F.min("k").alias("k"), *(F.min(x).alias(x) for x in ("n", "n_sigs", "even", "odd", "sketch")))
     total = nodes.agg(F.sum("n_sigs")).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_SIGNATURES)))
-    groups = written(_groups(docs, text, k, scheme, buckets))
-    stars = groups.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    stars = written(_not_ruled_out(stars, nodes, num, den))
-    links = written(_verified(docs, key, text, k, num, den, nodes, stars))
+    parts = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PARTITION_SIGNATURES)))
+    shared = written(_shared(docs, "t", k, scheme, parts))
+    tried = written(shared.where("node != leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return _verified(docs, "k", "t", k, num, den, nodes, written(_not_ruled_out(pairs, nodes, num, den)))
+
+    links = check(tried)
     labels = components(links)
-    rest = written(_open_pairs(groups, labels, nodes, num, den))
+    groups = shared.select("sig", "node").distinct()
+    groups = written(groups.join(_left_out(groups, nodes), ["sig", "node"], "left_anti"))
+    discard(shared)
+    for turn in range(ROUNDS):
+        long = written(_open_groups(groups, labels).where(F.col("m") > BLOCK))
+        if long.isEmpty():
+            break
+        # The star of another node: in a group of near copies it reaches most of what the one before did not.
+        heads = long.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("head"))
+        stars = long.join(heads, "sig").where("label != head.label").select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")).distinct()
+        stars = written(stars.join(tried, ["a", "b"], "left_anti"))
+        more = check(stars)
+        tried = tried.unionByName(stars)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    opened = written(_open_groups(groups, labels))
+    rest = written(_open_pairs(opened, nodes, num, den, parts).select(F.col("b").alias("a"), F.col("a").alias("b")).join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        rest = written(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        more = written(_verified(docs, key, text, k, num, den, nodes, rest))
+        more = _verified(docs, "k", "t", k, num, den, nodes, rest)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
     discard(groups)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = nodes.join(labels, "node", "left").select("node", "k", F.coalesce("label", "node").alias("label"))
+    placed = nodes.select("node", "k").join(labels, "node", "left").select("node", "k", F.coalesce("label", "node").alias("label"))
     first = placed.groupBy("label").agg(F.min("k").alias("first"))
     placed = placed.join(first, "label").join(degree, "node", "left").select("node", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = members.join(placed, "node", "left")
-    own = F.col(quoted(key))
-    return out.select(own, F.col("n").alias("n_shingles"), F.coalesce("first", own).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and histograms allow a link."""
-    side = nodes.select("node", "n", "bins")
-    p = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a").join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
-    p = p.where(F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")).select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ba", "bb")
-
-    def run(batches):
-        for x in batches:
-            ba, bb = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (3, 4))
-            apart = np.abs(ba - bb).sum(axis=1, dtype=np.int64)
-            keep = pa.array((den + num) * apart <= (den - num) * x.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
-
-    return bounded(p).mapInArrow(run, "a bigint, b bigint")
+    out = members.select("k", "node", "n").join(placed, "node", "left")
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "k").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
