@@ -11,6 +11,7 @@ never cut: a row larger than the chunk size forms a chunk of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +24,10 @@ U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
-_powers: dict[str, np.ndarray] = {}
+#: Spans up to this length are hashed by a sum over bytes with a random factor for each place, longer ones by BLAKE2b.
+SHORT = 256
+_PLACE = _rng.integers(1, 2**63, SHORT, dtype=np.uint64) * U(2) + U(1)
 
 
 def separators(pattern: str) -> np.ndarray:
@@ -48,17 +49,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            for key, base in (("up", _BASE), ("down", _INVERSE)):
-                table = np.full(size, U(base))
-                table[0] = 1
-                _powers[key] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (a bijection), so that all bits depend on all bits."""
     with np.errstate(over="ignore"):
@@ -77,13 +67,21 @@ class Chunk:
     offsets: np.ndarray  # n + 1
 
     def span_hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of data[start:end] for arrays of spans."""
-        up, down = _power(len(data) + 1)
+        """64-bit hashes of data[start:end] for arrays of spans; spans of any length, no structure of a text makes them collide."""
+        size = end - start
+        short = size <= SHORT
+        out = np.empty(len(start), np.uint64)
+        n = size[short]
+        stop = np.cumsum(n)
+        total = int(stop[-1]) if len(n) else 0
+        at = np.arange(total) - np.repeat(stop - n, n)
+        sums = np.zeros(total + 1, np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.empty(len(data) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-            return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+            np.cumsum(_BYTE[data[np.repeat(start[short], n) + at]] * _PLACE[at], out=sums[1:])
+            out[short] = mix(sums[stop] - sums[stop - n] + n.astype(np.uint64))
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
 
     def words(self, sep: np.ndarray, lower: bool, hashes: bool = True) -> Words:
         data = LOWER[self.buf] if lower else self.buf
