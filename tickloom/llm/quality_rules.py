@@ -19,7 +19,9 @@ Rules, for a ``\\n``-split line of w words (w >= 1):
 * ``repetitive``: w >= 10 and distinct words are under three tenths of w
 
 Null and empty texts, and texts of white space, have no words and fail the
-base rule.  Repeated rows give repeated results; ties do not arise.
+base rule.  Repeated rows give repeated results; ties do not arise.  Columns
+other than key and text are not read, whatever their names; the key may have
+the name of no result column.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ _BARS = np.zeros(256, bool)
 _BARS[list(b"|>")] = True
 _FINAL = np.zeros(256, bool)
 _FINAL[list(b".!?:;\"')")] = True
-_PHRASES = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+#: Looks ahead, so that a match across the edge of two rows hides none that starts inside it.
+_PHRASES = re.compile(f"(?=({'|'.join(map(re.escape, BOILERPLATE))}))".encode())
 
 
 def _repeats(group: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -115,10 +118,9 @@ def _judge(c: K.Chunk, max_lost: int, min_words: int, with_text: bool) -> dict[s
     fails[1] = (line_words >= 3) & (upper > lower)
     fails[2] = (line_words <= 12) & (bars >= 2)
     text = K.LOWER[data].tobytes()
-    hits = np.fromiter((m.start() for m in _PHRASES.finditer(text)), np.int64)
+    hits, ends = np.array([m.span(1) for m in _PHRASES.finditer(text)], np.int64).reshape(-1, 2).T
     if len(hits):  # a phrase holds no newline and so lies inside one line, or across the edge of two rows
         line = np.searchsorted(start, hits, "right") - 1
-        ends = np.fromiter((m.end() for m in _PHRASES.finditer(text)), np.int64)
         good = (line >= 0) & (ends <= end[line])
         fails[3, line[good]] = True
         fails[3] &= line_words <= 25
