@@ -12,12 +12,16 @@ are streamed.  Memory is that of the automaton (the templates' words) and one
 batch.  There is no shuffle.
 
 Base phrases are found apart from that, by comparing word hashes.  Null and
-empty texts have no words, no labels and score 0.
+empty texts have no words, no labels and score 0.  Repeated rows give repeated
+results.  Of chains of one template that overlap the one of most cover stays,
+then the first.  Columns other than key and text are not read, whatever their
+names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +60,9 @@ Public License as published by the Free Software Foundation, either version 3 of
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc0", "dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication"),
@@ -183,19 +190,29 @@ class Scanner:
         out = []
         for t, own in placed.items():
             own.sort()
-            open_: list[list[int]] = []  # first word, end, end in the template, words covered
+            every: list[list[int]] = []  # first word, end, end in the template, words covered
+            live: list[list[int]] = []  # those that a later match can go on with
             for a, z, p, q in own:
-                best = max((c for c in open_ if c[1] <= a <= c[1] + MAX_GAP and c[2] <= p), key=lambda c: c[3], default=None)
-                if best:
-                    open_.append([best[0], z, q, best[3] + z - a])
-                else:
-                    open_.append([a, z, q, z - a])
-            last = -1
-            for c in sorted(open_, key=lambda c: (-c[3], c[0])):
-                if c[3] >= self.min_cover * self.lengths[t] and c[0] > last:
+                live = [c for c in live if a <= c[1] + MAX_GAP]
+                best = max((c for c in live if c[1] <= a and c[2] <= p), key=lambda c: c[3], default=None)
+                every.append([best[0], z, q, best[3] + z - a] if best else [a, z, q, z - a])
+                live.append(every[-1])
+            # Of chains that overlap the one of most cover stays, and of those the first.
+            starts, ends = [], []
+            for c in sorted((c for c in every if c[3] >= self.min_cover * self.lengths[t]), key=lambda c: (-c[3], c[0], c[1])):
+                i = bisect_left(starts, c[0])
+                if (i == 0 or ends[i - 1] <= c[0]) and (i == len(starts) or c[1] <= starts[i]):
+                    starts.insert(i, c[0])
+                    ends.insert(i, c[1])
                     out.append((t, c[0], c[1], min(1.0, c[3] / self.lengths[t])))
-                    last = c[1]
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+        # A notice inside a longer one of another label ("CC BY-NC 4.0" where "CC BY-NC-ND 4.0" stands) is that other one.
+        kept, reach = [], {}
+        for x in sorted(out, key=lambda x: (x[1], -x[2], x[0])):
+            if not any(end >= x[2] and (start, end) != x[1:3] and label != self.labels[x[0]] for label, (start, end) in reach.items()):
+                kept.append(x)
+            if x[2] > reach.get(self.labels[x[0]], (0, -1))[1]:
+                reach[self.labels[x[0]]] = x[1:3]
+        return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("cover", T.DoubleType())]))
