@@ -300,3 +300,141 @@ def test_toxicity_learns(spark):
     got = {x["doc_id"]: x["score"] for x in toxicity.score_toxicity(docs, toxicity.fit(docs, known)).collect()}
     assert all((got[i] >= 0.7) == bool(t) for i, t in labels)
     assert {x["doc_id"] for x in toxicity.drop_toxic(docs, known).collect()} == {i for i, t in labels if not t}
+
+
+def _thue_morse(n: int, letters: str) -> str:
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_hashes_of_structured_texts_differ(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [_thue_morse(n, x) for n in (64, 128, 256, 257, 1024, 4096) for x in ("ab", "ba")]
+    rows = spark.createDataFrame([*enumerate(words), (90, " ".join(words)), (91, "\n".join([*words, words[0]]))], "doc_id bigint, text string").coalesce(1)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for r in token_counts.count_tokens(rows).collect():
+        assert r["n_tokens"] == len(lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+    for r in packing.pack(rows).where("piece = 0 and start = 0").collect():
+        ids = [*lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0][: r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+    got = {r["doc_id"]: r["n_dup_lines"] for r in quality_rules.clean_lines(rows).collect()}
+    assert got[91] == 1 and got[90] == 0
+    comp = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(rows, k=1, num=90).collect()}
+    assert all(comp[i] == i for i in range(len(words))) and comp[91] == 90
+    items = spark.createDataFrame([(1, words[-1])], "item_id bigint, text string")
+    hits = {r["doc_id"]: r["n_hit"] for r in decontamination.find_contamination(rows, items).collect()}
+    assert hits[11] == 1 and hits[10] == 0 and hits[90] == 1
+
+
+def test_quality_phrases_at_row_edges(spark):
+    texts = ["some words and click her", "enable javascript now and go.", "e click here", None, "", "read mor", "e", "read more", "privacy policyread more x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: r["lines_boilerplate"] for r in quality_rules.clean_lines(rows).collect()}
+    assert got == {i: int(any(p in (t or "") for p in quality_rules.BOILERPLATE)) for i, t in enumerate(texts)}
+
+
+def test_secret_base_spans_by_other_means(spark):
+    """Base columns against scans written apart from the operator's patterns, over batches of short random rows."""
+    import random
+
+    r = random.Random(11)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "=", ": ", '"', " ", "\n", "é", "x", "_", "Z9", "----"]
+    texts = [None if r.random() < 0.1 else "".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(600)]
+
+    def runs(t, alphabet):
+        out, i = [], 0
+        while i < len(t):
+            if t[i] in alphabet:
+                j = i
+                while j < len(t) and t[j] in alphabet:
+                    j += 1
+                out.append((i, j))
+                i = j
+            else:
+                i += 1
+        return out
+
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+    def assign(t):
+        out, i = [], 0
+        while i < len(t):
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+            word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, i)), None)
+            end = None
+            if word:
+                j = i + len(word)
+                j += j < len(t) and t[j] in "\"'"
+                while j < len(t) and t[j] == " ":
+                    j += 1
+                if j < len(t) and t[j] in ":=":
+                    j += 1
+                    while j < len(t) and t[j] == " ":
+                        j += 1
+                    j += j < len(t) and t[j] in "\"'"
+                    k = j
+                    while k < len(t) and t[k] in value:
+                        k += 1
+                    if k > j:
+                        end = k
+                        if k - j >= 6:
+                            out.append((i, end))
+            i = end or i + 1
+        return out
+
+    def access(t):
+        out, i = [], 0
+        while (i := t.find("AKIA", i)) >= 0:
+            j = i + 4
+            while j < len(t) and t[j] in upper:
+                j += 1
+            if j > i + 4:
+                if j - i >= 20:
+                    out.append((i, j))
+                i = j
+            else:
+                i += 1
+        return out
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(2)
+    for x in secret_scan.find_secrets(rows).collect():
+        t = texts[x["doc_id"]] or ""
+        want = [("assign", s, e) for s, e in assign(t)] + [("access", s, e) for s, e in access(t)] + [("hex", s, e) for s, e in runs(t, set("0123456789abcdef")) if e - s >= 24]
+        assert sorted((s["kind"], s["start"], s["end"]) for s in x["spans"] if s["kind"] != "novel") == sorted(want), t
+
+
+def test_license_notices_in_a_row(spark):
+    mit, text = "Released under the MIT License. ", "plain words go on here and there "
+    rows = spark.createDataFrame([(1, mit * 3), (2, text + mit + text * 3 + mit), (3, "Licensed under CC BY-NC-ND 4.0"), (4, "Licensed under CC BY-NC 4.0 and so on"), (5, text)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(rows).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(0, 5), (5, 10), (10, 15)]
+    assert [(s["start"], s["end"]) for s in got[2]["spans"]] == [(7, 12), (33, 38)]
+    assert got[3]["labels"] == ["cc-by", "cc-by-nc-nd"] and got[4]["labels"] == ["cc-by", "cc-by-nc"] and got[5]["labels"] == []
+
+
+def test_near_duplicates_of_common_passages(spark):
+    """Long groups: texts that share a passage but don't link, and near copies whose stars leave several components."""
+    import random
+
+    r = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*(f"u{i}x{j}" for j in range(60)), *passage, *(f"v{i}x{j}" for j in range(60))])) for i in range(700)]
+    base = [f"b{i}" for i in range(150)]
+    for i in range(700, 900):
+        w = list(base)
+        for _ in range(r.choice([2, 4, 8])):
+            w[r.randrange(150)] = f"e{r.random()}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows if i >= 700}
+    comp = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                x, y = sorted((comp[a], comp[b]))
+                comp = {k: x if v == y else v for k, v in comp.items()}
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i for i in range(700)} | comp

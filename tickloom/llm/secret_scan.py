@@ -13,6 +13,9 @@ pattern or a sensitive context needs; only those are decoded and scanned, each
 from its first to its last character.  There is no shuffle.
 
 Positions are code points, ends exclusive.  Null and empty texts have no spans.
+Repeated rows give repeated results; spans that start together stand in the
+order of KINDS.  Columns other than key and text are not read, whatever their
+names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,22 +90,22 @@ class Novelty:
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Incompressible strings in sensitive context that no base span touches."""
+        near = [(m.start() - NEAR, m.end() + NEAR) for m in CONTEXT.finditer(text)]
+        if not near:
+            return []
+        # A literal costs one byte at most, so what is shorter than the least bytes can't reach them.
+        runs = [c.span() for c in CANDIDATE.finditer(text) if c.end() - c.start() >= MIN_LENGTH * MIN_NOVELTY]
         out: list[Span] = []
-        seen: set[int] = set()
-        for m in CONTEXT.finditer(text):
-            # Candidates are whole runs even where the window's edge cuts them.
-            a, z = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
-            while a and CANDIDATE.match(text[a - 1]):
-                a -= 1
-            for c in CANDIDATE.finditer(text, a):
-                if c.start() >= z:
-                    break
-                s, e = c.span()
-                # A literal costs one byte at most, so what is shorter than the least bytes can't reach them.
-                if s in seen or e - s < MIN_LENGTH * MIN_NOVELTY or any(b < e and s < t for b, _, t, _ in taken):
-                    continue
-                seen.add(s)
-                cost = self.marginal(text[max(0, s - AROUND) : s], c[0], text[e : e + AROUND])
+        w = b = 0
+        used = sorted((s, e) for s, _, e, _ in taken)
+        until = 0  # where the base spans that begin before a run's end end
+        for s, e in runs:  # whole runs, each once, even where a window's edge cuts them
+            while w < len(near) and near[w][1] <= s:
+                w += 1
+            while b < len(used) and used[b][0] < e:
+                until, b = max(until, used[b][1]), b + 1
+            if w < len(near) and near[w][0] < e and until <= s:
+                cost = self.marginal(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND])
                 if cost >= MIN_NOVELTY * max(MIN_LENGTH, e - s):
                     out.append((s, "novel", e, round(cost / (e - s), 4)))
         return out
