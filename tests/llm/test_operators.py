@@ -438,3 +438,21 @@ def test_near_duplicates_of_common_passages(spark):
                 comp = {k: x if v == y else v for k, v in comp.items()}
     got = {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: i for i in range(700)} | comp
+
+
+def test_components_both_ways(spark):
+    import random
+
+    from tickloom.llm.components import components
+
+    r = random.Random(2)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(-5, -5), (-7, 3)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    for few in (0, 10**6):
+        assert {x["node"]: x["label"] for x in components(df, few=few).collect()} == label
+    assert components(df.where("a > 5000")).count() == 0

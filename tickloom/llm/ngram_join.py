@@ -28,7 +28,7 @@ Steps, all linear in the input and the number of links between different texts b
    therefore costs the square of its length in comparisons of sketches, though not in rows.
 
 Sets are sent along for candidates only.  The list of candidates is broadcast when its counted size is small, and
-joined by shuffle otherwise; the set of a node with many candidates is dealt out with them in portions.
+joined by shuffle otherwise.
 
 Empty texts and nulls have the empty set and link with nothing.  A text of fewer than k words has its whole sequence
 as its one shingle.  Repeated rows and equal texts are in one component.  Other columns are not read, whatever their
@@ -61,13 +61,11 @@ MOST_PARTITIONS = 100_000
 #: Most candidate rows that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Members of a block in which groups are compared.
-BLOCK = 512
+BLOCK = 2048
 #: Further stars for groups longer than a block.
-ROUNDS = 3
+ROUNDS = 2
 #: Members from which a group counts as common, so that its nodes may leave its signature out.
 COMMON = 32
-#: Candidates that travel with one copy of a node's set.
-PORTION = 256
 #: Features that a signature should cover on average.
 COVER = 2.5
 #: Rows of a record batch that is given to Spark.
@@ -374,23 +372,14 @@ def _feature_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFram
 
 
 def _verified(docs: DataFrame, key: str, text: str, k: int, num: int, den: int, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, with |A & B| and |A | B|.
-
-    Pairs of one b go in portions of PORTION on average, each with one copy of b's set.
-    """
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    """Those of the pairs (a, b) that link, with |A & B| and |A | B|; Spark splits a join whose key many pairs have."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     wanted = written(reps.join(ends, "node", "left_semi").select("node", "k"))
-    sets = written(_feature_sets(docs, key, text, k, wanted).dropDuplicates(["node"]))
-    portions = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PORTION)).cast("int").alias("portions"))
-    p = pairs.join(portions, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("portions")).cast("int").alias("portion"))
-    right = sets.join(portions.withColumnRenamed("b", "node"), "node").select(F.col("node").alias("b"), F.col("s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
-    both = p.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(right, ["b", "portion"])
+    sets = _feature_sets(docs, key, text, k, wanted).dropDuplicates(["node"])
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb")).cast("long")
     both = both.select("a", "b", inter.alias("inter"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    both = both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("union")).where(F.lit(den) * F.col("inter") >= F.lit(num) * F.col("union"))
-    links = written(both.distinct())
-    discard(sets)
-    return links
+    return written(both.select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("union")).where(F.lit(den) * F.col("inter") >= F.lit(num) * F.col("union")))
 
 
 def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -408,15 +397,18 @@ def _not_ruled_out(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     return bounded(p).mapInArrow(run, "a bigint, b bigint")
 
 
-def _left_out(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(sig, node): the signatures in common groups that a node may leave out, the most common first."""
+def _groups(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, node) without the signatures of common groups that a node may leave out, the most common first."""
+    groups = shared.select("sig", "node").distinct()
     common = groups.groupBy("sig").agg(F.count("*").alias("m")).where(F.col("m") >= COMMON)
+    groups = written(groups.join(common, "sig", "left"))
     odd = F.col("sig").bitwiseAND(F.lit(1))
-    g = groups.join(common, "sig").join(nodes.select("node", "even", "odd"), "node")
+    g = groups.where("m is not null").join(nodes.select("node", "even", "odd"), "node")
     g = g.select("sig", "node", "m", odd.alias("which"), F.when(odd == 1, F.col("odd")).otherwise(F.col("even")).alias("left")).where("left > 0")
     # Of equally common ones all or none.
     upto = Window.partitionBy("node", "which").orderBy(F.desc("m")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.withColumn("rank", F.count("*").over(upto)).where("rank <= left").select("sig", "node")
+    out = g.withColumn("rank", F.count("*").over(upto)).where("rank <= left").select("sig", "node")
+    return groups.join(out, ["sig", "node"], "left_anti").select("sig", "node")
 
 
 def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -475,7 +467,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     scheme = (num, den)
     docs = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).cast("string").alias("t"))
     members = written(_members(docs, "k", "t", k, scheme))
-    nodes = members.where("node is not null").groupBy("node").agg(F.min("k").alias("k"), *(F.min(x).alias(x) for x in ("n", "n_sigs", "even", "odd", "sketch")))
+    nodes = written(members.where("node is not null").groupBy("node").agg(F.min("k").alias("k"), *(F.min(x).alias(x) for x in ("n", "n_sigs", "even", "odd", "sketch"))))
     total = nodes.agg(F.sum("n_sigs")).first()[0] or 0
     parts = min(MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PARTITION_SIGNATURES)))
     shared = written(_shared(docs, "t", k, scheme, parts))
@@ -486,29 +478,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
     links = check(tried)
     labels = components(links)
-    groups = shared.select("sig", "node").distinct()
-    groups = written(groups.join(_left_out(groups, nodes), ["sig", "node"], "left_anti"))
+    groups = written(_groups(shared, nodes))
     discard(shared)
+    opened = written(_open_groups(groups, labels))
     for turn in range(ROUNDS):
-        long = written(_open_groups(groups, labels).where(F.col("m") > BLOCK))
+        long = opened.where(F.col("m") > BLOCK)
         if long.isEmpty():
             break
         # The star of another node: in a group of near copies it reaches most of what the one before did not.
         heads = long.groupBy("sig").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("head"))
         stars = long.join(heads, "sig").where("label != head.label").select(F.greatest("node", "head.node").alias("a"), F.least("node", "head.node").alias("b")).distinct()
         stars = written(stars.join(tried, ["a", "b"], "left_anti"))
-        more = check(stars)
-        tried = tried.unionByName(stars)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-    opened = written(_open_groups(groups, labels))
-    rest = written(_open_pairs(opened, nodes, num, den, parts).select(F.col("b").alias("a"), F.col("a").alias("b")).join(tried, ["a", "b"], "left_anti"))
+        links = links.unionByName(check(stars))
+        tried, labels = tried.unionByName(stars), components(links)
+        opened = written(_open_groups(groups, labels))
+    rest = _open_pairs(opened, nodes, num, den, parts).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = _verified(docs, "k", "t", k, num, den, nodes, rest)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+        links = links.unionByName(_verified(docs, "k", "t", k, num, den, nodes, rest))
+        labels = components(links)
     discard(groups)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "k").join(labels, "node", "left").select("node", "k", F.coalesce("label", "node").alias("label"))
