@@ -68,7 +68,7 @@ def discard(df: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch handed to Python at a time (or one row), whatever the length of the texts.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:

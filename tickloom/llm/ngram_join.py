@@ -16,9 +16,9 @@ Steps, all linear in the input and the number of links between different texts b
 1. members: each document's set id (hash of the set), size, and a sketch of its features: for each of 256 ranges their
    number and a byte of hash, which bounds the number of differences from below.  Equal sets are one node from here
    on, whatever their number.
-2. signatures are dealt out in packed blocks, sorted by Spark, and read as a stream of runs: nothing is gathered, and
-   a run may be of any length.  Sets of a block that share a signature are sent on as one, so a signature that a third
-   of all rows have costs a row for each block and not for each document.
+2. signatures are dealt out in packed blocks, some six bytes each, and unpacked a bounded number at a time.  Sets of a
+   block that share a signature are sent on as one, so a signature that a third of all rows have costs a row for each
+   block and not for each document.
 3. each shared signature gives a star of candidate pairs (node, smallest node), not all pairs.  The sketches rule out
    most, ``den * inter >= num * union`` is computed on the sets of the others.  Components of the links follow.
 4. nodes of a group (those with one signature) that the stars left in different components still have to be ruled out.
@@ -58,6 +58,8 @@ BINS = 256
 #: Signatures in a partition; their number follows the input, up to MOST_PARTITIONS.
 PARTITION_SIGNATURES = 2_000_000
 MOST_PARTITIONS = 100_000
+#: Signatures of a partition that are unpacked at a time.
+TURN = 1_000_000
 #: Most candidate rows that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Members of a block in which groups are compared.
@@ -268,13 +270,10 @@ def _sorted(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return sig, node, np.repeat(starts, np.diff(np.append(starts, len(sig))))
 
 
-def _batches(columns: list[np.ndarray], names: list[str], nulls: np.ndarray | None = None):
-    """Record batches of bounded length of equal columns; nulls marks those of the last one."""
+def _batches(columns: list[np.ndarray], names: list[str]):
+    """Record batches of bounded length of equal columns."""
     for i in range(0, len(columns[0]), ROWS):
-        part = [pa.array(x[i : i + ROWS]) for x in columns]
-        if nulls is not None:
-            part[-1] = pa.array(columns[-1][i : i + ROWS], mask=nulls[i : i + ROWS])
-        yield pa.RecordBatch.from_arrays(part, names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + ROWS]) for x in columns], names)
 
 
 _BLOCKS = "part int, local boolean, sigs binary, nodes binary, at binary"
@@ -314,42 +313,32 @@ def _shared(docs: DataFrame, text: str, k: int, scheme: tuple[int, int], parts:
                     cols = list(zip(*(_packed(s[i:j], x[i:j]) for i, j in spans), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(to[[i for i, _ in spans]].astype(np.int32)), pa.array([local] * len(spans)), *(pa.array(c, pa.binary()) for c in cols)], ["part", "local", "sigs", "nodes", "at"])
 
-    def rows(batches):
+    def settle(batches):
+        """Rows of signatures that several nodes have; blocks stay packed, and are read in as many turns as keep each small."""
+        held, total = [], 0
         for b in batches:
             for local, *packed in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                sig, node = _unpacked(*packed)
                 if local:
-                    sig, node, start = _sorted(sig, node)
-                leader = node[start] if local else node
-                yield from _batches([sig.view(np.int64), node, leader], ["sig", "node", "leader"], np.full(len(sig), not local))
-
-    def runs(batches):
-        """Of sorted rows: those of a leader as they are, and of the others those whose signature has several nodes."""
-        last = None  # signature, node and leader of the last row, and whether it went out
-        for b in batches:
-            sig, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            alone = b.column(2).is_null().to_numpy(zero_copy_only=False)
-            yield from _batches([sig[~alone], node[~alone], b.column(2).fill_null(0).to_numpy()[~alone]], ["sig", "node", "leader"])
-            sig, node = sig[alone], node[alone]
-            if not len(sig):
-                continue
-            if last:
-                sig, node = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], node])
-            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-            sig, node = sig[new], node[new]
-            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.diff(np.append(starts, len(sig)))
-            leader, out = np.repeat(node[starts], size), np.repeat(size > 1, size)
-            if last:
-                leader[: size[0]] = last[2]
-                out[0] &= not last[3]
-            sent = bool(size[-1] > 1) or bool(last and last[3] and len(starts) == 1)
-            last = (sig[-1], node[-1], leader[-1], sent)
-            yield from _batches([sig[out], node[out], leader[out]], ["sig", "node", "leader"])
+                    sig, node, start = _sorted(*_unpacked(*packed))
+                    yield from _batches([sig.view(np.int64), node, node[start]], ["sig", "node", "leader"])
+                else:
+                    held.append(packed)
+                    total += len(_unplaned(packed[0], np.uint64))
+        turns = -(-total // TURN)
+        for turn in range(turns):
+            some = []
+            for packed in held:
+                sig, node = _unpacked(*packed)
+                own = _scaled(K.mix(sig), turns) == turn
+                some.append((sig[own], node[own]))
+            sig, node, start = _sorted(*(np.concatenate(x) for x in zip(*some, strict=True)))
+            del some
+            out = np.bincount(start, minlength=len(sig))[start] > 1
+            yield from _batches([sig[out].view(np.int64), node[out], node[start][out]], ["sig", "node", "leader"])
+            K.trim()
 
     blocks = bounded(docs).select(F.col(quoted(text)).cast("string").alias("t")).mapInArrow(block, _BLOCKS)
-    dealt = blocks.repartitionById(parts, F.col("part")).select("part", "local", "sigs", "nodes", "at")
-    return dealt.mapInArrow(rows, _GROUPS).sortWithinPartitions("sig", "node").mapInArrow(runs, _GROUPS)
+    return blocks.repartitionById(parts, F.col("part")).select("part", "local", "sigs", "nodes", "at").mapInArrow(settle, _GROUPS)
 
 
 def _feature_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ never cut: a row larger than the chunk size forms a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -30,6 +31,16 @@ SHORT = 256
 _PLACE = _rng.integers(1, 2**63, SHORT, dtype=np.uint64) * U(2) + U(1)
 
 
+_release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that a worker holds what it uses and not the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    if _release:
+        _release(0)
+
+
 def separators(pattern: str) -> np.ndarray:
     """Boolean table of the ASCII bytes that are no part of a word."""
     table = np.zeros(256, bool)
@@ -176,6 +187,8 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         to = min(n, max(row + 1, to))
         yield Chunk(row, to - row, whole[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row])
         row = to
+    if offsets[-1] - offsets[0] > limit:
+        trim()
 
 
 def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
