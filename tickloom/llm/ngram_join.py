@@ -413,21 +413,54 @@ def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts:
     g = g.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     g = g.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"), "node", "label", "n", "sketch")
 
-    def compare(cell, low, high, node, label, n, sketch):
+    def survivors(x, y, low, high, node, label, n, sketch):
+        """Of pairs of places (x, y): the nodes of those that nothing rules out."""
+        ok = (label[x] != label[y]) & ((low[x] & high[y]) | (low[y] & high[x])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        for at in range(0, len(x), 4096):
+            i, j = x[at : at + 4096], y[at : at + 4096]
+            keep = (den + num) * _apart(sketch[i], sketch[j]) <= (den - num) * (n[i] + n[j])
+            i, j = node[i[keep]], node[j[keep]]
+            yield from _batches([np.minimum(i, j), np.maximum(i, j)], ["a", "b"])
+
+    def short(cell, *rest):
+        """Groups of few members: all pairs, by their distance in the table."""
         i = np.arange(len(cell))
         for d in range(1, len(cell)):
             i = i[: np.searchsorted(i, len(cell) - d)]
             i = i[cell[i] == cell[i + d]]
             if not len(i):
                 return
-            j = i + d
-            ok = (label[i] != label[j]) & ((low[i] & high[j]) | (low[j] & high[i])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
-            a, b = i[ok], j[ok]
-            for at in range(0, len(a), 4096):
-                x, y = a[at : at + 4096], b[at : at + 4096]
-                keep = (den + num) * _apart(sketch[x], sketch[y]) <= (den - num) * (n[x] + n[y])
-                x, y = node[x[keep]], node[y[keep]]
-                yield from _batches([np.minimum(x, y), np.maximum(x, y)], ["a", "b"])
+            yield from survivors(i, i + d, *rest)
+
+    def long(low, high, node, label, n, sketch):
+        """A group of many members: products of matrices count the ranges in which two sketches agree, by three bits of each; every other range holds a difference."""
+        code = (K.mix(sketch[:, :BINS].astype(np.uint64) << np.uint64(8) | sketch[:, BINS:]) & np.uint64(7)).astype(np.int64) + np.arange(BINS) * 8
+
+        def hot(rows):
+            out = np.zeros((len(rows), BINS * 8), np.float32)
+            np.put_along_axis(out, code[rows], 1, axis=1)
+            return out
+
+        tiles = [np.arange(at, min(len(n), at + 512)) for at in range(0, len(n), 512)]
+        for t, rows in enumerate(tiles):
+            one = hot(rows)
+            for cols in tiles[t:]:
+                differ = BINS - (one @ hot(cols).T)
+                i, j = np.nonzero((den + num) * differ <= (den - num) * (n[rows][:, None] + n[cols]) + 0.5)
+                x, y = rows[i], cols[j]
+                yield from survivors(x[x < y], y[x < y], low, high, node, label, n, sketch)
+
+    def compare(*cols):
+        if not len(cols[0]):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        size = np.diff(np.append(starts, len(cols[0])))
+        many = size > 128
+        for at, m in zip(starts[many].tolist(), size[many].tolist(), strict=True):
+            yield from long(*(x[at : at + m] for x in cols[1:]))
+        few = np.repeat(~many, size)
+        yield from short(*(x[few] for x in cols))
 
     def run(batches):
         held = None  # the last cell's rows, which the next batch may go on with; two blocks at most
