@@ -35,7 +35,12 @@ def src_trades(spark, sf):
     t = Q.base(spark, sf)[0]
     local = lambda c: F.date_format(F.from_utc_timestamp(c, "America/New_York"), "yyyy/MM/dd HH:mm:ss")
     r = F.round("r", 6)
-    log = t.select("id", local("t0").alias("dateStart"), local("t1").alias("dateEnd"), "side", F.col("entry").cast("double").alias("entryPrice"), F.col("stop").cast("double").alias("initalSL"), F.col("target").cast("double").alias("idealTP"), F.col("exit_px").cast("double").alias("avgClosePrice"), r.alias("avgRiskReward"), r.alias("rPnL"), F.col("amount").cast("double").alias("amount"))
+    number = lambda c: F.col(c).cast("double")
+    text, none = F.lit("x, y"), F.lit(None).cast("double")
+    log = t.select(
+        F.lit("GBPUSD").alias("pair"), "side", local("t0").alias("dateStart"), local("t1").alias("dateEnd"), F.dayofweek("t0").alias("day"), number("amount").alias("amount"), number("amount").alias("amountClosed"), none.alias("uPnL"), r.alias("rPnL"),
+        number("entry").alias("entryPrice"), number("stop").alias("initalSL"), none.alias("maxTP"), number("target").alias("idealTP"), number("exit_px").alias("avgClosePrice"), F.lit("closed").alias("status"), text.alias("tags"), r.alias("avgRiskReward"), F.greatest(r, F.lit(0.0)).alias("maxRiskReward"), "id",
+    )
     path = scratch(spark, "trades")
     log.write.option("header", True).csv(path)
     return D.read_trades(spark, path).select("id", "side", "start_utc", "is_win", "r_multiple")

@@ -105,7 +105,7 @@ TRAIL = [f"trail_{p:.2f}" for p in E.TRAILS]
 FIXED = ["target", "fixed_2r", "fixed_3r", "fixed_4r"]
 TIMED = ["time_1h", "time_2h", "time_4h", "time_8h"]
 _sim_query("sim_trailing", TRAIL, digits=11)
-_sim_query("sim_trailing_grid", ["trail_0.01", "trail_0.05", "trail_0.20"], digits=11)
+_sim_query("sim_trailing_grid", TRAIL, digits=11)
 _sim_query("sim_fixed_tp", FIXED)
 _sim_query("sim_time", TIMED)
 _sim_query("sim_mfe_aware", ["mfe_aware"], digits=11)
@@ -213,7 +213,7 @@ def trail_summary(spark, sf):
     return x.select(*s.columns, ((F.col("expectancy") - F.col("be")) / F.abs("be")).alias("expectancy_change"), (F.col("profit_factor") / F.col("bp") - 1).alias("pf_change"))
 
 
-SOME = ["trail_0.01", "trail_0.20", "target", "fixed_2r", "time_4h"]
+SOME = [*TRAIL, *FIXED, "mfe_aware", *TIMED]
 _SOME = f"(SELECT * FROM {_sim_sql(SOME)} WHERE scenario = 'conservative')"
 
 

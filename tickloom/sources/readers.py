@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRADE_LOG = T.StructType([T.StructField("id", T.LongType()), T.StructField("dateStart", T.StringType()), T.StructField("dateEnd", T.StringType()), T.StructField("side", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("entryPrice", "initalSL", "idealTP", "avgClosePrice", "avgRiskReward", "rPnL", "amount"))])
+#: Columns of a position log that are numbers; all others stay text.
+NUMBERS = ("entryPrice", "initalSL", "idealTP", "maxTP", "avgClosePrice", "avgRiskReward", "maxRiskReward", "rPnL", "uPnL", "amount", "amountClosed", "exchangeRate", "initialBalance", "currentRealizedBalance")
+WHOLE = {"id": "bigint", "day": "int"}
 
 
 def read_trades(spark: SparkSession, path: str, zone: str = "America/New_York") -> DataFrame:
-    """A position log in CSV: local times become UTC (a time that a clock change skips or repeats takes Spark's rule), with win flag and R."""
-    t = spark.read.schema(TRADE_LOG).option("header", True).csv(path)
+    """A position log in CSV, its columns known by the header in any order; sorted by start, then id.
+
+    Local times become UTC (a time that a clock change skips or repeats takes Spark's rule), with win flag and R.  All
+    columns stay; what is no number in a column of numbers is null.
+    """
+    t = spark.read.option("header", True).csv(path)
+    kinds = {**dict.fromkeys(NUMBERS, "double"), **WHOLE}
+    t = t.select(*(F.expr(f"try_cast(`{c}` AS {kinds[c]})").alias(c) if c in kinds else F.col(f"`{c}`") for c in t.columns))
     utc = lambda c: F.to_utc_timestamp(F.to_timestamp(c, "yyyy/MM/dd HH:mm:ss"), zone)
-    return t.withColumns({"start_utc": utc("dateStart"), "end_utc": utc("dateEnd"), "is_win": F.col("rPnL") > 0, "r_multiple": F.col("avgRiskReward")})
+    t = t.withColumns({"start_utc": utc("dateStart"), "end_utc": utc("dateEnd"), "is_win": F.col("rPnL") > 0, "r_multiple": F.col("avgRiskReward")})
+    return t.orderBy("start_utc", "id")
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
