@@ -23,9 +23,12 @@ Steps, all linear in the input and the number of links between different texts b
    most, ``den * inter >= num * union`` is computed on the sets of the others.  Components of the links follow.
 4. nodes of a group (those with one signature) that the stars left in different components still have to be ruled out.
    Groups of equal members are looked at once.  Long groups get further stars around other nodes first; what is then
-   left is compared by sketch in blocks of bounded size, and pairs that the sketches can't rule out are computed as in
-   3.  Blocks give out such pairs only.  A long group of sets that are all nearly, but not quite, similar enough
-   therefore costs the square of its length in comparisons of sketches, though not in rows.
+   left is compared by sketch in blocks of bounded size, twice.  The first time each block gives out a forest: of the
+   pairs that the sketches can't rule out only those that, taken in an order that differs by block, join two of its
+   components; fewer rows than members.  These are computed as in 3, and most components join up.  The second time the
+   blocks that still hold several components give out all such pairs, so no link is lost.  A long group of sets that
+   are all nearly, but not quite, similar enough therefore costs the square of its length in comparisons of sketches,
+   and in rows where the sketches can't tell.
 
 Sets are sent along for candidates only.  The list of candidates is broadcast when its counted size is small, and
 joined by shuffle otherwise.
@@ -407,23 +410,41 @@ def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return g.join(mixed.groupBy("m", "h", "i").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig")
 
 
-def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Pairs of a group, of different components, that size and sketch can't rule out; groups come in blocks."""
+def _joining(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, taken in turn, those that join two trees; root, the tree of each place, follows."""
+    kept = []
+    for at, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        if root[i] != root[j]:
+            root[root == root[j]] = root[i]
+            kept.append(at)
+    pick = np.array(kept, np.int64)
+    return x[pick], y[pick]
+
+
+def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts: int, forest: bool = False) -> DataFrame:
+    """Pairs of a group, of different components, that size and sketch can't rule out; groups come in blocks.
+
+    With ``forest`` a block gives only those that join two of its components, fewer than it has members.
+    """
     g = groups.join(nodes.select("node", "n", "sketch"), "node").withColumn("parts", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
     g = g.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     g = g.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") <= F.col("other")).alias("low"), (F.col("own") >= F.col("other")).alias("high"), "node", "label", "n", "sketch")
 
-    def survivors(x, y, low, high, node, label, n, sketch):
-        """Of pairs of places (x, y): the nodes of those that nothing rules out."""
+    def survivors(root, x, y, low, high, node, label, n, sketch):
+        """Of pairs of places (x, y): the nodes of those that nothing rules out, nor a forest leaves out."""
         ok = (label[x] != label[y]) & ((low[x] & high[y]) | (low[y] & high[x])) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
         for at in range(0, len(x), 4096):
             i, j = x[at : at + 4096], y[at : at + 4096]
+            if forest:
+                apart = root[i] != root[j]
+                i, j = i[apart], j[apart]
             keep = (den + num) * _apart(sketch[i], sketch[j]) <= (den - num) * (n[i] + n[j])
-            i, j = node[i[keep]], node[j[keep]]
+            i, j = _joining(root, i[keep], j[keep]) if forest else (i[keep], j[keep])
+            i, j = node[i], node[j]
             yield from _batches([np.minimum(i, j), np.maximum(i, j)], ["a", "b"])
 
-    def short(cell, *rest):
+    def short(root, cell, *rest):
         """Groups of few members: all pairs, by their distance in the table."""
         i = np.arange(len(cell))
         for d in range(1, len(cell)):
@@ -431,9 +452,9 @@ def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts:
             i = i[cell[i] == cell[i + d]]
             if not len(i):
                 return
-            yield from survivors(i, i + d, *rest)
+            yield from survivors(root, i, i + d, *rest)
 
-    def long(low, high, node, label, n, sketch):
+    def long(root, low, high, node, label, n, sketch):
         """A group of many members: products of matrices count the ranges in which two sketches agree, by three bits of each; every other range holds a difference."""
         code = (K.mix(sketch[:, :BINS].astype(np.uint64) << np.uint64(8) | sketch[:, BINS:]) & np.uint64(7)).astype(np.int64) + np.arange(BINS) * 8
 
@@ -442,14 +463,26 @@ def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts:
             np.put_along_axis(out, code[rows], 1, axis=1)
             return out
 
-        tiles = [np.arange(at, min(len(n), at + 512)) for at in range(0, len(n), 512)]
+        # Members of one component lie together, so tiles within one are left out.
+        order = np.argsort(root, kind="stable")
+        tiles = [order[at : at + 512] for at in range(0, len(n), 512)]
         for t, rows in enumerate(tiles):
             one = hot(rows)
             for cols in tiles[t:]:
+                if (root[rows] == root[cols[0]]).all() and (root[cols] == root[rows[0]]).all():
+                    continue
                 differ = BINS - (one @ hot(cols).T)
                 i, j = np.nonzero((den + num) * differ <= (den - num) * (n[rows][:, None] + n[cols]) + 0.5)
-                x, y = rows[i], cols[j]
-                yield from survivors(x[x < y], y[x < y], low, high, node, label, n, sketch)
+                if rows is cols:
+                    i, j = i[i < j], j[i < j]
+                yield from survivors(root, rows[i], cols[j], low, high, node, label, n, sketch)
+
+    def trees(cell, label):
+        """A number for each component of each cell."""
+        order = np.lexsort((label, cell))
+        root = np.empty(len(cell), np.int64)
+        root[order] = np.cumsum(np.concatenate([[0], (np.diff(cell[order]) != 0) | (np.diff(label[order]) != 0)])) if len(cell) else 0
+        return root
 
     def compare(*cols):
         if not len(cols[0]):
@@ -458,9 +491,9 @@ def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts:
         size = np.diff(np.append(starts, len(cols[0])))
         many = size > 128
         for at, m in zip(starts[many].tolist(), size[many].tolist(), strict=True):
-            yield from long(*(x[at : at + m] for x in cols[1:]))
+            yield from long(trees(cols[0][at : at + m], cols[4][at : at + m]), *(x[at : at + m] for x in cols[1:]))
         few = np.repeat(~many, size)
-        yield from short(*(x[few] for x in cols))
+        yield from short(trees(cols[0][few], cols[4][few]), *(x[few] for x in cols))
 
     def run(batches):
         held = None  # the last cell's rows, which the next batch may go on with; two blocks at most
@@ -473,7 +506,8 @@ def _open_pairs(groups: DataFrame, nodes: DataFrame, num: int, den: int, parts:
         if held:
             yield from compare(*held)
 
-    return bounded(g).repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a bigint, b bigint").distinct()
+    dealt = bounded(g).repartition(parts, "cell").sortWithinPartitions("cell", F.xxhash64("cell", "node"))
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -514,11 +548,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         links = links.unionByName(check(stars))
         tried, labels = tried.unionByName(stars), components(links)
         opened = written(_open_groups(groups, labels))
-    rest = _open_pairs(opened, nodes, num, den, parts).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(docs, "k", "t", k, num, den, nodes, rest))
-        labels = components(links)
+    for forest in (True, False):
+        rest = _open_pairs(opened, nodes, num, den, parts, forest).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        rest = written(rest.join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(docs, "k", "t", k, num, den, nodes, rest))
+            tried, labels = tried.unionByName(rest), components(links)
+            opened = written(_open_groups(groups, labels)) if forest else opened
     discard(groups)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "k").join(labels, "node", "left").select("node", "k", F.coalesce("label", "node").alias("label"))
