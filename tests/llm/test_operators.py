@@ -456,3 +456,34 @@ def test_components_both_ways(spark):
     for few in (0, 10**6):
         assert {x["node"]: x["label"] for x in components(df, few=few).collect()} == label
     assert components(df.where("a > 5000")).count() == 0
+
+
+def test_near_duplicates_in_one_long_group(spark):
+    """200 near copies, some just above and most just below the threshold, in several components; none has the words unedited."""
+    import random
+
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        w[rnd.choice((6, 22, 41, 60)) + rnd.randrange(5)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if root[i] != root[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert 2 < len(set(root)) < 100
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_toxicity_of_null_ids_is_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(1, "a plain text"), (None, "no id here")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r["doc_id"]: r["held_out"] for r in toxicity.op1_toxicity(spark, str(tmp_path)).collect()}
+    assert found[None] is False and found[1] is (zlib.crc32(b"1") % 3 == 1)
