@@ -1,8 +1,7 @@
 """Deterministic resampling: bootstrap, permutation and shuffles from hashes.
 
-The draw at (iteration, position) is a function of the seed and both numbers, so a lost task redraws the same rows and
-any engine can repeat it.  A bootstrap needs no index table: every (iteration, position) row computes the row number it
-draws and joins it.  Work is iterations times rows, spread over both.
+A draw is a function of the seed, the iteration and the row's key, so a lost task redraws the same rows and any engine can
+repeat it.  A bootstrap is a weight for each iteration and row, summed where the rows lie.
 """
 
 from __future__ import annotations
@@ -20,21 +19,6 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("-", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def positioned(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """pos: the row's place in order from 0; n: number of rows."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return df.withColumn("pos", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(w))
-
-
-def bootstrap(df: DataFrame, values: list[str], order: list[str], iterations: int, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """(by, iter, values): n draws with replacement for each iteration; all values of a row are drawn together."""
-    by = by or []
-    p = positioned(df, order, by).select(*by, "pos", "n", *values)
-    draws = p.select(*by, F.col("pos").alias("slot"), "n").withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    draws = draws.withColumn("pos", hashed(F.lit(seed), F.col("iter"), F.col("slot")) % F.col("n"))
-    return draws.join(p.drop("n"), [*by, "pos"]).select(*by, "iter", *values)
-
-
 def permuted(df: DataFrame, values: list[str], key: str, iterations: int, seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """(by, iter, k, values): every row once an iteration, in an order of its own (k from 1)."""
     by = by or []
@@ -51,44 +35,78 @@ def permuted_drawdown(df: DataFrame, value: str, key: str, iterations: int, seed
     return x.withColumn("dd", F.max("eq").over(w) - F.col("eq")).groupBy(*by, "iter").agg(F.max("dd").alias("max_dd"))
 
 
-#: Cumulated chances of 0, 1, 2, ... draws of a row, as parts of 2 ** 32.
-_DRAWN = (np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)]) * 2**32).astype(np.uint64)
+#: Chances of at most 0, 1, 2, ... draws of a row (Poisson with mean 1), as parts of 2 ** 32.
+DRAWN = [int(x * 2**32) for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])]
+#: Factors of the 32-bit mixer (the finalizer of MurmurHash3, fixed values) and the step between iterations.
+MIX = (0x85EBCA6B, 0xC2B2AE35)
+STEP = 0x9E3779B9
 #: Random numbers held at a time.
 _CELLS = 1 << 20
 
 
-def _weights(keys: np.ndarray, iters: np.ndarray, seed: int) -> np.ndarray:
-    """[iteration, key]: how often an iteration draws the key's row; Poisson, from a hash of the seed and both."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in ((16, MIX[0]), (13, MIX[1])):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return h ^ (h >> np.uint32(16))
+
+
+def draws(keys: np.ndarray, iters: np.ndarray, seed: int) -> np.ndarray:
+    """[iteration, key]: 32 bits from the seed and both numbers."""
     with np.errstate(over="ignore"):
-        h = keys.astype(np.int64).view(np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15) + (iters.astype(np.uint64)[:, None] + np.uint64(seed << 32)) * np.uint64(0xD1B54A32D192ED03)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        h ^= h >> np.uint64(31)
-    return np.searchsorted(_DRAWN, h >> np.uint64(32), "right").astype(np.float64)
+        k = keys.astype(np.int64).view(np.uint64)
+        k = ((k ^ (k >> np.uint64(32))) & np.uint64(0xFFFFFFFF)).astype(np.uint32) ^ np.uint32(seed)
+        return _mixed(_mixed(k)[None] + iters.astype(np.uint32)[:, None] * np.uint32(STEP))
 
 
-def sign_flips(long: DataFrame, key: str, iterations: int, seed: int = 42) -> DataFrame:
-    """(cond, sign_flip) of rows (key, target, cond): the share of bootstrap means without the sign of the mean.
+def _weights(keys: np.ndarray, iters: np.ndarray, seed: int, chance: np.ndarray | None) -> np.ndarray:
+    h = draws(keys, iters, seed)
+    if chance is not None:
+        return (h < chance * 2**32).astype(np.float64)
+    w = np.zeros(h.shape, np.uint8)
+    for t in DRAWN:
+        w += h >= np.uint32(t)
+    return w.astype(np.float64)
+
+
+def resampled_sums(df: DataFrame, key: str, values: dict[str, Column], iterations: int, seed: int = 42, by: str | None = None, chance: str | None = None) -> DataFrame:
+    """(by, iter, one sum a value): weighted sums of each iteration; null values add nothing.
 
-    The number of times a row is drawn is Poisson (a bootstrap that needs no row numbers and no join), and only sums for each
-    condition and iteration leave a task.  A mean of 0 counts as negative.
+    How often an iteration draws a row is Poisson with mean 1, from a hash of seed, iteration and key: a bootstrap that needs no
+    row numbers, no join and no shuffle of draws.  All values of a row are drawn together, and rows with one key too.  With
+    ``chance`` a row is drawn once or not at all, with the chance in that column (a draw without replacement whose size
+    is n on average).  Tasks give out sums for each group and iteration alone, so what moves does not grow with the rows.
     """
-    rows = long.where("target is not null").select(F.col(key).cast("long").alias("k"), F.col("target").cast("double").alias("r"), "cond")
+    group = F.col(by) if by else F.lit("")
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), (F.col(chance) if chance else F.lit(None)).cast("double").alias("p"), group.alias("_g"), *(F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, v in values.items()))
+    labels, width, drawn = list(values), len(values), chance is not None
 
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
+        sums: dict = {}
+        kind = None
         for b in batches:
-            keys, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
-            r, names = b.column(1).to_numpy(), b.column(2).dictionary_encode()
-            values = np.zeros((len(keys), len(names.dictionary)))
-            np.add.at(values, (at, names.indices.to_numpy()), r)
-            step = max(1, _CELLS // max(1, len(keys)))
-            s = np.concatenate([_weights(keys, np.arange(i, min(i + step, iterations)), seed) @ values for i in range(0, iterations, step)])
+            if not b.num_rows:
+                continue
+            keys, first, at = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True)
+            p = b.column(1).to_numpy(zero_copy_only=False)[first] if drawn else None
+            names = b.column(2).dictionary_encode("encode")
+            kind, slots = b.column(2).type, names.indices.to_numpy()
+            x = np.zeros((len(keys), len(names.dictionary), width))
+            np.add.at(x, (at, slots), np.stack([b.column(3 + j).to_numpy() for j in range(width)], axis=1))
+            step = max(1, _CELLS // len(keys))
+            s = np.concatenate([_weights(keys, np.arange(i, min(i + step, iterations)), seed, p) @ x.reshape(len(keys), -1) for i in range(0, iterations, step)]).reshape(iterations, -1, width)
             for j, name in enumerate(names.dictionary.to_pylist()):
-                sums[name] = sums.get(name, 0) + s[:, j]
+                sums[name] = sums[name] + s[:, j] if name in sums else s[:, j]
         for name, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * iterations), pa.array(np.arange(iterations, dtype=np.int32)), pa.array(s)], ["cond", "iter", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * iterations, kind), pa.array(np.arange(iterations, dtype=np.int32)), *(pa.array(np.ascontiguousarray(s[:, j])) for j in range(width))], ["_g", "iter", *labels])
 
-    s = rows.mapInArrow(run, "cond string, iter int, s double").groupBy("cond", "iter").agg(F.sum("s").alias("s"))
-    seen = rows.groupBy("cond").agg(F.avg("r").alias("obs"))
+    schema = f"_g {rows.schema['_g'].dataType.simpleString()}, iter int, " + ", ".join(f"{n} double" for n in labels)
+    s = rows.mapInArrow(run, schema).groupBy("_g", "iter").agg(*(F.sum(n).alias(n) for n in labels))
+    return s.withColumnRenamed("_g", by) if by else s.drop("_g")
+
+
+def sign_flips(long: DataFrame, key: str, iterations: int, seed: int = 42) -> DataFrame:
+    """(cond, sign_flip) of rows (key, target, cond): the share of bootstrap means without the sign of the mean; a mean of 0 is negative."""
+    rows = long.where("target is not null")
+    s = resampled_sums(rows, key, {"s": F.col("target")}, iterations, seed, by="cond")
+    seen = rows.groupBy("cond").agg(F.avg("target").alias("obs"))
     return s.join(F.broadcast(seen), "cond").groupBy("cond").agg(F.avg(((F.col("s") > 0) != (F.col("obs") > 0)).cast("int")).alias("sign_flip"))

@@ -187,17 +187,45 @@ def stability_run(spark, sf):
 
 # Resampling
 
-ITER = 50
 _HX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_32 = "& 4294967295::UBIGINT"
 
 
-def _boot(src: str, cols: str, order: str, seed: int = 42, by: str = "") -> str:
-    part = f"PARTITION BY {by} " if by else ""
-    b, u = (f"{by}, ", f"USING ({by}, pos)") if by else ("", "USING (pos)")
-    return f"(WITH p AS (SELECT {b}{cols}, row_number() OVER ({part}ORDER BY {order}) - 1 AS pos, count(*) OVER ({part[:-1]}) AS n FROM {src}), d AS (SELECT {b}iter, {_HX.format(f'{seed!r} || chr(45) || iter || chr(45) || pos')} % n AS pos FROM p, range({ITER}) i(iter)) SELECT {b}iter, {cols} FROM d JOIN p {u})".replace(f"{seed!r} ||", f"'{seed}' ||")
+def _mix(x: str) -> str:
+    """Lateral columns m1 to m5 of the mixer of the resampling operators, over an unsigned 32-bit number."""
+    return f"xor({x}, {x} >> 16) AS m1, (m1 * {B.MIX[0]}::UBIGINT) {_32} AS m2, xor(m2, m2 >> 13) AS m3, (m3 * {B.MIX[1]}::UBIGINT) {_32} AS m4, xor(m4, m4 >> 16) AS m5"
+
+
+def _resampled(src: str, values: dict[str, str], iterations: int, by: str = "", chance: str = "", seed: int = 42) -> str:
+    """Twin of ``resampled_sums``; ids are below 2 ** 32."""
+    b = f"{by}, " if by else ""
+    cols = b + ", ".join(f"{v} AS v_{n}" for n, v in values.items()) + (f", {chance} AS chance" if chance else "")
+    keys = f"SELECT * EXCLUDE (m1, m2, m3, m4, m5), m5 AS hk FROM (SELECT *, {_mix('k0')} FROM (SELECT xor(id::UBIGINT, {seed}::UBIGINT) AS k0, {cols} FROM {src}))"
+    drawn = f"SELECT *, {_mix('k1')} FROM (SELECT *, (hk + (iter::UBIGINT * {B.STEP}::UBIGINT) {_32}) {_32} AS k1 FROM ({keys}), range({iterations}) i(iter))"
+    w = "(m5::DOUBLE < chance * 4294967296)::INT" if chance else " + ".join(f"(m5 >= {t})::INT" for t in B.DRAWN)
+    return f"(SELECT {b}iter, " + ", ".join(f"coalesce(sum(({w}) * v_{n}), 0)::DOUBLE AS {n}" for n in values) + f" FROM ({drawn}) GROUP BY {b}iter)"
+
+
+def _gains(r: str, tag: str = "") -> dict[str, str]:
+    return {f"g{tag}": f"CASE WHEN {r} > 0 THEN {r} END", f"l{tag}": f"CASE WHEN {r} < 0 THEN -{r} END"}
+
+
+def gains(r: str, tag: str = "") -> dict:
+    return {f"g{tag}": F.when(F.col(r) > 0, F.col(r)), f"l{tag}": F.when(F.col(r) < 0, -F.col(r))}
+
+
+def factor(tag: str = ""):
+    """Profit factor of resampled gains and losses, null without losses."""
+    return F.when(F.col(f"l{tag}") > 0, F.col(f"g{tag}") / F.col(f"l{tag}"))
+
+
+_MEAN = {"w": "1", "s": "r"}
+
+
+def mean() -> dict:
+    return {"w": F.lit(1), "s": F.col("r")}
 
 
-_BO = _boot("trades_r", "r", "id")
 T = ("trades_r",)
 
 
@@ -205,42 +233,46 @@ def realized(spark, sf):
     return Q.base(spark, sf)[0]
 
 
-@R.add("boot_mean_ci", f"SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT iter, avg(r) AS m FROM {_BO} GROUP BY iter)", T, doubles="lo hi")
+@R.add("boot_mean_ci", f"SELECT quantile_cont(s / w, 0.025) AS lo, quantile_cont(s / w, 0.975) AS hi FROM {_resampled('trades_r', _MEAN, 2000)} WHERE w > 0", T, doubles="lo hi")
 def boot_mean_ci(spark, sf):
-    m = B.bootstrap(realized(spark, sf), ["r"], ["id"], ITER).groupBy("iter").agg(F.avg("r").alias("m"))
+    m = B.resampled_sums(realized(spark, sf), "id", mean(), 2000).where("w > 0").select((F.col("s") / F.col("w")).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
 
 
-@R.add("boot_survival", f"SELECT avg((m <= 0)::INT) AS p_loss, avg((pf < 1)::INT) AS p_pf, quantile_cont(m, 0.05) AS p05, quantile_cont(m, 0.95) AS p95 FROM (SELECT iter, avg(r) AS m, {PF.format('r')} AS pf FROM {_BO} GROUP BY iter)", T, doubles="p_loss p_pf p05 p95")
+@R.add("boot_survival", f"SELECT avg((m <= 0)::INT) AS p_loss, avg((pf < 1)::INT) AS p_pf, quantile_cont(m, 0.05) AS p05, quantile_cont(m, 0.95) AS p95 FROM (SELECT s / w AS m, CASE WHEN l > 0 THEN g / l END AS pf FROM {_resampled('trades_r', {**_MEAN, **_gains('r')}, 5000)} WHERE w > 0)", T, doubles="p_loss p_pf p05 p95")
 def boot_survival(spark, sf):
-    m = B.bootstrap(realized(spark, sf), ["r"], ["id"], ITER).groupBy("iter").agg(F.avg("r").alias("m"), M.finite_profit_factor(F.col("r")).alias("pf"))
+    m = B.resampled_sums(realized(spark, sf), "id", {**mean(), **gains("r")}, 5000).where("w > 0").select((F.col("s") / F.col("w")).alias("m"), factor().alias("pf"))
     return m.agg(F.avg((F.col("m") <= 0).cast("int")).alias("p_loss"), F.avg((F.col("pf") < 1).cast("int")).alias("p_pf"), F.percentile("m", 0.05).alias("p05"), F.percentile("m", 0.95).alias("p95"))
 
 
-_PERM = f"(SELECT iter, id, r, row_number() OVER (PARTITION BY iter ORDER BY {_HX.format(chr(39) + '42-' + chr(39) + ' || iter || chr(45) || id')}, id) AS k FROM trades_r, range({ITER}) i(iter) WHERE {{}})"
+_PERM = f"(SELECT iter, id, r, row_number() OVER (PARTITION BY iter ORDER BY {_HX.format(chr(39) + '42-' + chr(39) + ' || iter || chr(45) || id')}, id) AS k FROM trades_r, range({{}}) i(iter))"
 _MASK = "side = 'buy' AND instrument = 'click'"
+_SIDES = f"(SELECT count(*) FILTER ({_MASK}) AS n, avg(r) FILTER ({_MASK}) AS obs, avg((r > 0)::INT) FILTER ({_MASK}) AS obs_win, count(*) FILTER (NOT ({_MASK})) AS cn, avg(r) FILTER (NOT ({_MASK})) AS cm, avg((r > 0)::INT) FILTER (NOT ({_MASK})) AS cw FROM trades_r)"
+_REST = f"(SELECT t.id, t.r, n / cn::DOUBLE AS share FROM trades_r t, {_SIDES} WHERE NOT ({_MASK}) AND n >= 5 AND cn > n)"
 
 
-@R.add("perm_test", f"SELECT n, obs, avg((abs(m - cm) >= abs(obs - cm))::INT) AS p_value FROM (SELECT iter, avg(r) AS m FROM {_PERM.format(f'NOT ({_MASK})')}, (SELECT count(*) AS n FROM trades_r WHERE {_MASK}) WHERE k <= n GROUP BY iter), (SELECT count(*) AS n, avg(r) AS obs FROM trades_r WHERE {_MASK}), (SELECT avg(r) AS cm FROM trades_r WHERE NOT ({_MASK})) GROUP BY n, obs", T, doubles="obs p_value")
+@R.add("perm_test", f"SELECT n, obs, avg((abs(s / w - cm) >= abs(obs - cm))::INT) AS p_value, avg((abs(g / w - cw) >= abs(obs_win - cw))::INT) AS p_win FROM {_SIDES} LEFT JOIN {_resampled(_REST, {**_MEAN, 'g': '(r > 0)::INT'}, 5000, chance='share')} ON w > 0 GROUP BY n, obs", T, doubles="obs p_value p_win")
 def perm_test(spark, sf):
-    t = realized(spark, sf).withColumn("in_mask", P.matches({"side": "buy", "instrument": "click"}))
-    obs = t.where("in_mask").agg(F.count("*").alias("n"), F.avg("r").alias("obs"))
-    rest = t.where("not in_mask")
-    m = B.permuted(rest, ["r"], "id", ITER).crossJoin(F.broadcast(obs)).where("k <= n").groupBy("iter", "n", "obs").agg(F.avg("r").alias("m"))
-    x = m.crossJoin(F.broadcast(rest.agg(F.avg("r").alias("cm"))))
-    return x.groupBy("n", "obs").agg(F.avg((F.abs(F.col("m") - F.col("cm")) >= F.abs(F.col("obs") - F.col("cm"))).cast("int")).alias("p_value"))
+    """Draws from the complement, without replacement and of the mask's size on average; null under 5 rows or where the complement is no larger."""
+    t = realized(spark, sf).withColumn("in_mask", P.matches({"side": "buy", "instrument": "click"})).withColumn("win", (F.col("r") > 0).cast("int"))
+    inside, outside = F.col("in_mask"), ~F.col("in_mask")
+    of = lambda m, c: F.avg(F.when(m, F.col(c)))
+    sides = t.agg(F.count_if(inside).alias("n"), of(inside, "r").alias("obs"), of(inside, "win").alias("obs_win"), F.count_if(outside).alias("cn"), of(outside, "r").alias("cm"), of(outside, "win").alias("cw"))
+    rest = t.where(outside).crossJoin(F.broadcast(sides.select("n", "cn"))).where("n >= 5 and cn > n").withColumn("share", F.col("n") / F.col("cn"))
+    m = B.resampled_sums(rest, "id", {**mean(), "g": F.col("win")}, 5000, chance="share").where("w > 0")
+    x = F.broadcast(sides).join(m, F.lit(True), "left")
+    far = lambda v, c, o: F.avg((F.abs(F.col(v) / F.col("w") - F.col(c)) >= F.abs(F.col(o) - F.col(c))).cast("int"))
+    return x.groupBy("n", "obs").agg(far("s", "cm", "obs").alias("p_value"), far("g", "cw", "obs_win").alias("p_win"))
 
 
-_MC = f"(SELECT instrument, count(*) AS n, avg(r) AS obs FROM trades_r GROUP BY 1)"
-_MCB = f"(SELECT b.instrument, avg((sign(m) <> sign(obs))::INT) AS sign_flip FROM (SELECT instrument, iter, avg(r) AS m FROM {_boot('trades_r', 'r', 'id', 42, 'instrument')} GROUP BY ALL) b JOIN {_MC} o USING (instrument) GROUP BY b.instrument)"
+_MC = "(SELECT instrument, avg(r) AS obs FROM trades_r GROUP BY 1)"
+_MCB = f"(SELECT instrument, avg(((s > 0) <> (obs > 0))::INT) AS sign_flip FROM {_resampled('trades_r', _MEAN, 5000, 'instrument')} JOIN {_MC} USING (instrument) GROUP BY instrument)"
 
 
 @R.add("mc_pattern", f"SELECT instrument, sign_flip FROM {_MCB}", T, doubles="sign_flip")
 def mc_pattern(spark, sf):
-    t = realized(spark, sf)
-    m = B.bootstrap(t, ["r"], ["id"], ITER, by=["instrument"]).groupBy("instrument", "iter").agg(F.avg("r").alias("m"))
-    o = t.groupBy("instrument").agg(F.avg("r").alias("obs"))
-    return m.join(F.broadcast(o), "instrument").groupBy("instrument").agg(F.avg((F.signum("m") != F.signum("obs")).cast("int")).alias("sign_flip"))
+    t = realized(spark, sf).select("id", F.col("r").alias("target"), F.col("instrument").alias("cond"))
+    return B.sign_flips(t, "id", 5000).withColumnRenamed("cond", "instrument")
 
 
 @R.add("mc_label", f"SELECT instrument, CASE WHEN sign_flip IS NULL THEN 'insufficient' WHEN sign_flip > 0.10 THEN 'fragile' ELSE 'survives' END AS verdict FROM {_MCB}", T)
@@ -248,77 +280,83 @@ def mc_label(spark, sf):
     return mc_pattern(spark, sf).select("instrument", F.when(F.col("sign_flip").isNull(), "insufficient").when(F.col("sign_flip") > 0.10, "fragile").otherwise("survives").alias("verdict"))
 
 
-def _paired_pf(src: str, new: str, by: str = "") -> str:
+def _paired_pf(src: str, new: str, iterations: int, by: str = "") -> str:
     b = f"{by}, " if by else ""
-    return f"(SELECT {b}avg(pn) AS mean_pf, quantile_cont(pn, 0.05) AS p05, quantile_cont(pn, 0.95) AS p95, avg((pn > po)::INT) AS beats FROM (SELECT {b}iter, {PF.format(new)} AS pn, {PF.format('orig_r')} AS po FROM {_boot(src, f'{new}, orig_r', 'id', 42, by)} GROUP BY ALL){f' GROUP BY {by}' if by else ''})"
+    x = _resampled(src, {**_gains(new, "n"), **_gains("orig_r", "o")}, iterations, by)
+    return f"(SELECT {b}avg(pn) AS mean_pf, quantile_cont(pn, 0.05) AS p05, quantile_cont(pn, 0.95) AS p95, avg((pn > po)::INT) AS beats FROM (SELECT {b}CASE WHEN ln > 0 THEN gn / ln END AS pn, CASE WHEN lo > 0 THEN go / lo END AS po FROM {x}){f' GROUP BY {by}' if by else ''})"
 
 
-def paired_pf(df, new: str, by: list[str] | None = None):
-    by = by or []
-    m = B.bootstrap(df, [new, "orig_r"], ["id"], ITER, by=by).groupBy(*by, "iter").agg(M.finite_profit_factor(F.col(new)).alias("pn"), M.finite_profit_factor(F.col("orig_r")).alias("po"))
-    return m.groupBy(*by).agg(F.avg("pn").alias("mean_pf"), F.percentile("pn", 0.05).alias("p05"), F.percentile("pn", 0.95).alias("p95"), F.avg((F.col("pn") > F.col("po")).cast("int")).alias("beats"))
+def paired_pf(df, new: str, iterations: int, by: str | None = None):
+    m = B.resampled_sums(df, "id", {**gains(new, "n"), **gains("orig_r", "o")}, iterations, by=by).withColumns({"pn": factor("n"), "po": factor("o")})
+    return m.groupBy(*([by] if by else [])).agg(F.avg("pn").alias("mean_pf"), F.percentile("pn", 0.05).alias("p05"), F.percentile("pn", 0.95).alias("p95"), F.avg((F.col("pn") > F.col("po")).cast("int")).alias("beats"))
 
 
 _PC = "mean_pf p05 p95 beats"
 
 
-@R.add("boot_pf_paired", f"SELECT * FROM {_paired_pf(Q._T1, 'exit_r')}", T, doubles=_PC)
+@R.add("boot_pf_paired", f"SELECT * FROM {_paired_pf(Q._T1, 'exit_r', 1000)}", T, doubles=_PC)
 def boot_pf_paired(spark, sf):
-    return paired_pf(Q.t1(spark, sf), "exit_r")
+    return paired_pf(Q.t1(spark, sf), "exit_r", 1000)
 
 
 _TOP = f"(SELECT * FROM {Q._SOME} WHERE strategy IN (SELECT strategy FROM (SELECT strategy, {PF.format('exit_r')} AS pf FROM {Q._SOME} GROUP BY 1 ORDER BY round(pf, 9) DESC NULLS LAST, strategy LIMIT 3)))"
 
 
-@R.add("boot_pf_top3", f"SELECT * FROM {_paired_pf(_TOP, 'exit_r', 'strategy')}", T, doubles=_PC)
+@R.add("boot_pf_top3", f"SELECT * FROM {_paired_pf(_TOP, 'exit_r', 1000, 'strategy')}", T, doubles=_PC)
 def boot_pf_top3(spark, sf):
     s = Q.some(spark, sf)
     top = s.groupBy("strategy").agg(M.finite_profit_factor(F.col("exit_r")).alias("pf")).orderBy(F.round("pf", 9).desc_nulls_last(), "strategy").limit(3)
-    return paired_pf(s.join(F.broadcast(top.select("strategy")), "strategy", "left_semi"), "exit_r", ["strategy"])
+    return paired_pf(s.join(F.broadcast(top.select("strategy")), "strategy", "left_semi"), "exit_r", 1000, "strategy")
 
 
-@R.add("boot_pf_cluster", f"SELECT x.*, CASE WHEN p05 > base THEN 'robust' WHEN p95 < base THEN 'not_robust' WHEN (p95 - base) / nullif(p95 - p05, 0) < 0.9 THEN 'borderline' ELSE 'not_robust' END AS verdict FROM {_paired_pf(Q._HY, 'hybrid_r', 'cluster')} x JOIN (SELECT cluster, {PF.format('orig_r')} AS base FROM {Q._HY} GROUP BY 1) USING (cluster)", T, doubles=_PC)
+@R.add("boot_pf_cluster", f"SELECT x.*, CASE WHEN p05 > base THEN 'robust' WHEN p95 < base THEN 'not_robust' WHEN (p95 - base) / nullif(p95 - p05, 0) < 0.9 THEN 'borderline' ELSE 'not_robust' END AS verdict FROM {_paired_pf(Q._HY, 'hybrid_r', 1000, 'cluster')} x JOIN (SELECT cluster, {PF.format('orig_r')} AS base FROM {Q._HY} GROUP BY 1) USING (cluster)", T, doubles=_PC)
 def boot_pf_cluster(spark, sf):
     h = Q.hybrid(spark, sf)
     base = h.groupBy("cluster").agg(M.finite_profit_factor(F.col("orig_r")).alias("base"))
-    x = paired_pf(h, "hybrid_r", ["cluster"]).join(F.broadcast(base), "cluster")
+    x = paired_pf(h, "hybrid_r", 1000, "cluster").join(F.broadcast(base), "cluster")
     p5, p95, b = F.col("p05"), F.col("p95"), F.col("base")
     v = F.when(p5 > b, "robust").when(p95 < b, "not_robust").when((p95 - b) / F.nullif(p95 - p5, F.lit(0.0)) < 0.9, "borderline").otherwise("not_robust")
     return x.withColumn("verdict", v).drop("base")
 
 
-def _shuffled(r: str) -> str:
-    return f"(SELECT iter, max(pk - eq) AS max_dd FROM (SELECT *, max(eq) OVER (PARTITION BY iter ORDER BY k) AS pk FROM (SELECT *, sum({r}) OVER (PARTITION BY iter ORDER BY k) AS eq FROM {_PERM.format('true')})) GROUP BY iter)"
+def _shuffled(r: str, iterations: int) -> str:
+    return f"(SELECT iter, max(pk - eq) AS max_dd FROM (SELECT *, max(eq) OVER (PARTITION BY iter ORDER BY k) AS pk FROM (SELECT *, sum({r}) OVER (PARTITION BY iter ORDER BY k) AS eq FROM {_PERM.format(iterations)})) GROUP BY iter)"
 
 
-@R.add("shuffle_dd", f"SELECT median(max_dd) AS median_dd, quantile_cont(max_dd, 0.95) AS p95_dd FROM {_shuffled('r')}", T, doubles="median_dd p95_dd")
+@R.add("shuffle_dd", f"SELECT median(max_dd) AS median_dd, quantile_cont(max_dd, 0.95) AS p95_dd FROM {_shuffled('r', 1000)}", T, doubles="median_dd p95_dd")
 def shuffle_dd(spark, sf):
-    return B.permuted_drawdown(realized(spark, sf), "r", "id", ITER).agg(F.median("max_dd").alias("median_dd"), F.percentile("max_dd", 0.95).alias("p95_dd"))
+    return B.permuted_drawdown(realized(spark, sf), "r", "id", 1000).agg(F.median("max_dd").alias("median_dd"), F.percentile("max_dd", 0.95).alias("p95_dd"))
 
 
-@R.add("shuffle_dd_actual", f"SELECT actual, median(max_dd) AS median_dd, avg((max_dd < actual)::INT) AS share_smaller FROM {_shuffled('r')}, (SELECT max_dd AS actual FROM ({Q._dd('trades_r', 'r')})) GROUP BY actual", T, doubles="actual median_dd share_smaller")
+@R.add("shuffle_dd_actual", f"SELECT actual, median(max_dd) AS median_dd, avg((max_dd < actual)::INT) AS share_smaller FROM {_shuffled('r', 2000)}, (SELECT max_dd AS actual FROM ({Q._dd('trades_r', 'r')})) GROUP BY actual", T, doubles="actual median_dd share_smaller")
 def shuffle_dd_actual(spark, sf):
     t = realized(spark, sf)
     actual = M.drawdown(t, "r", ["t0", "id"], []).withColumnRenamed("max_dd", "actual")
-    return B.permuted_drawdown(t, "r", "id", ITER).crossJoin(F.broadcast(actual)).groupBy("actual").agg(F.median("max_dd").alias("median_dd"), F.avg((F.col("max_dd") < F.col("actual")).cast("int")).alias("share_smaller"))
+    return B.permuted_drawdown(t, "r", "id", 2000).crossJoin(F.broadcast(actual)).groupBy("actual").agg(F.median("max_dd").alias("median_dd"), F.avg((F.col("max_dd") < F.col("actual")).cast("int")).alias("share_smaller"))
 
 
 @R.add("mc_best_cluster")
 def mc_best_cluster(spark, sf):
     h = Q.hybrid(spark, sf)
-    dd = B.permuted_drawdown(h, "hybrid_r", "id", ITER, by=["cluster"]).groupBy("cluster").agg(F.round(F.median("max_dd"), 6).alias("median_dd"))
+    dd = B.permuted_drawdown(h, "hybrid_r", "id", 1000, by=["cluster"]).groupBy("cluster").agg(F.round(F.median("max_dd"), 6).alias("median_dd"))
     return boot_pf_cluster(spark, sf).join(dd, "cluster")
 
 
-@R.add("boot_tos", f"SELECT * FROM {_paired_pf(Q._TG, 'exit_r')}", T, doubles=_PC)
+@R.add("boot_tos", f"SELECT * FROM {_paired_pf(Q._TG, 'exit_r', 2000)}", T, doubles=_PC)
 def boot_tos(spark, sf):
-    return paired_pf(Q.sim(spark, sf, ["target"]).where("scenario = 'conservative'"), "exit_r")
+    return paired_pf(Q.sim(spark, sf, ["target"]).where("scenario = 'conservative'"), "exit_r", 2000)
+
+
+_ED = f"(SELECT * FROM {Q._NS} WHERE final_r IS NOT NULL)"
 
 
-@R.add("boot_equity_diff", f"SELECT avg(d) AS mean_diff, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg((d < 0)::INT) AS p_worse FROM (SELECT iter, sum(final_r) - sum(orig_r) AS d FROM {_boot(f'(SELECT * FROM {Q._NS} WHERE final_r IS NOT NULL)', 'final_r, orig_r', 'id')} GROUP BY iter)", T, doubles="mean_diff lo hi p_worse")
+@R.add("boot_equity_diff", f"SELECT avg(d) AS mean_diff, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg((d < 0)::INT) AS p_worse FROM (SELECT n * s / w AS d FROM {_resampled(_ED, {'w': '1', 's': 'final_r - orig_r'}, 5000)}, (SELECT count(*) AS n FROM {_ED}) WHERE w > 0)", T, doubles="mean_diff lo hi p_worse")
 def boot_equity_diff(spark, sf):
-    x = B.bootstrap(Q.no_stop(spark, sf).where("final_r is not null"), ["final_r", "orig_r"], ["id"], ITER).groupBy("iter").agg((F.sum("final_r") - F.sum("orig_r")).alias("d"))
-    return x.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.col("d") < 0).cast("int")).alias("p_worse"))
+    """Difference of totals, each resampled mean scaled back to the number of rows."""
+    x = Q.no_stop(spark, sf).where("final_r is not null")
+    m = B.resampled_sums(x, "id", {"w": F.lit(1), "s": F.col("final_r") - F.col("orig_r")}, 5000).where("w > 0")
+    m = m.crossJoin(F.broadcast(x.agg(F.count("*").alias("n")))).select((F.col("n") * F.col("s") / F.col("w")).alias("d"))
+    return m.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.col("d") < 0).cast("int")).alias("p_worse"))
 
 
 # Tests

@@ -4,7 +4,7 @@ Prices are integer cents, so running sums are exact in any engine and any order
 
 * ticks: one price per event and instrument, a random walk of centred values
 * bars_h1, bars_d1e: hourly and daily bars of the ticks; bars_d1: daily bars of all orders
-* trades: every fifth event opens a position with entry, stop, target and an end
+* trades: every event opens a position with entry, stop, target and an end
 * trades_r: trades with realised and potential R
 * orders_r: orders with an R-like outcome against the customer's earlier orders, for pattern search
 * macro: three daily series with gaps
@@ -44,7 +44,7 @@ def bars_d1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir).where("event_id % 5 = 0")
+    t = ticks(spark, sf_dir)
     buy = F.col("user_id") % 2 == 0
     risk = F.lit(5000) + F.col("event_id") % 10 * 3000
     sign = F.when(buy, 1).otherwise(-1)
@@ -90,7 +90,7 @@ ticks AS (SELECT event_id, ts, user_id, instrument, CAST(10000000 + sum(cents -
  FROM (SELECT o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS px FROM orders) GROUP BY ALL)""",
     "trades": """trades AS (SELECT event_id AS id, instrument, ts AS t0, ts + to_hours(CAST(1 + event_id % 36 AS INTEGER)) AS t1, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, px AS entry,
  5000 + event_id % 10 * 3000 AS risk, px - (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) * (5000 + event_id % 10 * 3000) AS stop,
- px + (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) * (1 + event_id % 5) * (5000 + event_id % 10 * 3000) AS target, 1 + event_id % 7 AS amount FROM ticks WHERE event_id % 5 = 0)""",
+ px + (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) * (1 + event_id % 5) * (5000 + event_id % 10 * 3000) AS target, 1 + event_id % 7 AS amount FROM ticks)""",
     "tb": """tb AS (SELECT t.*, b.bar_ts, b.open, b.high, b.low, b.close, CAST(row_number() OVER (PARTITION BY id ORDER BY bar_ts) - 1 AS BIGINT) AS rn FROM trades t JOIN bars_h1 b ON b.instrument = t.instrument AND b.bar_ts >= t.t0 AND b.bar_ts <= t.t1)""",
     "trades_r": """x0 AS (SELECT id, arg_max(close, bar_ts) AS last_close, max(high) AS hi, min(low) AS lo, count(*) AS n_bars FROM tb GROUP BY id),
 trades_r AS (SELECT t.*, coalesce(last_close, entry) AS exit_px, (CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * (coalesce(last_close, entry) - entry)::DOUBLE / risk AS r,
