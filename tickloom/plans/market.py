@@ -233,7 +233,7 @@ def macro_corr(spark, sf):
 # Positions and bars
 
 
-@R.add("exc_mfe_mae", "SELECT id, n_bars, CASE WHEN side = 'buy' THEN hi ELSE lo END AS mfe_px, CASE WHEN side = 'buy' THEN lo ELSE hi END AS mae_px, mfe_r, mae_r FROM trades_r LEFT JOIN x0 USING (id, n_bars)", ("trades_r",), doubles="mfe_r mae_r")
+@R.add("exc_mfe_mae", "SELECT id, n_bars, CASE WHEN side = 'buy' THEN hi ELSE lo END AS mfe_px, CASE WHEN side = 'buy' THEN lo ELSE hi END AS mae_px, mfe_r, mae_r FROM trades_r LEFT JOIN x0 USING (id, n_bars)", ("trades_r",), doubles="mfe_r mae_r", digits=11)
 def exc_mfe_mae(spark, sf):
     return J.excursions(X.trades(spark, sf), X.bars_h1(spark, sf)).select("id", "n_bars", "mfe_px", "mae_px", "mfe_r", "mae_r")
 
@@ -293,7 +293,7 @@ def feat_prev_outcome(spark, sf):
     return x.select("id", F.when(F.col("pr").isNull(), "no_prior_trade").when(F.col("pr") > 0, "prev_win").otherwise("prev_loss").alias("prev_outcome"))
 
 
-@R.add("feat_speed_30m", "SELECT t.id, max(CASE WHEN side = 'buy' THEN high - entry ELSE entry - low END::DOUBLE / risk) AS speed_r FROM trades t LEFT JOIN bars_h1 b ON b.instrument = t.instrument AND b.bar_ts >= t0 AND b.bar_ts <= least(t0 + INTERVAL 3 HOUR, t1) GROUP BY t.id", ("trades", "bars_h1"), doubles="speed_r")
+@R.add("feat_speed_30m", "SELECT t.id, max(CASE WHEN side = 'buy' THEN high - entry ELSE entry - low END::DOUBLE / risk) AS speed_r FROM trades t LEFT JOIN bars_h1 b ON b.instrument = t.instrument AND b.bar_ts >= t0 AND b.bar_ts <= least(t0 + INTERVAL 3 HOUR, t1) GROUP BY t.id", ("trades", "bars_h1"), doubles="speed_r", digits=11)
 def feat_speed_30m(spark, sf):
     return _speed(spark, sf)
 
@@ -331,7 +331,7 @@ def string_ops(spark, sf):
     return X.trades(spark, sf).select("id", F.substring(F.date_format("t0", "yyyy-MM-dd"), 1, 7).alias("month"), label.alias("label"), F.left(label, F.lit(9)).alias("short_label"))
 
 
-@R.add("feat_rr_setup", "SELECT id, CASE WHEN side = 'buy' THEN target - entry ELSE entry - target END::DOUBLE / nullif(risk, 0) AS rr_setup FROM trades", ("trades",), doubles="rr_setup")
+@R.add("feat_rr_setup", "SELECT id, CASE WHEN side = 'buy' THEN target - entry ELSE entry - target END::DOUBLE / nullif(risk, 0) AS rr_setup FROM trades", ("trades",), doubles="rr_setup", digits=11)
 def feat_rr_setup(spark, sf):
     return X.trades(spark, sf).select("id", I.safe_div(J.signed(F.col("target") - F.col("entry")), F.col("risk")).alias("rr_setup"))
 
@@ -353,12 +353,12 @@ def exit_quality(spark, sf):
     return _realized(spark, sf).select("id", quality(F.col("r"), F.col("mfe_r")).alias("quality"))
 
 
-@R.add("exit_efficiency", "SELECT id, CASE WHEN mfe_r > 0 THEN r / mfe_r END AS efficiency FROM trades_r", ("trades_r",), doubles="efficiency")
+@R.add("exit_efficiency", "SELECT id, CASE WHEN mfe_r > 0 THEN r / mfe_r END AS efficiency FROM trades_r", ("trades_r",), doubles="efficiency", digits=11)
 def exit_efficiency(spark, sf):
     return _realized(spark, sf).select("id", F.when(F.col("mfe_r") > 0, F.col("r") / F.col("mfe_r")).alias("efficiency"))
 
 
-@R.add("left_on_table", "SELECT id, CASE WHEN mfe_r IS NOT NULL THEN greatest(mfe_r - r, 0) END AS left_r, CASE WHEN mfe_r IS NOT NULL THEN greatest(mfe_r - r, 0) * risk * amount / 100 END AS left_usd FROM trades_r", ("trades_r",), doubles="left_r left_usd")
+@R.add("left_on_table", "SELECT id, CASE WHEN mfe_r IS NOT NULL THEN greatest(mfe_r - r, 0) END AS left_r, CASE WHEN mfe_r IS NOT NULL THEN greatest(mfe_r - r, 0) * risk * amount / 100 END AS left_usd FROM trades_r", ("trades_r",), doubles="left_r left_usd", digits=11)
 def left_on_table(spark, sf):
     left = F.when(F.col("mfe_r").isNotNull(), F.greatest(F.col("mfe_r") - F.col("r"), F.lit(0.0)))
     return _realized(spark, sf).select("id", left.alias("left_r"), (left * F.col("risk") * F.col("amount") / 100).alias("left_usd"))

@@ -127,7 +127,7 @@ def no_stop(spark, sf):
     return E.no_stop(t, b)
 
 
-@R.add("sim_no_stop", f"SELECT id, orig_r, final_r, best_r, worst_r, censored, worst_r <= -3 AS catastrophic FROM {_NS}", V, doubles="orig_r final_r best_r worst_r")
+@R.add("sim_no_stop", f"SELECT id, orig_r, final_r, best_r, worst_r, censored, worst_r <= -3 AS catastrophic FROM {_NS}", V, doubles="orig_r final_r best_r worst_r", digits=11)
 def sim_no_stop(spark, sf):
     return no_stop(spark, sf).drop("t0", "amount")
 
@@ -140,7 +140,7 @@ def eod(spark, sf):
     return E.end_of_day(t, b)
 
 
-@R.add("sim_eod", f"SELECT id, exit_r, reason FROM {_EOD}", V, doubles="exit_r")
+@R.add("sim_eod", f"SELECT id, exit_r, reason FROM {_EOD}", V, doubles="exit_r", digits=11)
 def sim_eod(spark, sf):
     return eod(spark, sf).select("id", "exit_r", "reason")
 
@@ -341,7 +341,7 @@ def tail_risk(spark, sf):
     return no_stop(spark, sf).where("worst_r is not null").agg(F.count("*").alias("n"), F.count_if(F.col("worst_r") <= -3).alias("n_catastrophic"), F.percentile("worst_r", 0.01).alias("p1"), F.percentile("worst_r", 0.05).alias("p5"), F.median("worst_r").alias("p50"), F.min("worst_r").alias("worst"))
 
 
-@R.add("stopout_recovery", f"SELECT count(*) AS n, avg((final_r > 0)::INT) AS recovered, median(CASE WHEN final_r > 0 THEN final_r END) AS median_recovered FROM {_NS} WHERE orig_r <= -0.99 AND final_r IS NOT NULL", V, doubles="recovered median_recovered")
+@R.add("stopout_recovery", f"SELECT count(*) AS n, avg((final_r > 0)::INT) AS recovered, median(CASE WHEN final_r > 0 THEN final_r END) AS median_recovered FROM {_NS} WHERE orig_r <= -0.99 AND final_r IS NOT NULL", V, doubles="recovered median_recovered", digits=9)
 def stopout_recovery(spark, sf):
     x = no_stop(spark, sf).where("orig_r <= -0.99 and final_r is not null")
     return x.agg(F.count("*").alias("n"), F.avg((F.col("final_r") > 0).cast("double")).alias("recovered"), F.median(F.when(F.col("final_r") > 0, F.col("final_r"))).alias("median_recovered"))
@@ -361,7 +361,7 @@ def tos(spark, sf):
     return x.withColumn("status", status).join(tie, "id", "left").withColumn("tie", F.coalesce("tie", F.lit(False)))
 
 
-@R.add("tos_trade_table", f"SELECT id, orig_r, exit_r, status, tie FROM {_TOS}", V, doubles="orig_r exit_r")
+@R.add("tos_trade_table", f"SELECT id, orig_r, exit_r, status, tie FROM {_TOS}", V, doubles="orig_r exit_r", digits=11)
 def tos_trade_table(spark, sf):
     return tos(spark, sf).select("id", "orig_r", "exit_r", "status", "tie")
 
@@ -394,7 +394,7 @@ def trail_regime_perf(spark, sf):
     return x.groupBy("regime").agg(M.finite_profit_factor(F.col("exit_r")).alias("trail_pf"), M.finite_profit_factor(F.col("orig_r")).alias("orig_pf"), F.avg("exit_r").alias("trail_exp"), F.avg("orig_r").alias("orig_exp"), (F.avg("exit_r") > F.avg("orig_r")).alias("beats"))
 
 
-@R.add("eod_summary", f"SELECT reason, count(*) AS n, avg(exit_r) AS mean_r, median(exit_r) AS median_r, avg((exit_r > 0)::INT) AS win_rate, {_PF.format('exit_r')} AS profit_factor FROM {_EOD} GROUP BY reason", V, doubles="mean_r median_r win_rate profit_factor")
+@R.add("eod_summary", f"SELECT reason, count(*) AS n, avg(exit_r) AS mean_r, median(exit_r) AS median_r, avg((exit_r > 0)::INT) AS win_rate, {_PF.format('exit_r')} AS profit_factor FROM {_EOD} GROUP BY reason", V, doubles="mean_r median_r win_rate profit_factor", digits=9)
 def eod_summary(spark, sf):
     v = F.col("exit_r")
     return eod(spark, sf).groupBy("reason").agg(F.count("*").alias("n"), F.avg(v).alias("mean_r"), F.median(v).alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"))
