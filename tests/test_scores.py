@@ -18,6 +18,37 @@ def test_sign_flips(spark):
         assert abs(got[c] - np.mean((means > 0) != (x.mean() > 0))) < 0.03, c
 
 
+def test_resampled_sums(spark):
+    """Against plain loops: weights by key and iteration, groups, nulls, repeated and null keys, an empty table."""
+    rows = [(1, "a", 2.0), (2, "a", None), (2, "b", 1.5), (2, "b", 0.5), (None, "b", 4.0), (2**40 + 7, None, -1.0)]
+    mask, want = 2**32 - 1, {}
+
+    def mixed(h):
+        for shift, factor in ((16, B.MIX[0]), (13, B.MIX[1])):
+            h = (h ^ h >> shift) * factor & mask
+        return h ^ h >> 16
+
+    for k, g, v in rows:
+        k = k or 0
+        for i in range(40):
+            h = mixed(mixed((k ^ k >> 32) & mask ^ 42) + i * B.STEP & mask)
+            want[g, i] = want.get((g, i), 0.0) + sum(h >= t for t in B.DRAWN) * (v or 0.0)
+    df = spark.createDataFrame(rows, "id bigint, iter string, v double")
+    for n in (1, 4):
+        got = B.resampled_sums(df.repartition(n), "id", {"s": F.col("v")}, 40).count()
+        assert got == 40
+        named = df.withColumnRenamed("iter", "grp").repartition(n)
+        assert {(r["grp"], r["iter"]): r["s"] for r in B.resampled_sums(named, "id", {"s": F.col("v")}, 40, by="grp").collect()} == want
+    assert B.resampled_sums(df.limit(0), "id", {"s": F.col("v")}, 40).count() == 0
+
+
+def test_draws_are_poisson_and_chances_hold(spark):
+    w = B._weights(np.arange(2000), np.arange(500), 42, None)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.01
+    assert abs(B._weights(np.arange(2000), np.arange(500), 42, np.full(2000, 0.3)).mean() - 0.3) < 0.005
+    assert abs(np.corrcoef(w[:, :50].T)[np.triu_indices(50, 1)]).max() < 0.25
+
+
 def test_tier_needs_survival(spark):
     rows = [(True, 0.05, 30, 0.001), (True, 0.11, 30, 0.001), (False, 0.05, 30, 0.01), (False, 0.2, 30, 0.01), (True, None, 30, 0.001), (True, 0.0, 20, 0.2)]
     x = spark.createDataFrame(rows, "reject_fdr boolean, sign_flip double, n int, p_exp double").coalesce(1)
