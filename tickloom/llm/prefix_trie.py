@@ -239,8 +239,9 @@ def _digest_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """A digest for every run of equal keys of a sorted stream; holds one digest's state, not its members."""
     key, state = None, None
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array([v], pa.int64()) for v in key[:3]), pa.array([key[3]], pa.binary()), pa.array([state.hexdigest()])], ["depth", "f0", "f1", "chain", "ends_sha256"])
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 3 + [pa.binary(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], ["depth", "f0", "f1", "chain", "ends_sha256"])
 
     for b in batches:
         n = b.num_rows
@@ -253,6 +254,7 @@ def _digest_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for c in cols:
             change[1:] |= c[1:] != c[:-1]
         start = np.flatnonzero(change).tolist()
+        done = []
         for s, e in zip(start, [*start[1:], n], strict=True):
             k = (*(int(c[s]) for c in cols[:3]), cols[3][s])
             said = ",".join(map(str, conv[s:e])).encode()
@@ -260,10 +262,11 @@ def _digest_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 state.update(b"," + said)
             else:
                 if key is not None:
-                    yield done()
+                    done.append((*key, state.hexdigest()))
                 key, state = k, hashlib.sha256(said)
+        yield rows(done)
     if key is not None:
-        yield done()
+        yield rows([(*key, state.hexdigest())])
 
 
 #: Conversations that share a start in the registered query come in blocks of so many ids, and share fewer than HEADS turns.
