@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -35,13 +35,6 @@ def years(ts: Column) -> Column:
     return F.greatest((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / F.lit(365.25 * 86400 * 1e6), F.lit(1e-9))
 
 
-def drawdown(df: DataFrame, r: str, order: list[str], by: list[str]) -> DataFrame:
-    """Deepest fall of cumulated R from its peak, which begins at the first value."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if by else Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    e = df.withColumn("_eq", F.sum(r).over(w)).withColumn("_dd", F.max("_eq").over(w) - F.col("_eq"))
-    return e.groupBy(*by).agg(F.max("_dd").alias("max_dd"))
-
-
 def summary(r: Column, ts: Column) -> list[Column]:
     n = F.count(r)
     return [n.alias("n"), win_rate(r).alias("win_rate"), expectancy(r).alias("expectancy"), finite_profit_factor(r).alias("profit_factor"), sharpe(r, n / years(ts)).alias("sharpe")]

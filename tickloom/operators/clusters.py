@@ -1,11 +1,15 @@
-"""Clustering and model selection on pyspark.ml."""
+"""Clustering: all restarts in one scan a step, silhouettes of pyspark.ml, losing streaks."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,29 +18,115 @@ def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in levels})
 
 
-def fit(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3), restarts: int = 3, seed: int = 42):
-    """(model pipeline parts, k, silhouette) of the best k; each k keeps the cheapest of its restarts.  Rows with nulls are left out."""
-    x = VectorAssembler(inputCols=columns, outputCol="raw").transform(df.dropna(subset=columns))
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(x)
-    x = scaler.transform(x).select("features").cache()
+@dataclass
+class Clusters:
+    """Standardisation and centres; ``centres`` are in standardised coordinates."""
+
+    columns: list[str]
+    means: np.ndarray
+    scales: np.ndarray
+    centres: np.ndarray
+    cost: float
+    silhouette: float
+
+    @property
+    def k(self) -> int:
+        return len(self.centres)
+
+
+#: Rows that starting centres are drawn from, the first by hash; all rows take part in everything after.
+START_ROWS = 2000
+
+
+def starts(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k starting centres, each drawn with a chance by its squared distance from those before."""
+    centres = [rows[rng.integers(len(rows))]]
+    while len(centres) < k:
+        d = np.min([((rows - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(rows[rng.choice(len(rows), p=d / d.sum())] if d.sum() > 0 else centres[0])
+    return np.array(centres)
+
+
+def advance(x: DataFrame, models: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """One step of all models in one scan of the rows: new centres, and the costs of the old.  Tasks give out sums a centre."""
+    width = len(x.columns)
+
+    def run(batches):
+        sums = [np.zeros((len(m), width + 2)) for m in models]
+        for b in batches:
+            if b.num_rows:
+                r = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+                for s, m in zip(sums, models, strict=True):
+                    d = ((r[:, None, :] - m[None]) ** 2).sum(axis=2)
+                    near = d.argmin(axis=1)
+                    np.add.at(s, near, np.concatenate([r, np.ones((len(r), 1)), d[np.arange(len(r)), near][:, None]], axis=1))
+        flat = np.concatenate(sums)
+        ids = [(i, j) for i, m in enumerate(models) for j in range(len(m))]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int32()), pa.array([j for _, j in ids], pa.int32()), *(pa.array(np.ascontiguousarray(flat[:, q])) for q in range(width + 2))], ["m", "j", *names])
+
+    names = [f"s{q}" for q in range(width + 2)]
+    got = {(r["m"], r["j"]): np.array(r[2:]) for r in x.mapInArrow(run, "m int, j int, " + ", ".join(f"{n} double" for n in names)).groupBy("m", "j").agg(*(F.sum(n).alias(n) for n in names)).collect()}
+    new = [np.array([got[i, j][:width] / got[i, j][width] if got[i, j][width] else c for j, c in enumerate(m)]) for i, m in enumerate(models)]
+    return new, [sum(got[i, j][width + 1] for j in range(len(m))) for i, m in enumerate(models)]
+
+
+def fit_all(x: DataFrame, models: list[np.ndarray], steps: int = 50, tol: float = 1e-4) -> tuple[list[np.ndarray], list[float]]:
+    """Lloyd's steps of all models side by side until no centre moves by more than tol; those that stand still leave the scan."""
+    models, costs, open_ = list(models), [math.inf] * len(models), list(range(len(models)))
+    for _ in range(steps):
+        new, cost = advance(x, [models[i] for i in open_])
+        moved = []
+        for i, m, c in zip(open_, new, cost, strict=True):
+            costs[i] = c
+            if ((m - models[i]) ** 2).sum(axis=1).max() > tol * tol:
+                moved.append(i)
+            models[i] = m
+        open_ = moved
+        if not open_:
+            break
+    if open_:
+        for i, c in zip(open_, advance(x, [models[i] for i in open_])[1], strict=True):
+            costs[i] = c
+    return models, costs
+
+
+def fit(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), restarts: int = 10, seed: int = 42) -> Clusters:
+    """The k of the best silhouette; each k keeps the cheapest of its restarts.  Rows with nulls are left out.
+
+    All restarts of all k advance together: one scan a step, whatever their number.  A silhouette is by squared distances.
+    """
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    s = rows.agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
+    if s["n"] < 15:
+        raise ValueError("too few rows to cluster")
+    means, scales = np.array([s[f"m_{c}"] for c in columns]), np.array([s[f"s_{c}"] or 1.0 for c in columns])
+    x = rows.select(*(((F.col(c) - F.lit(float(m))) / F.lit(float(d))).alias(c) for c, m, d in zip(columns, means, scales, strict=True))).persist()
     try:
-        if x.count() < 15:
-            raise ValueError("too few rows to cluster")
+        some = np.array([list(r) for r in x.orderBy(F.xxhash64(*columns), *columns).limit(START_ROWS).collect()])
+        plan = [(k, i) for k in ks for i in range(restarts)]
+        models, costs = fit_all(x, [starts(some, k, np.random.default_rng([seed, k, i])) for k, i in plan])
         best = None
         for k in ks:
-            model = min((KMeans(k=k, seed=seed + i, maxIter=20).fit(x) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
-            score = ClusteringEvaluator().evaluate(model.transform(x))
-            if best is None or score > best[2]:
-                best = (model, k, score)
-        return scaler, *best
+            at = min((i for i, (q, _) in enumerate(plan) if q == k), key=lambda i: costs[i])
+            c = Clusters(columns, means, scales, models[at], costs[at], 0.0)
+            marked = VectorAssembler(inputCols=columns, outputCol="features").transform(x).withColumn("prediction", nearest(columns, np.zeros(len(columns)), np.ones(len(columns)), c.centres).cast("double"))
+            c.silhouette = ClusteringEvaluator().evaluate(marked) if marked.select("prediction").distinct().count() > 1 else -1.0
+            best = c if best is None or c.silhouette > best.silhouette else best
+        return best
     finally:
         x.unpersist()
 
 
-def assign(df: DataFrame, columns: list[str], scaler, model) -> DataFrame:
+def nearest(columns: list[str], means: np.ndarray, scales: np.ndarray, centres: np.ndarray) -> Column:
+    """Number of the nearest centre, the first of equals; missing values count as 0."""
+    z = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, means, scales, strict=True)]
+    far = [F.struct(sum(((v - F.lit(float(p))) * (v - F.lit(float(p))) for v, p in zip(z, c, strict=True)), F.lit(0.0)).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]
+    return F.least(*far)["cluster"] if len(far) > 1 else F.lit(0)
+
+
+def assign(df: DataFrame, fitted: Clusters) -> DataFrame:
     """df with its cluster; missing values count as 0."""
-    x = VectorAssembler(inputCols=columns, outputCol="raw").transform(df.fillna(0, subset=columns))
-    return model.transform(scaler.transform(x)).withColumnRenamed("prediction", "cluster").drop("raw", "features")
+    return df.withColumn("cluster", nearest(fitted.columns, fitted.means, fitted.scales, fitted.centres))
 
 
 def losing_streak(df: DataFrame, r: str, order: list[str], by: list[str]) -> DataFrame:

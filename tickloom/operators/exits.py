@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import interval_join, numbered, signed
+from .intervals import interval_join, numbered, signed, window_extremes
 
 TRAILS = (0.01, 0.02, 0.03, 0.05, 0.08, 0.10, 0.15, 0.20)
 ACTIVATION = 0.15
@@ -132,9 +132,8 @@ def simulate(trades: DataFrame, bars: DataFrame, chosen: dict[str, Rule] | None
 def no_stop(trades: DataFrame, bars: DataFrame, days: int = 30) -> DataFrame:
     """Ride every position for so many days without a stop: final, best and worst R (extremes not inside of the entry), and whether the bars end before."""
     end = F.col("t0") + F.make_dt_interval(days=F.lit(days))
-    p = interval_join(trades, bars, F.col("t0"), end)
     buy = F.col("side") == "buy"
-    g = p.groupBy("id").agg(F.max_by("close", "bar_ts").alias("last"), F.max("high").alias("h"), F.min("low").alias("l"))
+    g = window_extremes(trades, bars, F.col("t0"), end)
     last_bar = bars.groupBy("instrument").agg(F.max("bar_ts").alias("data_end"))
     x = trades.join(g, "id", "left").join(F.broadcast(last_bar), "instrument", "left")
     best = F.when(buy, F.greatest(F.col("h"), F.col("entry"))).otherwise(F.least(F.col("l"), F.col("entry")))

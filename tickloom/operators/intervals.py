@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as O
+
 
 def interval_join(trades: DataFrame, bars: DataFrame, start: Column, end: Column, by: str = "instrument", ts: str = "bar_ts", how: str = "inner") -> DataFrame:
     """Every pair of a position and a bar of its instrument with start <= bar time <= end."""
@@ -81,13 +83,46 @@ def streak(bars: DataFrame, n: int = 5, by: str = "instrument", ts: str = "bar_t
     return b.withColumn(f"streak_{n}", F.when(F.col("_d") == 0, 0).otherwise(out)).drop("_d")
 
 
+def window_extremes(trades: DataFrame, bars: DataFrame, start: Column, end: Column, unit: int = 3600, levels: int = 11, key: str = "id", by: str = "instrument", ts: str = "bar_ts") -> DataFrame:
+    """(key, last, h, l): last close, highest high and lowest low of the bars with start <= bar time <= end; no row without bars.
+
+    Bars are rolled up into spans of 1, 2, 4, ... 2 ** (levels - 1) units.  A window is put together from the spans that tile it,
+    at most two a level, so a position meets a number of rows logarithmic in its window in place of all its bars (a window
+    longer than the top level's span also takes as many of those as it holds).  Bars begin at whole units (seconds).
+    """
+    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+    at = F.floor(seconds / unit).cast("long")
+    b = bars.select(by, F.col(ts).alias("_ts"), "high", "low", "close", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda j: F.struct(j.alias("j"), F.floor(at / F.pow(F.lit(2), j)).cast("long").alias("b")))).alias("_s"))
+    spans = b.groupBy(by, F.col("_s.j").alias("_j"), F.col("_s.b").alias("_b")).agg(F.max("high").alias("h"), F.min("low").alias("l"), F.max(F.struct("_ts", "close")).alias("c"))
+    # half-open range of units; bounds at level j are both divided by 2 ** j, the lower rounded up
+    micros = unit * 1_000_000
+    t = trades.select(key, by, (-F.floor(-F.unix_micros(start.cast("timestamp")) / micros)).cast("long").alias("_from"), (F.floor(F.unix_micros(end.cast("timestamp")) / micros) + 1).cast("long").alias("_to"))
+
+    def tiles(j: Column) -> Column:
+        size = F.pow(F.lit(2), j)
+        lo, hi = (-F.floor(-F.col("_from") / size)).cast("long"), F.floor(F.col("_to") / size).cast("long")
+        left, right = F.when((lo % 2 != 0) & (lo < hi), F.array(lo)), F.when((hi % 2 != 0) & (lo < hi), F.array(hi - 1))
+        none = F.array().cast("array<bigint>")
+        whole = F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(none)
+        some = F.concat(F.coalesce(left, none), F.coalesce(right, none))
+        return F.transform(F.when(j == levels - 1, whole).otherwise(some), lambda x: F.struct(j.alias("j"), x.alias("b")))
+
+    t = t.withColumn("_s", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), tiles)))).select(key, by, F.col("_s.j").alias("_j"), F.col("_s.b").alias("_b"))
+    x = t.join(spans, [by, "_j", "_b"])
+    return x.groupBy(key).agg(F.max("c")["close"].alias("last"), F.max("h").alias("h"), F.min("l").alias("l"))
+
+
 def asof_before(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, columns: list[str], tie: str, strict: bool = True) -> DataFrame:
-    """For each left row the columns of the last right row before it (or at it), by a tagged union and one window: no theta join."""
-    order = 1 if strict else -1
+    """For each left row the columns of the last right row before it (or at it), by a tagged union and one window: no theta join.  Without keys the window runs over range pieces."""
+    sign = 1 if strict else -1
     keys = [F.col(k) for k in by]
     struct = F.struct(*columns)
     marks = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0 if not strict else 1).alias("_tag"), F.col(tie).cast("long").alias("_tie"), struct.alias("_v"), F.lit(None).cast(left.schema.simpleString()).alias("_l"))
-    rows = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(0 if order > 0 else 1).alias("_tag"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(marks.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_l"))
-    w = Window.partitionBy(*by).orderBy("_ts", "_tag", "_tie").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy("_ts", "_tag", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    u = marks.unionByName(rows).withColumn("_found", F.last("_v", ignorenulls=True).over(w))
+    rows = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(0 if sign > 0 else 1).alias("_tag"), F.lit(0).cast("long").alias("_tie"), F.lit(None).cast(marks.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_l"))
+    order = ["_ts", "_tag", "_tie"]
+    u = marks.unionByName(rows)
+    if by:
+        u = u.withColumn("_found", F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        u = O.last_before(O.dealt(u, order), "_v", order, "_found")
     return u.where("_l is not null").select("_l.*", *(F.col("_found")[c].alias(c) for c in columns))

@@ -13,26 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def hashed(*parts: Column) -> Column:
-    """32 bits of an MD5 of the parts, as a number."""
-    return F.conv(F.substring(F.md5(F.concat_ws("-", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
-
-
-def permuted(df: DataFrame, values: list[str], key: str, iterations: int, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """(by, iter, k, values): every row once an iteration, in an order of its own (k from 1)."""
-    by = by or []
-    x = df.select(*by, key, *values).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    x = x.withColumn("_h", hashed(F.lit(seed), F.col("iter"), F.col(key)))
-    return x.withColumn("k", F.row_number().over(Window.partitionBy(*by, "iter").orderBy("_h", key))).drop("_h")
-
-
-def permuted_drawdown(df: DataFrame, value: str, key: str, iterations: int, seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """(by, iter, max_dd): drawdown of the cumulated value in each permuted order."""
-    by = by or []
-    w = Window.partitionBy(*by, "iter").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    x = permuted(df, [value], key, iterations, seed, by).withColumn("eq", F.sum(value).over(w))
-    return x.withColumn("dd", F.max("eq").over(w) - F.col("eq")).groupBy(*by, "iter").agg(F.max("dd").alias("max_dd"))
+from ..sources.scratch import stored
+from .ordered import PIECE, deepest_fall
 
 
 #: Chances of at most 0, 1, 2, ... draws of a row (Poisson with mean 1), as parts of 2 ** 32.
@@ -110,3 +92,156 @@ def sign_flips(long: DataFrame, key: str, iterations: int, seed: int = 42) -> Da
     s = resampled_sums(rows, key, {"s": F.col("target")}, iterations, seed, by="cond")
     seen = rows.groupBy("cond").agg(F.avg("target").alias("obs"))
     return s.join(F.broadcast(seen), "cond").groupBy("cond").agg(F.avg(((F.col("s") > 0) != (F.col("obs") > 0)).cast("int")).alias("sign_flip"))
+
+
+#: Rows of one iteration that are folded by one call.
+BUCKET_ROWS = 1 << 16
+
+
+def permuted_drawdown(df: DataFrame, value: str, key: str, iterations: int, seed: int = 42, by: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(by, iter, max_dd): drawdown of the cumulated value in an order of its own for each iteration: by hash, then value.
+
+    Tasks hash their rows for all iterations and give out, for each iteration and bucket of hashes, the rows in order as
+    one packed value.  Each bucket is merged and folded to its sum, highest and lowest prefix and deepest fall, and the
+    buckets are combined in order.  Nothing sorts a whole iteration.  Null values count as 0.
+    """
+    group = F.col(by) if by else F.lit("")
+    rows = stored(df.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("k"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"), group.alias("_g")), "values")
+    bits = max(0, math.ceil(math.log2(max(1, rows.count()) / bucket_rows)))
+    kind = np.dtype([("h", "<u4"), ("v", "<f8")])
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.column(2).dictionary_encode("encode")
+            slots = names.indices.to_numpy()
+            for i, g in enumerate(names.dictionary.to_pylist()):
+                mine = slots == i
+                keys, v = b.column(0).to_numpy()[mine], b.column(1).to_numpy()[mine]
+                step = max(1, _CELLS // len(keys))
+                for at in range(0, iterations, step):
+                    iters = np.arange(at, min(at + step, iterations))
+                    it, bucket, packed = [], [], []
+                    for j, h in zip(iters.tolist(), draws(keys, iters, seed), strict=True):
+                        order = np.lexsort((v, h))
+                        rec = np.empty(len(h), kind)
+                        rec["h"], rec["v"] = h[order], v[order]
+                        own = rec["h"].astype(np.int64) >> (32 - bits)
+                        cut = np.append(0, np.flatnonzero(np.diff(own)) + 1)
+                        for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(h)], strict=True):
+                            it.append(j)
+                            bucket.append(int(own[s]))
+                            packed.append(rec[s:e].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(it), b.column(2).type), pa.array(it, pa.int32()), pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["_g", "iter", PIECE, "rows"])
+
+    def fold(table: pa.Table) -> pa.Table:
+        rec = np.frombuffer(b"".join(table.column("rows").to_pylist()), kind)
+        s = np.cumsum(rec["v"][np.lexsort((rec["v"], rec["h"]))])
+        state = [s[-1], s.max(), s.min(), (np.maximum.accumulate(s) - s).max()]
+        return pa.table([table.column(i).slice(0, 1) for i in range(3)] + [pa.array([float(x)]) for x in state], names=["_g", "iter", PIECE, "_sum", "_high", "_low", "_fall"])
+
+    g = f"_g {rows.schema['_g'].dataType.simpleString()}, iter int, {PIECE} int"
+    packed = rows.mapInArrow(deal, f"{g}, rows binary")
+    state = packed.groupBy("_g", "iter", PIECE).applyInArrow(fold, f"{g}, _sum double, _high double, _low double, _fall double")
+    out = deepest_fall(state, ["_g", "iter"])
+    return out.withColumnRenamed("_g", by) if by else out.drop("_g")
+
+
+#: Parts of a window of hashes that one pass of a selection tells apart, and rows of a part that are read.
+PARTS, READ = 64, 64
+
+
+def subset_sums(df: DataFrame, key: str, value: str, masks: str, sizes: dict[int, int], total: int, iterations: int, seed: int = 42) -> DataFrame:
+    """(cond, iter, s, wins): sum of values and number of positive ones of ``sizes[c]`` rows drawn without replacement from those not in c.
+
+    ``masks`` is the column with the list of the conditions c that a row meets; rows without a value take no part; ``total``
+    rows do.  An iteration orders all rows by hash, then key, and a condition's draw is the first of its complement: the
+    size is exact.  The last row drawn is found by counting hashes in a window about its expected place, for all conditions
+    and iterations in one pass; the window is narrowed to one part of PARTS in each pass, until the parts are so small
+    that their rows are read.  Only counts, sums and the rows of one part a draw move.
+    """
+    conds = sorted(sizes)
+    want = np.array([sizes[c] for c in conds], np.int64)
+    rest = np.array([total - sizes[c] for c in conds], np.int64)
+    if (want >= rest).any() or not conds:
+        raise ValueError("a draw needs more rows outside the condition than in it")
+    rows = stored(df.where(F.col(value).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(value).cast("double").alias("v"), F.col(masks).alias("m")).repartition(df.sparkSession.sparkContext.defaultParallelism), "values")
+    share = want / rest
+    spread = 8 * np.sqrt(want * (1 - share)) + 8
+    full = float(1 << 32)
+    lo = np.floor(np.maximum(0, (want - spread) / rest) * full).astype(np.int64)
+    hi = np.ceil(np.minimum(1, (want + spread) / rest) * full).astype(np.int64)
+    lo, hi = np.repeat(lo[:, None], iterations, 1), np.repeat(hi[:, None], iterations, 1)
+
+    def outside(batch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        lists = batch.column(2)
+        flat, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        at = np.repeat(np.arange(batch.num_rows), n)
+        return batch.column(0).to_numpy(), batch.column(1).to_numpy(), [np.setdiff1d(np.arange(batch.num_rows), at[flat == c]) for c in conds]
+
+    def blocks(n: int):
+        step = max(1, _CELLS // max(n, 1))
+        return [np.arange(i, min(i + step, iterations)) for i in range(0, iterations, step)]
+
+    def counts(low: np.ndarray, high: np.ndarray):
+        def run(batches):
+            below, parts = np.zeros((len(conds), iterations), np.int64), np.zeros((len(conds), iterations, PARTS), np.int32)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                keys, _, out = outside(b)
+                for its in blocks(b.num_rows):
+                    h = draws(keys, its, seed).astype(np.int64)
+                    for j, o in enumerate(out):
+                        x = h[:, o] - low[j, its][:, None]
+                        width = (high - low)[j, its][:, None]
+                        below[j, its] += (x < 0).sum(axis=1)
+                        inside = (x >= 0) & (x < width)
+                        row, at = np.nonzero(inside)
+                        part = x[row, at] * PARTS // width[row, 0]
+                        parts[j, its] += np.bincount(row * PARTS + part, minlength=len(its) * PARTS).reshape(len(its), PARTS).astype(np.int32)
+            for j, c in enumerate(conds):
+                yield pa.RecordBatch.from_arrays([pa.array([c] * iterations, pa.int32()), pa.array(np.arange(iterations, dtype=np.int32)), pa.array(below[j]), *(pa.array(parts[j, :, q].astype(np.int64)) for q in range(PARTS))], ["c", "i", "b", *(f"p{q}" for q in range(PARTS))])
+
+        names = ["b", *(f"p{q}" for q in range(PARTS))]
+        got = rows.mapInArrow(run, "c int, i int, " + ", ".join(f"{n} long" for n in names)).groupBy("c", "i").agg(*(F.sum(n).alias(n) for n in names)).toPandas().sort_values(["c", "i"])
+        return got["b"].to_numpy().reshape(len(conds), iterations), got[names[1:]].to_numpy().reshape(len(conds), iterations, PARTS)
+
+    while True:
+        below, parts = counts(lo, hi)
+        # windows that miss the place (a chance under 1e-14 a draw) are opened to all hashes
+        miss = (below > want[:, None] - 1) | (below + parts.sum(axis=2) < want[:, None])
+        upto = below[:, :, None] + np.cumsum(parts, axis=2)
+        part = (upto < want[:, None, None]).sum(axis=2).clip(0, PARTS - 1)
+        width = hi - lo
+        # the hashes of part q are those x with x * PARTS // width = q
+        new_lo, new_hi = lo - (-part * width // PARTS), lo - (-(part + 1) * width // PARTS)
+        size = np.take_along_axis(parts, part[:, :, None], 2)[:, :, 0]
+        lo, hi = np.where(miss, 0, new_lo), np.where(miss, 1 << 32, new_hi)
+        if not miss.any() and ((size <= READ) | (hi - lo <= PARTS)).all():
+            break
+
+    def draw(batches):
+        sums = np.zeros((len(conds), iterations, 3))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, v, out = outside(b)
+            three = np.stack([np.ones(len(v)), v, (v > 0).astype(float)], axis=1)
+            for its in blocks(b.num_rows):
+                h = draws(keys, its, seed).astype(np.int64)
+                for j, o in enumerate(out):
+                    x = h[:, o]
+                    sums[j, its] += (x < lo[j, its][:, None]).astype(float) @ three[o]
+                    row, at = np.nonzero((x >= lo[j, its][:, None]) & (x < hi[j, its][:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), conds[j], np.int32)), pa.array(its[row].astype(np.int32)), pa.array(x[row, at]), pa.array(keys[o[at]]), pa.array(np.ones(len(row))), pa.array(v[o[at]]), pa.array(three[o[at], 2])], names)
+        for j, c in enumerate(conds):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(iterations, c, np.int32)), pa.array(np.arange(iterations, dtype=np.int32)), pa.nulls(iterations, pa.int64()), pa.nulls(iterations, pa.int64()), *(pa.array(np.ascontiguousarray(sums[j, :, q])) for q in range(3))], names)
+
+    names = ["cond", "iter", "h", "k", "n", "s", "wins"]
+    x = rows.mapInArrow(draw, "cond int, iter int, h long, k long, n double, s double, wins double")
+    sure = x.where("h IS NULL").groupBy("cond", "iter").agg(*(F.sum(n).alias(n) for n in names[4:]))
+    goal = df.sparkSession.createDataFrame([(c, sizes[c]) for c in conds], "cond int, size long")
+    edge = x.where("h IS NOT NULL").withColumn("at", F.row_number().over(Window.partitionBy("cond", "iter").orderBy("h", "k"))).join(sure.select("cond", "iter", F.col("n").alias("have")), ["cond", "iter"]).join(F.broadcast(goal), "cond").where("have + at <= size")
+    return sure.unionByName(edge.select(*sure.columns)).groupBy("cond", "iter").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("wins").alias("wins"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered as O
+
 
 def two_proportion_z(wins_a: Column, n_a: Column, wins_b: Column, n_b: Column) -> Column:
     """Pooled z; 0 without spread, null without rows."""
@@ -23,12 +25,6 @@ def welch(mean_a: Column, sd_a: Column, n_a: Column, mean_b: Column, sd_b: Colum
     return t, df
 
 
-def average_rank(column: str, by: list[str] | None = None) -> Column:
-    """Rank from 1, equal values sharing their mean rank."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(w.partitionBy(*(by or [F.lit(0)]), column)) - 1) / 2
-
-
 def paired(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """n, mean difference, paired t, its degrees of freedom and Cohen's d of a - b."""
     d = F.col(a) - F.col(b)
@@ -37,13 +33,20 @@ def paired(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFr
     return g.select(*(by or []), "n", "mean_diff", (F.col("mean_diff") / (sd / F.sqrt("n"))).alias("t"), (F.col("n") - 1).alias("df"), (F.col("mean_diff") / sd).alias("cohen_d"))
 
 
-def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+def wilcoxon(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Signed-rank statistic and its normal approximation with the tie correction; zero differences are left out."""
-    x = df.select((F.round(F.col(a) - F.col(b), 12)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
-    x = x.withColumn("rk", average_rank("m"))
-    ties = x.groupBy("m").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("tie"))
-    g = x.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rk")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rk")).otherwise(0.0)).alias("w_minus"))
+    x = df.select(key, (F.round(F.col(a) - F.col(b), 12)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
+    pieces = O.dealt(x, ["m", key])
+    x = O.mean_ranks(pieces, "m", ["m", key], "rk")
+    g = x.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("rk"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("rk"))), F.lit(0.0)).alias("w_minus"))
     n = F.col("n").cast("double")
-    g = g.crossJoin(F.broadcast(ties))
+    g = g.crossJoin(F.broadcast(O.ties(pieces, "m")))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
     return g.select("n", F.least("w_plus", "w_minus").alias("w"), ((F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))).alias("z"))
+
+
+def trend(df: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """n, Spearman's rho of the value against its place in order, and the slope of the value over places."""
+    placed = O.row_numbers(O.dealt(df.select(*order, value, F.round(value, 12).alias("_v")), order), order, "_seq").drop(O.PIECE)
+    x = O.mean_ranks(O.dealt(placed, ["_v", "_seq"]), "_v", ["_v", "_seq"], "_rank")
+    return x.agg(F.count("*").alias("n"), F.corr("_seq", "_rank").alias("rho"), F.regr_slope(value, F.col("_seq")).alias("slope"))

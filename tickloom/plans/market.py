@@ -224,7 +224,6 @@ def macro_asof_attach(spark, sf):
 @R.add("macro_corr", "SELECT corr(ret, ra) AS corr_a, corr(ret, rn) AS corr_n, corr(ret, rr) AS corr_r, count(*) AS n_days FROM (SELECT bar_ts::DATE AS date, close::DOUBLE / lag(close) OVER (ORDER BY bar_ts) - 1 AS ret FROM bars_d1) JOIN (SELECT date, a / lag(a) OVER (ORDER BY date) - 1 AS ra, n / lag(n) OVER (ORDER BY date) - 1 AS rn, r / lag(r) OVER (ORDER BY date) - 1 AS rr FROM macro) USING (date) WHERE ret IS NOT NULL AND ra IS NOT NULL AND rn IS NOT NULL AND rr IS NOT NULL", ("bars_d1", "macro"), doubles="corr_a corr_n corr_r")
 def macro_corr(spark, sf):
     w = I.ordered([], "date")
-    m = X.macro(spark, sf).select("date", *(I.safe_div(F.col(c), F.lag(c).over(w)).alias(f"r{c}") - 1 for c in "anr"))
     m = X.macro(spark, sf).select("date", *((I.safe_div(F.col(c), F.lag(c).over(w)) - 1).alias(f"r{c}") for c in "anr"))
     d = I.realized_vol(X.bars_d1(spark, sf), []).select(F.to_date("bar_ts").alias("date"), "ret")
     return d.join(m, "date").dropna().agg(F.corr("ret", "ra").alias("corr_a"), F.corr("ret", "rn").alias("corr_n"), F.corr("ret", "rr").alias("corr_r"), F.count("*").alias("n_days"))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark import inheritable_thread_target
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
+from ..operators import attribution as A
 from ..operators import clusters as C
+from ..operators import ordered as OS
 from ..sources import fixtures as X
 from ..sources import readers as D
+from ..sources.scratch import fresh_path as scratch
+from ..sources.scratch import stored
 from . import strategies as Q
 from .registry import Registry
 
@@ -20,15 +27,6 @@ T = ("trades_r",)
 O = ("orders_r",)
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh path in the shared folder that the session names, or in its warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 @R.add("src_trades", "SELECT id, side, t0 AS start_utc, r > 0 AS is_win, r AS r_multiple FROM (SELECT id, side, date_trunc('second', t0)::TIMESTAMP AS t0, round(r, 6) AS r FROM trades_r)", T, doubles="r_multiple")
 def src_trades(spark, sf):
     """The positions written as a CSV log in local time and read back."""
@@ -96,7 +94,7 @@ def matrix(spark, sf):
     return C.one_hot(t, "instrument", LEVELS).dropna(subset=["r", "mfe_r", "mae_r"])
 
 
-@R.add("cluster_matrix", f"SELECT id, r, mfe_r, mae_r, n_bars, amount, {_HOT} FROM trades_r WHERE mfe_r IS NOT NULL AND mae_r IS NOT NULL", T, doubles="r mfe_r mae_r", longs=" ".join(f"instrument_{v}" for v in LEVELS))
+@R.add("cluster_matrix", f"SELECT id, r, mfe_r, mae_r, n_bars, amount, {_HOT} FROM trades_r WHERE mfe_r IS NOT NULL AND mae_r IS NOT NULL", T, doubles="r mfe_r mae_r", digits=11, longs=" ".join(f"instrument_{v}" for v in LEVELS))
 def cluster_matrix(spark, sf):
     return matrix(spark, sf).select("id", *FEATURES, *(f"instrument_{v}" for v in LEVELS))
 
@@ -113,34 +111,36 @@ def _profile(df):
 @R.add("cluster_kmeans")
 def cluster_kmeans(spark, sf):
     x = matrix(spark, sf)
-    scaler, model, k, s = C.fit(x, FEATURES)
-    return _profile(C.assign(x, FEATURES, scaler, model)).withColumn("k", F.lit(k)).withColumn("silhouette", F.lit(round(s, 4)))
+    c = C.fit(x, FEATURES)
+    return _profile(C.assign(x, c)).withColumn("k", F.lit(c.k)).withColumn("silhouette", F.lit(round(c.silhouette, 4)))
 
 
 @R.add("cluster_fit")
 def cluster_fit(spark, sf):
-    x = matrix(spark, sf)
-    _, _, k, s = C.fit(x, FEATURES, (2, 3, 4, 5), restarts=1)
-    return spark.range(1).select(F.lit(k).alias("k"), F.lit(round(s, 4)).alias("silhouette"))
+    c = C.fit(matrix(spark, sf), FEATURES)
+    return spark.createDataFrame([(c.k, round(c.silhouette, 4), round(c.cost, 4))], "k int, silhouette double, cost double")
 
 
 @R.add("cluster_assign")
 def cluster_assign(spark, sf):
     x = matrix(spark, sf)
-    scaler, model, _, _ = C.fit(x, FEATURES, (3,), restarts=1)
-    return C.assign(x, FEATURES, scaler, model).select("id", "cluster")
+    return C.assign(x, C.fit(x, FEATURES)).select("id", "cluster")
 
 
 @R.add("cluster_winners_losers")
 def cluster_winners_losers(spark, sf):
-    """Winners, and the worst tenth of the losers (15 at least), clustered apart."""
-    x = matrix(spark, sf)
-    out = []
-    n = x.where("r < 0").count()
-    for name, part in (("winners", x.where("r > 0")), ("worst_losers", x.where("r < 0").orderBy("r", "id").limit(max(15, n // 10)))):
-        scaler, model, _, _ = C.fit(part, FEATURES, (2, 3), restarts=1)
-        out.append(_profile(C.assign(part, FEATURES, scaler, model)).withColumn("population", F.lit(name)))
-    return out[0].unionByName(out[1])
+    """Winners, the worst tenth of the losers (15 at least) and the longest losing streak (from 15), clustered apart."""
+    x = stored(matrix(spark, sf))
+    losers = OS.row_numbers(OS.dealt(x.where("r < 0"), ["r", "id"]), ["r", "id"], "_at").drop(OS.PIECE)
+    worst = losers.where(F.col("_at") <= max(15, losers.count() // 10)).drop("_at")
+    populations = [("winners", x.where("r > 0")), ("worst_losers", worst)]
+    top = C.losing_streak(x, "r", ["t0", "id"], ["instrument"]).orderBy(F.desc("length"), "start").first()
+    if top and top["length"] >= 15:
+        series = x.where((F.col("instrument") == top["instrument"]) & (F.col("t0") >= F.lit(top["start"])))
+        numbered = OS.row_numbers(OS.dealt(series, ["t0", "id"]), ["t0", "id"], "_at").drop(OS.PIECE)
+        populations.append(("losing_streak", numbered.where(F.col("_at") <= top["length"]).drop("_at")))
+    out = [_profile(C.assign(part, C.fit(part, FEATURES))).withColumn("population", F.lit(name)) for name, part in populations if part.count() >= 15]
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @R.add("cluster_profile", "SELECT cluster, n, mean_r, mean_mfe, majority FROM (SELECT id % 3 AS cluster, count(*) AS n, avg(r) AS mean_r, avg(mfe_r) AS mean_mfe FROM trades_r GROUP BY 1) JOIN (SELECT cluster, instrument AS majority FROM (SELECT id % 3 AS cluster, instrument, row_number() OVER (PARTITION BY id % 3 ORDER BY count(*) DESC, instrument) AS k FROM trades_r GROUP BY 1, 2) WHERE k = 1) USING (cluster)", T, doubles="mean_r mean_mfe")
@@ -153,48 +153,87 @@ def cluster_profile(spark, sf):
 
 @R.add("holdout_cluster")
 def holdout_cluster(spark, sf):
-    """Clusters fitted on the first three fifths, assigned to the rest, and the actual R of each."""
-    x = Q.chrono(matrix(spark, sf).withColumn("all", F.lit(1)), "all").drop("all")
-    scaler, model, _, _ = C.fit(x.where("part = 'train'"), FEATURES, (2, 3), restarts=1)
-    return C.assign(x.where("part = 'test'"), FEATURES, scaler, model).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("expectancy"))
+    """Clusters and each cluster's best exit from the first three fifths; how that exit does on the rest, against the actual one."""
+    x = stored(Q.chrono(matrix(spark, sf).withColumn("all", F.lit(1)), "all").select("id", "part", "r", *FEATURES[1:]))
+    marked = C.assign(x, C.fit(x.where("part = 'train'"), FEATURES)).select("id", "part", "cluster", "r")
+    tried = stored(Q.some(spark, sf).select("id", "strategy", "exit_r").join(marked, "id"))
+    pf = M.finite_profit_factor(F.col("exit_r"))
+    train = tried.where("part = 'train'").groupBy("cluster", "strategy").agg(pf.alias("train_pf"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("train_pf", 9).desc_nulls_last(), "strategy"))
+    best = train.withColumn("k", rank).where("k = 1").drop("k")
+    test = tried.where("part = 'test'").join(F.broadcast(best), ["cluster", "strategy"])  # one row a cluster
+    return test.groupBy("cluster", "strategy", "train_pf").agg(F.count("*").alias("n"), F.avg("exit_r").alias("expectancy"), pf.alias("test_pf"), F.avg("r").alias("actual_expectancy"), M.finite_profit_factor(F.col("r")).alias("actual_pf"))
 
 
-# Feature importance (gradient-boosted trees; a substitute for tree-path attributions)
+# Attributions by tree path; boosted trees of pyspark.ml stand for those of another library (no cap on leaves but the depth)
 
-MODEL_COLUMNS = ["acctbal", "cents", "weekday"]
+LABELS = ["prio", "segment", "status", "weekday"]
+NUMBERS = ["acctbal", "cents", "month", "day"]
+BOOST = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.05, "minInstancesPerNode": 15, "seed": 42}
+LEAST_TRAIN, LEAST_TEST = 40, 10
+
+
+def _model_rows(spark, sf):
+    """(yr, r, features): categories as numbers by the alphabet, missing numbers as 0."""
+    o = X.orders_r(spark, sf).where("r IS NOT NULL").withColumns({"yr": F.year("t0"), "month": F.month("t0"), "day": F.dayofmonth("t0"), "weekday": F.col("weekday").cast("string")})
+    o = o.select("yr", "r", *LABELS, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in NUMBERS))
+    indexer = StringIndexer(inputCols=LABELS, outputCols=[f"{c}_i" for c in LABELS], stringOrderType="alphabetAsc", handleInvalid="keep").fit(o)
+    return indexer.transform(o).select("yr", "r", *(F.col(f"{c}_i").alias(c) for c in LABELS), *NUMBERS), indexer
 
 
 def importance(spark, sf):
-    """(fold, feature, importance): the gain of each feature in trees fitted on the years before the fold."""
-    o = X.orders_r(spark, sf).withColumn("yr", F.year("t0"))
-    years = [r["yr"] for r in o.select("yr").distinct().orderBy("yr").collect()][2:]  # every year with two before it
-    rows = []
-    for y in years:
-        train = o.where(F.col("yr") < y)
-        x = VectorAssembler(inputCols=MODEL_COLUMNS, outputCol="features").transform(train)
-        m = GBTRegressor(featuresCol="features", labelCol="r", maxIter=8, maxDepth=3, seed=42).fit(x)
-        rows += [(y, c, float(v)) for c, v in zip(MODEL_COLUMNS, m.featureImportances.toArray(), strict=True)]
+    """(fold, feature, importance): mean absolute attribution over the year of the fold, of trees fitted on all years before it.
+
+    A fold needs 40 rows before it and 10 in it.  Folds are fitted side by side; each reads the rows once more.
+    """
+    o, _ = _model_rows(spark, sf)
+    o = o.persist()
+    features = [*LABELS, *NUMBERS]
+    try:
+        n = {r["yr"]: r["count"] for r in o.groupBy("yr").count().collect()}
+        years = [y for y in sorted(n) if n[y] >= LEAST_TEST and sum(c for z, c in n.items() if z < y) >= LEAST_TRAIN]
+
+        def fold(y: int) -> list[tuple]:
+            x = VectorAssembler(inputCols=features, outputCol="features").transform(o.where(F.col("yr") < y))
+            m = GBTRegressor(featuresCol="features", labelCol="r", **BOOST).fit(x)
+            found = A.leaves(A.node_table(m, scratch(spark, "trees")), list(m.treeWeights))
+            row = A.mean_absolute(o.where(F.col("yr") == y), found, features).first()
+            return [(y, c, float(row[c])) for c in features]
+
+        with ThreadPoolExecutor(4) as pool:
+            rows = [r for part in pool.map(inheritable_thread_target(spark)(fold), years) for r in part]
+    finally:
+        o.unpersist()
     return spark.createDataFrame(rows, "fold int, feature string, importance double")
 
 
 @R.add("shap_importance")
 def shap_importance(spark, sf):
-    return importance(spark, sf)
+    return importance(spark, sf).select("fold", "feature", F.round("importance", 9).alias("importance"))
 
 
-def _top(df, k: int = 2):
+def _ranked(df):
     w = Window.partitionBy("fold").orderBy(F.desc("importance"), "feature")
-    return df.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).groupBy("fold").agg(F.collect_set("feature").alias("top"))
+    return df.withColumn("k", F.row_number().over(w))
+
+
+def stability(df, k: int = 5):
+    """Mean share of common features among the top k of each two folds; stable from 0.6; null under two folds."""
+    t = _ranked(df).where(F.col("k") <= k).groupBy("fold").agg(F.collect_set("feature").alias("top"))
+    a, b = t.select(F.col("fold").alias("x"), F.col("top").alias("p")), t.select(F.col("fold").alias("y"), F.col("top").alias("q"))
+    return a.join(b, F.col("x") < F.col("y")).agg(F.avg(F.size(F.array_intersect("p", "q")) / k).alias("overlap")).withColumn("stable", F.col("overlap") >= 0.6)
+
+
+def selected(df, k: int = 4):
+    """The k features of smallest mean rank over the folds."""
+    return _ranked(df).groupBy("feature").agg(F.avg("k").alias("mean_rank")).orderBy("mean_rank", "feature").limit(k)
 
 
 @R.add("shap_stability")
 def shap_stability(spark, sf):
-    t = _top(importance(spark, sf))
-    a, b = t.select(F.col("fold").alias("x"), F.col("top").alias("p")), t.select(F.col("fold").alias("y"), F.col("top").alias("q"))
-    return a.join(b, F.col("x") < F.col("y")).agg(F.avg(F.size(F.array_intersect("p", "q")) / 2).alias("overlap")).withColumn("stable", F.col("overlap") >= 0.6)
+    return stability(importance(spark, sf))
 
 
 @R.add("shap_select")
 def shap_select(spark, sf):
-    w = Window.partitionBy("fold").orderBy(F.desc("importance"), "feature")
-    return importance(spark, sf).withColumn("k", F.row_number().over(w)).groupBy("feature").agg(F.avg("k").alias("mean_rank")).orderBy("mean_rank", "feature").limit(2)
+    return selected(importance(spark, sf))

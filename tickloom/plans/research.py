@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import stats as S
 from ..operators import indicators as I
+from ..operators import ordered as O
 from ..operators import patterns as P
 from ..operators import resampling as B
+from ..operators import selection
 from ..operators import testing as H
 from ..sources import fixtures as X
+from ..sources.scratch import stored
 from . import strategies as Q
 from .registry import Registry
 
 R = Registry()
-O = ("orders_r",)
+OR = ("orders_r",)
 CATEGORICAL = ["prio", "segment", "status", "weekday"]
 BINNED = ["acctbal", "cents"]
 COLUMNS = [*CATEGORICAL, *(f"{c}_bin" for c in BINNED)]
@@ -43,7 +46,7 @@ _D2 = _stats(_PAIRS, 20)
 _SC = "win_rate expectancy sd profit_factor"
 
 
-@R.add("bin_tertile", f"SELECT acctbal_bin, cents_bin, count(*) AS n, min(acctbal) AS lo, max(acctbal) AS hi FROM {_BIN} GROUP BY 1, 2", O, longs="acctbal_bin cents_bin", doubles="lo hi")
+@R.add("bin_tertile", f"SELECT acctbal_bin, cents_bin, count(*) AS n, min(acctbal) AS lo, max(acctbal) AS hi FROM {_BIN} GROUP BY 1, 2", OR, longs="acctbal_bin cents_bin", doubles="lo hi")
 def bin_tertile(spark, sf):
     return binned(spark, sf).groupBy("acctbal_bin", "cents_bin").agg(F.count("*").alias("n"), F.min("acctbal").alias("lo"), F.max("acctbal").alias("hi"))
 
@@ -54,7 +57,7 @@ def condition_columns(spark, sf):
     return spark.sql(f"SELECT inline(array({', '.join(items)}))")
 
 
-@R.add("pattern_depth1", _D1, O, doubles=_SC, digits=7)
+@R.add("pattern_depth1", _D1, OR, doubles=_SC, digits=7)
 def pattern_depth1(spark, sf):
     return P.group_stats(P.patterns(binned(spark, sf), "id", "r", COLUMNS, 1), 20)
 
@@ -63,7 +66,7 @@ def depth2(spark, sf):
     return P.group_stats(P.patterns(binned(spark, sf), "id", "r", COLUMNS, 2), 20)
 
 
-@R.add("pattern_depth2", f"{_D1} UNION ALL {_D2}", O, doubles=_SC, digits=7)
+@R.add("pattern_depth2", f"{_D1} UNION ALL {_D2}", OR, doubles=_SC, digits=7)
 def pattern_depth2(spark, sf):
     return depth2(spark, sf)
 
@@ -81,24 +84,24 @@ def tested(spark, sf, source=None):
     return s.select("cond", "n", "win_rate", "expectancy", "sd", "profit_factor", (c("win_rate") - c("bw") / c("bn")).alias("win_rate_delta"), (c("expectancy") - c("be")).alias("expectancy_delta"), H.two_proportion_z(c("win_rate") * c("n"), c("n"), c("bw"), c("bn")).alias("z"), t.alias("t"), df.alias("df"))
 
 
-@R.add("pattern_stats", f"SELECT * FROM {_ST}", O, doubles=_SC + " win_rate_delta expectancy_delta z t df", digits=5)
+@R.add("pattern_stats", f"SELECT * FROM {_ST}", OR, doubles=_SC + " win_rate_delta expectancy_delta z t df", digits=5)
 def pattern_stats(spark, sf):
     return tested(spark, sf)
 
 
-@R.add("test_two_prop_z", f"SELECT cond, z FROM {_ST}", O, doubles="z")
+@R.add("test_two_prop_z", f"SELECT cond, z FROM {_ST}", OR, doubles="z")
 def test_two_prop_z(spark, sf):
     return tested(spark, sf).select("cond", "z")
 
 
-@R.add("test_welch", f"SELECT cond, t, df FROM {_ST}", O, doubles="t df", digits=5)
+@R.add("test_welch", f"SELECT cond, t, df FROM {_ST}", OR, doubles="t df", digits=5)
 def test_welch(spark, sf):
     return tested(spark, sf).select("cond", "t", "df")
 
 
 def with_p(spark, sf):
     x = tested(spark, sf).withColumns({"p_win": S.normal_pvalue("z"), "p_exp": S.t_pvalue("t", "df")})
-    return P.benjamini_hochberg(x, "p_exp").withColumn("low_confidence", F.col("n") < 25)
+    return O.benjamini_hochberg(x, "p_exp", "cond").withColumn("low_confidence", F.col("n") < 25)
 
 
 @R.add("pattern_fdr")
@@ -109,11 +112,11 @@ def pattern_fdr(spark, sf):
 _P = "(SELECT id, (cents % 997) / 997.0::DOUBLE AS p FROM orders_r)"
 
 
-@R.add("test_bh_fdr", f"SELECT id, p, least(min(raw) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS p_fdr, least(p * m, 1) AS p_bonferroni FROM (SELECT *, p * m / k AS raw FROM (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM {_P}))", O, doubles="p p_fdr p_bonferroni", digits=8)
+@R.add("test_bh_fdr", f"SELECT id, p, least(min(raw) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS p_fdr, least(p * m, 1) AS p_bonferroni FROM (SELECT *, p * m / k AS raw FROM (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM {_P}))", OR, doubles="p p_fdr p_bonferroni", digits=8)
 def test_bh_fdr(spark, sf):
     """Here the p values are synthetic, of a fixed family that both engines can form: one of each order."""
     x = X.orders_r(spark, sf).select("id", (F.col("cents") % 997 / F.lit(997.0)).alias("p"))
-    return P.benjamini_hochberg(x, "p").select("id", "p", "p_fdr", "p_bonferroni")
+    return O.benjamini_hochberg(x, "p", "id").select("id", "p", "p_fdr", "p_bonferroni")
 
 
 _WF = f"(SELECT cond, year(t0) AS yr, count(*) AS n, count(*) < 25 AS low_sample, avg((r > 0)::INT) AS win_rate, avg(r) AS expectancy, {PF.format('r')} AS profit_factor FROM ({_CONDS}) GROUP BY 1, 2)"
@@ -126,7 +129,7 @@ def folds(spark, sf):
     return long.groupBy("cond", F.year("target.t0").alias("yr")).agg(F.count("*").alias("n"), (F.count("*") < 25).alias("low_sample"), M.win_rate(r).alias("win_rate"), F.avg(r).alias("expectancy"), M.finite_profit_factor(r).alias("profit_factor"))
 
 
-@R.add("wf_breakdown", f"SELECT * FROM {_WF}", O, doubles="win_rate expectancy profit_factor", longs="yr", digits=7)
+@R.add("wf_breakdown", f"SELECT * FROM {_WF}", OR, doubles="win_rate expectancy profit_factor", longs="yr", digits=7)
 def wf_breakdown(spark, sf):
     return folds(spark, sf)
 
@@ -139,12 +142,12 @@ def fold_summary(spark, sf):
     return folds(spark, sf).groupBy("cond").agg(F.count("*").alias("folds_with_data"), pos.alias("positive_folds"), ((pos == 0) | (pos == F.count("*"))).alias("sign_consistent"), F.stddev_samp("expectancy").alias("sd_expectancy"))
 
 
-@R.add("wf_summary", f"SELECT * FROM {_WS}", O, doubles="sd_expectancy", digits=8)
+@R.add("wf_summary", f"SELECT * FROM {_WS}", OR, doubles="sd_expectancy", digits=8)
 def wf_summary(spark, sf):
     return fold_summary(spark, sf)
 
 
-@R.add("wf_run", f"SELECT d.cond, d.n, d.expectancy, w.positive_folds, w.sign_consistent FROM ({_D1}) d JOIN {_WS} w USING (cond) QUALIFY row_number() OVER (ORDER BY round(abs(expectancy), 9) DESC, cond) <= 10", O, doubles="expectancy", digits=7)
+@R.add("wf_run", f"SELECT d.cond, d.n, d.expectancy, w.positive_folds, w.sign_consistent FROM ({_D1}) d JOIN {_WS} w USING (cond) QUALIFY row_number() OVER (ORDER BY round(abs(expectancy), 9) DESC, cond) <= 10", OR, doubles="expectancy", digits=7)
 def wf_run(spark, sf):
     top = pattern_depth1(spark, sf).orderBy(F.round(F.abs("expectancy"), 9).desc(), "cond").limit(10)
     return top.join(fold_summary(spark, sf), "cond").select("cond", "n", "expectancy", "positive_folds", "sign_consistent")
@@ -153,41 +156,53 @@ def wf_run(spark, sf):
 _RB = f"(SELECT cond, status, count(*) AS n, avg(r) AS expectancy FROM (SELECT c.cond, c.r, o.status FROM ({_CONDS}) c JOIN orders_r o USING (id)) GROUP BY 1, 2)"
 
 
-@R.add("regime_breakdown", f"SELECT cond, count(*) AS n_regimes, count(DISTINCT sign(expectancy)) FILTER (n >= 10) > 1 AS regime_dependent FROM {_RB} GROUP BY cond", O)
+@R.add("regime_breakdown", f"SELECT cond, count(*) AS n_regimes, count(DISTINCT sign(expectancy)) FILTER (n >= 10) > 1 AS regime_dependent FROM {_RB} GROUP BY cond", OR)
 def regime_breakdown(spark, sf):
     long = P.patterns(binned(spark, sf).withColumn("target", F.struct("status", "r")), "id", "target", COLUMNS, 1)
     g = long.groupBy("cond", "target.status").agg(F.count("*").alias("n"), F.avg("target.r").alias("expectancy"))
     return g.groupBy("cond").agg(F.count("*").alias("n_regimes"), (F.count_distinct(F.when(F.col("n") >= 10, F.signum("expectancy"))) > 1).alias("regime_dependent"))
 
 
-_SH = [(b, s) for b in range(3) for s in (-0.05, 0.0, 0.05)]
-_PT = " UNION ALL ".join(f"SELECT {b} AS bin, {s} AS shift, avg(r) AS e, count(*) AS n FROM orders_r, (SELECT quantile_cont(cents, {max(0.0, b / 3 + s)}) AS lo, quantile_cont(cents, {min(1.0, (b + 1) / 3 + s)}) AS hi FROM orders_r) WHERE cents >= lo AND cents <= hi" for b, s in _SH)
+def _variants() -> str:
+    """Every binned column, bin and shift: the mean within the moved edges, with each other condition and without."""
+    rest = f"SELECT id, c, cond AS rest FROM ({_CONDS}) UNION ALL SELECT id, '' AS c, '' AS rest FROM orders_r"
+    parts = []
+    for col in BINNED:
+        for b in range(3):
+            for s in P.SHIFTS:
+                lo, hi = max(0.0, b / 3 + s), min(1.0, (b + 1) / 3 + s)
+                parts.append(f"SELECT '{col}' AS col, {b} AS b, {s}::DOUBLE AS shift, id, r, {col} >= lo AND {col} <= hi AS hit, {col}_bin = {b} AS was FROM {_BIN}, (SELECT quantile_cont({col}, {lo}) AS lo, quantile_cont({col}, {hi}) AS hi FROM orders_r)")
+    own = "col || '_bin=' || b"
+    cond = f"CASE WHEN rest = '' THEN {own} WHEN c < col || '_bin' THEN rest || ' & ' || {own} ELSE {own} || ' & ' || rest END"
+    return f"(WITH rest AS MATERIALIZED ({rest}) SELECT {cond} AS cond, col, shift, count(*) FILTER (hit) AS n, avg(r) FILTER (hit) AS e, avg(r) FILTER (was) AS o FROM ({' UNION ALL '.join(parts)}) v JOIN rest USING (id) WHERE c <> col || '_bin' AND (hit OR was) GROUP BY ALL HAVING count(*) FILTER (hit) >= 10 AND count(*) FILTER (was) > 0)"
 
 
-@R.add("stability_perturb", f"SELECT bin, count(*) FILTER (sign(e) = s0) / count(*)::DOUBLE AS pass_share, CASE WHEN count(*) FILTER (sign(e) = s0) / count(*)::DOUBLE >= 0.7 THEN 'stable' WHEN count(*) FILTER (sign(e) = s0) / count(*)::DOUBLE >= 0.4 THEN 'mixed' ELSE 'fragile' END AS label FROM (SELECT *, first_value(sign(e)) OVER (PARTITION BY bin ORDER BY abs(shift)) AS s0 FROM ({_PT})) WHERE n >= 10 GROUP BY bin", O, doubles="pass_share", longs="bin")
+_PERTURBED = f"(SELECT *, CASE WHEN pass_share >= 0.7 THEN 'stable' WHEN pass_share >= 0.4 THEN 'mixed' ELSE 'unstable' END AS label FROM (SELECT cond, count(*) AS n_variants, avg((sign(e) = sign(o))::INT) AS pass_share FROM {_variants()} GROUP BY cond))"
+
+
+def perturbation(spark, sf):
+    return P.stability(P.perturbed(binned(spark, sf), "r", BINNED, CATEGORICAL))
+
+
+@R.add("stability_perturb", f"SELECT * FROM {_PERTURBED}", OR, doubles="pass_share")
 def stability_perturb(spark, sf):
-    """Each tertile with its edges moved by five points of quantile: does the sign of the mean stay?"""
-    o = X.orders_r(spark, sf)
-    qs = sorted({q for b, s in _SH for q in (max(0.0, b / 3 + s), min(1.0, (b + 1) / 3 + s))})
-    edges = o.agg(F.percentile("cents", F.array(*map(F.lit, qs))).alias("q"))
-    x = o.crossJoin(F.broadcast(edges))
-    inside = [F.struct(F.lit(b).alias("bin"), F.lit(s).alias("shift"), ((F.col("cents") >= F.col("q")[qs.index(max(0.0, b / 3 + s))]) & (F.col("cents") <= F.col("q")[qs.index(min(1.0, (b + 1) / 3 + s))])).alias("hit")) for b, s in _SH]
-    g = x.select("r", F.explode(F.filter(F.array(*inside), lambda v: v["hit"])).alias("v")).groupBy("v.bin", "v.shift").agg(F.avg("r").alias("e"), F.count("*").alias("n")).where("n >= 10")
-    same = F.signum("e") == F.first(F.signum("e")).over(Window.partitionBy("bin").orderBy(F.abs("shift")))
-    share = F.avg(F.col("same").cast("int"))
-    return g.withColumn("same", same).groupBy("bin").agg(share.alias("pass_share"), F.when(share >= 0.7, "stable").when(share >= 0.4, "mixed").otherwise("fragile").alias("label"))
+    """Every condition with a bin, its edges moved by five points of quantile: does the sign of the mean stay?"""
+    return perturbation(spark, sf)
+
 
+_REGIMES = f"SELECT cond, count(*) AS n_regimes, count(DISTINCT sign(expectancy)) FILTER (n >= 10) > 1 AS regime_dependent FROM {_RB} GROUP BY cond"
 
-@R.add("stability_run")
+
+@R.add("stability_run", f"SELECT r.*, pass_share, coalesce(label, CASE WHEN contains(cond, '_bin=') THEN 'insufficient_data' ELSE 'not_applicable' END) AS label FROM ({_REGIMES}) r LEFT JOIN {_PERTURBED} p USING (cond)", OR, doubles="pass_share")
 def stability_run(spark, sf):
-    """Both stability views side by side for the binned price conditions."""
-    p = stability_perturb(spark, sf).withColumn("cond", F.concat(F.lit("cents_bin="), F.col("bin").cast("string")))
-    return regime_breakdown(spark, sf).join(p.select("cond", "pass_share", "label"), "cond", "left")
+    """Both stability views of every single condition; only those of a bin have edges to move."""
+    p = perturbation(spark, sf).select("cond", "pass_share", "label")
+    label = F.coalesce("label", F.when(F.contains("cond", F.lit("_bin=")), "insufficient_data").otherwise("not_applicable"))
+    return regime_breakdown(spark, sf).join(p, "cond", "left").withColumn("label", label)
 
 
 # Resampling
 
-_HX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 _32 = "& 4294967295::UBIGINT"
 
 
@@ -196,12 +211,17 @@ def _mix(x: str) -> str:
     return f"xor({x}, {x} >> 16) AS m1, (m1 * {B.MIX[0]}::UBIGINT) {_32} AS m2, xor(m2, m2 >> 13) AS m3, (m3 * {B.MIX[1]}::UBIGINT) {_32} AS m4, xor(m4, m4 >> 16) AS m5"
 
 
+def _drawn(src: str, cols: str, iterations: int, seed: int = 42) -> str:
+    """Each row of src in each iteration, with its 32 random bits m5."""
+    keys = f"SELECT * EXCLUDE (m1, m2, m3, m4, m5), m5 AS hk FROM (SELECT *, {_mix('k0')} FROM (SELECT xor(id::UBIGINT, {seed}::UBIGINT) AS k0, {cols} FROM {src}))"
+    return f"SELECT *, {_mix('k1')} FROM (SELECT *, (hk + (iter::UBIGINT * {B.STEP}::UBIGINT) {_32}) {_32} AS k1 FROM ({keys}), range({iterations}) i(iter))"
+
+
 def _resampled(src: str, values: dict[str, str], iterations: int, by: str = "", chance: str = "", seed: int = 42) -> str:
     """Twin of ``resampled_sums``; ids are below 2 ** 32."""
     b = f"{by}, " if by else ""
     cols = b + ", ".join(f"{v} AS v_{n}" for n, v in values.items()) + (f", {chance} AS chance" if chance else "")
-    keys = f"SELECT * EXCLUDE (m1, m2, m3, m4, m5), m5 AS hk FROM (SELECT *, {_mix('k0')} FROM (SELECT xor(id::UBIGINT, {seed}::UBIGINT) AS k0, {cols} FROM {src}))"
-    drawn = f"SELECT *, {_mix('k1')} FROM (SELECT *, (hk + (iter::UBIGINT * {B.STEP}::UBIGINT) {_32}) {_32} AS k1 FROM ({keys}), range({iterations}) i(iter))"
+    drawn = _drawn(src, cols, iterations, seed)
     w = "(m5::DOUBLE < chance * 4294967296)::INT" if chance else " + ".join(f"(m5 >= {t})::INT" for t in B.DRAWN)
     return f"(SELECT {b}iter, " + ", ".join(f"coalesce(sum(({w}) * v_{n}), 0)::DOUBLE AS {n}" for n in values) + f" FROM ({drawn}) GROUP BY {b}iter)"
 
@@ -245,39 +265,73 @@ def boot_survival(spark, sf):
     return m.agg(F.avg((F.col("m") <= 0).cast("int")).alias("p_loss"), F.avg((F.col("pf") < 1).cast("int")).alias("p_pf"), F.percentile("m", 0.05).alias("p05"), F.percentile("m", 0.95).alias("p95"))
 
 
-_PERM = f"(SELECT iter, id, r, row_number() OVER (PARTITION BY iter ORDER BY {_HX.format(chr(39) + '42-' + chr(39) + ' || iter || chr(45) || id')}, id) AS k FROM trades_r, range({{}}) i(iter))"
 _MASK = "side = 'buy' AND instrument = 'click'"
 _SIDES = f"(SELECT count(*) FILTER ({_MASK}) AS n, avg(r) FILTER ({_MASK}) AS obs, avg((r > 0)::INT) FILTER ({_MASK}) AS obs_win, count(*) FILTER (NOT ({_MASK})) AS cn, avg(r) FILTER (NOT ({_MASK})) AS cm, avg((r > 0)::INT) FILTER (NOT ({_MASK})) AS cw FROM trades_r)"
-_REST = f"(SELECT t.id, t.r, n / cn::DOUBLE AS share FROM trades_r t, {_SIDES} WHERE NOT ({_MASK}) AND n >= 5 AND cn > n)"
+_FIRST = f"(SELECT iter, avg(r) AS m, avg((r > 0)::INT) AS g FROM (SELECT *, row_number() OVER (PARTITION BY iter ORDER BY m5, id) AS k FROM ({_drawn(f'(SELECT * FROM trades_r WHERE NOT ({_MASK}))', 'id, r', 5000)})), {_SIDES} WHERE k <= n AND n >= 5 AND cn > n GROUP BY iter)"
 
 
-@R.add("perm_test", f"SELECT n, obs, avg((abs(s / w - cm) >= abs(obs - cm))::INT) AS p_value, avg((abs(g / w - cw) >= abs(obs_win - cw))::INT) AS p_win FROM {_SIDES} LEFT JOIN {_resampled(_REST, {**_MEAN, 'g': '(r > 0)::INT'}, 5000, chance='share')} ON w > 0 GROUP BY n, obs", T, doubles="obs p_value p_win")
+@R.add("perm_test", f"SELECT n, obs, avg((abs(m - cm) >= abs(obs - cm))::INT) AS p_value, avg((abs(g - cw) >= abs(obs_win - cw))::INT) AS p_win FROM {_SIDES} LEFT JOIN {_FIRST} ON true GROUP BY n, obs", T, doubles="obs p_value p_win")
 def perm_test(spark, sf):
-    """Draws from the complement, without replacement and of the mask's size on average; null under 5 rows or where the complement is no larger."""
-    t = realized(spark, sf).withColumn("in_mask", P.matches({"side": "buy", "instrument": "click"})).withColumn("win", (F.col("r") > 0).cast("int"))
-    inside, outside = F.col("in_mask"), ~F.col("in_mask")
-    of = lambda m, c: F.avg(F.when(m, F.col(c)))
-    sides = t.agg(F.count_if(inside).alias("n"), of(inside, "r").alias("obs"), of(inside, "win").alias("obs_win"), F.count_if(outside).alias("cn"), of(outside, "r").alias("cm"), of(outside, "win").alias("cw"))
-    rest = t.where(outside).crossJoin(F.broadcast(sides.select("n", "cn"))).where("n >= 5 and cn > n").withColumn("share", F.col("n") / F.col("cn"))
-    m = B.resampled_sums(rest, "id", {**mean(), "g": F.col("win")}, 5000, chance="share").where("w > 0")
-    x = F.broadcast(sides).join(m, F.lit(True), "left")
-    far = lambda v, c, o: F.avg((F.abs(F.col(v) / F.col("w") - F.col(c)) >= F.abs(F.col(o) - F.col(c))).cast("int"))
-    return x.groupBy("n", "obs").agg(far("s", "cm", "obs").alias("p_value"), far("g", "cw", "obs_win").alias("p_win"))
+    """5000 draws from the complement, without replacement and of the mask's size; null under 5 rows or where the complement is no larger."""
+    t = realized(spark, sf).select("id", "r", F.when(P.matches({"side": "buy", "instrument": "click"}), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("met"))
+    return permutation_p(t, {0: "mask"}, 5000).select("n", "obs", "p_value", "p_win")
 
 
-_MC = "(SELECT instrument, avg(r) AS obs FROM trades_r GROUP BY 1)"
-_MCB = f"(SELECT instrument, avg(((s > 0) <> (obs > 0))::INT) AS sign_flip FROM {_resampled('trades_r', _MEAN, 5000, 'instrument')} JOIN {_MC} USING (instrument) GROUP BY instrument)"
+#: Rounding of differences before they are compared, so that sums in another order decide alike.
+_EQUAL = 12
 
 
-@R.add("mc_pattern", f"SELECT instrument, sign_flip FROM {_MCB}", T, doubles="sign_flip")
+def permutation_p(rows, conds: dict[int, str], iterations: int):
+    """(cond, n, obs, p_value, p_win) of each condition, from rows (id, r, met: the numbers of its conditions).
+
+    Two-sided against the mean of the complement; null under 5 rows or where the complement is no larger.
+    """
+    rows = stored(rows.where("r IS NOT NULL"))
+    whole = rows.agg(F.count("*").alias("tn"), F.sum("r").alias("ts"), F.count_if(F.col("r") > 0).alias("tw"))
+    inside = rows.select("r", F.explode("met").alias("c")).groupBy("c").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.count_if(F.col("r") > 0).alias("w"))
+    c = F.col
+    sides = inside.crossJoin(F.broadcast(whole)).select("c", "n", (c("s") / c("n")).alias("obs"), (c("w") / c("n")).alias("obs_win"), (c("tn") - c("n")).alias("cn"), ((c("ts") - c("s")) / F.nullif(c("tn") - c("n"), F.lit(0))).alias("cm"), ((c("tw") - c("w")) / F.nullif(c("tn") - c("n"), F.lit(0))).alias("cw"))
+    found = sides.collect()  # one row a condition
+    sizes = {r["c"]: r["n"] for r in found if r["n"] >= 5 and r["cn"] > r["n"]}
+    names = rows.sparkSession.createDataFrame(list(conds.items()), "c int, cond string")
+    sides = names.join(F.broadcast(rows.sparkSession.createDataFrame(found, sides.schema)), "c", "left").fillna(0, ["n"])
+    if not sizes:
+        return sides.select("cond", "n", "obs", F.lit(None).cast("double").alias("p_value"), F.lit(None).cast("double").alias("p_win"))
+    drawn = B.subset_sums(rows, "id", "r", "met", sizes, found[0]["cn"] + found[0]["n"], iterations).withColumnRenamed("cond", "c").withColumnRenamed("n", "drawn")
+    far = lambda v, m, o: F.avg((F.round(F.abs(v - c(m)), _EQUAL) >= F.round(F.abs(c(o) - c(m)), _EQUAL)).cast("int"))
+    p = drawn.join(F.broadcast(sides), "c").groupBy("cond").agg(far(c("s") / c("drawn"), "cm", "obs").alias("p_value"), far(c("wins") / c("drawn"), "cw", "obs_win").alias("p_win"))
+    return sides.select("cond", "n", "obs").join(p, "cond", "left")
+
+
+def monte_carlo(spark, sf, conds: list[str]):
+    """(cond, n, obs, sign_flip, p_value, p_win, verdict) of conditions of depth one or two, over all orders.
+
+    sign_flip: share of 5000 bootstrap means without the sign of the mean.  p_value, p_win: 5000 draws from the rows
+    without the condition.  A condition under 5 rows is not drawn for.
+    """
+    b = stored(binned(spark, sf).where("r IS NOT NULL").select("id", "r", *COLUMNS))
+    number = {c: i for i, c in enumerate(sorted(conds))}
+    met = [F.when(P.matches({k: v for k, _, v in (part.partition("=") for part in c.split(" & "))}), F.lit(i)) for c, i in number.items()]
+    rows = stored(b.select("id", "r", F.array_compact(F.array(*met)).alias("met")))
+    names = {i: c for c, i in number.items()}
+    of = spark.createDataFrame(list(names.items()), "c int, cond string")
+    long = rows.select("id", F.col("r").alias("target"), F.explode("met").alias("c")).join(F.broadcast(of), "c").select("id", "target", "cond")
+    flips = B.sign_flips(long, "id", 5000)
+    x = permutation_p(rows, names, 5000).join(flips, "cond", "left").withColumn("sign_flip", F.when(F.col("n") >= 5, F.col("sign_flip")))
+    verdict = F.when(F.col("sign_flip").isNull(), "insufficient_data").when(F.col("sign_flip") > 0.10, "fragile").when(F.coalesce("p_value", F.lit(1.0)) > 0.05, "like_random_subset").otherwise("survives")
+    return x.withColumn("verdict", verdict)
+
+
+@R.add("mc_pattern")
 def mc_pattern(spark, sf):
-    t = realized(spark, sf).select("id", F.col("r").alias("target"), F.col("instrument").alias("cond"))
-    return B.sign_flips(t, "id", 5000).withColumnRenamed("cond", "instrument")
+    conds = [r["cond"] for r in pattern_depth1(spark, sf).select("cond").collect()]
+    return monte_carlo(spark, sf, conds).select("cond", "n", *(F.round(c, 6).alias(c) for c in ("sign_flip", "p_value", "p_win")))
 
 
-@R.add("mc_label", f"SELECT instrument, CASE WHEN sign_flip IS NULL THEN 'insufficient' WHEN sign_flip > 0.10 THEN 'fragile' ELSE 'survives' END AS verdict FROM {_MCB}", T)
+@R.add("mc_label")
 def mc_label(spark, sf):
-    return mc_pattern(spark, sf).select("instrument", F.when(F.col("sign_flip").isNull(), "insufficient").when(F.col("sign_flip") > 0.10, "fragile").otherwise("survives").alias("verdict"))
+    conds = [r["cond"] for r in pattern_depth1(spark, sf).select("cond").collect()]
+    return monte_carlo(spark, sf, conds).select("cond", "verdict")
 
 
 def _paired_pf(src: str, new: str, iterations: int, by: str = "") -> str:
@@ -309,7 +363,10 @@ def boot_pf_top3(spark, sf):
     return paired_pf(s.join(F.broadcast(top.select("strategy")), "strategy", "left_semi"), "exit_r", 1000, "strategy")
 
 
-@R.add("boot_pf_cluster", f"SELECT x.*, CASE WHEN p05 > base THEN 'robust' WHEN p95 < base THEN 'not_robust' WHEN (p95 - base) / nullif(p95 - p05, 0) < 0.9 THEN 'borderline' ELSE 'not_robust' END AS verdict FROM {_paired_pf(Q._HY, 'hybrid_r', 1000, 'cluster')} x JOIN (SELECT cluster, {PF.format('orig_r')} AS base FROM {Q._HY} GROUP BY 1) USING (cluster)", T, doubles=_PC)
+_CLUSTER_PF = f"SELECT x.*, CASE WHEN p05 > base THEN 'robust' WHEN p95 < base THEN 'not_robust' WHEN (p95 - base) / nullif(p95 - p05, 0) < 0.9 THEN 'borderline' ELSE 'not_robust' END AS verdict FROM {_paired_pf(Q._HY, 'hybrid_r', 1000, 'cluster')} x JOIN (SELECT cluster, {PF.format('orig_r')} AS base FROM {Q._HY} GROUP BY 1) USING (cluster)"
+
+
+@R.add("boot_pf_cluster", _CLUSTER_PF, T, doubles=_PC)
 def boot_pf_cluster(spark, sf):
     h = Q.hybrid(spark, sf)
     base = h.groupBy("cluster").agg(M.finite_profit_factor(F.col("orig_r")).alias("base"))
@@ -319,26 +376,27 @@ def boot_pf_cluster(spark, sf):
     return x.withColumn("verdict", v).drop("base")
 
 
-def _shuffled(r: str, iterations: int) -> str:
-    return f"(SELECT iter, max(pk - eq) AS max_dd FROM (SELECT *, max(eq) OVER (PARTITION BY iter ORDER BY k) AS pk FROM (SELECT *, sum({r}) OVER (PARTITION BY iter ORDER BY k) AS eq FROM {_PERM.format(iterations)})) GROUP BY iter)"
+def _shuffled(src: str, r: str, iterations: int, by: str = "") -> str:
+    b = f"{by}, " if by else ""
+    w = f"OVER (PARTITION BY {b}iter ORDER BY m5, v ROWS UNBOUNDED PRECEDING)"
+    return f"(SELECT {b}iter, max(pk - eq) AS max_dd FROM (SELECT *, max(eq) {w} AS pk FROM (SELECT *, sum(v) {w} AS eq FROM ({_drawn(src, f'{b}{r} AS v', iterations)}))) GROUP BY {b}iter)"
 
 
-@R.add("shuffle_dd", f"SELECT median(max_dd) AS median_dd, quantile_cont(max_dd, 0.95) AS p95_dd FROM {_shuffled('r', 1000)}", T, doubles="median_dd p95_dd")
+@R.add("shuffle_dd", f"SELECT median(max_dd) AS median_dd, quantile_cont(max_dd, 0.95) AS p95_dd FROM {_shuffled('trades_r', 'r', 1000)}", T, doubles="median_dd p95_dd")
 def shuffle_dd(spark, sf):
     return B.permuted_drawdown(realized(spark, sf), "r", "id", 1000).agg(F.median("max_dd").alias("median_dd"), F.percentile("max_dd", 0.95).alias("p95_dd"))
 
 
-@R.add("shuffle_dd_actual", f"SELECT actual, median(max_dd) AS median_dd, avg((max_dd < actual)::INT) AS share_smaller FROM {_shuffled('r', 2000)}, (SELECT max_dd AS actual FROM ({Q._dd('trades_r', 'r')})) GROUP BY actual", T, doubles="actual median_dd share_smaller")
+@R.add("shuffle_dd_actual", f"SELECT actual, median(max_dd) AS median_dd, avg((max_dd < actual)::INT) AS share_smaller FROM {_shuffled('trades_r', 'r', 2000)}, (SELECT max_dd AS actual FROM ({Q._dd('trades_r', 'r')})) GROUP BY actual", T, doubles="actual median_dd share_smaller")
 def shuffle_dd_actual(spark, sf):
     t = realized(spark, sf)
-    actual = M.drawdown(t, "r", ["t0", "id"], []).withColumnRenamed("max_dd", "actual")
+    actual = Q.deepest(t.select("t0", "id", "r"), "r").withColumnRenamed("max_dd", "actual")
     return B.permuted_drawdown(t, "r", "id", 2000).crossJoin(F.broadcast(actual)).groupBy("actual").agg(F.median("max_dd").alias("median_dd"), F.avg((F.col("max_dd") < F.col("actual")).cast("int")).alias("share_smaller"))
 
 
-@R.add("mc_best_cluster")
+@R.add("mc_best_cluster", f"WITH hy AS MATERIALIZED {Q._HY} SELECT * FROM ({_CLUSTER_PF.replace(Q._HY, 'hy')}) JOIN (SELECT cluster, median(max_dd) AS median_dd FROM {_shuffled('hy', 'hybrid_r', 1000, 'cluster')} GROUP BY 1) USING (cluster)", T, doubles=_PC + " median_dd")
 def mc_best_cluster(spark, sf):
-    h = Q.hybrid(spark, sf)
-    dd = B.permuted_drawdown(h, "hybrid_r", "id", 1000, by=["cluster"]).groupBy("cluster").agg(F.round(F.median("max_dd"), 6).alias("median_dd"))
+    dd = B.permuted_drawdown(Q.hybrid(spark, sf), "hybrid_r", "id", 1000, by="cluster").groupBy("cluster").agg(F.median("max_dd").alias("median_dd"))
     return boot_pf_cluster(spark, sf).join(dd, "cluster")
 
 
@@ -390,15 +448,12 @@ _WX = f"(SELECT d, abs(d) AS m, {_RK.format('abs(d)')} AS rk FROM (SELECT round(
 
 @R.add("test_paired_t_w", f"SELECT n, least(wp, wm) AS w, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - tie / 48.0) AS z FROM (SELECT count(*)::DOUBLE AS n, sum(rk) FILTER (d > 0) AS wp, sum(rk) FILTER (d < 0) AS wm FROM {_WX}), (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*)::DOUBLE AS c FROM {_WX} GROUP BY m))", T, doubles="w z", longs="n")
 def test_paired_t_w(spark, sf):
-    return H.wilcoxon(Q.no_stop(spark, sf).where("final_r is not null"), "final_r", "orig_r")
+    return H.wilcoxon(Q.no_stop(spark, sf).where("final_r is not null"), "final_r", "orig_r", "id")
 
 
 @R.add("test_spearman_trend", f"SELECT count(*) AS n, corr(a, b) AS rho, regr_slope(r, seq) AS slope FROM (SELECT seq, r, {_RK.format('seq')} AS a, {_RK.format('round(r, 12)')} AS b FROM (SELECT r, row_number() OVER (ORDER BY t0, id) AS seq FROM trades_r))", T, doubles="rho slope", digits=9)
 def test_spearman_trend(spark, sf):
-    w = Window.partitionBy(F.lit(0))
-    x = realized(spark, sf).select("r", F.round("r", 12).alias("rr"), F.row_number().over(w.orderBy("t0", "id")).alias("seq"))
-    x = x.withColumns({"a": H.average_rank("seq"), "b": H.average_rank("rr")})
-    return x.agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"), F.regr_slope("r", "seq").alias("slope"))
+    return H.trend(realized(spark, sf), "r", ["t0", "id"])
 
 
 @R.add("bayes_beta_binom")
@@ -419,7 +474,7 @@ def bayes(spark, sf):
     return x.withColumn("bayes_factor", S.binomial_bayes_factor(F.round(F.col("win_rate") * F.col("n")), F.col("n").cast("double"), F.col("p")))
 
 
-@R.add("bayes_factor", f"SELECT cond, ln(bayes_factor) AS log_bf FROM {_BF}", O, doubles="log_bf", digits=5)
+@R.add("bayes_factor", f"SELECT cond, ln(bayes_factor) AS log_bf FROM {_BF}", OR, doubles="log_bf", digits=5)
 def bayes_factor(spark, sf):
     return bayes(spark, sf).select("cond", F.ln("bayes_factor").alias("log_bf"))
 
@@ -427,7 +482,7 @@ def bayes_factor(spark, sf):
 _BL = "CASE WHEN bayes_factor < 1 THEN 'supports_null' WHEN bayes_factor < 3 THEN 'anecdotal' WHEN bayes_factor < 10 THEN 'moderate' WHEN bayes_factor < 30 THEN 'strong' WHEN bayes_factor < 100 THEN 'very_strong' ELSE 'extreme' END"
 
 
-@R.add("bayes_label", f"SELECT cond, {_BL} AS evidence FROM {_BF}", O)
+@R.add("bayes_label", f"SELECT cond, {_BL} AS evidence FROM {_BF}", OR)
 def bayes_label(spark, sf):
     f = F.col("bayes_factor")
     return bayes(spark, sf).select("cond", F.when(f < 1, "supports_null").when(f < 3, "anecdotal").when(f < 10, "moderate").when(f < 30, "strong").when(f < 100, "very_strong").otherwise("extreme").alias("evidence"))
@@ -439,10 +494,8 @@ def bayes_attach(spark, sf):
 
 
 def equity(spark, sf):
-    w = Window.partitionBy(F.lit(0)).orderBy("t0", "id")
-    x = realized(spark, sf).select("id", "t0", "r")
-    f = w.rowsBetween(-19, 0)
-    return x.withColumn("smooth", F.when(F.count("r").over(f) >= 10, F.avg("r").over(f)))
+    x = O.row_numbers(O.dealt(realized(spark, sf).select("id", "t0", "r"), ["t0", "id"]), ["t0", "id"], "at")
+    return O.trailing(x, "at", 20, lambda f: {"smooth": F.when(F.count("r").over(f) >= 10, F.avg("r").over(f))}).select("id", "t0", "r", "smooth")
 
 
 @R.add("equity_cusum")
@@ -468,17 +521,25 @@ def cp_tie(spark, sf):
 # Scores
 
 
+#: Candidates that are scored: the least p values.
+SCORED = 30
+
+
 def scored(spark, sf):
-    x = with_p(spark, sf)
-    x = x.join(fold_summary(spark, sf), "cond", "left").orderBy("p_exp", "cond").limit(30)
+    """Candidates with their six components.  The minimum and maximum of the effect are taken over the scored candidates."""
+    x = with_p(spark, sf).join(fold_summary(spark, sf), "cond", "left").orderBy("p_exp", "cond").limit(SCORED)
+    x = stored(x.join(perturbation(spark, sf).select("cond", "pass_share", F.col("label").alias("stability")), "cond", "left"))
+    mc = monte_carlo(spark, sf, [r["cond"] for r in x.select("cond").collect()]).select("cond", "sign_flip", "p_value", "verdict")
+    x = x.join(F.broadcast(mc), "cond", "left")
     share = F.when(F.col("expectancy") > 0, F.col("positive_folds")).otherwise(F.col("folds_with_data") - F.col("positive_folds")) / F.nullif("folds_with_data", F.lit(0))
     clip = lambda c: F.greatest(F.least(c, F.lit(100.0)), F.lit(0.0))
-    w = Window.partitionBy(F.lit(0))
+    w = Window.partitionBy(F.lit(0))  # SCORED rows
     e = F.abs("expectancy")
     span = F.max(e).over(w) - F.min(e).over(w)
+    tested = F.contains("cond", F.lit("_bin="))
     return x.withColumns({
-        "s_sig": clip(F.coalesce(100 * (1 - F.col("p_fdr")), F.lit(0.0))), "s_wf": clip(F.coalesce(100 * share, F.lit(0.0))),
-        "s_effect": F.coalesce(100 * (e - F.min(e).over(w)) / F.nullif(span, F.lit(0.0)), F.lit(50.0)), "s_stability": F.lit(50.0), "s_mc": clip(100 * (1 - F.coalesce("p_exp", F.lit(1.0)))), "s_sample": clip(100.0 * F.col("n") / 100),
+        "s_sig": clip(F.coalesce(100 * (1 - F.col("p_fdr")), F.lit(0.0))), "s_wf": clip(F.coalesce(100 * share, F.lit(0.0))), "s_effect": F.coalesce(100 * (e - F.min(e).over(w)) / F.nullif(span, F.lit(0.0)), F.lit(50.0)),
+        "s_stability": F.when(tested, clip(F.coalesce(100 * F.col("pass_share"), F.lit(0.0)))).otherwise(50.0), "s_mc": clip(F.coalesce(100 * (1 - F.col("sign_flip")), F.lit(0.0))), "s_sample": clip(100.0 * F.col("n") / 100),
     })
 
 
@@ -495,23 +556,16 @@ def score_total(spark, sf):
     return scored(spark, sf).select("cond", reduce(lambda a, b: a + b, [F.col(c) * w for c, w in WEIGHTS.items()]).alias("score"))
 
 
-#: Bootstrap iterations behind the verdict that a tier needs.
-VERDICT_ITER = 5000
-
-
 def tier():
-    """Only what survives resampling (at most a tenth of the means change sign) is confirmed or exploratory."""
-    survives = F.coalesce(F.col("sign_flip") <= 0.10, F.lit(False))
+    """Only what survives resampling and random subsets is confirmed or exploratory."""
+    survives = F.col("verdict") == "survives"
     return F.when(F.col("reject_fdr") & survives & (F.col("n") >= 25), "confirmed").when((F.col("p_exp") < 0.05) & survives, "exploratory").otherwise("rejected_or_low_confidence")
 
 
 @R.add("score_tier_rank")
 def score_tier_rank(spark, sf):
     x = scored(spark, sf).withColumn("score", reduce(lambda a, b: a + b, [F.col(c) * w for c, w in WEIGHTS.items()]))
-    long = P.patterns(binned(spark, sf), "id", "r", COLUMNS, 2)
-    flips = B.sign_flips(long.join(F.broadcast(x.select("cond")), "cond", "left_semi"), "id", VERDICT_ITER)
-    x = x.join(F.broadcast(flips), "cond", "left")
-    return x.select("cond", "n", "expectancy", "score", tier().alias("tier"), F.when(F.col("expectancy") > 0, "positive").otherwise("negative").alias("direction")).orderBy("tier", F.desc("score"))
+    return x.select("cond", "n", "expectancy", "score", tier().alias("tier"), F.when(F.col("expectancy") > 0, "positive").otherwise("negative").alias("direction"), "verdict", "stability").orderBy("tier", F.desc("score"))
 
 
 @R.add("pipeline_pattern")
@@ -522,7 +576,7 @@ def pipeline_pattern(spark, sf):
 _C2 = f"(SELECT cond, avg(x) AS e FROM (SELECT c.cond, CASE WHEN c.r > 0 THEN c.r ELSE 0 END AS x FROM ({_CONDS}) c) GROUP BY cond HAVING count(*) >= 20)"
 
 
-@R.add("cross_target", f"SELECT d.cond, d.expectancy, e AS other_expectancy FROM ({_D1}) d JOIN {_C2} USING (cond)", O, doubles="expectancy other_expectancy", digits=7)
+@R.add("cross_target", f"SELECT d.cond, d.expectancy, e AS other_expectancy FROM ({_D1}) d JOIN {_C2} USING (cond)", OR, doubles="expectancy other_expectancy", digits=7)
 def cross_target(spark, sf):
     b = binned(spark, sf)
     other = P.group_stats(P.patterns(b.withColumn("r2", F.greatest(F.col("r"), F.lit(0.0))), "id", "r2", COLUMNS, 1), 20)
@@ -533,7 +587,7 @@ def _family(name: str, columns: list[str]):
     sub = " UNION ALL ".join(f"SELECT id, t0, r, '{c}' AS c, '{c}=' || {c}::VARCHAR AS cond FROM {_BIN} WHERE {c} IS NOT NULL" for c in columns)
     pairs = f"WITH c AS ({sub}) SELECT a.id, a.t0, a.r, a.cond || ' & ' || b.cond AS cond FROM c a JOIN c b ON a.id = b.id AND a.c < b.c"
 
-    @R.add(name, f"{_stats(sub, 20)} UNION ALL {_stats(pairs, 20)}", O, doubles=_SC, digits=7)
+    @R.add(name, f"{_stats(sub, 20)} UNION ALL {_stats(pairs, 20)}", OR, doubles=_SC, digits=7)
     def f(spark, sf):
         return P.group_stats(P.patterns(binned(spark, sf), "id", "r", columns, 2), 20)
 
@@ -543,8 +597,8 @@ _family("shap_interaction", ["acctbal_bin", "cents_bin", "weekday"])
 _family("macro_pattern", ["segment", "status"])
 
 
-@R.add("entry_check", "SELECT id, weekday = 3 AND cents > lo AND cents <= hi AS matches FROM orders_r, (SELECT quantile_cont(cents, 1.0/3) AS lo, quantile_cont(cents, 2.0/3) AS hi FROM orders_r)", O)
+@R.add("entry_check", "SELECT id, weekday = 3 AND cents > lo AND cents <= hi AS matches FROM orders_r, (SELECT quantile_cont(cents, 1.0/3) AS lo, quantile_cont(cents, 2.0/3) AS hi FROM orders_r)", OR)
 def entry_check(spark, sf):
     o = X.orders_r(spark, sf)
-    q = o.agg(F.percentile("cents", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    return o.crossJoin(F.broadcast(q)).select("id", ((F.col("weekday") == 3) & (F.col("cents") > F.col("q")[0]) & (F.col("cents") <= F.col("q")[1])).alias("matches"))
+    q = selection.quantiles(o, {"lo": ("cents", 1 / 3), "hi": ("cents", 2 / 3)})[0]
+    return o.select("id", ((F.col("weekday") == 3) & (F.col("cents") > F.lit(q["lo"])) & (F.col("cents") <= F.lit(q["hi"]))).alias("matches"))

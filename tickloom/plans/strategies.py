@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import exits as E
 from ..operators import intervals as J
+from ..operators import ordered as O
+from ..operators import selection as S
 from ..sources import fixtures as X
+from ..sources.scratch import stored
 from .registry import Registry
 
 R = Registry()
@@ -191,9 +194,15 @@ def _dd(src: str, r: str, by: str = "") -> str:
     return f"SELECT {sel}max(pk - eq) AS max_dd FROM (SELECT *, max(eq) OVER ({part}ORDER BY t0, id ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, sum({r}) OVER ({part}ORDER BY t0, id ROWS UNBOUNDED PRECEDING) AS eq FROM {src})){grp}"
 
 
+def deepest(df, r: str, by: list[str] | None = None):
+    """Deepest fall of the cumulated R of each group in order of start and id."""
+    order = [*(by or []), "t0", "id"]
+    return O.drawdown(O.dealt(df, order), r, ["t0", "id"], by)
+
+
 @R.add("agg_max_drawdown", _dd("trades_r", "r", "instrument"), V, doubles="max_dd")
 def agg_max_drawdown(spark, sf):
-    return M.drawdown(base(spark, sf)[0], "r", ["t0", "id"], ["instrument"])
+    return deepest(base(spark, sf)[0].select("instrument", "t0", "id", "r"), "r", ["instrument"])
 
 
 _TR = f"(SELECT * FROM {_sim_sql(TRAIL)} WHERE scenario = 'conservative')"
@@ -270,8 +279,9 @@ def hybrid_compare(spark, sf):
 
 @R.add("drawdown_profile", f"SELECT (SELECT max_dd FROM ({_dd(_HY, 'orig_r')})) AS baseline_dd, (SELECT max_dd FROM ({_dd(_HY, 'hybrid_r')})) AS hybrid_dd", V, doubles="baseline_dd hybrid_dd", digits=8)
 def drawdown_profile(spark, sf):
-    h = hybrid(spark, sf)
-    return M.drawdown(h, "orig_r", ["t0", "id"], []).withColumnRenamed("max_dd", "baseline_dd").crossJoin(M.drawdown(h, "hybrid_r", ["t0", "id"], []).withColumnRenamed("max_dd", "hybrid_dd"))
+    h = O.dealt(hybrid(spark, sf).select("t0", "id", "orig_r", "hybrid_r"), ["t0", "id"])
+    one = lambda r, name: O.drawdown(h, r, ["t0", "id"]).withColumnRenamed("max_dd", name)
+    return one("orig_r", "baseline_dd").crossJoin(F.broadcast(one("hybrid_r", "hybrid_dd")))
 
 
 @R.add("yearly_perf", f"SELECT year(o_orderdate) AS yr, count(*) AS n, avg((r > 0)::INT) AS win_rate, avg(r) AS expectancy, {_PF.format('r')} AS profit_factor FROM (SELECT o_orderdate, round(o_totalprice * 100)::BIGINT % 2001 / 1000.0::DOUBLE - 1 AS r FROM orders) GROUP BY 1", doubles="win_rate expectancy profit_factor", longs="yr")
@@ -331,20 +341,22 @@ def yearly_stability(spark, sf):
 
 @R.add("no_stop_summary", f"SELECT label, avg(v) AS mean_r, median(v) AS median_r, avg((v > 0)::INT) AS win_rate, {_PF.format('v')} AS profit_factor, min(v) AS worst FROM (SELECT 'actual' AS label, orig_r AS v FROM {_NS} WHERE final_r IS NOT NULL UNION ALL SELECT 'no_stop', final_r FROM {_NS} WHERE final_r IS NOT NULL) GROUP BY label", V, doubles="mean_r median_r win_rate profit_factor worst", digits=8)
 def no_stop_summary(spark, sf):
-    x = no_stop(spark, sf).where("final_r is not null").selectExpr("stack(2, 'actual', orig_r, 'no_stop', final_r) AS (label, v)")
+    x = stored(no_stop(spark, sf).where("final_r is not null").selectExpr("stack(2, 'actual', orig_r, 'no_stop', final_r) AS (label, v)"))
     v = F.col("v")
-    return x.groupBy("label").agg(F.avg(v).alias("mean_r"), F.median(v).alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"), F.min(v).alias("worst"))
+    return x.join(F.broadcast(S.quantile_table(x, {"median_r": ("v", 0.5)}, "label")), "label").groupBy("label").agg(F.avg(v).alias("mean_r"), F.first("median_r").alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"), F.min(v).alias("worst"))
 
 
 @R.add("tail_risk", f"SELECT count(*) AS n, count(*) FILTER (worst_r <= -3) AS n_catastrophic, quantile_cont(worst_r, 0.01) AS p1, quantile_cont(worst_r, 0.05) AS p5, median(worst_r) AS p50, min(worst_r) AS worst FROM {_NS} WHERE worst_r IS NOT NULL", V, doubles="p1 p5 p50 worst", digits=8)
 def tail_risk(spark, sf):
-    return no_stop(spark, sf).where("worst_r is not null").agg(F.count("*").alias("n"), F.count_if(F.col("worst_r") <= -3).alias("n_catastrophic"), F.percentile("worst_r", 0.01).alias("p1"), F.percentile("worst_r", 0.05).alias("p5"), F.median("worst_r").alias("p50"), F.min("worst_r").alias("worst"))
+    x = stored(no_stop(spark, sf).where("worst_r is not null").select("worst_r"))
+    q = S.quantile_table(x, {"p1": ("worst_r", 0.01), "p5": ("worst_r", 0.05), "p50": ("worst_r", 0.5)})
+    return x.agg(F.count("*").alias("n"), F.count_if(F.col("worst_r") <= -3).alias("n_catastrophic"), F.min("worst_r").alias("worst")).crossJoin(F.broadcast(q))
 
 
 @R.add("stopout_recovery", f"SELECT count(*) AS n, avg((final_r > 0)::INT) AS recovered, median(CASE WHEN final_r > 0 THEN final_r END) AS median_recovered FROM {_NS} WHERE orig_r <= -0.99 AND final_r IS NOT NULL", V, doubles="recovered median_recovered", digits=9)
 def stopout_recovery(spark, sf):
-    x = no_stop(spark, sf).where("orig_r <= -0.99 and final_r is not null")
-    return x.agg(F.count("*").alias("n"), F.avg((F.col("final_r") > 0).cast("double")).alias("recovered"), F.median(F.when(F.col("final_r") > 0, F.col("final_r"))).alias("median_recovered"))
+    x = stored(no_stop(spark, sf).where("orig_r <= -0.99 and final_r is not null").select("final_r", F.when(F.col("final_r") > 0, F.col("final_r")).alias("won")))
+    return x.agg(F.count("*").alias("n"), F.avg((F.col("final_r") > 0).cast("double")).alias("recovered")).crossJoin(F.broadcast(S.quantile_table(x, {"median_recovered": ("won", 0.5)})))
 
 
 _TG = f"(SELECT * FROM {_sim_sql(['target'])} WHERE scenario = 'conservative')"
@@ -397,16 +409,19 @@ def trail_regime_perf(spark, sf):
 @R.add("eod_summary", f"SELECT reason, count(*) AS n, avg(exit_r) AS mean_r, median(exit_r) AS median_r, avg((exit_r > 0)::INT) AS win_rate, {_PF.format('exit_r')} AS profit_factor FROM {_EOD} GROUP BY reason", V, doubles="mean_r median_r win_rate profit_factor", digits=9)
 def eod_summary(spark, sf):
     v = F.col("exit_r")
-    return eod(spark, sf).groupBy("reason").agg(F.count("*").alias("n"), F.avg(v).alias("mean_r"), F.median(v).alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"))
+    x = stored(eod(spark, sf).select("reason", "exit_r"))
+    return x.join(F.broadcast(S.quantile_table(x, {"median_r": ("exit_r", 0.5)}, "reason")), "reason").groupBy("reason").agg(F.count("*").alias("n"), F.avg(v).alias("mean_r"), F.first("median_r").alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"))
 
 
 _SPLIT = f"(SELECT *, CASE WHEN row_number() OVER (PARTITION BY strategy ORDER BY t0, id) <= floor(0.6 * count(*) OVER (PARTITION BY strategy)) THEN 'train' ELSE 'test' END AS part FROM {_TR})"
 
 
 def chrono(df, by: str = "strategy"):
-    k = F.row_number().over(Window.partitionBy(by).orderBy("t0", "id"))
-    n = F.count("*").over(Window.partitionBy(by))
-    return df.withColumn("part", F.when(k <= F.floor(F.lit(0.6) * n), "train").otherwise("test"))
+    """Adds part: the first three fifths of each group in order of start and id are train."""
+    numbered = O.row_numbers(O.dealt(df, [by, "t0", "id"]), ["t0", "id"], "_at", [by])
+    sizes = numbered.groupBy(by).agg(F.count("*").alias("_size"))
+    x = numbered.join(sizes, by).withColumn("part", F.when(F.col("_at") <= F.floor(F.lit(0.6) * F.col("_size")), "train").otherwise("test"))
+    return x.drop("_at", "_size", O.PIECE)
 
 
 @R.add("split_chrono", f"SELECT part, strategy, count(*) AS n, min(t0) AS first, max(t0) AS last FROM {_SPLIT} GROUP BY ALL", V)
