@@ -50,12 +50,81 @@ def test_draws_are_poisson_and_chances_hold(spark):
 
 
 def test_tier_needs_survival(spark):
-    rows = [(True, 0.05, 30, 0.001), (True, 0.11, 30, 0.001), (False, 0.05, 30, 0.01), (False, 0.2, 30, 0.01), (True, None, 30, 0.001), (True, 0.0, 20, 0.2)]
-    x = spark.createDataFrame(rows, "reject_fdr boolean, sign_flip double, n int, p_exp double").coalesce(1)
+    rows = [(True, "survives", 30, 0.001), (True, "fragile", 30, 0.001), (False, "survives", 30, 0.01), (False, "like_random_subset", 30, 0.01), (True, None, 30, 0.001), (True, "survives", 20, 0.2)]
+    x = spark.createDataFrame(rows, "reject_fdr boolean, verdict string, n int, p_exp double").coalesce(1)
     low = "rejected_or_low_confidence"
     assert [r[0] for r in x.select(research.tier()).collect()] == ["confirmed", low, "exploratory", low, low, low]
 
 
-def test_every_later_year_is_a_fold(spark, sf_dir):
-    years = sorted(r[0] for r in X.orders_r(spark, sf_dir).select(F.year("t0")).distinct().collect())
-    assert sorted({r["fold"] for r in models.importance(spark, sf_dir).collect()}) == years[2:]
+def test_folds_and_their_gates(spark, sf_dir, monkeypatch):
+    """Every year with 40 rows before it and 10 in it is a fold; the features are those of the model."""
+    monkeypatch.setitem(models.BOOST, "maxIter", 2)
+    n = {r["yr"]: r["n"] for r in X.orders_r(spark, sf_dir).groupBy(F.year("t0").alias("yr")).agg(F.count("*").alias("n")).collect()}
+    want = {y for y in n if n[y] >= 10 and sum(c for z, c in n.items() if z < y) >= 40}
+    got = models.importance(spark, sf_dir).collect()
+    assert {r["fold"] for r in got} == want and {r["feature"] for r in got} == {*models.LABELS, *models.NUMBERS}
+    top = models.stability(spark.createDataFrame(got)).first()
+    assert 0 <= top["overlap"] <= 1 and models.selected(spark.createDataFrame(got)).count() == 4
+
+
+def test_monte_carlo_of_a_condition(spark, sf_dir):
+    """Exact sizes: the p value of a condition equals that of plain draws by the same hashes; small conditions are not drawn for."""
+    conds = ["weekday=3", "cents_bin=0 & status=F", "prio=1-URGENT"]
+    got = {r["cond"]: r for r in research.monte_carlo(spark, sf_dir, conds).collect()}
+    o = research.binned(spark, sf_dir).select("id", "r", *research.COLUMNS).toPandas()
+    h = B.draws(o["id"].to_numpy(), np.arange(5000), 42)
+    for c in conds:
+        mask = np.ones(len(o), bool)
+        for k, v in (p.split("=") for p in c.split(" & ")):
+            mask &= o[k].astype(float).eq(float(v)).to_numpy() if k in ("weekday", "cents_bin") else o[k].eq(v).to_numpy()
+        r, ids, hh = o["r"].to_numpy()[~mask], o["id"].to_numpy()[~mask], h[:, ~mask]
+        n, obs, cm = int(mask.sum()), o["r"][mask].mean(), r.mean()
+        drawn = np.array([r[np.lexsort((ids, x))[:n]].mean() for x in hh])
+        assert got[c]["n"] == n and abs(got[c]["p_value"] - np.mean(np.round(abs(drawn - cm), 12) >= round(abs(obs - cm), 12))) < 1e-9, c
+
+
+def test_clusters_side_by_side(spark):
+    """No dearer than pyspark.ml from the same starting centres; the cheapest of the restarts is kept; ties go to the first centre."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from tickloom.operators import clusters as C
+
+    g = np.random.default_rng(3)
+    rows = [tuple(float(v) for v in g.normal(c, 0.6, 2)) for c in ((0, 0), (4, 4), (0, 5)) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3)
+    fitted = C.fit(df, ["a", "b"])
+    assert fitted.k == 3 and fitted.silhouette > 0.8
+    marked = C.assign(df, fitted).toPandas()
+    assert sorted(marked["cluster"].value_counts()) == [80, 80, 80]
+    z = (np.array(rows) - fitted.means) / fitted.scales
+    first = [C.starts(z, 3, np.random.default_rng(i)) for i in range(10)]
+    x = spark.createDataFrame([tuple(map(float, r)) for r in z], "a double, b double")
+    together, costs = C.fit_all(x, first)
+    alone = [C.fit_all(x, [f]) for f in first]
+    assert np.allclose(costs, [c[0] for _, c in alone]) and all(np.allclose(m, n[0]) for m, (n, _) in zip(together, alone, strict=True))
+    ml = min(KMeans(k=3, seed=i, maxIter=50).fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(x)).summary.trainingCost for i in range(3))
+    assert min(costs) <= ml * (1 + 1e-6)
+
+
+def test_windows_from_spans(spark):
+    """Equal to a look at every bar, for windows shorter and longer than the top span and with gaps."""
+    import datetime as dt
+    import random
+
+    from tickloom.operators import intervals as J
+
+    rnd = random.Random(4)
+    day = dt.datetime(2024, 1, 1)
+    bars = [("x", day + dt.timedelta(hours=h), float(rnd.randint(0, 99)), float(rnd.randint(-99, 0)), float(h)) for h in range(300) if rnd.random() < 0.6]
+    spans = [(i, "x" if i else "none", day + dt.timedelta(minutes=m), day + dt.timedelta(minutes=m + n)) for i, (m, n) in enumerate((rnd.randint(-900, 18000), rnd.choice([0, 30, 61, 600, 6000, 17000])) for _ in range(120))]
+    t = spark.createDataFrame(spans, "id int, instrument string, t0 timestamp, t1 timestamp")
+    b = spark.createDataFrame(bars, "instrument string, bar_ts timestamp, high double, low double, close double")
+    for levels in (3, 11):
+        got = {r["id"]: (r["last"], r["h"], r["l"]) for r in J.window_extremes(t, b, F.col("t0"), F.col("t1"), levels=levels).collect()}
+        want = {}
+        for i, name, s, e in spans:
+            inside = [x for x in bars if x[0] == name and s <= x[1] <= e]
+            if inside:
+                want[i] = (inside[-1][4], max(x[2] for x in inside), min(x[3] for x in inside))
+        assert got == want

@@ -118,7 +118,7 @@ def cluster_kmeans(spark, sf):
 @R.add("cluster_fit")
 def cluster_fit(spark, sf):
     c = C.fit(matrix(spark, sf), FEATURES)
-    return spark.createDataFrame([(c.k, round(c.silhouette, 4), round(c.cost, 4))], "k int, silhouette double, cost double")
+    return spark.createDataFrame([(c.k, round(c.silhouette, 4), round(float(c.cost), 4))], "k int, silhouette double, cost double")
 
 
 @R.add("cluster_assign")
