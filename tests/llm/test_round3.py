@@ -291,3 +291,76 @@ def test_shared_heads(spark):
         own.setdefault(c, []).append(t)
     want = {c: own.get(c - c % 100, [])[: (h := zlib.crc32(str(c).encode()) % 6)] + own[c][h:] for c in own}
     assert got == {c: t for c, t in want.items() if t}
+
+
+# Mended operators
+
+
+def test_decontamination_blocks_give_the_same_rows(spark):
+    """Repeated and null keys keep their rows, whatever the number of blocks of the benchmark."""
+    from tickloom.llm import decontamination as D
+
+    q, z = " ".join(f"q{i}" for i in range(10)), "zzz yyy"
+    rows = [(1, f"some words {q} and more", "c"), (1, "zzz yyy", "c"), (1, "zzz yyy", "c"), (2, None, "c"), (None, f"{q} {z}", "c"), (None, "nothing", "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string").repartition(3)
+    items = spark.createDataFrame([("q", q), ("z", z), ("z", "other words here"), ("e", ""), ("n", None), ("long", q + " tail")], "item_id string, text string")
+    got = [sorted((repr((r["doc_id"], r["n_words"], r["n_hit"], [tuple(s) for s in r["spans"]], r["items"])) for r in D.find_contamination(docs, items, block_bytes=b).collect())) for b in (1 << 20, 30)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    assert repr((1, 2, 2, [(0, 2)], ["z"])) in got[0] and repr((None, 12, 12, [(0, 12)], ["long", "q", "z"])) in got[0]
+    assert D.find_contamination(docs.where("false"), items, block_bytes=30).count() == 0
+    assert D.drop_contaminated(docs, items, block_bytes=30).count() == 2
+
+
+def test_pairs_left_in_a_group_are_open(spark):
+    """A group that all but two nodes have left is still compared."""
+    from tickloom.llm import ngram_join as N
+
+    groups = spark.createDataFrame([(7, 2), (7, 3), (8, 4)], "sig bigint, node bigint")
+    labels = spark.createDataFrame([], "node bigint, label bigint")
+    assert sorted((r["node"], r["m"]) for r in N._open_groups(groups, labels).collect()) == [(2, 2), (3, 2)]
+
+
+def test_novelty_tells_words_from_random_strings():
+    from tickloom.llm import secret_scan as S
+
+    novelty = S.Novelty()
+    plain = ["Donaudampfschifffahrtsgesellschaft", "counterrevolutionaries", "src/main/resources/application", "550e8400-e29b-41d4-a716-446655440000", "internationalization", "2024-01-15T12-30-45", "com.example.project.service.UserAccountManager", "/usr/local/share/applications/terminal.desktop", "Rindfleischetikettierung"]
+    rnd = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = ["".join(rnd.choice(letters) for _ in range(n)) for n in (16, 20, 24, 32, 40, 64) for _ in range(20)]
+    for frame in ("the token {} was set in the file", "secret {}", "please never share the password {} with anyone else on the team"):
+        assert [x for x in plain if novelty.spans(frame.format(x), [])] == []
+        found = sum(any(text[s:e] == x for s, _, e, _ in novelty.spans(text, [])) for x in secrets for text in [frame.format(x)])
+        assert found >= 0.97 * len(secrets)
+
+
+def test_html_regions():
+    from tickloom.llm import html_extraction as H
+
+    long = "A long paragraph of text that goes on with many words so that its ratio of text to tags is high. " * 3
+    long = long.strip()
+    for page, want in (
+        (f"<div class=post><p>{long}</p><div><p>Short closing paragraph</p></div></div>", [long, "Short closing paragraph"]),
+        (f"<div class=post><p>{long}</p><blockquote>Short quote</blockquote><p>{long}</p></div>", [long, "Short quote", long]),
+        (f"<div class=post><p>{long}</p><table><tr><td>cell</td></tr></table></div>", [long, "cell"]),
+        (f"<main><section><p>{long}</p></section><section><p>Short one</p></section></main>", [long, "Short one"]),
+        (f"<article><p>{long}</p><h3>More from us</h3><ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article>", [long]),
+        (f"<article><p>{long} <a href=x>a link</a> in it</p><p>{long}</p></article>", [f"{long} a link in it", long]),
+        (f"<div><ul><li><a href=1>home</a><li><a href=2>about</a></ul></div><div><p>{long}</p></div>", [long]),
+    ):
+        assert H.blocks(page) == want, page
+
+
+def test_html_unclosed_tags_are_linear_and_edges(spark):
+    import time
+
+    from tickloom.llm import html_extraction as H
+
+    began = time.time()
+    H.extract("<div>a</i>" * 100_000)
+    assert time.time() - began < 30
+    rows = [(1, "u", None, 1), (1, "u", "", 1), (None, None, "<p>text</p>", 1), (2, "u", "<p>x</p>" * 30_000, 1), (2, "u", "<p>text</p>", 1), (2, "u", "<p>text</p>", 1)]
+    df = spark.createDataFrame(rows, "page_id int, url string, `my.html` string, n_chars int")
+    got = H.extract_pages(df, html="my.html").collect()
+    assert len(got) == len(rows) and sorted(r["text"] for r in got)[:2] == ["", ""] and sum(r["text"] == "text" for r in got) == 3
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and H.extract_pages(df.where("false"), html="my.html").count() == 0

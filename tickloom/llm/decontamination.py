@@ -13,10 +13,15 @@ A shard is as large as a batch and lives as long as it, so neither a frequent
 term nor a large corpus makes a long posting list anywhere, and there is no
 shuffle: all words of a document are in one shard.  The benchmark is the
 stated query set.  It is read in blocks whose size is checked; a larger one
-takes several passes over the documents, which are merged by key.
+takes several passes over the documents, which are written once under a number
+of their own and merged by it.
 
 Null and empty texts have no words; an item without words has no window.
-Items of fewer words than a window are one window.  Repeated items each count.
+Items of fewer words than a window are one window.  Items that share an id
+are one item with the windows of all of them; a null id is the empty string.
+Repeated and null keys are rows of their own.  Columns other than key and text
+are not read, whatever their names; the key may have the name of no result
+column.  Without documents there are no rows, without items no hits.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkern as K
-from .common import add_columns, bounded, fresh, quoted, table
+from .common import add_columns, bounded, fresh, quoted, table, written
 
 WINDOW = 10
 #: Bytes of benchmark text looked up in one pass over the documents.
@@ -130,17 +135,19 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int):
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, near: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: n_words, spans hit (arrays of first words and of ends, exclusive), items with exact matches, and items with proximity matches if asked for.
-
-    ``key`` must be unique among documents if the benchmark takes more than one block.
-    """
+    """Per document: n_words, spans hit (arrays of first words and of ends, exclusive), items with exact matches, and items with proximity matches if asked for."""
     source = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).cast("string").alias("t"))
-    schema = T.StructType([T.StructField(key, source.schema["k"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    blocks = [(Windows([r[0] for r in rows], [r[1] for r in rows], window), n) for n, rows in _blocks(benchmark, item, item_text, block_bytes)]
+    several = len(blocks) > 1
+    if several:
+        numbered = written(source.withColumn("id", F.monotonically_increasing_id()))
+        source = numbered.select("id", "t")
+    schema = T.StructType([T.StructField("id" if several else key, source.schema[0].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("near_items", T.ArrayType(T.StringType()))])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     passes = []
-    for n_blocks, rows in _blocks(benchmark, item, item_text, block_bytes):
-        shipped = spark_broadcast(docs, Windows([r[0] for r in rows], [r[1] for r in rows], window))
+    for found, n_blocks in blocks:
+        shipped = spark_broadcast(docs, found)
 
         def run(batches, shipped=shipped):
             block = shipped.value
@@ -182,11 +189,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     merged = passes[0]
     for p in passes[1:]:
         merged = merged.unionByName(p)
-    return _merge(merged, key)
+    whole = _merge(merged, "id").join(numbered.select("id", F.col("k").alias(fresh(merged, key) if key == "id" else key)), "id")
+    out = whole.select(whole.columns[-1], *(c for c in schema.names if c != "id"))
+    return out.withColumnRenamed(out.columns[0], key)
 
 
 def _merge(found: DataFrame, key: str) -> DataFrame:
-    """One row a document from those of several blocks; words hit are those of the union of the spans."""
+    """One row a number from those of several blocks; words hit are those of the union of the spans."""
     k = quoted(key)
     g = found.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
     joined = F.expr("aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).end >= x.start, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, greatest(element_at(a, -1).end, x.end) as end))), concat(a, array(x))))")

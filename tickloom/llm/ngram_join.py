@@ -404,9 +404,9 @@ def _groups(shared: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _open_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, label, m) of groups of three or more with several components; groups of equal members once."""
+    """(sig, node, label, m) of groups with several components, pairs included, as nodes may have left a group; groups of equal members once."""
     g = groups.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    mixed = g.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("i")).where("x != y and m > 2")
+    mixed = g.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("i")).where("x != y and m > 1")
     return g.join(mixed.groupBy("m", "h", "i").agg(F.min("sig").alias("sig")).select("sig", "m"), "sig")
 
 
