@@ -15,7 +15,11 @@ number of lengths, not of pieces) and is broadcast.  Pieces are numbered
 within their length by salted windows and a table of offsets, then look up
 their sequence and place in it.  Pieces alone move, never token ids.
 
-A null or empty text is one piece: the end-of-document id.
+A null or empty text is one piece: the end-of-document id.  Pieces of equal
+length are placed by key, piece number and checksum, so that a retried task
+places them alike; pieces that tie in all of these hold the same ids.  Repeated
+rows are packed each; other columns are not read, whatever their names; an
+empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -174,9 +178,15 @@ class Plan:
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """Per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: key, piece, start, length, ids_crc32, sequence_id, offset; one of these that has the key's name gets an underscore."""
     spark = docs.sparkSession
-    pieces = written(_token_pieces(docs, key, text, vocabulary, capacity, end_id))
+    own = docs.select(F.col(quoted(key)).alias("key_"), F.col(quoted(text)).cast("string").alias("text_"))
+    placed = _placed(spark, written(_token_pieces(own, "key_", "text_", vocabulary, capacity, end_id)), capacity)
+    return placed.toDF(key, *(f"{c}_" if c.lower() == key.lower() else c for c in placed.columns[1:]))
+
+
+def _placed(spark: SparkSession, pieces: DataFrame, capacity: int) -> DataFrame:
+    key = "key_"
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if not counts:
         return pieces.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
@@ -185,7 +195,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col(quoted(key)), "piece", "ids_crc32"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("m"))
     before = sizes.select("length", "salt", (F.sum("m").over(Window.partitionBy("length").orderBy("salt")) - F.col("m")).alias("before"))
-    numbered = salted.withColumn("i", F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.col(quoted(key)), "piece")))
+    numbered = salted.withColumn("i", F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.col(quoted(key)), "piece", "ids_crc32", "start")))
     numbered = numbered.join(before, ["length", "salt"]).withColumn("i", F.col("i") - 1 + F.col("before"))
     placed = numbered.join(F.broadcast(plan), "length").where("i >= low and i < high")
     index = F.expr("i - low")

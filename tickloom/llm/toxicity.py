@@ -384,9 +384,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _tail(least: int, trials: int, p: float) -> float:
-    """P(at least so many of the trials succeed)."""
-    logs = [math.lgamma(trials + 1) - math.lgamma(i + 1) - math.lgamma(trials - i + 1) + i * math.log(p) + (trials - i) * math.log1p(-p) for i in range(least, min(trials, least + 400) + 1)]
-    return min(1.0, sum(map(math.exp, logs)))
+    """P(at least so many of the trials succeed); 1 where that is no more than the mean."""
+    if least <= trials * p:
+        return 1.0
+    term = math.exp(math.lgamma(trials + 1) - math.lgamma(least + 1) - math.lgamma(trials - least + 1) + least * math.log(p) + (trials - least) * math.log1p(-p))
+    total, i = 0.0, least
+    while i <= trials and term > total * 1e-15:  # terms fall beyond the mean
+        total += term
+        term *= (trials - i) / (i + 1) * p / (1 - p)
+        i += 1
+    return min(1.0, total)
 
 
 def score_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
