@@ -117,6 +117,24 @@ def fit(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), r
         x.unpersist()
 
 
+def lloyd(x: DataFrame, key: str, columns: list[str], k: int, steps: int, digits: int = 9) -> DataFrame:
+    """(key, cluster) after a fixed number of steps from fixed starts: the rows of the k least MD5 of their key.
+
+    Coordinates are standardised (nulls to 0) and, like the centres of each step, rounded, so that the order of additions
+    decides nothing.  A centre that no row is near to stays where it was.
+    """
+    s = x.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
+    z = x.select(key, *(F.round(F.coalesce((F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0), F.lit(0.0)), digits).alias(c) for c in columns)).persist()
+    first = z.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(k).collect()
+    centres = np.array([list(r)[1:] for r in first], float).reshape(len(first), len(columns))
+    points = z.select(*columns)
+    for _ in range(steps if len(first) else 0):
+        centres = np.round(advance(points, [centres])[0][0], digits)
+    out = z.select(key, nearest(columns, np.zeros(len(columns)), np.ones(len(columns)), centres).alias("cluster") if len(first) else F.lit(0).alias("cluster"))
+    z.unpersist()
+    return out
+
+
 def nearest(columns: list[str], means: np.ndarray, scales: np.ndarray, centres: np.ndarray) -> Column:
     """Number of the nearest centre, the first of equals; missing values count as 0."""
     z = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, means, scales, strict=True)]

@@ -135,7 +135,9 @@ def classify(value: Column, cut: float, high: str, low: str) -> Column:
 def regime(b: DataFrame, by: list[str], ts: str = "bar_ts") -> DataFrame:
     """All indicators and the three labels of each day."""
     x = realized_vol(bb_width(adx(b, by, ts), by, ts), by, ts)
-    x = pct_rank_expanding(pct_rank_expanding(x, "atr", "atr_rank", by, ts), "bb_width", "bb_rank", by, ts)
+    # ranks of rounded values, so that the last bits of a long recursion decide nothing
+    x = x.withColumns({"_a": F.round("atr", 3), "_b": F.round("bb_width", 9)})
+    x = pct_rank_expanding(pct_rank_expanding(x, "_a", "atr_rank", by, ts), "_b", "bb_rank", by, ts).drop("_a", "_b")
     return x.withColumns({"trend_regime": classify(F.col("adx"), 25.0, "Trend", "Range"), "vol_regime": classify(F.col("atr_rank"), 0.5, "High Vol", "Low Vol"), "bb_regime": classify(F.col("bb_rank"), 0.5, "Expansion", "Compression")})
 
 

@@ -46,7 +46,7 @@ def wilcoxon(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
 
 
 def trend(df: DataFrame, value: str, order: list[str]) -> DataFrame:
-    """n, Spearman's rho of the value against its place in order, and the slope of the value over places."""
+    """n, Spearman's rho of the value against its place in order, the slope of the value over places, and their linear correlation."""
     placed = O.row_numbers(O.dealt(df.select(*order, value, F.round(value, 12).alias("_v")), order), order, "_seq").drop(O.PIECE)
     x = O.mean_ranks(O.dealt(placed, ["_v", "_seq"]), "_v", ["_v", "_seq"], "_rank")
-    return x.agg(F.count("*").alias("n"), F.corr("_seq", "_rank").alias("rho"), F.regr_slope(value, F.col("_seq")).alias("slope"))
+    return x.agg(F.count("*").alias("n"), F.corr("_seq", "_rank").alias("rho"), F.regr_slope(value, F.col("_seq")).alias("slope"), F.corr(value, "_seq").alias("linear"))

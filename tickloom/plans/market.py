@@ -119,36 +119,80 @@ def ind_pct_rank_expanding(spark, sf):
 R.oracles["ind_pct_rank_expanding"] = R.oracles["ind_pct_rank_expanding"].replace("SELECT * REPLACE", f", v AS (SELECT bar_ts, round(bb_width, 12) AS bb_width, row_number() OVER (ORDER BY bar_ts) AS k FROM ({_BB.format('SELECT * FROM bars_d1')}))\nSELECT * REPLACE", 1)
 
 
-@R.add("regime_classify")
+def ranked(src: str, x: str, key: str = "bar_ts") -> str:
+    """Twin of the expanding rank of column x of src: the share of earlier rows with a smaller value, null under 60 values."""
+    return f"(WITH v AS MATERIALIZED (SELECT {key}, {x} AS x, row_number() OVER (ORDER BY {key}) AS k, count({x}) OVER (ORDER BY {key}) AS n FROM {src}) SELECT {key}, CASE WHEN n >= 60 AND k > 1 THEN (SELECT count(*) FROM v p WHERE p.k < c.k AND p.x < c.x)::DOUBLE / (k - 1) END AS rank FROM v c)"
+
+
+def _label(x: str, cut: float, high: str, low: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} > {cut} THEN '{high}' ELSE '{low}' END"
+
+
+_REGIME = f"""(SELECT t.bar_ts, adx, t.atr, ra.rank AS atr_rank, bb_width, rb.rank AS bb_rank, realized_vol, {_label('adx', 25, 'Trend', 'Range')} AS trend_regime, {_label('ra.rank', 0.5, 'High Vol', 'Low Vol')} AS vol_regime, {_label('rb.rank', 0.5, 'Expansion', 'Compression')} AS bb_regime
+ FROM ({_ATR}) t LEFT JOIN ({_ADX}) a USING (bar_ts) JOIN (SELECT bar_ts, bb_width FROM ({_BB.format('SELECT * FROM bars_d1')})) USING (bar_ts) JOIN (SELECT bar_ts, realized_vol FROM ({_RV})) USING (bar_ts)
+ JOIN {ranked(f'(SELECT bar_ts, round(atr, 3) AS y FROM ({_ATR}))', 'y')} ra USING (bar_ts) JOIN {ranked(f"(SELECT bar_ts, round(bb_width, 9) AS y FROM ({_BB.format('SELECT * FROM bars_d1')}))", 'y')} rb USING (bar_ts))"""
+_LABELS, _LEVELS = ["trend_regime", "vol_regime", "bb_regime"], ["adx", "atr", "atr_rank", "bb_width", "bb_rank", "realized_vol"]
+REGIME = [*_LABELS, *_LEVELS]
+_BEFORE = f"(SELECT bar_ts, {', '.join(f'lag({c}) OVER (ORDER BY bar_ts) AS {c}' for c in REGIME)} FROM {_REGIME})"
+
+
+@R.add("regime_classify", f"SELECT bar_ts, {', '.join(_LABELS)} FROM {_REGIME}", ("bars_d1",))
 def regime_classify(spark, sf):
-    return I.regime(X.bars_d1(spark, sf), []).select("bar_ts", "trend_regime", "vol_regime", "bb_regime")
+    return I.regime(X.bars_d1(spark, sf), []).select("bar_ts", *_LABELS)
 
 
-_TREND = f"SELECT bar_ts, CASE WHEN adx IS NULL THEN NULL WHEN adx > 25 THEN 'Trend' ELSE 'Range' END AS trend_regime FROM ({_ADX})"
+def day_before(spark, sf):
+    """Labels and levels of the last daily bar, as known when a day begins; one row a day."""
+    return I.shifted(I.regime(X.bars_d1(spark, sf), []), REGIME, []).select("bar_ts", *REGIME)
 
 
-@R.add("regime_asof_shift", f"SELECT bar_ts, lag(trend_regime) OVER (ORDER BY bar_ts) AS prev_trend FROM ({_TREND})", ("bars_d1",))
+@R.add("regime_asof_shift", f"SELECT * FROM {_BEFORE}", ("bars_d1",), doubles=" ".join(_LEVELS), digits=3)
 def regime_asof_shift(spark, sf):
-    b = I.adx(X.bars_d1(spark, sf), []).where("atr is not null")
-    b = b.withColumn("trend_regime", I.classify(F.col("adx"), 25.0, "Trend", "Range"))
-    return I.shifted(b, ["trend_regime"], [], prefix="prev_").select("bar_ts", F.col("prev_trend_regime").alias("prev_trend"))
+    return day_before(spark, sf)
 
 
-@R.add("regime_attach", f"SELECT o_orderkey, trend AS trend_regime FROM orders o LEFT JOIN (SELECT bar_ts, lag(trend_regime) OVER (ORDER BY bar_ts) AS trend FROM ({_TREND})) d ON d.bar_ts = date_trunc('day', o.o_orderdate)", ("bars_d1",))
+@R.add("regime_attach", f"SELECT o_orderkey, {', '.join(REGIME)} FROM orders o LEFT JOIN {_BEFORE} d ON d.bar_ts = date_trunc('day', o.o_orderdate)", ("bars_d1",), doubles=" ".join(_LEVELS), digits=3)
 def regime_attach(spark, sf):
-    d = regime_asof_shift(spark, sf).withColumnRenamed("prev_trend", "trend_regime")
     o = X.load(spark, sf, "orders").select("o_orderkey", F.date_trunc("day", "o_orderdate").alias("bar_ts"))
-    return o.join(F.broadcast(d), "bar_ts", "left").select("o_orderkey", "trend_regime")
+    return o.join(F.broadcast(day_before(spark, sf)), "bar_ts", "left").select("o_orderkey", *REGIME)
+
+
+def cusum_sql(src: str, ts: str, x: str, threshold: float = 4.0, gap_days: float | None = None) -> str:
+    """Twin of the CUSUM: kept alarms (ts, x) of a series, one row after the other."""
+    keep = f"alarm AND (last IS NULL OR date_diff('microsecond', last, ts) > {gap_days} * 86400000000.0)" if gap_days is not None else "alarm"
+    return f"""(WITH RECURSIVE cs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {ts}) AS k, {ts} AS ts, {x}::DOUBLE AS x, count({x}) OVER () >= 30 AS ok FROM {src}),
+cu AS (SELECT 0::BIGINT AS k, NULL::TIMESTAMP AS ts, NULL::DOUBLE AS x, 0::BIGINT AS n, 0::DOUBLE AS mean, 0::DOUBLE AS m2, 0::DOUBLE AS pos, 0::DOUBLE AS neg, false AS kept, NULL::TIMESTAMP AS last UNION ALL
+ SELECT k, ts, x, n, mean, m2, CASE WHEN alarm THEN 0 ELSE pos END, CASE WHEN alarm THEN 0 ELSE neg END, kept, CASE WHEN kept THEN ts ELSE last END FROM (SELECT *, {keep} AS kept FROM (SELECT *, pos > {threshold} OR neg > {threshold} AS alarm FROM
+ (SELECT * EXCLUDE (pos, neg, z), CASE WHEN z IS NULL THEN pos ELSE greatest(0, pos + z - 0.5) END AS pos, CASE WHEN z IS NULL THEN neg ELSE greatest(0, neg - z - 0.5) END AS neg FROM
+ (SELECT *, CASE WHEN used AND n >= 20 AND m2 > 0 THEN (x - mean) / sqrt(m2 / (n - 1)) END AS z FROM
+ (SELECT s.k, s.ts, s.x, s.ok AND s.x IS NOT NULL AS used, c.pos, c.neg, c.last, CASE WHEN s.ok AND s.x IS NOT NULL THEN c.n + 1 ELSE c.n END AS n, CASE WHEN s.ok AND s.x IS NOT NULL THEN c.mean + (s.x - c.mean) / (c.n + 1) ELSE c.mean END AS mean,
+ CASE WHEN s.ok AND s.x IS NOT NULL THEN c.m2 + (s.x - c.mean) * (s.x - (c.mean + (s.x - c.mean) / (c.n + 1))) ELSE c.m2 END AS m2 FROM cu c JOIN cs s ON s.k = c.k + 1))))))
+SELECT ts, x FROM cu WHERE kept)"""
 
 
-@R.add("cusum_changepoints")
+@R.add("cusum_changepoints", f"SELECT ts AS bar_ts, x AS realized_vol FROM {cusum_sql(f'({_RV})', 'bar_ts', 'realized_vol')}", ("bars_d1",), doubles="realized_vol")
 def cusum_changepoints(spark, sf):
-    return I.cusum(I.realized_vol(X.bars_d1(spark, sf), []), "realized_vol", []).select("bar_ts", F.round("realized_vol", 6).alias("realized_vol"))
+    return I.cusum(I.realized_vol(X.bars_d1(spark, sf), []), "realized_vol", []).select("bar_ts", "realized_vol")
 
 
-@R.add("cusum_merge_gap")
+@R.add("cusum_merge_gap", f"SELECT ts AS bar_ts, x AS realized_vol FROM {cusum_sql(f'({_RV})', 'bar_ts', 'realized_vol', gap_days=30)}", ("bars_d1",), doubles="realized_vol")
 def cusum_merge_gap(spark, sf):
-    return I.cusum(I.realized_vol(X.bars_d1(spark, sf), []), "realized_vol", [], gap_days=30).select("bar_ts", F.round("realized_vol", 6).alias("realized_vol"))
+    return I.cusum(I.realized_vol(X.bars_d1(spark, sf), []), "realized_vol", [], gap_days=30).select("bar_ts", "realized_vol")
+
+
+# Volatility regime of a position's instrument, as of the last hourly bar before it
+
+_HOURLY = "(SELECT *, CASE WHEN count(ret) OVER h = 20 THEN round(stddev_samp(ret) OVER h * sqrt(252), 12) END AS rv, row_number() OVER (PARTITION BY instrument ORDER BY bar_ts) AS k FROM (SELECT instrument, bar_ts, close::DOUBLE / lag(close) OVER (PARTITION BY instrument ORDER BY bar_ts) - 1 AS ret FROM bars_h1) WINDOW h AS (PARTITION BY instrument ORDER BY bar_ts ROWS 19 PRECEDING))"
+VOL_SQL = f"(WITH hv AS MATERIALIZED (SELECT *, count(rv) OVER (PARTITION BY instrument ORDER BY k) AS n FROM {_HOURLY}), hr AS MATERIALIZED (SELECT instrument, bar_ts, CASE WHEN n >= 60 AND k > 1 THEN (SELECT count(*) FROM hv p WHERE p.instrument = c.instrument AND p.k < c.k AND p.rv < c.rv)::DOUBLE / (k - 1) END AS rank FROM hv c) SELECT t.id, {_label('rank', 0.5, 'High Vol', 'Low Vol')} AS regime FROM trades t ASOF LEFT JOIN hr ON t.instrument = hr.instrument AND t.t0 > hr.bar_ts)"
+
+
+def vol_regime(spark, sf):
+    """(id, regime) of every position: null before its instrument has 60 hourly deviations."""
+    by = ["instrument"]
+    b = I.realized_vol(X.bars_h1(spark, sf), by).withColumn("rv", F.round("realized_vol", 12))
+    b = I.pct_rank_expanding(b.select("instrument", "bar_ts", "rv"), "rv", "rank", by).withColumn("regime", I.classify(F.col("rank"), 0.5, "High Vol", "Low Vol"))
+    t = X.trades(spark, sf).select("id", "instrument", "t0")
+    return J.asof_before(t, b.select("instrument", "bar_ts", F.coalesce("regime", F.lit("")).alias("regime")), by, "t0", "bar_ts", ["regime"], "bar_ts").select("id", F.nullif("regime", F.lit("")).alias("regime"))
 
 
 @R.add("ind_roll_hl", "SELECT bar_ts, CASE WHEN count(*) OVER a = 20 THEN max(high) OVER a END AS hi_20, CASE WHEN count(*) OVER a = 20 THEN min(low) OVER a END AS lo_20, CASE WHEN count(*) OVER b = 50 THEN max(high) OVER b END AS hi_50, CASE WHEN count(*) OVER b = 50 THEN min(low) OVER b END AS lo_50 FROM bars_d1 WINDOW a AS (ORDER BY bar_ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), b AS (ORDER BY bar_ts ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)", ("bars_d1",))
@@ -178,7 +222,7 @@ def feat_sl_pct_atr(spark, sf):
 # Macro series
 
 _FF = ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS {c}" for c in "anr")
-_CH = "SELECT date, " + ", ".join(f"{c}f / lag({c}f, 5) OVER (ORDER BY date) - 1 AS {c}_chg" for c in "anr") + " FROM (SELECT date, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS {c}f" for c in "anr") + " FROM macro)"
+CHANGES = _CH = "SELECT date, " + ", ".join(f"{c}f / lag({c}f, 5) OVER (ORDER BY date) - 1 AS {c}_chg" for c in "anr") + " FROM (SELECT date, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS {c}f" for c in "anr") + " FROM macro)"
 
 
 def _macro_daily(spark, sf):
@@ -271,10 +315,17 @@ def feat_body_wick(spark, sf):
     return _attached(spark, sf, J.lookback(X.bars_h1(spark, sf), 5), ["body_5"]).select("id", "body_5")
 
 
-@R.add("feat_volume_ratio", "SELECT id, s.v / nullif(l.v, 0) AS volume_ratio FROM (" + _look("avg(volume) OVER w", 30) + ") s JOIN (" + _look("avg(volume) OVER w", 120) + ") l USING (id)", ("trades", "bars_h1"), doubles="volume_ratio")
+_DAY_VOLUME = "(SELECT instrument, day, CASE WHEN count(*) OVER w = 20 THEN avg(volume) OVER w / 24 END AS per_hour FROM (SELECT instrument, date_trunc('day', bar_ts)::TIMESTAMP AS day, sum(volume) AS volume FROM bars_h1 GROUP BY ALL) WINDOW w AS (PARTITION BY instrument ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
+
+
+@R.add("feat_volume_ratio", "SELECT id, v / nullif(per_hour, 0) AS volume_ratio FROM (" + _look("avg(volume) OVER w", 30) + f") JOIN trades t USING (id) LEFT JOIN {_DAY_VOLUME} d ON d.instrument = t.instrument AND d.day = date_trunc('day', t.t0)", ("trades", "bars_h1"), doubles="volume_ratio")
 def feat_volume_ratio(spark, sf):
-    b = J.lookback(J.lookback(X.bars_h1(spark, sf), 30), 120)
-    return _attached(spark, sf, b, ["vol_30", "vol_120"]).select("id", I.safe_div(F.col("vol_30"), F.col("vol_120")).alias("volume_ratio"))
+    """Mean volume of the 30 bars before a position over an hour's share of the mean of the 20 days before its day; null before 20 days."""
+    h = X.bars_h1(spark, sf)
+    days = h.groupBy("instrument", F.date_trunc("day", "bar_ts").alias("day")).agg(F.sum("volume").alias("volume"))
+    days = I.avg_volume(days, 20, ["instrument"], "day", parts=24).select("instrument", "day", "avg_vol")
+    x = _attached(spark, sf, J.lookback(h, 30), ["vol_30"]).withColumn("day", F.date_trunc("day", "t0"))
+    return x.join(days, ["instrument", "day"], "left").select("id", I.safe_div(F.col("vol_30"), F.col("avg_vol")).alias("volume_ratio"))
 
 
 _DIR = "sign(close - open)"

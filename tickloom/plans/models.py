@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import attribution as A
 from ..operators import clusters as C
+from ..operators import intervals as J
 from ..operators import ordered as OS
 from ..sources import fixtures as X
 from ..sources import readers as D
@@ -143,12 +144,20 @@ def cluster_winners_losers(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-@R.add("cluster_profile", "SELECT cluster, n, mean_r, mean_mfe, majority FROM (SELECT id % 3 AS cluster, count(*) AS n, avg(r) AS mean_r, avg(mfe_r) AS mean_mfe FROM trades_r GROUP BY 1) JOIN (SELECT cluster, instrument AS majority FROM (SELECT id % 3 AS cluster, instrument, row_number() OVER (PARTITION BY id % 3 ORDER BY count(*) DESC, instrument) AS k FROM trades_r GROUP BY 1, 2) WHERE k = 1) USING (cluster)", T, doubles="mean_r mean_mfe")
+_MODES = {"instrument": "instrument", "side": "side", "regime": "regime", "move": "CASE WHEN mom_15 > 0 THEN 'up' WHEN mom_15 < 0 THEN 'down' END"}
+
+
+@R.add("cluster_profile", f"WITH cp AS MATERIALIZED (SELECT t.*, cluster, regime, m.v AS mom_15 FROM trades_r t JOIN {Q._CL} USING (id) LEFT JOIN {Q.VOL_SQL} USING (id) JOIN ({Q.look('(close - first_value(open) OVER w)::DOUBLE / first_value(open) OVER w', 15)}) m USING (id)) SELECT * FROM (SELECT cluster, count(*) AS n, avg(r) AS mean_r, avg(mfe_r) AS mean_mfe, avg(mae_r) AS mean_mae, avg(risk) AS mean_risk FROM cp GROUP BY cluster)" + "".join(f" LEFT JOIN (SELECT cluster, v AS {n}_mode FROM (SELECT cluster, {e} AS v FROM cp) WHERE v IS NOT NULL GROUP BY cluster, v QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, v) = 1) USING (cluster)" for n, e in _MODES.items()), T, doubles="mean_r mean_mfe mean_mae mean_risk")
 def cluster_profile(spark, sf):
-    t = Q.clusters(Q.base(spark, sf)[0])
-    c = t.groupBy("cluster", "instrument").agg(F.count("*").alias("c"))
-    top = c.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("c"), "instrument"))).where("k = 1").select("cluster", F.col("instrument").alias("majority"))
-    return t.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("r").alias("mean_r"), F.avg("mfe_r").alias("mean_mfe")).join(top, "cluster")
+    """Size, means and most frequent instrument, side, volatility regime and move of each cluster; of equally frequent ones the first."""
+    moves = J.asof_before(X.trades(spark, sf), J.lookback(X.bars_h1(spark, sf), 15).withColumn("_tie", F.lit(0)), ["instrument"], "t0", "bar_ts", ["mom_15"], "_tie").select("id", "mom_15")
+    t = stored(Q.clusters(Q.base(spark, sf)[0], spark, sf).join(Q.vol_regime(spark, sf), "id", "left").join(moves, "id"))
+    out = t.groupBy("cluster").agg(F.count("*").alias("n"), *(F.avg(c).alias(n) for c, n in (("r", "mean_r"), ("mfe_r", "mean_mfe"), ("mae_r", "mean_mae"), ("risk", "mean_risk"))))
+    for name, expr in _MODES.items():
+        c = t.select("cluster", F.expr(expr).alias("v")).where("v IS NOT NULL").groupBy("cluster", "v").agg(F.count("*").alias("c"))
+        top = c.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("c"), "v"))).where("k = 1").select("cluster", F.col("v").alias(f"{name}_mode"))
+        out = out.join(F.broadcast(top), "cluster", "left")  # one row a cluster
+    return out
 
 
 @R.add("holdout_cluster")

@@ -18,6 +18,8 @@ from ..operators import testing as H
 from ..sources import fixtures as X
 from ..sources.scratch import stored
 from . import strategies as Q
+from .market import CHANGES as _CH
+from .market import _RV, cusum_sql
 from .registry import Registry
 
 R = Registry()
@@ -51,10 +53,12 @@ def bin_tertile(spark, sf):
     return binned(spark, sf).groupBy("acctbal_bin", "cents_bin").agg(F.count("*").alias("n"), F.min("acctbal").alias("lo"), F.max("acctbal").alias("hi"))
 
 
-@R.add("condition_columns", "SELECT unnest(['prio', 'segment', 'status', 'weekday', 'acctbal_bin', 'cents_bin']) AS name, unnest(['categorical', 'categorical', 'categorical', 'categorical', 'binned', 'binned']) AS kind")
+@R.add("condition_columns", f"SELECT c AS name, CASE WHEN c LIKE '%\\_bin' ESCAPE '\\' THEN 'binned' ELSE 'categorical' END AS kind, count(DISTINCT cond) AS n_levels, count(*) AS n_rows FROM ({_CONDS}) GROUP BY c", OR)
 def condition_columns(spark, sf):
-    items = [f"named_struct('name', '{c}', 'kind', '{'categorical' if c in CATEGORICAL else 'binned'}')" for c in COLUMNS]
-    return spark.sql(f"SELECT inline(array({', '.join(items)}))")
+    """The columns that conditions are made of, with their levels and rows in the data; a column without values is none."""
+    long = P.patterns(binned(spark, sf), "id", "r", COLUMNS, 1).select(F.split_part("cond", F.lit("="), F.lit(1)).alias("name"), "cond")
+    kind = F.when(F.col("name").isin(CATEGORICAL), "categorical").otherwise("binned")
+    return long.groupBy("name").agg(F.count_distinct("cond").alias("n_levels"), F.count("*").alias("n_rows")).select("name", kind.alias("kind"), "n_levels", "n_rows")
 
 
 @R.add("pattern_depth1", _D1, OR, doubles=_SC, digits=7)
@@ -71,6 +75,21 @@ def pattern_depth2(spark, sf):
     return depth2(spark, sf)
 
 
+def _area(density: str, x: str) -> str:
+    """Area of a density of u from 0 to |x|, by Simpson's rule."""
+    return f"(list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density.format(f'(least(abs({x}), 60) * i / 2000.0)')})) * least(abs({x}), 60) / 6000)"
+
+
+def _p_t(t: str, df: str) -> str:
+    """Two-sided p value of Student's t."""
+    dense = f"pow(1 + pow({{0}}, 2) / ({df})::DOUBLE, -(({df}) + 1) / 2.0)"
+    return f"greatest(0, 1 - 2 * {_area(dense, t)} * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()))"
+
+
+def _p_z(z: str) -> str:
+    return f"greatest(0, 1 - 2 * {_area('exp(-pow({0}, 2) / 2)', z)} / sqrt(2 * pi()))"
+
+
 _BASE = "(SELECT count(*) AS bn, sum((r > 0)::INT) AS bw, avg(r) AS be, stddev_samp(r) AS bs FROM orders_r)"
 _ST = f"(SELECT s.*, win_rate - bw / bn::DOUBLE AS win_rate_delta, expectancy - be AS expectancy_delta, (win_rate - bw / bn::DOUBLE) / sqrt((win_rate * n + bw) / (n + bn) * (1 - (win_rate * n + bw) / (n + bn)) * (1.0::DOUBLE / n + 1.0::DOUBLE / bn)) AS z, (expectancy - be) / sqrt(sd * sd / n + bs * bs / bn) AS t, pow(sd * sd / n + bs * bs / bn, 2) / (pow(sd * sd / n, 2) / (n - 1) + pow(bs * bs / bn, 2) / (bn - 1)) AS df FROM ({_D1} UNION ALL {_D2}) s, {_BASE})"
 
@@ -89,14 +108,14 @@ def pattern_stats(spark, sf):
     return tested(spark, sf)
 
 
-@R.add("test_two_prop_z", f"SELECT cond, z FROM {_ST}", OR, doubles="z")
+@R.add("test_two_prop_z", f"SELECT cond, z, {_p_z('z')} AS p_value FROM {_ST}", OR, doubles="z p_value")
 def test_two_prop_z(spark, sf):
-    return tested(spark, sf).select("cond", "z")
+    return tested(spark, sf).select("cond", "z", S.normal_pvalue("z").alias("p_value"))
 
 
-@R.add("test_welch", f"SELECT cond, t, df FROM {_ST}", OR, doubles="t df", digits=5)
+@R.add("test_welch", f"SELECT cond, t, df, {_p_t('t', 'df')} AS p_value FROM {_ST}", OR, doubles="t df p_value", digits=5)
 def test_welch(spark, sf):
-    return tested(spark, sf).select("cond", "t", "df")
+    return tested(spark, sf).select("cond", "t", "df", S.t_pvalue("t", "df").alias("p_value"))
 
 
 def with_p(spark, sf):
@@ -348,9 +367,20 @@ def paired_pf(df, new: str, iterations: int, by: str | None = None):
 _PC = "mean_pf p05 p95 beats"
 
 
-@R.add("boot_pf_paired", f"SELECT * FROM {_paired_pf(Q._T1, 'exit_r', 1000)}", T, doubles=_PC)
+def _crossing(src: str, iterations: int) -> str:
+    return f"WITH bx AS MATERIALIZED {src} SELECT x.*, base, base BETWEEN p05 AND p95 AS crosses_baseline FROM {_paired_pf('bx', 'exit_r', iterations)} x, (SELECT {PF.format('orig_r')} AS base FROM bx)"
+
+
+def crossing(df, iterations: int):
+    """The resampled factor with the actual exits' own factor, and whether that lies inside of the interval."""
+    df = stored(df.select("id", "exit_r", "orig_r"))
+    base = df.agg(M.finite_profit_factor(F.col("orig_r")).alias("base"))
+    return paired_pf(df, "exit_r", iterations).crossJoin(F.broadcast(base)).withColumn("crosses_baseline", F.col("base").between(F.col("p05"), F.col("p95")))
+
+
+@R.add("boot_pf_paired", _crossing(Q._T1, 1000), T, doubles=_PC + " base")
 def boot_pf_paired(spark, sf):
-    return paired_pf(Q.t1(spark, sf), "exit_r", 1000)
+    return crossing(Q.t1(spark, sf), 1000)
 
 
 _TOP = f"(SELECT * FROM {Q._SOME} WHERE strategy IN (SELECT strategy FROM (SELECT strategy, {PF.format('exit_r')} AS pf FROM {Q._SOME} GROUP BY 1 ORDER BY round(pf, 9) DESC NULLS LAST, strategy LIMIT 3)))"
@@ -400,9 +430,9 @@ def mc_best_cluster(spark, sf):
     return boot_pf_cluster(spark, sf).join(dd, "cluster")
 
 
-@R.add("boot_tos", f"SELECT * FROM {_paired_pf(Q._TG, 'exit_r', 2000)}", T, doubles=_PC)
+@R.add("boot_tos", _crossing(Q._TG, 2000), T, doubles=_PC + " base")
 def boot_tos(spark, sf):
-    return paired_pf(Q.sim(spark, sf, ["target"]).where("scenario = 'conservative'"), "exit_r", 2000)
+    return crossing(Q.sim(spark, sf, ["target"]).where("scenario = 'conservative'"), 2000)
 
 
 _ED = f"(SELECT * FROM {Q._NS} WHERE final_r IS NOT NULL)"
@@ -421,39 +451,71 @@ def boot_equity_diff(spark, sf):
 
 
 def _pt(src: str, a: str, b: str) -> str:
-    return f"SELECT count({a} - {b}) AS n, avg({a} - {b}) AS mean_diff, avg({a} - {b}) / (nullif(stddev_samp({a} - {b}), 0) / sqrt(count({a} - {b}))) AS t, count({a} - {b}) - 1 AS df, avg({a} - {b}) / nullif(stddev_samp({a} - {b}), 0) AS cohen_d FROM {src}"
+    x = f"SELECT count({a} - {b}) AS n, avg({a} - {b}) AS mean_diff, avg({a} - {b}) / (nullif(stddev_samp({a} - {b}), 0) / sqrt(count({a} - {b}))) AS t, count({a} - {b}) - 1 AS df, avg({a} - {b}) / nullif(stddev_samp({a} - {b}), 0) AS cohen_d FROM {src}"
+    return f"(SELECT *, {_p_t('t', 'df')} AS p_value, {_LABEL} AS label FROM ({x}))"
+
+
+_LABEL = f"CASE WHEN t IS NULL THEN 'no_difference' WHEN {_p_t('t', 'df')} >= 0.05 THEN 'not_significant' WHEN abs(cohen_d) >= 0.2 THEN 'significant' ELSE 'significant_but_small' END"
+
 
+def paired_test(df, a: str, b: str):
+    """Paired t with its p value and label: significant from a p under 0.05 and an effect of at least 0.2 deviations."""
+    x = H.paired(df, a, b).withColumn("p_value", S.t_pvalue("t", F.col("df").cast("double")))
+    label = F.when(F.col("t").isNull(), "no_difference").when(F.col("p_value") >= 0.05, "not_significant").when(F.abs("cohen_d") >= 0.2, "significant").otherwise("significant_but_small")
+    return x.withColumn("label", label)
 
-_PTC = "mean_diff t cohen_d"
 
+_PTC = "mean_diff t cohen_d p_value"
 
-@R.add("test_paired_t", _pt(Q._T1, "exit_r", "orig_r"), T, doubles=_PTC)
+
+@R.add("test_paired_t", "SELECT * FROM " + _pt(Q._T1, "exit_r", "orig_r"), T, doubles=_PTC)
 def test_paired_t(spark, sf):
-    return H.paired(Q.t1(spark, sf), "exit_r", "orig_r")
+    return paired_test(Q.t1(spark, sf), "exit_r", "orig_r")
 
 
-@R.add("highvol_confirm", _pt(f"(SELECT * FROM {Q._T1} WHERE risk > 18000)", "exit_r", "orig_r"), T, doubles=_PTC)
+@R.add("highvol_confirm", "SELECT * FROM " + _pt(f"(SELECT * FROM {Q._T1} JOIN {Q.VOL_SQL} USING (id) WHERE regime = 'High Vol')", "exit_r", "orig_r"), T, doubles=_PTC)
 def highvol_confirm(spark, sf):
-    return H.paired(Q.t1(spark, sf).where("risk > 18000"), "exit_r", "orig_r")
+    return paired_test(Q.t1(spark, sf).join(Q.vol_regime(spark, sf).where("regime = 'High Vol'"), "id", "left_semi"), "exit_r", "orig_r")
+
 
+_AGAINST = f"(SELECT h.id, h.hybrid_r, g.exit_r AS global_r FROM {Q._HY} h JOIN (WITH sm AS MATERIALIZED {Q._SOME} SELECT id, exit_r FROM sm WHERE strategy = {Q._GLOBAL}) g USING (id))"
 
-@R.add("hybrid_sig", _pt(Q._HY, "hybrid_r", "orig_r"), T, doubles=_PTC)
+
+@R.add("hybrid_sig", f"SELECT 'baseline' AS against, * FROM {_pt(Q._HY, 'hybrid_r', 'orig_r')} UNION ALL SELECT 'global', * FROM {_pt(_AGAINST, 'hybrid_r', 'global_r')}", T, doubles=_PTC)
 def hybrid_sig(spark, sf):
-    return H.paired(Q.hybrid(spark, sf), "hybrid_r", "orig_r")
+    """The best exit of each cluster against the actual exits, and against the best exit of all."""
+    s = stored(Q.some(spark, sf))
+    best = s.groupBy("strategy").agg(M.finite_profit_factor(F.col("exit_r")).alias("pf")).orderBy(F.round("pf", 9).desc_nulls_last(), "strategy").limit(1)
+    whole = s.join(F.broadcast(best.select("strategy")), "strategy", "left_semi").select("id", F.col("exit_r").alias("global_r"))
+    h = stored(Q.hybrid(spark, sf).select("id", "hybrid_r", "orig_r").join(whole, "id"))
+    return reduce(lambda x, y: x.unionByName(y), [paired_test(h, "hybrid_r", c).select(F.lit(n).alias("against"), "*") for n, c in (("baseline", "orig_r"), ("global", "global_r"))])
 
 
 _RK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
 _WX = f"(SELECT d, abs(d) AS m, {_RK.format('abs(d)')} AS rk FROM (SELECT round(final_r - orig_r, 12) AS d FROM {Q._NS} WHERE final_r IS NOT NULL) WHERE d <> 0)"
 
 
-@R.add("test_paired_t_w", f"SELECT n, least(wp, wm) AS w, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - tie / 48.0) AS z FROM (SELECT count(*)::DOUBLE AS n, sum(rk) FILTER (d > 0) AS wp, sum(rk) FILTER (d < 0) AS wm FROM {_WX}), (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*)::DOUBLE AS c FROM {_WX} GROUP BY m))", T, doubles="w z", longs="n")
+_NSF = f"(SELECT * FROM {Q._NS} WHERE final_r IS NOT NULL)"
+
+
+@R.add("test_paired_t_w", f"SELECT x.*, {_p_z('z')} AS p_wilcoxon, mean_diff, t, df, cohen_d, p_value, label, median_orig, median_final FROM (SELECT n, least(wp, wm) AS w, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2.0 * n + 1) / 24 - tie / 48.0) AS z FROM (SELECT count(*)::DOUBLE AS n, sum(rk) FILTER (d > 0) AS wp, sum(rk) FILTER (d < 0) AS wm FROM {_WX}), (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*)::DOUBLE AS c FROM {_WX} GROUP BY m))) x, (SELECT * EXCLUDE (n) FROM {_pt(_NSF, 'final_r', 'orig_r')}), (SELECT median(orig_r) AS median_orig, median(final_r) AS median_final FROM {_NSF})", T, doubles="w z p_wilcoxon median_orig median_final " + _PTC, longs="n")
 def test_paired_t_w(spark, sf):
-    return H.wilcoxon(Q.no_stop(spark, sf).where("final_r is not null"), "final_r", "orig_r", "id")
+    """Signed ranks, paired t, effect and medians; n counts the differences that are not zero."""
+    x = stored(Q.no_stop(spark, sf).where("final_r is not null").select("id", "final_r", "orig_r"))
+    w = H.wilcoxon(x, "final_r", "orig_r", "id").withColumn("p_wilcoxon", S.normal_pvalue("z"))
+    m = selection.quantile_table(x, {"median_orig": ("orig_r", 0.5), "median_final": ("final_r", 0.5)})
+    return w.crossJoin(F.broadcast(paired_test(x, "final_r", "orig_r").drop("n"))).crossJoin(F.broadcast(m))
+
+
+_TT = "{0} * sqrt((n - 2) / (1 - {0} * {0}))"
 
 
-@R.add("test_spearman_trend", f"SELECT count(*) AS n, corr(a, b) AS rho, regr_slope(r, seq) AS slope FROM (SELECT seq, r, {_RK.format('seq')} AS a, {_RK.format('round(r, 12)')} AS b FROM (SELECT r, row_number() OVER (ORDER BY t0, id) AS seq FROM trades_r))", T, doubles="rho slope", digits=9)
+@R.add("test_spearman_trend", f"SELECT n, rho, slope, {_p_t(_TT.format('rho'), 'n - 2')} AS p_rho, {_p_t(_TT.format('c'), 'n - 2')} AS p_slope FROM (SELECT count(*) AS n, corr(a, b) AS rho, regr_slope(r, seq) AS slope, corr(r, seq) AS c FROM (SELECT seq, r, {_RK.format('seq')} AS a, {_RK.format('round(r, 12)')} AS b FROM (SELECT r, row_number() OVER (ORDER BY t0, id) AS seq FROM trades_r)))", T, doubles="rho slope p_rho p_slope", digits=9)
 def test_spearman_trend(spark, sf):
-    return H.trend(realized(spark, sf), "r", ["t0", "id"])
+    x = H.trend(realized(spark, sf), "r", ["t0", "id"])
+    df = (F.col("n") - 2).cast("double")
+    t = lambda c: F.col(c) * F.sqrt(df / F.nullif(1 - F.col(c) * F.col(c), F.lit(0.0)))
+    return x.select("n", "rho", "slope", S.t_pvalue(t("rho"), df).alias("p_rho"), S.t_pvalue(t("linear"), df).alias("p_slope"))
 
 
 @R.add("bayes_beta_binom")
@@ -498,24 +560,39 @@ def equity(spark, sf):
     return O.trailing(x, "at", 20, lambda f: {"smooth": F.when(F.count("r").over(f) >= 10, F.avg("r").over(f))}).select("id", "t0", "r", "smooth")
 
 
-@R.add("equity_cusum")
+_EQUITY = "(SELECT t0, CASE WHEN count(r) OVER w >= 10 THEN round(avg(r) OVER w, 9) END AS smooth FROM trades_r WINDOW w AS (ORDER BY t0, id ROWS 19 PRECEDING))"
+
+
+@R.add("equity_cusum", f"SELECT t.id, c.ts AS t0, c.x AS smooth FROM {cusum_sql(_EQUITY, 't0', 'smooth', 4.5, 2)} c JOIN trades_r t ON t.t0 = c.ts", T, doubles="smooth")
 def equity_cusum(spark, sf):
-    return I.cusum(equity(spark, sf), "smooth", [], "t0", threshold=4.5, gap_days=2).select("id", "t0", F.round("smooth", 6).alias("smooth"))
+    return I.cusum(equity(spark, sf).withColumn("smooth", F.round("smooth", 9)), "smooth", [], "t0", threshold=4.5, gap_days=2).select("id", "t0", "smooth")
 
 
-_A = "(SELECT bar_ts::DATE AS d, close FROM bars_d1 WHERE extract(day FROM bar_ts) = 1)"
-_B = "(SELECT bar_ts::DATE AS d FROM bars_d1 WHERE extract(day FROM bar_ts) = 15 AND extract(month FROM bar_ts) % 3 = 0)"
+_DAILY = "(SELECT d, CASE WHEN count(*) OVER w >= 10 THEN round(avg(m) OVER w, 9) END AS smooth FROM (SELECT date_trunc('day', t0)::TIMESTAMP AS d, avg(r) AS m FROM orders_r GROUP BY 1) WINDOW w AS (ORDER BY d ROWS 19 PRECEDING))"
+_CPA = f"(SELECT ts::DATE AS d FROM {cusum_sql(_DAILY, 'd', 'smooth', 4.5, 2)})"
+_CPB = f"(SELECT ts::DATE AS d FROM {cusum_sql(f'({_RV})', 'bar_ts', 'realized_vol')})"
 
 
-@R.add("cp_tie", f"SELECT a.d, count(b.d) AS n_near FROM {_A} a LEFT JOIN {_B} b ON abs(date_diff('day', a.d, b.d)) <= 30 GROUP BY a.d", ("bars_d1",))
+def edge_changes(spark, sf):
+    """Change points of the smoothed daily mean R of the orders: (d)."""
+    m = X.orders_r(spark, sf).groupBy(F.date_trunc("day", "t0").alias("day")).agg(F.avg("r").alias("m"))
+    w = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(-19, 0)  # one row a day
+    x = m.withColumn("smooth", F.when(F.count("*").over(w) >= 10, F.round(F.avg("m").over(w), 9)))
+    return I.cusum(x.select("day", "smooth"), "smooth", [], "day", threshold=4.5, gap_days=2).select(F.to_date("day").alias("d"))
+
+
+@R.add("cp_tie", f"SELECT a.d, count(b.d) AS n_near, coalesce(string_agg(b.d::VARCHAR, ',' ORDER BY b.d), '') AS near FROM {_CPA} a LEFT JOIN {_CPB} b ON abs(date_diff('day', a.d, b.d)) <= 30 GROUP BY a.d", ("orders_r", "bars_d1"))
 def cp_tie(spark, sf):
-    """Band join of two date lists: dates fall into 30-day cells, and a date meets its own and both neighbour cells."""
-    d = X.bars_d1(spark, sf).select(F.to_date("bar_ts").alias("d"))
+    """Change points of the edge with those of volatility within 30 days.
+
+    A band join of two date lists: dates fall into 30-day cells, and a date meets its own and both neighbour cells.
+    """
+    regimes = I.cusum(I.realized_vol(X.bars_d1(spark, sf), []), "realized_vol", []).select(F.to_date("bar_ts").alias("e"))
     cell = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / 30)
-    a = d.where(F.dayofmonth("d") == 1)
-    b = d.where((F.dayofmonth("d") == 15) & (F.month("d") % 3 == 0)).select(F.col("d").alias("e"), F.explode(F.array(cell("d") - 1, cell("d"), cell("d") + 1)).alias("c"))
-    x = a.withColumn("c", cell("d")).join(b, "c", "left")
-    return x.groupBy("d").agg(F.count_if(F.abs(F.datediff("d", "e")) <= 30).alias("n_near"))
+    b = regimes.select("e", F.explode(F.array(cell("e") - 1, cell("e"), cell("e") + 1)).alias("c"))
+    x = edge_changes(spark, sf).withColumn("c", cell("d")).join(b, "c", "left")
+    near = F.array_sort(F.collect_list(F.when(F.abs(F.datediff("d", "e")) <= 30, F.col("e").cast("string"))))
+    return x.groupBy("d").agg(near.alias("x")).select("d", F.size("x").cast("long").alias("n_near"), F.concat_ws(",", "x").alias("near"))
 
 
 # Scores
@@ -583,18 +660,50 @@ def cross_target(spark, sf):
     return pattern_depth1(spark, sf).select("cond", "expectancy").join(other.select("cond", F.col("expectancy").alias("other_expectancy")), "cond")
 
 
-def _family(name: str, columns: list[str]):
-    sub = " UNION ALL ".join(f"SELECT id, t0, r, '{c}' AS c, '{c}=' || {c}::VARCHAR AS cond FROM {_BIN} WHERE {c} IS NOT NULL" for c in columns)
-    pairs = f"WITH c AS ({sub}) SELECT a.id, a.t0, a.r, a.cond || ' & ' || b.cond AS cond FROM c a JOIN c b ON a.id = b.id AND a.c < b.c"
+def _family_sql(source: str, columns: list[str]) -> str:
+    """Statistics, test against all rows and Bonferroni p of every condition of one or two of the columns."""
+    sub = " UNION ALL ".join(f"SELECT id, r, '{c}' AS c, '{c}=' || {c}::VARCHAR AS cond FROM fx WHERE {c} IS NOT NULL" for c in columns)
+    pairs = "SELECT a.id, a.r, a.cond || ' & ' || b.cond AS cond FROM fc a JOIN fc b ON a.id = b.id AND a.c < b.c"
+    stats = f"SELECT * FROM ({_stats('SELECT * FROM fc', 20)} UNION ALL {_stats(pairs, 20)})"
+    t = "(expectancy - be) / sqrt(sd * sd / n + bs * bs / bn)"
+    df = "pow(sd * sd / n + bs * bs / bn, 2) / (pow(sd * sd / n, 2) / (n - 1) + pow(bs * bs / bn, 2) / (bn - 1))"
+    return f"(WITH fx AS MATERIALIZED {source}, fc AS MATERIALIZED ({sub}), ft AS MATERIALIZED (SELECT s.*, {t} AS t, {df} AS df FROM ({stats}) s, {_BASE}), fp AS MATERIALIZED (SELECT *, {_p_t('t', 'df')} AS p_value FROM ft) SELECT * EXCLUDE (t, df), least(1, p_value * count(*) OVER ()) AS p_bonferroni, coalesce(p_value * count(*) OVER () < 0.05, false) AS rejected FROM fp)"
+
+
+def family(spark, sf, rows, columns: list[str]):
+    """A small family of conditions: every one of one or two columns, against all rows, with Bonferroni's correction."""
+    x = stored(tested(spark, sf, P.group_stats(P.patterns(rows, "id", "r", columns, 2), 20)).withColumn("p_value", S.t_pvalue("t", "df")))
+    m = x.count()
+    return x.select("cond", "n", "win_rate", "expectancy", "sd", "profit_factor", "p_value", F.least(F.lit(1.0), F.col("p_value") * m).alias("p_bonferroni"), F.coalesce(F.col("p_value") * m < 0.05, F.lit(False)).alias("rejected"))
+
 
-    @R.add(name, f"{_stats(sub, 20)} UNION ALL {_stats(pairs, 20)}", OR, doubles=_SC, digits=7)
+_FC = _SC + " p_value p_bonferroni"
+
+
+def _family(name: str, columns: list[str]):
+    @R.add(name, f"SELECT * FROM {_family_sql(_BIN, columns)}", OR, doubles=_FC, digits=7)
     def f(spark, sf):
-        return P.group_stats(P.patterns(binned(spark, sf), "id", "r", columns, 2), 20)
+        return family(spark, sf, binned(spark, sf), columns)
 
 
 _family("shap_guided", ["acctbal_bin", "cents_bin", "prio"])
 _family("shap_interaction", ["acctbal_bin", "cents_bin", "weekday"])
-_family("macro_pattern", ["segment", "status"])
+
+#: Levels and five-day changes of the macro series, as known the day before.
+MACRO = ["m_a", "m_n", "m_r", "m_a_chg", "m_n_chg", "m_r_chg"]
+_MACRO_DAY = "(SELECT date, lag(round(a, 6)) OVER w AS m_a, lag(round(n, 6)) OVER w AS m_n, lag(round(r, 6)) OVER w AS m_r, lag(round(a_chg, 9)) OVER w AS m_a_chg, lag(round(n_chg, 9)) OVER w AS m_n_chg, lag(round(r_chg, 9)) OVER w AS m_r_chg FROM macro JOIN (" + _CH + ") USING (date) WINDOW w AS (ORDER BY date))"
+_MACRO_ROWS = f"(SELECT o.id, o.r, m.* FROM orders_r o JOIN {_MACRO_DAY} m ON m.date = o.t0::DATE)"
+_MACRO_BIN = "(WITH mr AS MATERIALIZED " + _MACRO_ROWS + " SELECT mr.*, " + ", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN {c} <= q.{c}1 THEN 0 WHEN {c} <= q.{c}2 THEN 1 ELSE 2 END AS {c}_bin" for c in MACRO) + " FROM mr, (SELECT " + ", ".join(f"quantile_cont({c}, 1.0/3) AS {c}1, quantile_cont({c}, 2.0/3) AS {c}2" for c in MACRO) + " FROM mr) q)"
+
+
+@R.add("macro_pattern", f"SELECT * FROM {_family_sql(_MACRO_BIN, [f'{c}_bin' for c in MACRO])}", (*OR, "macro"), doubles=_FC, digits=7)
+def macro_pattern(spark, sf):
+    """Conditions of macro levels and changes of the day before, in tertiles over the orders."""
+    m = X.macro(spark, sf)
+    x = I.change(m, list("anr")).select("date", *(F.round(c, 6).alias(f"m_{c}") for c in "anr"), *(F.round(f"{c}_chg", 9).alias(f"m_{c}_chg") for c in "anr"))
+    x = I.shifted(x, MACRO, [], "date")  # one row a day
+    rows = stored(X.orders_r(spark, sf).withColumn("date", F.to_date("t0")).join(x, "date").select("id", "r", *MACRO))
+    return family(spark, sf, P.tertiles(rows, MACRO), [f"{c}_bin" for c in MACRO])
 
 
 @R.add("entry_check", "SELECT id, weekday = 3 AND cents > lo AND cents <= hi AS matches FROM orders_r, (SELECT quantile_cont(cents, 1.0/3) AS lo, quantile_cont(cents, 2.0/3) AS hi FROM orders_r)", OR)

@@ -8,12 +8,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..operators import clusters as C
 from ..operators import exits as E
 from ..operators import intervals as J
 from ..operators import ordered as O
 from ..operators import selection as S
 from ..sources import fixtures as X
 from ..sources.scratch import stored
+from .market import VOL_SQL, vol_regime
+from .market import _look as look
 from .registry import Registry
 
 R = Registry()
@@ -108,7 +111,6 @@ TRAIL = [f"trail_{p:.2f}" for p in E.TRAILS]
 FIXED = ["target", "fixed_2r", "fixed_3r", "fixed_4r"]
 TIMED = ["time_1h", "time_2h", "time_4h", "time_8h"]
 _sim_query("sim_trailing", TRAIL, digits=11)
-_sim_query("sim_trailing_grid", TRAIL, digits=11)
 _sim_query("sim_fixed_tp", FIXED)
 _sim_query("sim_time", TIMED)
 _sim_query("sim_mfe_aware", ["mfe_aware"], digits=11)
@@ -116,6 +118,13 @@ _sim_query("sim_partial", [], True)
 _sim_query("sim_all_strategies", [*TRAIL, *FIXED, "mfe_aware", *TIMED], True, digits=11)
 
 
+@R.add("sim_trailing_grid", f"SELECT strategy, scenario, count(*) AS n, count(*) FILTER (triggered) AS n_triggered, avg(exit_r) AS mean_r, avg(exit_r - orig_r) AS mean_gain, avg((exit_r > orig_r)::INT) AS better FROM {_sim_sql(TRAIL)} GROUP BY ALL", V, doubles="mean_r mean_gain better", digits=8)
+def sim_trailing_grid(spark, sf):
+    """Every step of the trailing grid in both scenarios, against the actual exits."""
+    gain = F.col("exit_r") - F.col("orig_r")
+    return sim(spark, sf, TRAIL).groupBy("strategy", "scenario").agg(F.count("*").alias("n"), F.count_if("triggered").alias("n_triggered"), F.avg("exit_r").alias("mean_r"), F.avg(gain).alias("mean_gain"), F.avg((gain > 0).cast("int")).alias("better"))
+
+
 @R.add("sim_trailing_long", f"SELECT id, strategy, scenario, exit_r * risk * amount / 100 AS exit_usd, orig_r * risk * amount / 100 AS orig_usd, strftime(t0, '%Y-%m') AS month, year(t0) AS yr FROM {_sim_sql(TRAIL)}", V, doubles="exit_usd orig_usd", longs="yr", digits=7)
 def sim_trailing_long(spark, sf):
     usd = F.col("risk") * F.col("amount") / 100
@@ -172,7 +181,7 @@ def _summary(r: str) -> str:
     return f"count({r}) AS n, avg(({r} > 0)::INT) AS win_rate, avg({r}) AS expectancy, {_PF.format(r)} AS profit_factor, avg({r}) / nullif(stddev_samp({r}), 0) * sqrt(count({r}) / {_YEARS}) AS sharpe"
 
 
-_SUM_COLS = "win_rate expectancy profit_factor sharpe"
+_SUM_COLS = "win_rate expectancy profit_factor sharpe max_dd"
 
 
 def _metric(name: str, sql: str, col):
@@ -181,7 +190,7 @@ def _metric(name: str, sql: str, col):
         return base(spark, sf)[0].groupBy("instrument").agg(col().alias("value"))
 
 
-_metric("agg_profit_factor", _PF.format("r"), lambda: M.finite_profit_factor(F.col("r")))
+_metric("agg_profit_factor", "CASE WHEN sum(r) FILTER (r < 0) < 0 THEN coalesce(sum(r) FILTER (r > 0), 0) / -sum(r) FILTER (r < 0) WHEN sum(r) FILTER (r > 0) > 0 THEN 'inf'::DOUBLE END", lambda: M.profit_factor(F.col("r")))
 _metric("agg_expectancy", "avg(r)", lambda: M.expectancy(F.col("r")))
 _metric("agg_win_rate", "avg((r > 0)::INT)", lambda: M.win_rate(F.col("r")))
 _metric("agg_sharpe", f"avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(r) / {_YEARS})", lambda: M.sharpe(F.col("r"), F.count("r") / M.years(F.col("t0"))))
@@ -194,6 +203,18 @@ def _dd(src: str, r: str, by: str = "") -> str:
     return f"SELECT {sel}max(pk - eq) AS max_dd FROM (SELECT *, max(eq) OVER ({part}ORDER BY t0, id ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT *, sum({r}) OVER ({part}ORDER BY t0, id ROWS UNBOUNDED PRECEDING) AS eq FROM {src})){grp}"
 
 
+def summarised(df, r: str, by: list[str], *extra):
+    """The summary of each group with its deepest fall; the rows are computed once and written in range pieces."""
+    p = O.dealt(df.select(*by, "t0", "id", F.col(r).alias("v")), [*by, "t0", "id"])
+    s = p.groupBy(*by).agg(*M.summary(F.col("v"), F.col("t0")), *extra)
+    return s.join(O.drawdown(p, "v", ["t0", "id"], by), by)
+
+
+def _summarised(src: str, r: str, by: str, extra: str = "") -> str:
+    """Twin of ``summarised``."""
+    return f"(WITH sx AS MATERIALIZED (SELECT * FROM {src}) SELECT * FROM (SELECT {by}, {_summary(r)}{extra} FROM sx GROUP BY {by}) JOIN ({_dd('sx', r, by)}) USING ({by}))"
+
+
 def deepest(df, r: str, by: list[str] | None = None):
     """Deepest fall of the cumulated R of each group in order of start and id."""
     order = [*(by or []), "t0", "id"]
@@ -208,17 +229,20 @@ def agg_max_drawdown(spark, sf):
 _TR = f"(SELECT * FROM {_sim_sql(TRAIL)} WHERE scenario = 'conservative')"
 
 
+_TRB = f"(SELECT strategy, t0, id, exit_r FROM {_TR} UNION ALL SELECT 'baseline', t0, id, r FROM trades_r)"
+
+
 def trail(spark, sf, scenario: str = "conservative"):
     return sim(spark, sf, TRAIL).where(F.col("scenario") == scenario)
 
 
-@R.add("trail_summary", f"WITH s AS (SELECT strategy, {_summary('exit_r')} FROM {_TR} GROUP BY strategy UNION ALL SELECT 'baseline', {_summary('r')} FROM trades_r) SELECT s.*, (s.expectancy - b.expectancy) / abs(b.expectancy) AS expectancy_change, s.profit_factor / b.profit_factor - 1 AS pf_change FROM s, (SELECT expectancy, profit_factor FROM s WHERE strategy = 'baseline') b", V, doubles=_SUM_COLS + " expectancy_change pf_change", digits=8)
+@R.add("trail_summary", f"WITH s AS (SELECT * FROM {_summarised(_TRB, 'exit_r', 'strategy')}) SELECT s.*, (s.expectancy - b.expectancy) / abs(b.expectancy) AS expectancy_change, s.profit_factor / b.profit_factor - 1 AS pf_change FROM s, (SELECT expectancy, profit_factor FROM s WHERE strategy = 'baseline') b", V, doubles=_SUM_COLS + " expectancy_change pf_change", digits=8)
 def trail_summary(spark, sf):
-    t, _ = base(spark, sf)
-    s = trail(spark, sf).groupBy("strategy").agg(*M.summary(F.col("exit_r"), F.col("t0")))
-    b = t.agg(*M.summary(F.col("r"), F.col("t0"))).select(F.lit("baseline").alias("strategy"), "*")
-    ref = b.select(F.col("expectancy").alias("be"), F.col("profit_factor").alias("bp"))
-    x = s.unionByName(b).crossJoin(F.broadcast(ref))
+    one = trail(spark, sf)
+    rows = one.select("strategy", "t0", "id", "exit_r").unionByName(base(spark, sf)[0].select(F.lit("baseline").alias("strategy"), "t0", "id", F.col("r").alias("exit_r")))
+    s = summarised(rows, "exit_r", ["strategy"])
+    ref = s.where("strategy = 'baseline'").select(F.col("expectancy").alias("be"), F.col("profit_factor").alias("bp"))
+    x = s.crossJoin(F.broadcast(ref))
     return x.select(*s.columns, ((F.col("expectancy") - F.col("be")) / F.abs("be")).alias("expectancy_change"), (F.col("profit_factor") / F.col("bp") - 1).alias("pf_change"))
 
 
@@ -230,16 +254,38 @@ def some(spark, sf):
     return sim(spark, sf, SOME).where("scenario = 'conservative'")
 
 
-def clusters(df):
-    return df.withColumn("cluster", F.col("id") % 3)
+#: Clusters of positions by what is known at entry: risk, size, hour and the move of the 15 bars before.
+ENTRY, GROUPS, STEPS = ["risk", "amount", "hour", "mom_15"], 3, 12
+
+
+def clusters(df, spark, sf):
+    """df with the cluster of each position (id)."""
+    bars = J.lookback(X.bars_h1(spark, sf), 15)
+    t = J.asof_before(X.trades(spark, sf), bars.withColumn("_tie", F.lit(0)), ["instrument"], "t0", "bar_ts", ["mom_15"], "_tie")
+    x = stored(t.select("id", *(F.col(c).cast("double").alias(c) for c in ("risk", "amount")), F.hour("t0").cast("double").alias("hour"), F.round("mom_15", 12).alias("mom_15")))
+    return df.join(C.lloyd(x, "id", ENTRY, GROUPS, STEPS), "id")
 
 
-_TABLE = f"(SELECT id % 3 AS cluster, strategy, {_summary('exit_r')}, count(DISTINCT id) < 30 AS low_confidence FROM {_SOME} GROUP BY ALL)"
+def _cluster_sql() -> str:
+    """Twin: (id, cluster)."""
+    near = [f"({' + '.join(f'pow(z{i} - c[{j}][{i + 1}], 2)' for i in range(4))})" for j in (1, 2, 3)]
+    at = f"CASE WHEN {near[0]} <= {near[1]} AND {near[0]} <= {near[2]} THEN 0 WHEN {near[1]} <= {near[2]} THEN 1 ELSE 2 END"
+    x = f"SELECT t.id, t.risk::DOUBLE AS e0, t.amount::DOUBLE AS e1, hour(t.t0)::DOUBLE AS e2, round(m.v, 12) AS e3 FROM trades t JOIN ({look('(close - first_value(open) OVER w)::DOUBLE / first_value(open) OVER w', 15)}) m USING (id)"
+    z = ", ".join(f"round(coalesce((e{i} - m{i}) / s{i}, 0), 9) AS z{i}" for i in range(4))
+    moments = ", ".join(f"avg(e{i}) AS m{i}, stddev_samp(e{i}) AS s{i}" for i in range(4))
+    return f"""(WITH RECURSIVE ex AS MATERIALIZED ({x}), ez AS MATERIALIZED (SELECT id, {z} FROM ex, (SELECT {moments} FROM ex)),
+km AS (SELECT 0 AS it, list([z0, z1, z2, z3] ORDER BY h, id) AS c FROM (SELECT *, md5(id::VARCHAR) AS h FROM ez ORDER BY h, id LIMIT {GROUPS}) UNION ALL
+ SELECT it + 1, list(n ORDER BY j) FROM (SELECT it, j, [round(avg(z0), 9), round(avg(z1), 9), round(avg(z2), 9), round(avg(z3), 9)] AS n FROM (SELECT it, z0, z1, z2, z3, {at} AS j FROM km, ez WHERE it < {STEPS}) GROUP BY it, j) GROUP BY it)
+SELECT id, {at} AS cluster FROM ez, km WHERE it = {STEPS})"""
+
+
+_CL = _cluster_sql()
+_TABLE = _summarised(f"(SELECT s.*, cluster FROM {_SOME} s JOIN {_CL} USING (id))", "exit_r", "cluster, strategy", ", count(DISTINCT id) < 30 AS low_confidence")
 _BEST = f"(SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(profit_factor, 9) DESC NULLS LAST, strategy) = 1 AS is_best FROM {_TABLE})"
 
 
 def cluster_table(spark, sf):
-    g = clusters(some(spark, sf)).groupBy("cluster", "strategy").agg(*M.summary(F.col("exit_r"), F.col("t0")), (F.count_distinct("id") < 30).alias("low_confidence"))
+    g = summarised(clusters(some(spark, sf), spark, sf), "exit_r", ["cluster", "strategy"], (F.count_distinct("id") < 30).alias("low_confidence"))
     return g.withColumn("is_best", F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("profit_factor", 9).desc_nulls_last(), "strategy")) == 1)
 
 
@@ -248,9 +294,9 @@ def strat_cluster_table(spark, sf):
     return cluster_table(spark, sf)
 
 
-@R.add("strat_global_table", f"SELECT strategy, {_summary('exit_r')} FROM {_SOME} GROUP BY strategy", V, doubles=_SUM_COLS, digits=8)
+@R.add("strat_global_table", f"SELECT * FROM {_summarised(_SOME, 'exit_r', 'strategy')}", V, doubles=_SUM_COLS, digits=8)
 def strat_global_table(spark, sf):
-    return some(spark, sf).groupBy("strategy").agg(*M.summary(F.col("exit_r"), F.col("t0"))).orderBy(F.desc_nulls_last("profit_factor"))
+    return summarised(some(spark, sf), "exit_r", ["strategy"]).orderBy(F.desc_nulls_last("profit_factor"))
 
 
 @R.add("best_per_cluster", f"SELECT cluster, strategy, profit_factor FROM {_BEST} WHERE is_best", V, doubles="profit_factor")
@@ -258,12 +304,20 @@ def best_per_cluster(spark, sf):
     return cluster_table(spark, sf).where("is_best").select("cluster", "strategy", "profit_factor")
 
 
-_HY = f"(SELECT s.id, s.t0, s.amount, s.risk, s.orig_r, s.exit_r AS hybrid_r, s.id % 3 AS cluster, s.strategy FROM {_SOME} s JOIN {_BEST} b ON b.is_best AND b.cluster = s.id % 3 AND b.strategy = s.strategy)"
+_SC = f"sc AS MATERIALIZED (SELECT s.*, cluster FROM {_SOME} s JOIN {_CL} USING (id))"
+_CHOSEN = f"(SELECT cluster, strategy, pf FROM (SELECT cluster, strategy, {_PF.format('exit_r')} AS pf FROM sc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(pf, 9) DESC NULLS LAST, strategy) = 1)"
+_HY = f"(WITH {_SC} SELECT s.id, s.t0, s.amount, s.risk, s.orig_r, s.exit_r AS hybrid_r, s.cluster, s.strategy FROM sc s JOIN {_CHOSEN} b ON b.cluster = s.cluster AND b.strategy = s.strategy)"
+
+
+def chosen(s):
+    """(cluster, strategy, pf): the exit of the greatest profit factor in each cluster."""
+    g = s.groupBy("cluster", "strategy").agg(M.finite_profit_factor(F.col("exit_r")).alias("pf"))
+    return g.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("pf", 9).desc_nulls_last(), "strategy"))).where("k = 1").drop("k")
 
 
 def hybrid(spark, sf):
-    best = cluster_table(spark, sf).where("is_best").select("cluster", "strategy")
-    return clusters(some(spark, sf)).join(F.broadcast(best), ["cluster", "strategy"]).select("id", "t0", "amount", "risk", "orig_r", F.col("exit_r").alias("hybrid_r"), "cluster", "strategy")
+    s = stored(clusters(some(spark, sf), spark, sf))
+    return s.join(F.broadcast(chosen(s).select("cluster", "strategy")), ["cluster", "strategy"]).select("id", "t0", "amount", "risk", "orig_r", F.col("exit_r").alias("hybrid_r"), "cluster", "strategy")
 
 
 @R.add("hybrid_exit", f"SELECT id, cluster, strategy, hybrid_r FROM {_HY}", V, doubles="hybrid_r", digits=11)
@@ -271,10 +325,20 @@ def hybrid_exit(spark, sf):
     return hybrid(spark, sf).select("id", "cluster", "strategy", "hybrid_r")
 
 
-@R.add("hybrid_compare", f"SELECT 'baseline' AS label, {_summary('orig_r')} FROM {_HY} UNION ALL SELECT 'hybrid', {_summary('hybrid_r')} FROM {_HY}", V, doubles=_SUM_COLS, digits=8)
+_GLOBAL = f"(SELECT strategy FROM (SELECT strategy, {_PF.format('exit_r')} AS pf FROM sm GROUP BY 1) ORDER BY round(pf, 9) DESC NULLS LAST, strategy LIMIT 1)"
+_THREE = f"(WITH sm AS MATERIALIZED {_SOME} SELECT 'baseline' AS label, t0, id, orig_r AS v FROM {_HY} UNION ALL SELECT 'hybrid', t0, id, hybrid_r FROM {_HY} UNION ALL SELECT 'global', t0, id, exit_r FROM sm WHERE strategy = {_GLOBAL})"
+
+
+@R.add("hybrid_compare", f"WITH s AS (SELECT * FROM {_summarised(_THREE, 'v', 'label')}) SELECT s.*, (s.expectancy - b.expectancy) / abs(b.expectancy) AS expectancy_change, s.profit_factor / b.profit_factor - 1 AS pf_change FROM s, (SELECT * FROM s WHERE label = 'baseline') b", V, doubles=_SUM_COLS + " expectancy_change pf_change", digits=8)
 def hybrid_compare(spark, sf):
-    h = hybrid(spark, sf).selectExpr("t0", "stack(2, 'baseline', orig_r, 'hybrid', hybrid_r) AS (label, v)")
-    return h.groupBy("label").agg(*M.summary(F.col("v"), F.col("t0")))
+    """Actual exits, the best exit of all and the best exit of each cluster, with changes against the actual ones."""
+    s = stored(some(spark, sf))
+    best = s.groupBy("strategy").agg(M.finite_profit_factor(F.col("exit_r")).alias("pf")).orderBy(F.round("pf", 9).desc_nulls_last(), "strategy").limit(1)
+    whole = s.join(F.broadcast(best.select("strategy")), "strategy", "left_semi").select(F.lit("global").alias("label"), "t0", "id", F.col("exit_r").alias("v"))
+    h = hybrid(spark, sf).selectExpr("t0", "id", "stack(2, 'baseline', orig_r, 'hybrid', hybrid_r) AS (label, v)").select("label", "t0", "id", "v")
+    x = summarised(h.unionByName(whole), "v", ["label"])
+    ref = x.where("label = 'baseline'").select(F.col("expectancy").alias("be"), F.col("profit_factor").alias("bp"))
+    return x.crossJoin(F.broadcast(ref)).select(*x.columns, ((F.col("expectancy") - F.col("be")) / F.abs("be")).alias("expectancy_change"), (F.col("profit_factor") / F.col("bp") - 1).alias("pf_change"))
 
 
 @R.add("drawdown_profile", f"SELECT (SELECT max_dd FROM ({_dd(_HY, 'orig_r')})) AS baseline_dd, (SELECT max_dd FROM ({_dd(_HY, 'hybrid_r')})) AS hybrid_dd", V, doubles="baseline_dd hybrid_dd", digits=8)
@@ -284,20 +348,19 @@ def drawdown_profile(spark, sf):
     return one("orig_r", "baseline_dd").crossJoin(F.broadcast(one("hybrid_r", "hybrid_dd")))
 
 
-@R.add("yearly_perf", f"SELECT year(o_orderdate) AS yr, count(*) AS n, avg((r > 0)::INT) AS win_rate, avg(r) AS expectancy, {_PF.format('r')} AS profit_factor FROM (SELECT o_orderdate, round(o_totalprice * 100)::BIGINT % 2001 / 1000.0::DOUBLE - 1 AS r FROM orders) GROUP BY 1", doubles="win_rate expectancy profit_factor", longs="yr")
+@R.add("yearly_perf", f"SELECT year(t0) AS yr, count(*) AS n, avg((r > 0)::INT) AS win_rate, avg(r) AS expectancy, {_PF.format('r')} AS profit_factor FROM orders_r GROUP BY 1", ("orders_r",), doubles="win_rate expectancy profit_factor", longs="yr")
 def yearly_perf(spark, sf):
-    r = F.round(F.col("o_totalprice") * 100).cast("long") % 2001 / 1000.0 - 1
-    o = X.load(spark, sf, "orders").select(F.year("o_orderdate").alias("yr"), r.alias("r"))
+    o = X.orders_r(spark, sf).select(F.year("t0").alias("yr"), "r")
     return o.groupBy("yr").agg(F.count("*").alias("n"), M.win_rate(F.col("r")).alias("win_rate"), M.expectancy(F.col("r")).alias("expectancy"), M.finite_profit_factor(F.col("r")).alias("profit_factor"))
 
 
 def _monthly(src: str, r: str, extra: str = "") -> str:
-    return f"SELECT strftime(t0, '%Y-%m-%d') AS period, count(*) AS n, sum(orig_r * risk * amount / 100) AS orig_usd, sum({r} * risk * amount / 100) AS new_usd{extra} FROM {src} GROUP BY 1"
+    return f"SELECT strftime(t0, '%Y-%m') AS period, count(*) AS n, sum(orig_r * risk * amount / 100) AS orig_usd, sum({r} * risk * amount / 100) AS new_usd{extra} FROM {src} GROUP BY 1"
 
 
 def monthly(df, r: str, *extra):
     usd = F.col("risk") * F.col("amount") / 100
-    return df.groupBy(F.date_format("t0", "yyyy-MM-dd").alias("period")).agg(F.count("*").alias("n"), F.sum(F.col("orig_r") * usd).alias("orig_usd"), F.sum(F.col(r) * usd).alias("new_usd"), *extra)
+    return df.groupBy(F.date_format("t0", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"), F.sum(F.col("orig_r") * usd).alias("orig_usd"), F.sum(F.col(r) * usd).alias("new_usd"), *extra)
 
 
 def direction(df):
@@ -331,19 +394,20 @@ def monthly_hybrid(spark, sf):
     return direction(monthly(hybrid(spark, sf), "hybrid_r", M.win_rate(F.col("orig_r")).alias("orig_win"), M.win_rate(F.col("hybrid_r")).alias("new_win")))
 
 
-@R.add("yearly_stability", f"SELECT cluster, week, strategy AS week_best, strategy = best AS same FROM (SELECT *, row_number() OVER (PARTITION BY cluster, week ORDER BY round(pf, 9) DESC NULLS LAST, strategy) AS k FROM (SELECT id % 3 AS cluster, date_trunc('week', t0)::TIMESTAMP AS week, strategy, {_PF.format('exit_r')} AS pf FROM {_SOME} GROUP BY ALL)) JOIN (SELECT cluster, strategy AS best FROM {_BEST} WHERE is_best) USING (cluster) WHERE k = 1", V)
+@R.add("yearly_stability", f"WITH {_SC} SELECT cluster, yr, strategy AS year_best, strategy = best AS same FROM (SELECT *, row_number() OVER (PARTITION BY cluster, yr ORDER BY round(pf, 9) DESC NULLS LAST, strategy) AS k FROM (SELECT cluster, year(t0) AS yr, strategy, {_PF.format('exit_r')} AS pf FROM sc GROUP BY ALL)) JOIN (SELECT cluster, strategy AS best FROM {_CHOSEN}) USING (cluster) WHERE k = 1", V, longs="yr")
 def yearly_stability(spark, sf):
-    g = clusters(some(spark, sf)).groupBy("cluster", F.date_trunc("week", "t0").alias("week"), "strategy").agg(M.finite_profit_factor(F.col("exit_r")).alias("pf"))
-    k = F.row_number().over(Window.partitionBy("cluster", "week").orderBy(F.round("pf", 9).desc_nulls_last(), "strategy"))
-    best = cluster_table(spark, sf).where("is_best").select("cluster", F.col("strategy").alias("best"))
-    return g.withColumn("k", k).where("k = 1").join(F.broadcast(best), "cluster").select("cluster", "week", F.col("strategy").alias("week_best"), (F.col("strategy") == F.col("best")).alias("same"))
+    s = stored(clusters(some(spark, sf), spark, sf))
+    g = s.groupBy("cluster", F.year("t0").alias("yr"), "strategy").agg(M.finite_profit_factor(F.col("exit_r")).alias("pf"))
+    k = F.row_number().over(Window.partitionBy("cluster", "yr").orderBy(F.round("pf", 9).desc_nulls_last(), "strategy"))
+    best = chosen(s).select("cluster", F.col("strategy").alias("best"))
+    return g.withColumn("k", k).where("k = 1").join(F.broadcast(best), "cluster").select("cluster", "yr", F.col("strategy").alias("year_best"), (F.col("strategy") == F.col("best")).alias("same"))
 
 
-@R.add("no_stop_summary", f"SELECT label, avg(v) AS mean_r, median(v) AS median_r, avg((v > 0)::INT) AS win_rate, {_PF.format('v')} AS profit_factor, min(v) AS worst FROM (SELECT 'actual' AS label, orig_r AS v FROM {_NS} WHERE final_r IS NOT NULL UNION ALL SELECT 'no_stop', final_r FROM {_NS} WHERE final_r IS NOT NULL) GROUP BY label", V, doubles="mean_r median_r win_rate profit_factor worst", digits=8)
+@R.add("no_stop_summary", f"WITH nv AS MATERIALIZED (SELECT 'actual' AS label, t0, id, orig_r AS v FROM {_NS} WHERE final_r IS NOT NULL UNION ALL SELECT 'no_stop', t0, id, final_r FROM {_NS} WHERE final_r IS NOT NULL) SELECT * FROM (SELECT label, avg(v) AS mean_r, median(v) AS median_r, avg((v > 0)::INT) AS win_rate, {_PF.format('v')} AS profit_factor, min(v) AS worst FROM nv GROUP BY label) JOIN ({_dd('nv', 'v', 'label')}) USING (label)", V, doubles="mean_r median_r win_rate profit_factor worst max_dd", digits=8)
 def no_stop_summary(spark, sf):
-    x = stored(no_stop(spark, sf).where("final_r is not null").selectExpr("stack(2, 'actual', orig_r, 'no_stop', final_r) AS (label, v)"))
+    x = O.dealt(no_stop(spark, sf).where("final_r is not null").selectExpr("t0", "id", "stack(2, 'actual', orig_r, 'no_stop', final_r) AS (label, v)"), ["label", "t0", "id"])
     v = F.col("v")
-    return x.join(F.broadcast(S.quantile_table(x, {"median_r": ("v", 0.5)}, "label")), "label").groupBy("label").agg(F.avg(v).alias("mean_r"), F.first("median_r").alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"), F.min(v).alias("worst"))
+    return x.join(F.broadcast(S.quantile_table(x, {"median_r": ("v", 0.5)}, "label")), "label").groupBy("label").agg(F.avg(v).alias("mean_r"), F.first("median_r").alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"), F.min(v).alias("worst")).join(O.drawdown(x, "v", ["t0", "id"], ["label"]), "label")
 
 
 @R.add("tail_risk", f"SELECT count(*) AS n, count(*) FILTER (worst_r <= -3) AS n_catastrophic, quantile_cont(worst_r, 0.01) AS p1, quantile_cont(worst_r, 0.05) AS p5, median(worst_r) AS p50, min(worst_r) AS worst FROM {_NS} WHERE worst_r IS NOT NULL", V, doubles="p1 p5 p50 worst", digits=8)
@@ -388,10 +452,16 @@ def tos_monthly(spark, sf):
     return monthly(tos(spark, sf), "exit_r")
 
 
-@R.add("tos_kpis", f"SELECT count(*) AS n, count(*) FILTER (tie) AS n_ties, count(*) FILTER (status = 'missed_profit') AS n_missed, count(*) FILTER (status = 'protected') AS n_protected, count(*) FILTER (status = 'flipped_to_loss') AS n_flipped, sum(orig_r) AS orig_r, sum(exit_r) AS exit_r FROM {_TOS}", V, doubles="orig_r exit_r", digits=8)
+@R.add("tos_kpis", f"WITH ts AS MATERIALIZED {_TOS} SELECT k.*, n_months, n_months_improved FROM (SELECT count(*) AS n, count(*) FILTER (tie) AS n_ties, count(*) FILTER (status = 'missed_profit') AS n_missed, count(*) FILTER (status IN ('protected', 'flipped_to_loss')) AS n_protected, count(*) FILTER (status = 'flipped_to_loss') AS n_flipped, count(*) FILTER (status = 'no_diff') AS n_no_diff, sum((exit_r - orig_r) * risk * amount / 100) AS diff_usd, count(*) FILTER (tie) / greatest(count(*) FILTER (orig_r <> 0), 1)::DOUBLE AS tie_share FROM ts) k, (SELECT count(*) AS n_months, count(*) FILTER (new_usd > orig_usd) AS n_months_improved FROM ({_monthly('ts', 'exit_r')}))", V, doubles="diff_usd tie_share", digits=6)
 def tos_kpis(spark, sf):
-    s = lambda v: F.count_if(F.col("status") == v)
-    return tos(spark, sf).agg(F.count("*").alias("n"), F.count_if("tie").alias("n_ties"), s("missed_profit").alias("n_missed"), s("protected").alias("n_protected"), s("flipped_to_loss").alias("n_flipped"), F.sum("orig_r").alias("orig_r"), F.sum("exit_r").alias("exit_r"))
+    """Ten figures of the target-or-stop exits; a flipped loss counts as protected as well."""
+    s = lambda *v: F.count_if(F.col("status").isin(*v))
+    x = stored(tos(spark, sf))
+    diff = F.sum((F.col("exit_r") - F.col("orig_r")) * F.col("risk") * F.col("amount") / 100)
+    share = F.count_if("tie") / F.greatest(F.count_if(F.col("orig_r") != 0), F.lit(1))
+    k = x.agg(F.count("*").alias("n"), F.count_if("tie").alias("n_ties"), s("missed_profit").alias("n_missed"), s("protected", "flipped_to_loss").alias("n_protected"), s("flipped_to_loss").alias("n_flipped"), s("no_diff").alias("n_no_diff"), diff.alias("diff_usd"), share.alias("tie_share"))
+    m = monthly(x, "exit_r").agg(F.count("*").alias("n_months"), F.count_if(F.col("new_usd") > F.col("orig_usd")).alias("n_months_improved"))
+    return k.crossJoin(F.broadcast(m))
 
 
 @R.add("tos_tie_worst_case", f"SELECT count(*) AS n, sum(-risk * amount / 100 - exit_r * risk * amount / 100) AS worst_usd FROM {_TOS} WHERE tie", V, doubles="worst_usd", digits=7)
@@ -400,17 +470,25 @@ def tos_tie_worst_case(spark, sf):
     return tos(spark, sf).where("tie").agg(F.count("*").alias("n"), F.sum(-usd - F.col("exit_r") * usd).alias("worst_usd"))
 
 
-@R.add("trail_regime_perf", f"SELECT regime, {_PF.format('exit_r')} AS trail_pf, {_PF.format('orig_r')} AS orig_pf, avg(exit_r) AS trail_exp, avg(orig_r) AS orig_exp, avg(exit_r) > avg(orig_r) AS beats FROM (SELECT s.*, CASE WHEN risk > 18000 THEN 'High Vol' ELSE 'Low Vol' END AS regime FROM {_T1} s) GROUP BY regime", V, doubles="trail_pf orig_pf trail_exp orig_exp", digits=8)
+@R.add("trail_regime_perf", f"SELECT regime, {_PF.format('exit_r')} AS trail_pf, {_PF.format('orig_r')} AS orig_pf, avg(exit_r) AS trail_exp, avg(orig_r) AS orig_exp, avg(exit_r) > avg(orig_r) AS beats FROM (SELECT s.*, regime FROM {_T1} s JOIN {VOL_SQL} USING (id)) WHERE regime IS NOT NULL GROUP BY regime", V, doubles="trail_pf orig_pf trail_exp orig_exp", digits=8)
 def trail_regime_perf(spark, sf):
-    x = t1(spark, sf).withColumn("regime", F.when(F.col("risk") > 18000, "High Vol").otherwise("Low Vol"))
+    x = t1(spark, sf).join(vol_regime(spark, sf), "id").where("regime IS NOT NULL")
     return x.groupBy("regime").agg(M.finite_profit_factor(F.col("exit_r")).alias("trail_pf"), M.finite_profit_factor(F.col("orig_r")).alias("orig_pf"), F.avg("exit_r").alias("trail_exp"), F.avg("orig_r").alias("orig_exp"), (F.avg("exit_r") > F.avg("orig_r")).alias("beats"))
 
 
-@R.add("eod_summary", f"SELECT reason, count(*) AS n, avg(exit_r) AS mean_r, median(exit_r) AS median_r, avg((exit_r > 0)::INT) AS win_rate, {_PF.format('exit_r')} AS profit_factor FROM {_EOD} GROUP BY reason", V, doubles="mean_r median_r win_rate profit_factor", digits=9)
+_EDD = f"ed AS MATERIALIZED (SELECT * FROM {_EOD} WHERE exit_r IS NOT NULL), ev AS MATERIALIZED (SELECT 'actual' AS label, t0, id, orig_r AS v FROM ed UNION ALL SELECT 'end_of_day', t0, id, exit_r FROM ed)"
+
+
+@R.add("eod_summary", f"WITH {_EDD} SELECT s.*, max_dd FROM (SELECT label, count(*) AS n, avg(v) AS mean_r, median(v) AS median_r, avg((v > 0)::INT) AS win_rate, {_PF.format('v')} AS profit_factor FROM ev GROUP BY label) s JOIN ({_dd('ev', 'v', 'label')}) USING (label) UNION ALL SELECT 'exit ' || reason, count(*), NULL, NULL, NULL, NULL, NULL FROM ed GROUP BY reason", V, doubles="mean_r median_r win_rate profit_factor max_dd", digits=8)
 def eod_summary(spark, sf):
-    v = F.col("exit_r")
-    x = stored(eod(spark, sf).select("reason", "exit_r"))
-    return x.join(F.broadcast(S.quantile_table(x, {"median_r": ("exit_r", 0.5)}, "reason")), "reason").groupBy("reason").agg(F.count("*").alias("n"), F.avg(v).alias("mean_r"), F.first("median_r").alias("median_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"))
+    """Actual and end-of-day exits side by side, and how many exits there were for each reason."""
+    x = stored(eod(spark, sf).where("exit_r IS NOT NULL"))
+    p = O.dealt(x.selectExpr("t0", "id", "stack(2, 'actual', orig_r, 'end_of_day', exit_r) AS (label, v)"), ["label", "t0", "id"])
+    v = F.col("v")
+    s = p.groupBy("label").agg(F.count("*").alias("n"), F.avg(v).alias("mean_r"), M.win_rate(v).alias("win_rate"), M.finite_profit_factor(v).alias("profit_factor"))
+    s = s.join(F.broadcast(S.quantile_table(p, {"median_r": ("v", 0.5)}, "label")), "label").join(O.drawdown(p, "v", ["t0", "id"], ["label"]), "label")
+    reasons = x.groupBy(F.concat(F.lit("exit "), F.col("reason")).alias("label")).agg(F.count("*").alias("n"))
+    return s.unionByName(reasons, allowMissingColumns=True)
 
 
 _SPLIT = f"(SELECT *, CASE WHEN row_number() OVER (PARTITION BY strategy ORDER BY t0, id) <= floor(0.6 * count(*) OVER (PARTITION BY strategy)) THEN 'train' ELSE 'test' END AS part FROM {_TR})"
