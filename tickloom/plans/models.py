@@ -28,12 +28,12 @@ T = ("trades_r",)
 O = ("orders_r",)
 
 
-@R.add("src_trades", "SELECT id, side, t0 AS start_utc, r > 0 AS is_win, r AS r_multiple FROM (SELECT id, side, date_trunc('second', t0)::TIMESTAMP AS t0, round(r, 6) AS r FROM trades_r)", T, doubles="r_multiple")
+@R.add("src_trades", "SELECT id, side, t0 AS start_utc, r > 0 AS is_win, r AS r_multiple FROM (SELECT id, side, date_trunc('second', t0)::TIMESTAMP AS t0, round(r, 11) AS r FROM trades_r)", T, doubles="r_multiple", digits=11)
 def src_trades(spark, sf):
     """The positions written as a CSV log in local time and read back."""
     t = Q.base(spark, sf)[0]
     local = lambda c: F.date_format(F.from_utc_timestamp(c, "America/New_York"), "yyyy/MM/dd HH:mm:ss")
-    r = F.round("r", 6)
+    r = F.round("r", 11)
     number = lambda c: F.col(c).cast("double")
     text, none = F.lit("x, y"), F.lit(None).cast("double")
     log = t.select(

@@ -148,9 +148,13 @@ def folds(spark, sf):
     return long.groupBy("cond", F.year("target.t0").alias("yr")).agg(F.count("*").alias("n"), (F.count("*") < 25).alias("low_sample"), M.win_rate(r).alias("win_rate"), F.avg(r).alias("expectancy"), M.finite_profit_factor(r).alias("profit_factor"))
 
 
-@R.add("wf_breakdown", f"SELECT * FROM {_WF}", OR, doubles="win_rate expectancy profit_factor", longs="yr", digits=7)
+@R.add("wf_breakdown", f"WITH w AS MATERIALIZED {_WF} SELECT cond, yr, coalesce(n, 0) AS n, coalesce(low_sample, true) AS low_sample, win_rate, expectancy, profit_factor FROM (SELECT * FROM (SELECT DISTINCT cond FROM w), (SELECT DISTINCT year(t0) AS yr FROM orders_r)) LEFT JOIN w USING (cond, yr)", OR, doubles="win_rate expectancy profit_factor", longs="yr", digits=7)
 def wf_breakdown(spark, sf):
-    return folds(spark, sf)
+    """Every condition in every year, years without a row of it too."""
+    g = stored(folds(spark, sf))
+    years = X.orders_r(spark, sf).select(F.year("t0").alias("yr")).distinct()
+    grid = g.select("cond").distinct().crossJoin(F.broadcast(years))  # conditions and years: few
+    return grid.join(g, ["cond", "yr"], "left").fillna({"n": 0, "low_sample": True})
 
 
 _WS = f"(SELECT cond, count(*) AS folds_with_data, count(*) FILTER (expectancy > 0) AS positive_folds, count(*) FILTER (expectancy > 0) IN (0, count(*)) AS sign_consistent, stddev_samp(expectancy) AS sd_expectancy FROM {_WF} GROUP BY cond)"
@@ -473,9 +477,14 @@ def test_paired_t(spark, sf):
     return paired_test(Q.t1(spark, sf), "exit_r", "orig_r")
 
 
-@R.add("highvol_confirm", "SELECT * FROM " + _pt(f"(SELECT * FROM {Q._T1} JOIN {Q.VOL_SQL} USING (id) WHERE regime = 'High Vol')", "exit_r", "orig_r"), T, doubles=_PTC)
+_SLICE = f"(SELECT * FROM {Q._T1} JOIN {Q.VOL_SQL} USING (id) WHERE regime = 'High Vol')"
+
+
+@R.add("highvol_confirm", f"WITH hs AS MATERIALIZED {_SLICE} SELECT p.*, c.* FROM {_pt('hs', 'exit_r', 'orig_r')} p, ({_crossing('(SELECT * FROM hs)', 1000)}) c", T, doubles=_PTC + " base " + _PC)
 def highvol_confirm(spark, sf):
-    return paired_test(Q.t1(spark, sf).join(Q.vol_regime(spark, sf).where("regime = 'High Vol'"), "id", "left_semi"), "exit_r", "orig_r")
+    """Paired test and resampled profit factor of the tightest trailing exit where volatility was high at entry."""
+    x = stored(Q.t1(spark, sf).join(Q.vol_regime(spark, sf).where("regime = 'High Vol'"), "id", "left_semi"))
+    return paired_test(x, "exit_r", "orig_r").crossJoin(F.broadcast(crossing(x, 1000)))
 
 
 _AGAINST = f"(SELECT h.id, h.hybrid_r, g.exit_r AS global_r FROM {Q._HY} h JOIN (WITH sm AS MATERIALIZED {Q._SOME} SELECT id, exit_r FROM sm WHERE strategy = {Q._GLOBAL}) g USING (id))"
