@@ -264,6 +264,16 @@ def test_trie_conversation_over_many_ranges(spark):
     numbered = C.number_turns(digests)
     assert numbered.where("conv = 7").select("piece").distinct().count() > 1
     assert sorted((tuple(r) for r in C.prefix_trie(digests).collect()), key=repr) == trie_of(convs)
+    # and over many batches of a range: the same fingerprints
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        again = C.number_turns(digests)
+        columns = ["conv", "depth", "f0", "f1", "g0", "g1"]
+        assert sorted(again.select(*columns).collect()) == sorted(numbered.select(*columns).collect())
+    finally:
+        spark.conf.set(name, was)
 
 
 def test_trie_edges(spark):

@@ -84,20 +84,20 @@ def _scan(moduli: tuple[int, int]):
             size = np.diff(np.append(start, len(conv)))
             place = np.arange(len(conv)) - np.repeat(start, size)
             goes_on = conv[0] == open_
-            if goes_on:
-                place[: size[0]] += at
             digests = np.frombuffer(b"".join(b.column(2).to_pylist()), ">u8").reshape(-1, 4)
             sums = []
             for j, (m, base) in enumerate(zip(moduli, BASES, strict=True)):
                 u = np.uint64(m)
-                value = digests[:, j].astype(np.uint64) % u * _powers(base, m, int(place.max()) + 1)[place] % u
+                value = digests[:, j].astype(np.uint64) % u * _powers(base, m, int(size.max()))[place] % u
                 total = np.cumsum(value)  # under 2^31 a turn: no batch is long enough to overflow
                 before = np.repeat(total[start] - value[start], size)
                 s = (total - before) % u
-                if goes_on:
-                    s[: size[0]] = (s[: size[0]] + np.uint64(carry[j])) % u
+                if goes_on:  # the turns here stand behind ``at`` others
+                    s[: size[0]] = (s[: size[0]] * np.uint64(pow(base, at, m)) + np.uint64(carry[j])) % u
                 carry[j] = int(s[-1])
                 sums.append(s.astype(np.int64))
+            if goes_on:
+                place[: size[0]] += at
             open_, at = conv[-1], int(place[-1]) + 1
             n = len(conv)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, piece)), pa.array(place), *map(pa.array, sums), pa.array(np.append(start[1:], n)[np.searchsorted(start, np.arange(n), "right") - 1] - 1 == np.arange(n))], ["conv", "turn", "digest", "chars", "piece", "place", "s0", "s1", "ends"])
