@@ -11,7 +11,7 @@ from tickloom.plans import catalog
 
 SLOW = {"cluster_kmeans", "cluster_fit", "cluster_assign", "cluster_winners_losers", "holdout_cluster", "shap_importance", "shap_stability", "shap_select"}
 CORE = ["profile_range", "profile_gaps", "resample_ohlcv", "ind_atr", "ind_adx", "ind_pct_rank_expanding", "macro_daily", "exc_mfe_mae", "exc_time_frac", "feat_momentum", "feat_prev_outcome", "exit_quality",
-        "sim_fixed_tp", "sim_partial", "sim_no_stop", "sim_eod", "agg_max_drawdown", "strat_cluster_table", "pattern_depth2", "wf_summary", "boot_mean_ci", "perm_test", "test_paired_t_w", "cp_tie", "cluster_streak", "src_trades", "src_macro_json"]
+        "sim_fixed_tp", "sim_partial", "sim_no_stop", "sim_eod", "agg_max_drawdown", "strat_cluster_table", "pattern_depth2", "wf_summary", "boot_mean_ci", "perm_test", "test_paired_t_w", "cp_tie", "cluster_streak", "features_build", "stability_perturb", "test_spearman_trend", "cusum_changepoints", "tail_risk", "hybrid_exit", "macro_pattern", "src_trades", "src_macro_json"]
 
 
 def plain(v):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import market, models, research, strategies
+from . import features, market, models, research, strategies
 
-MODULES = (market, strategies, research, models)
+MODULES = (market, features, strategies, research, models)
 FLAGSHIP = "sim_fixed_tp"
 QUERIES = {name: q for m in MODULES for name, q in m.R.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.R.oracles.items()}
