@@ -374,3 +374,25 @@ def test_html_unclosed_tags_are_linear_and_edges(spark):
     got = H.extract_pages(df, html="my.html").collect()
     assert len(got) == len(rows) and sorted(r["text"] for r in got)[:2] == ["", ""] and sum(r["text"] == "text" for r in got) == 3
     assert all(r["n_chars"] == len(r["text"]) for r in got) and H.extract_pages(df.where("false"), html="my.html").count() == 0
+
+
+def test_packing_keys_and_ties(spark):
+    from tickloom.llm import packing
+
+    d = spark.createDataFrame([(1, "hello world"), (2, None), (1, "hello world"), (None, "x"), (1, "other text")], "length bigint, text string").repartition(3)
+    out = packing.pack(d, key="length")
+    assert out.columns == ["length", "piece", "start", "length_", "ids_crc32", "sequence_id", "offset"]
+    rows = sorted(out.collect(), key=lambda r: r["offset"])
+    assert len(rows) == 5 and [r["offset"] for r in rows] == [sum(x["length_"] for x in rows[:i]) for i in range(5)]
+    assert sorted(map(repr, rows)) == sorted(map(repr, packing.pack(d.repartition(1), key="length").collect()))
+
+
+def test_chance_of_a_feature():
+    from tickloom.llm import toxicity
+
+    for least, trials, p in ((5, 20, 0.1), (12, 40, 0.05), (900, 5000, 0.1), (1, 3, 0.9)):
+        exact = sum(math.comb(trials, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (trials - i) for i in range(least, trials + 1)) if trials < 100 else None
+        got = toxicity._tail(least, trials, p)
+        assert got == 1.0 if least <= trials * p else exact is None or got == pytest.approx(float(exact))
+    # far more terms than any fixed number of them: half of the mass above the mean
+    assert 0.4 < toxicity._tail(500_001, 1_000_000, 0.5) < 0.51
