@@ -128,3 +128,19 @@ def test_windows_from_spans(spark):
             if inside:
                 want[i] = (inside[-1][4], max(x[2] for x in inside), min(x[3] for x in inside))
         assert got == want
+
+
+def test_reports_carry_their_tables(spark):
+    import json
+    import re
+
+    from tickloom.sources import readers as D
+
+    a = spark.createDataFrame([(1, "x"), (2, None)], "n int, t string")
+    b = spark.createDataFrame([("</script><b>",)], "note string")
+    text = D.report([("First", a), ("Second", b)], "Whole").first()["report"]
+    assert text == "# Whole\n\n## First\n\n| n | t |\n|---|---|\n| 1 | x |\n| 2 | — |\n\n## Second\n\n| note |\n|---|\n| </script><b> |\n"
+    page = D.html([("First", a), ("Second", b)], "A < B").first()["page"]
+    data = json.loads(re.search(r'id="data">(.*?)</script>', page, re.S)[1])
+    assert data == [{"title": "First", "columns": ["n", "t"], "rows": [{"n": 1, "t": "x"}, {"n": 2}]}, {"title": "Second", "columns": ["note"], "rows": [{"note": "</script><b>"}]}]
+    assert "<title>A &lt; B</title>" in page

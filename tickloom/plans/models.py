@@ -20,6 +20,8 @@ from ..sources import fixtures as X
 from ..sources import readers as D
 from ..sources.scratch import fresh_path as scratch
 from ..sources.scratch import stored
+from . import market as K
+from . import research as N
 from . import strategies as Q
 from .registry import Registry
 
@@ -75,12 +77,17 @@ def sink_csv(spark, sf):
 
 @R.add("sink_report")
 def sink_report(spark, sf):
-    return D.markdown(Q.tos_kpis(spark, sf), "Target or stop")
+    """Metrics, exit quality, trailing exits, target or stop, and the strongest conditions in one text."""
+    actual = Q.summarised(Q.base(spark, sf)[0], "r", ["instrument"])
+    parts = [("Actual exits", actual), ("Exit quality", K.exit_quality_summary(spark, sf)), ("Trailing exits", Q.trail_summary(spark, sf)), ("Target or stop", Q.tos_kpis(spark, sf)), ("Strongest conditions by year", N.wf_run(spark, sf))]
+    return D.report(parts, "Positions and their exits")
 
 
 @R.add("sink_html")
 def sink_html(spark, sf):
-    return D.html(Q.tos_monthly(spark, sf), "Target or stop by day")
+    """Target or stop: figures, months and positions in a page of its own."""
+    trades = Q.tos_trade_table(spark, sf).orderBy("id")
+    return D.html([("Figures", Q.tos_kpis(spark, sf)), ("Months", Q.tos_monthly(spark, sf)), ("Positions", trades)], "Target or stop")
 
 
 # Clusters

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from html import escape
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,8 +65,34 @@ def markdown(df: DataFrame, title: str, limit: int = 100) -> DataFrame:
     return rows.select(F.concat(F.lit(head), "body").alias("report"))
 
 
-def html(df: DataFrame, title: str, limit: int = 1000) -> DataFrame:
-    """One row with a page that carries the rows as JSON."""
-    data = df.limit(limit).select(F.to_json(F.struct(*df.columns)).alias("j")).agg(F.concat_ws(",", F.sort_array(F.collect_list("j"))).alias("j"))
-    page = [F.lit(f"<!DOCTYPE html><html><head><title>{title}</title></head><body><script type=\"application/json\" id=\"rows\">["), F.col("j"), F.lit("]</script></body></html>")]
-    return data.select(F.concat(*page).alias("page"))
+def report(parts: list[tuple[str, DataFrame]], title: str, limit: int = 100) -> DataFrame:
+    """One row with a Markdown report: a section for each table, in the order given."""
+    sections = [markdown(df, name, limit).select(F.lit(i).alias("i"), F.concat(F.lit("#"), F.col("report")).alias("text")) for i, (name, df) in enumerate(parts)]
+    whole = reduce(DataFrame.unionByName, sections).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("x"))
+    return whole.select(F.concat(F.lit(f"# {title}\n\n"), F.concat_ws("\n\n", "x"), F.lit("\n")).alias("report"))
+
+
+#: Fills a table for each list of rows that the page carries.
+_SCRIPT = """for (const s of JSON.parse(document.getElementById("data").textContent)) {
+  const h = document.createElement("h2"), t = document.createElement("table");
+  h.textContent = s.title;
+  t.append(...[Object.fromEntries(s.columns.map(c => [c, c])), ...s.rows].map(r => {
+    const tr = document.createElement("tr");
+    tr.append(...s.columns.map(c => { const td = document.createElement("td"); td.textContent = r[c] ?? ""; return td; }));
+    return tr;
+  }));
+  document.body.append(h, t);
+}"""
+
+
+def html(parts: list[tuple[str, DataFrame]], title: str, limit: int = 1000) -> DataFrame:
+    """One row with a page of its own that carries each table's first rows as JSON and lays them out (a report: the limit is its feature)."""
+    sections = []
+    for i, (name, df) in enumerate(parts):
+        rows = df.limit(limit).select(F.to_json(F.struct(*df.columns)).alias("j")).agg(F.concat_ws(",", F.sort_array(F.collect_list("j"))).alias("j"))
+        head = json.dumps({"title": name, "columns": df.columns})[:-1]
+        sections.append(rows.select(F.lit(i).alias("i"), F.concat(F.lit(head + ', "rows": ['), F.col("j"), F.lit("]}")).alias("text")))
+    whole = reduce(DataFrame.unionByName, sections).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("x"))
+    data = F.replace(F.concat_ws(",", "x"), F.lit("</"), F.lit("<\\/"))  # no text ends the script element
+    page = [F.lit(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><script type="application/json" id="data">['), data, F.lit(f"]</script><script>{_SCRIPT}</script></body></html>")]
+    return whole.select(F.concat(*page).alias("page"))
