@@ -57,9 +57,14 @@ def advance(x: DataFrame, models: list[np.ndarray]) -> tuple[list[np.ndarray], l
             if b.num_rows:
                 r = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
                 for s, m in zip(sums, models, strict=True):
-                    d = ((r[:, None, :] - m[None]) ** 2).sum(axis=2)
-                    near = d.argmin(axis=1)
-                    np.add.at(s, near, np.concatenate([r, np.ones((len(r), 1)), d[np.arange(len(r)), near][:, None]], axis=1))
+                    d = np.zeros((len(m), len(r)))
+                    for q in range(width):
+                        d += (r[:, q] - m[:, q : q + 1]) ** 2
+                    near, one = d.argmin(axis=0), np.arange(len(m))[:, None]
+                    own = (near == one).astype(float)
+                    s[:, :width] += own @ r
+                    s[:, width] += own.sum(axis=1)
+                    s[:, width + 1] += (own * d).sum(axis=1)
         flat = np.concatenate(sums)
         ids = [(i, j) for i, m in enumerate(models) for j in range(len(m))]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int32()), pa.array([j for _, j in ids], pa.int32()), *(pa.array(np.ascontiguousarray(flat[:, q])) for q in range(width + 2))], ["m", "j", *names])
@@ -117,27 +122,26 @@ def fit(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), r
         x.unpersist()
 
 
-def lloyd(x: DataFrame, key: str, columns: list[str], k: int, steps: int, digits: int = 9) -> DataFrame:
-    """(key, cluster) after a fixed number of steps from fixed starts: the rows of the k least MD5 of their key.
+def lloyd(x: DataFrame, key: str, columns: list[str], k: int, steps: int, digits: int = 9) -> Column:
+    """The cluster, as a column over x, after a fixed number of steps from fixed starts: the rows of the k least MD5 of their key.
 
     Coordinates are standardised (nulls to 0) and, like the centres of each step, rounded, so that the order of additions
     decides nothing.  A centre that no row is near to stays where it was.
     """
     s = x.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"s_{c}") for c in columns)).first()
-    z = x.select(key, *(F.round(F.coalesce((F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0), F.lit(0.0)), digits).alias(c) for c in columns)).persist()
-    first = z.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(k).collect()
+    z = {c: F.round(F.coalesce((F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(s[f"s_{c}"] or 1.0), F.lit(0.0)), digits) for c in columns}
+    first = x.select(key, *(v.alias(c) for c, v in z.items())).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(k).collect()
     centres = np.array([list(r)[1:] for r in first], float).reshape(len(first), len(columns))
-    points = z.select(*columns)
+    points = x.select(*(v.alias(c) for c, v in z.items())).persist()
     for _ in range(steps if len(first) else 0):
         centres = np.round(advance(points, [centres])[0][0], digits)
-    out = z.select(key, nearest(columns, np.zeros(len(columns)), np.ones(len(columns)), centres).alias("cluster") if len(first) else F.lit(0).alias("cluster"))
-    z.unpersist()
-    return out
+    points.unpersist()
+    return nearest(list(z.values()), np.zeros(len(columns)), np.ones(len(columns)), centres) if len(first) else F.lit(0)
 
 
-def nearest(columns: list[str], means: np.ndarray, scales: np.ndarray, centres: np.ndarray) -> Column:
+def nearest(columns: list[str] | list[Column], means: np.ndarray, scales: np.ndarray, centres: np.ndarray) -> Column:
     """Number of the nearest centre, the first of equals; missing values count as 0."""
-    z = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, means, scales, strict=True)]
+    z = [(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(0.0)) - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(columns, means, scales, strict=True)]
     far = [F.struct(sum(((v - F.lit(float(p))) * (v - F.lit(float(p))) for v, p in zip(z, c, strict=True)), F.lit(0.0)).alias("d"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]
     return F.least(*far)["cluster"] if len(far) > 1 else F.lit(0)
 
