@@ -98,3 +98,9 @@ def test_first_share(spark, share):
     order = sorted(range(203), key=lambda i: (i * 7 % 11, i))
     assert got == set(order[: int(share * 203)])
 
+
+def test_trailing_grid_keeps_every_position(spark, sf_dir):
+    from tickloom.plans import catalog
+
+    x = catalog.QUERIES["sim_trailing_grid"](spark, sf_dir)
+    assert x.count() == catalog.QUERIES["sim_trailing"](spark, sf_dir).count()
