@@ -104,3 +104,13 @@ def test_trailing_grid_keeps_every_position(spark, sf_dir):
 
     x = catalog.QUERIES["sim_trailing_grid"](spark, sf_dir)
     assert x.count() == catalog.QUERIES["sim_trailing"](spark, sf_dir).count()
+
+
+def test_orders_move_no_rows(spark):
+    from tickloom.operators import resampling as B
+
+    df = spark.range(400).selectExpr("id", "CAST(id % 7 - 3 AS DOUBLE) AS v")
+    x = B.permuted_drawdown(df, "v", "id", 8, bucket_rows=90)
+    plan = x._jdf.queryExecution().toString()
+    assert "binary" not in plan and "FlatMapGroupsInArrow" not in plan  # states alone are shuffled
+    assert sorted(r["max_dd"] for r in x.collect()) == sorted(r["max_dd"] for r in B.permuted_drawdown(df, "v", "id", 8).collect())
