@@ -205,3 +205,19 @@ def test_attributions_equal_subset_enumeration(spark, tmp_path):
     mean = A.mean_absolute(df, found, features).first()
     whole = A.attributions(df.withColumn("id", df["b"]), found, features, ["id"]).toPandas()
     assert len(whole) == 300 and all(mean[c] == pytest.approx(whole[c].abs().mean()) for c in features)
+
+
+def test_draws_from_windows_that_narrow(spark, monkeypatch):
+    """Parts of more rows than are read are narrowed, and rows meet a table of edges in place of each condition's window."""
+    monkeypatch.setattr(B, "READ", 1)
+    monkeypatch.setattr(B, "BLOCK", 150)
+    rnd = random.Random(8)
+    rows = [(i, rnd.gauss(0, 1), [c for c in range(3) if rnd.random() < (0.02, 0.3, 0.48)[c]]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, v double, m array<int>").repartition(3)
+    sizes = {c: sum(c in m for _, _, m in rows) for c in range(3)}
+    h = B.draws(np.arange(900), np.arange(9), 42)
+    got = B.subset_sums(df, "id", "v", "m", sizes, 900, 9).toPandas()
+    assert len(got) == 27 and (got["n"] == got["cond"].map(sizes)).all() and B._bins(np.array([3, 9]))[0][[2, 3, 8, 9]].tolist() == [0, 1, 1, 2]
+    for r in got.itertuples():
+        first = sorted((int(h[r.iter, i]), i) for i, _, m in rows if r.cond not in m)[: sizes[r.cond]]
+        assert r.s == pytest.approx(sum(rows[i][1] for _, i in first))
