@@ -221,3 +221,35 @@ def test_draws_from_windows_that_narrow(spark, monkeypatch):
     for r in got.itertuples():
         first = sorted((int(h[r.iter, i]), i) for i, _, m in rows if r.cond not in m)[: sizes[r.cond]]
         assert r.s == pytest.approx(sum(rows[i][1] for _, i in first))
+
+
+def test_boosted_trees_side_by_side(spark, tmp_path):
+    """Each fold's trees predict as those that pyspark.ml fits on its rows alone."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import boosting as G
+
+    g = np.random.default_rng(8)
+    n = 1500
+    rows = [(int(y), "abcd"[k], float(i), float(j), float(np.sin(i / 5) + (k == 2) * j / 9 + e)) for y, k, i, j, e in zip(g.integers(2000, 2004, n), g.integers(0, 4, n), g.integers(0, 29, n), g.integers(0, 12, n), g.normal(0, 0.3, n))]
+    df = spark.createDataFrame(rows, "yr int, c string, i double, j double, r double").repartition(3)
+    df = StringIndexer(inputCol="c", outputCol="k", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df).transform(df)
+    features = ["k", "i", "j"]
+    fitted = G.fit(df, "yr", [2002, 2003], "r", features, {"k": 5}, trees=12, depth=3, rate=0.05, least=15)
+    for year, (trees, weights) in fitted.items():
+        found = A.leaves(trees, weights)
+        x = VectorAssembler(inputCols=features, outputCol="features").transform(df)
+        m = GBTRegressor(featuresCol="features", labelCol="r", maxIter=12, maxDepth=3, stepSize=0.05, minInstancesPerNode=15, seed=42).fit(x.where(F.col("yr") < year))
+        some = m.transform(x).select(*features, "prediction").toPandas()
+        assert np.allclose(A.shapley(found, some[features].to_numpy(float)).sum(axis=1) + A.base_value(found), some["prediction"])
+    assert G.fit(df, "yr", [], "r", features, {"k": 5}, trees=2, depth=3, rate=0.05, least=15) == {}
+
+
+def test_cuts_at_even_shares():
+    from tickloom.operators import boosting as G
+
+    assert G.midpoints({1.0: 5, 2.0: 1, 4.0: 9}) == [1.5, 3.0]
+    many = G.midpoints({float(v): 1 for v in range(3200)})
+    assert len(many) == 31 and all(abs(c - 100 * (k + 1)) <= 1 for k, c in enumerate(many))
