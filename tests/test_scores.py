@@ -144,3 +144,11 @@ def test_reports_carry_their_tables(spark):
     data = json.loads(re.search(r'id="data">(.*?)</script>', page, re.S)[1])
     assert data == [{"title": "First", "columns": ["n", "t"], "rows": [{"n": 1, "t": "x"}, {"n": 2}]}, {"title": "Second", "columns": ["note"], "rows": [{"note": "</script><b>"}]}]
     assert "<title>A &lt; B</title>" in page
+
+
+def test_orders_are_binned_once_for_a_score(spark, sf_dir, monkeypatch):
+    """All parts of the score read one table of orders and bins."""
+    made, plain = [], research.binned
+    monkeypatch.setattr(research, "binned", lambda *a: made.append(1) or plain(*a))
+    monkeypatch.setattr(research, "monte_carlo", lambda spark, sf, conds, rows: spark.createDataFrame([(c, 0.0, 1.0, "survives") for c in conds], "cond string, sign_flip double, p_value double, verdict string"))
+    assert research.scored(spark, sf_dir).count() > 0 and len(made) == 1
