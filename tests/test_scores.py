@@ -152,3 +152,25 @@ def test_orders_are_binned_once_for_a_score(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(research, "binned", lambda *a: made.append(1) or plain(*a))
     monkeypatch.setattr(research, "monte_carlo", lambda spark, sf, conds, rows: spark.createDataFrame([(c, 0.0, 1.0, "survives") for c in conds], "cond string, sign_flip double, p_value double, verdict string"))
     assert research.scored(spark, sf_dir).count() > 0 and len(made) == 1
+
+
+def test_centres_of_all_restarts_in_one_product(spark):
+    """Sums equal plain loops, the first of equally near centres takes a row, and silhouettes equal those of pyspark.ml."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    from tickloom.operators import clusters as C
+
+    g = np.random.default_rng(5)
+    z = np.concatenate([g.normal(size=(3000, 2)), g.integers(-2, 3, (700, 2)).astype(float), [[1e4, -1e4]]])
+    models = [np.array([[-1.0, 0], [1, 0], [0, 0]]), np.array([[1.0, 1], [-1, -1]]), z[:4], np.array([[0.0, 0], [0, 0], [1e9, 1e9]]), z[5:8]]
+    x = spark.createDataFrame([tuple(map(float, r)) for r in z], "a double, b double").repartition(3)
+    for m, t in zip(models, C.totals(x, models), strict=True):
+        near = np.array([((z - c) ** 2).sum(axis=1) for c in m]).argmin(axis=0)
+        want = np.array([[*z[near == j].sum(axis=0), (near == j).sum(), (z[near == j] ** 2).sum()] for j in range(len(m))])
+        assert (t[:, 2] == want[:, 2]).all() and np.allclose(t, want)
+    for m, cost in zip(models, C.advance(x, models)[1], strict=True):
+        assert np.isclose(cost, np.array([((z - c) ** 2).sum(axis=1) for c in m]).min(axis=0).sum())
+    for m, got in zip(models, C.silhouettes(x, models), strict=True):
+        marked = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(x).withColumn("prediction", C.nearest(["a", "b"], np.zeros(2), np.ones(2), m).cast("double"))
+        assert abs(got - (ClusteringEvaluator().evaluate(marked) if marked.select("prediction").distinct().count() > 1 else -1.0)) < 1e-9

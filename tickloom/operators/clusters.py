@@ -1,4 +1,4 @@
-"""Clustering: all restarts in one scan a step, silhouettes of pyspark.ml, losing streaks."""
+"""Clustering: all restarts in one scan a step, silhouettes as pyspark.ml has them, losing streaks."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,32 +45,116 @@ def starts(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(centres)
 
 
-def advance(x: DataFrame, models: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
-    """One step of all models in one scan of the rows: new centres, and the costs of the old.  Tasks give out sums a centre."""
+#: Rows that a task measures against all centres at a time.
+_CHUNK = 1024
+
+
+def _plain(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """[centre, row]: squared distances, added up column by column."""
+    return sum((rows[:, q] - centres[:, q : q + 1]) ** 2 for q in range(centres.shape[1]))
+
+
+def _marks(models: list[np.ndarray]):
+    """A function of [column, row] with rows of ones and of squared lengths below: [centre of all models, row], 1 at each model's nearest.
+
+    All distances come from one product of matrices, less the rows' own lengths, which decide nothing.  Where two centres are
+    equally near but for rounding, plain distances decide, the first of equals.
+    """
+    kinds = [(k, [i for i, m in enumerate(models) if len(m) == k]) for k in sorted({len(m) for m in models})]
+    first = np.concatenate([[0], np.cumsum([len(m) for m in models])])
+    order = np.concatenate([np.arange(first[i], first[i + 1]) for _, of in kinds for i in of])
+    centres = np.concatenate(models)[order]
+    lengths = (centres * centres).sum(axis=1)
+    weights = np.column_stack([-2 * centres, lengths])
+    width = centres.shape[1]
+    back = np.argsort(order)
+
+    space = [np.empty((len(centres), _CHUNK)) for _ in range(2)]  # used again by each chunk
+
+    def mark(r: np.ndarray) -> np.ndarray:
+        d, own = (b if r.shape[1] == _CHUNK else np.empty((len(centres), r.shape[1])) for b in space)
+        np.matmul(weights, r[: width + 1], out=d)
+        slack = 1e-12 * (1 + lengths.max() + r[width + 1].max())
+        at = 0
+        for k, of in kinds:
+            part = d[at : at + k * len(of)].reshape(len(of), k, -1)
+            near = part <= part.min(axis=1, keepdims=True) + slack
+            if np.count_nonzero(near) > len(of) * r.shape[1]:
+                for j, i in enumerate(of):
+                    rows = np.flatnonzero(near[j].sum(axis=0) > 1)
+                    near[j][:, rows] = _plain(r[:width, rows].T, models[i]).argmin(axis=0) == np.arange(k)[:, None]
+            own[at : at + k * len(of)] = near.reshape(k * len(of), -1)
+            at += k * len(of)
+        return own if (back == np.arange(len(back))).all() else own[back]
+
+    return mark
+
+
+def _chunks(batches, width: int):
+    """The rows of the batches as [column, row], ones and squared lengths below."""
+    for b in batches:
+        for i in range(0, b.num_rows, _CHUNK):
+            part = b.slice(i, _CHUNK)
+            r = np.ones((width + 2, part.num_rows))
+            for q, c in enumerate(part.columns):
+                r[q] = c.to_numpy(zero_copy_only=False)
+            r[width + 1] = (r[:width] ** 2).sum(axis=0)
+            yield r
+
+
+def totals(x: DataFrame, models: list[np.ndarray]) -> list[np.ndarray]:
+    """For each model [centre, sum]: the sums of the columns, number and squared lengths of the rows nearest to each centre, in one scan."""
     width = len(x.columns)
+    names = [f"s{q}" for q in range(width + 2)]
+    ids = [(i, j) for i, m in enumerate(models) for j in range(len(m))]
 
     def run(batches):
-        sums = [np.zeros((len(m), width + 2)) for m in models]
-        for b in batches:
-            if b.num_rows:
-                r = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
-                for s, m in zip(sums, models, strict=True):
-                    d = np.zeros((len(m), len(r)))
-                    for q in range(width):
-                        d += (r[:, q] - m[:, q : q + 1]) ** 2
-                    near, one = d.argmin(axis=0), np.arange(len(m))[:, None]
-                    own = (near == one).astype(float)
-                    s[:, :width] += own @ r
-                    s[:, width] += own.sum(axis=1)
-                    s[:, width + 1] += (own * d).sum(axis=1)
-        flat = np.concatenate(sums)
-        ids = [(i, j) for i, m in enumerate(models) for j in range(len(m))]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int32()), pa.array([j for _, j in ids], pa.int32()), *(pa.array(np.ascontiguousarray(flat[:, q])) for q in range(width + 2))], ["m", "j", *names])
+        mark = _marks(models)
+        sums = np.zeros((len(ids), width + 2))
+        for r in _chunks(batches, width):
+            sums += mark(r) @ r.T
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int32()), pa.array([j for _, j in ids], pa.int32()), *(pa.array(np.ascontiguousarray(sums[:, q])) for q in range(width + 2))], ["m", "j", *names])
 
-    names = [f"s{q}" for q in range(width + 2)]
     got = {(r["m"], r["j"]): np.array(r[2:]) for r in x.mapInArrow(run, "m int, j int, " + ", ".join(f"{n} double" for n in names)).groupBy("m", "j").agg(*(F.sum(n).alias(n) for n in names)).collect()}
-    new = [np.array([got[i, j][:width] / got[i, j][width] if got[i, j][width] else c for j, c in enumerate(m)]) for i, m in enumerate(models)]
-    return new, [sum(got[i, j][width + 1] for j in range(len(m))) for i, m in enumerate(models)]
+    return [np.array([got[i, j] for j in range(len(m))]) for i, m in enumerate(models)]
+
+
+def advance(x: DataFrame, models: list[np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """One step of all models in one scan of the rows: new centres, and the costs of the old.  Tasks give out sums a centre."""
+    width = len(x.columns)
+    new, costs = [], []
+    for m, t in zip(models, totals(x, models), strict=True):
+        n = t[:, width]
+        new.append(np.where(n[:, None] > 0, t[:, :width] / np.maximum(n, 1)[:, None], m))
+        costs.append(float((t[:, width + 1] - 2 * (m * t[:, :width]).sum(axis=1) + (m * m).sum(axis=1) * n).sum()))
+    return new, costs
+
+
+def silhouettes(x: DataFrame, models: list[np.ndarray]) -> list[float]:
+    """Mean silhouette of each model by squared distances, as pyspark.ml has it; -1 where all rows are in one cluster.  Two scans for all models."""
+    width = len(x.columns)
+    sums = totals(x, models)
+
+    def run(batches):
+        mark = _marks(models)
+        edges = np.concatenate([[0], np.cumsum([len(m) for m in models])])
+        out = np.zeros((len(models), 2))
+        for r in _chunks(batches, width):
+            own = mark(r)
+            for i, t in enumerate(sums):
+                n = t[:, width, None]
+                mine = own[edges[i] : edges[i + 1]] > 0
+                # mean squared distance to the rows of each cluster; those of an empty one are far
+                d = np.where(n > 0, (t[:, width + 1, None] - 2 * (t[:, :width] @ r[:width])) / np.maximum(n, 1) + r[width + 1], np.inf)
+                count = (mine * n).sum(axis=0)
+                a = np.where(mine, d, 0.0).sum(axis=0) * count / np.maximum(count - 1, 1)
+                b = np.where(mine, np.inf, d).min(axis=0)
+                most = np.maximum(a, b)
+                out[i] += np.where((count > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1.0), 0.0).sum() if np.isfinite(b).all() else 0.0, len(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(out[:, 0]), pa.array(out[:, 1])], ["m", "s", "n"])
+
+    got = {r["m"]: r["s"] / r["n"] for r in x.mapInArrow(run, "m int, s double, n double").groupBy("m").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+    return [got[i] if (t[:, width] > 0).sum() > 1 else -1.0 for i, t in enumerate(sums)]
 
 
 def fit_all(x: DataFrame, models: list[np.ndarray], steps: int = 50, tol: float = 1e-4) -> tuple[list[np.ndarray], list[float]]:
@@ -110,12 +192,13 @@ def fit(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (2, 3, 4, 5), r
         some = np.array([list(r) for r in x.orderBy(F.xxhash64(*columns), *columns).limit(START_ROWS).collect()])
         plan = [(k, i) for k in ks for i in range(restarts)]
         models, costs = fit_all(x, [starts(some, k, np.random.default_rng([seed, k, i])) for k, i in plan])
-        best = None
+        found = []
         for k in ks:
             at = min((i for i, (q, _) in enumerate(plan) if q == k), key=lambda i: costs[i])
-            c = Clusters(columns, means, scales, models[at], costs[at], 0.0)
-            marked = VectorAssembler(inputCols=columns, outputCol="features").transform(x).withColumn("prediction", nearest(columns, np.zeros(len(columns)), np.ones(len(columns)), c.centres).cast("double"))
-            c.silhouette = ClusteringEvaluator().evaluate(marked) if marked.select("prediction").distinct().count() > 1 else -1.0
+            found.append(Clusters(columns, means, scales, models[at], costs[at], 0.0))
+        best = None
+        for c, value in zip(found, silhouettes(x, [c.centres for c in found]), strict=True):
+            c.silhouette = value
             best = c if best is None or c.silhouette > best.silhouette else best
         return best
     finally:
