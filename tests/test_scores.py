@@ -174,3 +174,31 @@ def test_centres_of_all_restarts_in_one_product(spark):
     for m, got in zip(models, C.silhouettes(x, models), strict=True):
         marked = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(x).withColumn("prediction", C.nearest(["a", "b"], np.zeros(2), np.ones(2), m).cast("double"))
         assert abs(got - (ClusteringEvaluator().evaluate(marked) if marked.select("prediction").distinct().count() > 1 else -1.0)) < 1e-9
+
+
+def test_blocks_count_for_sets_of_conditions():
+    """Counts, sums and windows of a block equal plain masks, for more conditions than a word has bits and for rows without any."""
+    import pyarrow as pa
+
+    g = np.random.default_rng(7)
+    for conds in ([3, 4, 9], list(range(40))):
+        member = g.random((500, len(conds))) < 0.1
+        met = [[conds[j] for j in np.flatnonzero(r)] for r in member]
+        v = g.normal(size=500)
+        b = B._Block([pa.RecordBatch.from_arrays([pa.array(np.arange(a, z)), pa.array(v[a:z]), pa.array(met[a:z], pa.list_(pa.int32()))], ["k", "v", "m"]) for a, z in ((0, 200), (200, 500))], conds, 42)
+        member, v = member[b.keys], v[b.keys]
+        assert (b.values == v).all()
+        for it in (0, 5):
+            head = b.heads(it)
+            assert (head == B.draws(b.keys, np.array([it]), 42)[0] >> 16).all()
+            low = g.integers(0, 1 << 16, len(conds))
+            low[:2] = low[0], 0
+            high = np.minimum(low + 9000, 1 << 16)
+            assert (b.every(head, low) == [(head < e).sum() for e in low]).all()
+            under = head[:, None] < low
+            assert (b.before(head, low, True)[0] == (under & member).sum(axis=0)).all()
+            n, wins, total = b.before(head, low, False)
+            assert (n == (under & ~member).sum(axis=0)).all() and (wins == (under & ~member & (v > 0)[:, None]).sum(axis=0)).all() and np.allclose(total, ((under & ~member) * v[:, None]).sum(axis=0))
+            for inside, of in ((True, member), (False, ~member)):
+                want = (head[:, None] >= low) & (head[:, None] < high) & of
+                assert set(zip(*(x.tolist() for x in b.within(head, low, high, inside)), strict=True)) == {(j, i) for i, j in zip(*(x.tolist() for x in np.nonzero(want)), strict=True)}
