@@ -202,3 +202,45 @@ def test_blocks_count_for_sets_of_conditions():
             for inside, of in ((True, member), (False, ~member)):
                 want = (head[:, None] >= low) & (head[:, None] < high) & of
                 assert set(zip(*(x.tolist() for x in b.within(head, low, high, inside)), strict=True)) == {(j, i) for i, j in zip(*(x.tolist() for x in np.nonzero(want)), strict=True)}
+
+
+def test_orders_of_a_score_are_made_once(spark, sf_dir, monkeypatch):
+    """Bins, base rates and all parts of the score read one written table of orders."""
+    made, plain = [], X.orders_r
+    monkeypatch.setattr(X, "orders_r", lambda *a: made.append(1) or plain(*a))
+    monkeypatch.setattr(research, "monte_carlo", lambda spark, sf, conds, rows: spark.createDataFrame([(c, 0.0, 1.0, "survives") for c in conds], "cond string, sign_flip double, p_value double, verdict string"))
+    assert research.scored(spark, sf_dir).count() > 0 and len(made) == 1
+
+
+def test_first_windows_are_summed_in_their_pass():
+    """Sums under windows, rows inside of them and in the parts chosen equal plain masks, in slices of a block with few and with many sets."""
+    import pyarrow as pa
+
+    g = np.random.default_rng(9)
+    for count, chance in ((3, 0.3), (40, 0.1)):
+        conds = list(range(count))
+        member = g.random((1500, count)) < chance
+        v = g.normal(size=1500)
+        whole = B._Block([pa.RecordBatch.from_arrays([pa.array(np.arange(1500)), pa.array(v), pa.array([list(np.flatnonzero(r)) for r in member], pa.list_(pa.int32()))], ["k", "v", "m"])], conds, 42)
+        low, step = g.integers(0, 60000, count), g.integers(1, 200, count)
+        low[0] = 65000  # a window beyond all heads
+        places, part = B._Places(low, step), g.integers(0, B.PARTS, count)
+        slices = list(whole.cut(400))
+        assert sorted(np.concatenate([b.keys for b in slices])) == list(range(1500)) and len(slices) == 4
+        for b in slices:
+            m, x = member[b.keys], v[b.keys]
+            assert (b.values == x).all()
+            head = b.heads(3)
+            assert (head == B.draws(b.keys, np.array([3]), 42)[0] >> 16).all()
+            stretch, at = b.met(head, places)
+            windows = (head[:, None] >= low) & (head[:, None] < places.high)
+            assert (at == np.flatnonzero(windows.any(axis=1))).all()
+            below = (head[:, None] < low) & ~m
+            n, wins, total = b.under(stretch, places)
+            assert (n == below.sum(axis=0)).all() and (wins == (below & (x > 0)[:, None]).sum(axis=0)).all() and np.allclose(total, (below * x[:, None]).sum(axis=0))
+            pairs = lambda c, r: set(zip(c.tolist(), r.tolist(), strict=True))
+            assert pairs(*b.inside(head[at], at, low, places.high)) == pairs(*np.nonzero((windows & m).T))
+            lo, hi = np.minimum(low + part * step, 1 << 16), np.minimum(low + (part + 1) * step, 1 << 16)
+            chosen = (head[:, None] >= lo) & (head[:, None] < hi)
+            few = at[places.chosen(part)[places.part[head[at]]]]
+            assert (few == np.flatnonzero(chosen.any(axis=1))).all() and pairs(*b.last(head[few], few, lo, hi)) == pairs(*np.nonzero((chosen & ~m).T))
