@@ -253,3 +253,17 @@ def test_cuts_at_even_shares():
     assert G.midpoints({1.0: 5, 2.0: 1, 4.0: 9}) == [1.5, 3.0]
     many = G.midpoints({float(v): 1 for v in range(3200)})
     assert len(many) == 31 and all(abs(c - 100 * (k + 1)) <= 1 for k, c in enumerate(many))
+
+
+def test_quantiles_bring_a_row_a_rank_to_the_driver(spark, monkeypatch):
+    """Many distinct values, groups and ranks: neither counts nor values of a bin are collected."""
+    frame = type(spark.range(1))
+    most, plain = [], frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: most.append(len(got := plain(self))) or got)
+    df = spark.range(40000).selectExpr("cast(id % 3 as string) AS g", "cast(id * 7919 % 40009 as double) / 7 AS v", "exp(id % 97) AS w")
+    got = S.quantiles(df, {f"{c}{k}": (c, k / 8) for c in "vw" for k in range(9)}, "g")
+    assert max(most) <= 3 * 2 * 9 * 2
+    x = df.toPandas()
+    for r in got:
+        for c in "vw":
+            assert [r[f"{c}{k}"] for k in range(9)] == pytest.approx(np.quantile(x[c][x["g"] == r["g"]], np.arange(9) / 8).tolist(), rel=1e-12)
