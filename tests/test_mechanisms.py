@@ -267,3 +267,24 @@ def test_quantiles_bring_a_row_a_rank_to_the_driver(spark, monkeypatch):
     for r in got:
         for c in "vw":
             assert [r[f"{c}{k}"] for k in range(9)] == pytest.approx(np.quantile(x[c][x["g"] == r["g"]], np.arange(9) / 8).tolist(), rel=1e-12)
+
+
+def test_cusum_of_a_long_series_goes_by_batches(spark):
+    """The same alarms as by a fold over the whole series, in batches shorter than a run; too short a series has none."""
+    import datetime as dt
+
+    from tickloom.operators import indicators as I
+
+    g = np.random.default_rng(11)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=5 * i), None if i % 17 == 3 else float(round(g.normal(i % 200 > 120), 9))) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, t0 timestamp, smooth double").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for gap in (None, 2, 20):
+            got = I.cusum_scan(df, "smooth", ["t0", "id"], gap_days=gap).collect()
+            assert len(got) > 3 and {tuple(r) for r in got} == {tuple(r) for r in I.cusum(df, "smooth", [], "t0", gap_days=gap).collect()}
+        assert I.cusum_scan(df.where("id < 29"), "smooth", ["t0", "id"], threshold=0.1).count() == 0
+        assert I.cusum_scan(df.where("id < 40"), "smooth", ["t0", "id"], threshold=0.1).count() == I.cusum(df.where("id < 40"), "smooth", [], "t0", threshold=0.1).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

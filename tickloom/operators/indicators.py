@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,19 +148,17 @@ def shifted(b: DataFrame, columns: list[str], by: list[str], ts: str = "bar_ts",
     return b.withColumns({prefix + c: F.lag(c).over(w) for c in columns})
 
 
-def cusum(b: DataFrame, column: str, by: list[str], ts: str = "bar_ts", threshold: float = 4.0, drift: float = 0.5, least: int = 20, shortest: int = 30, gap_days: float | None = None) -> DataFrame:
-    """Alarm rows of a two-sided CUSUM against the expanding mean and deviation (this row included); both sums restart at an alarm.
-
-    With ``gap_days`` an alarm is kept only if more days than that have passed since the last kept one.
-    """
+def _alarms(threshold: float, drift: float, least: int, gap_us: float | None) -> Callable[[list[int], list[float]], list[bool]]:
+    """One CUSUM that goes on from call to call: microseconds and values of the next rows, whether each is an alarm."""
+    pos = neg = mean = m2 = 0.0
+    n, last = 0, None
 
-    def f(g: pd.DataFrame) -> pd.DataFrame:
-        pos = neg = 0.0
-        n, mean, m2, last, flags = 0, 0.0, 0.0, None, []
-        ok = int(g[column].notna().sum()) >= shortest
-        for t, x in zip(g[ts], g[column], strict=True):
+    def step(ts: list[int], values: list[float]) -> list[bool]:
+        nonlocal pos, neg, mean, m2, n, last
+        flags = []
+        for t, x in zip(ts, values, strict=True):
             alarm = False
-            if ok and x == x:
+            if x == x:
                 n += 1
                 d = x - mean
                 mean += d / n
@@ -170,14 +169,50 @@ def cusum(b: DataFrame, column: str, by: list[str], ts: str = "bar_ts", threshol
                     pos, neg = max(0.0, pos + z - drift), max(0.0, neg - z - drift)
                     if pos > threshold or neg > threshold:
                         pos = neg = 0.0
-                        alarm = gap_days is None or last is None or (t - last).total_seconds() > gap_days * 86400
+                        alarm = gap_us is None or last is None or t - last > gap_us
                         last = t if alarm else last
             flags.append(alarm)
-        return g.assign(alarm=flags)
+        return flags
+
+    return step
+
+
+def cusum(b: DataFrame, column: str, by: list[str], ts: str = "bar_ts", threshold: float = 4.0, drift: float = 0.5, least: int = 20, shortest: int = 30, gap_days: float | None = None) -> DataFrame:
+    """Alarm rows of a two-sided CUSUM against the expanding mean and deviation (this row included); both sums restart at an alarm.
+
+    With ``gap_days`` an alarm is kept only if more days than that have passed since the last kept one.
+    """
+
+    def f(g: pd.DataFrame) -> pd.DataFrame:
+        if int(g[column].notna().sum()) < shortest:
+            return g.assign(alarm=False)
+        step = _alarms(threshold, drift, least, None if gap_days is None else gap_days * 86400e6)
+        return g.assign(alarm=step(g[ts].astype("datetime64[us]").astype("int64").tolist(), g[column].tolist()))
 
     return fold(b, by, ts, {"alarm": "boolean"}, f).where("alarm").drop("alarm")
 
 
+def cusum_scan(b: DataFrame, column: str, order: list[str], threshold: float = 4.0, drift: float = 0.5, least: int = 20, shortest: int = 30, gap_days: float | None = None) -> DataFrame:
+    """``cusum`` of one long series: a task sorts it by ``order``, a timestamp first, spilling, and goes through it batch by batch.
+
+    The task holds a batch, whatever the length of the series.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, seen, held = _alarms(threshold, drift, least, None if gap_days is None else gap_days * 86400e6), 0, []
+        for x in batches:
+            v = x.column(column).to_numpy(zero_copy_only=False)
+            found = x.filter(pa.array(step(x.column(order[0]).cast(pa.int64()).to_pylist(), v.tolist()), pa.bool_()))
+            seen += int((v == v).sum())
+            if found.num_rows:
+                held.append(found)
+            if seen >= shortest:  # a shorter series has no alarms
+                yield from held
+                held = []
+
+    return b.repartition(1).sortWithinPartitions(*order).mapInArrow(run, b.schema)
+
+
 def roll_hl(b: DataFrame, n: int, by: list[str], ts: str = "bar_ts") -> DataFrame:
     """Highest high and lowest low of the n rows before this one."""
     w = ordered(by, ts)
