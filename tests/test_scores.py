@@ -244,3 +244,32 @@ def test_first_windows_are_summed_in_their_pass():
             chosen = (head[:, None] >= lo) & (head[:, None] < hi)
             few = at[places.chosen(part)[places.part[head[at]]]]
             assert (few == np.flatnonzero(chosen.any(axis=1))).all() and pairs(*b.last(head[few], few, lo, hi)) == pairs(*np.nonzero((chosen & ~m).T))
+
+
+def test_every_candidate_is_scored(spark, sf_dir, monkeypatch):
+    """No candidate of depth one or two is left out of the score."""
+    monkeypatch.setattr(research, "monte_carlo", lambda spark, sf, conds, rows: spark.createDataFrame([(c, 0.0, 1.0, "survives") for c in conds], "cond string, sign_flip double, p_value double, verdict string"))
+    want = {r["cond"] for r in research.depth2(spark, sf_dir).select("cond").collect()}
+    got = [r["cond"] for r in research.scored(spark, sf_dir).select("cond").collect()]
+    assert len(got) == len(want) > 30 and set(got) == want
+
+
+def test_draws_in_blocks_of_iterations(spark, monkeypatch):
+    """Many conditions: the same draws and bootstrap sums, whether iterations go in one block or in several."""
+    g = np.random.default_rng(4)
+    rows = [(i, float(v), np.flatnonzero(g.random(70) < 0.1).tolist()) for i, v in enumerate(g.normal(size=600))]
+    df = spark.createDataFrame(rows, "id long, v double, m array<int>").repartition(3)
+    sizes = {c: sum(c in m for _, _, m in rows) for c in range(70)}
+    monkeypatch.setattr(B, "DRAWS", 70 * 4)
+    got = B.subset_sums(df, "id", "v", "m", sizes, 600, 10).toPandas().set_index(["cond", "iter"]).sort_index()
+    h, values = B.draws(np.arange(600), np.arange(10), 42), np.array([v for _, v, _ in rows])
+    w = B._weights(np.arange(600), np.arange(10), 42, None)
+    sums = {(r["cond"], r["iter"]): r["s"] for r in B.condition_sums(df, "id", "v", "m", list(range(70)), 10).collect()}
+    assert len(got) == 700 and len(sums) == 700
+    for c in range(70):
+        inside = np.array([c in m for _, _, m in rows])
+        out = np.flatnonzero(~inside)
+        for i in range(10):
+            first = out[np.lexsort((out, h[i, out]))[: sizes[c]]]
+            assert np.isclose(got.loc[(c, i), "s"], values[first].sum()) and got.loc[(c, i), "wins"] == (values[first] > 0).sum() and got.loc[(c, i), "n"] == sizes[c]
+            assert np.isclose(sums[c, i], (w[i] * values * inside).sum())
